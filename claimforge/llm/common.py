@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,24 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, so that workers find it wherever the driver runs."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    top = Path(__file__).resolve().parents[1]
+    where = Path(tempfile.mkdtemp(prefix="package-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(where, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(str(where))
+
+
 def keyed(df: DataFrame, key: str, *columns: str) -> DataFrame:
     """The key as long and the named columns only, so that extra columns with clashing names never meet in a join."""
+    ship(df.sparkSession)
     return df.select(F.col(key).cast("long").alias(key), *[F.col(c) for c in columns])

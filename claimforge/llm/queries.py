@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from claimforge.llm.prefix_bpe import op9_prefix_bpe
 from claimforge.llm.rlz_dedup import op1_rlz_substring_dedup
+from claimforge.llm.simhash_golay import op5_simhash_near_dedup
 from claimforge.llm.suffix_dedup import op7_suffix_array_dedup
+from claimforge.llm.vectors import op2_kdtree_top_k, op6_vptree_ann
+
+QUERIES = (op1_rlz_substring_dedup, op2_kdtree_top_k, op5_simhash_near_dedup, op6_vptree_ann, op7_suffix_array_dedup, op9_prefix_bpe)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_rlz_substring_dedup, op7_suffix_array_dedup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

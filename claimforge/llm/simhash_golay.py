@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimforge.llm.common import cut, free, keyed, read_table, utf8
+from claimforge.llm.common import cut, free, keyed, read_table, ship, utf8
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0xC75
@@ -208,6 +208,7 @@ def links(fps: DataFrame, radius: int = RADIUS, hot: int = 1 << 16) -> DataFrame
     """
     if not 0 <= radius <= RADIUS:
         raise ValueError("the keys hold for 0 to 3 differing bits")
+    ship(fps.sparkSession)
     keys = fps.mapInArrow(_keys, "key long, fp long")
     large = cut(keys.groupBy("key").count().where(F.col("count") > hot).select("key"))
     within = "u long, v long"

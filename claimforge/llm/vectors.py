@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimforge.llm.common import read_table
+from claimforge.llm.common import read_table, ship
 
 SHARD_ROWS, BLOCK_ROWS, LEAF = 8192, 512, 64
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, v) of rows with an id and a vector of finite components."""
+    ship(df.sparkSession)
     v = F.col(vec_col).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.coalesce(fine, F.lit(False)))
