@@ -43,22 +43,25 @@ def _occurrences(unit: str, window: int, k: int):
     return run
 
 
-def shared_occurrences(docs: DataFrame, unit: str, window: int, k: int, hot: int) -> DataFrame:
-    """Every occurrence of an anchor that occurs more than once, checkpointed.
+def shared_occurrences(docs: DataFrame, unit: str, window: int, k: int, hot: int, needed: str) -> DataFrame:
+    """Occurrences of anchors that occur more than once, as far as a condition on them needs them, written to a table.
+
+    The shared anchors are a table of their own, so that the join has plain exchanges and a hot anchor's side can be split.
 
     Columns: those of OCC (lead: the document's first of this anchor and block), first_doc (the least document with the
     anchor), contested (the anchor stands in different blocks), hot (the anchor occurs more than `hot` times).
     """
     spark = docs.sparkSession
     occ = keyed(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(_occurrences(unit, window, k), OCC)
-    shared = (
+    shared = cut(
         occ.select("anchor", "doc_id", F.col("block").alias("b"))
         .groupBy("anchor")
         .agg(F.count("*").alias("n"), F.min("b").alias("b0"), F.max("b").alias("b1"), F.min("doc_id").alias("first_doc"))
         .where("n > 1")
         .select("anchor", "first_doc", (F.col("b0") != F.col("b1")).alias("contested"), (F.col("n") > hot).alias("hot"))
     )
-    out = cut(occ.join(shared, "anchor"))
+    free(spark)
+    out = cut(occ.join(shared, "anchor").where(needed))
     del occ, shared
     free(spark)
     return out
@@ -66,6 +69,8 @@ def shared_occurrences(docs: DataFrame, unit: str, window: int, k: int, hot: int
 
 def with_spans(docs: DataFrame, spans: DataFrame, worker, schema: str) -> DataFrame:
     """Applies a worker to (doc_id, text, starts, ends), spans gathered per document; documents without spans too."""
+    spans = cut(spans)
+    free(docs.sparkSession)
     per_doc = spans.groupBy("doc_id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     text = keyed(docs, "doc_id", "text")
     return text.join(per_doc, "doc_id", "left").select("doc_id", "text", "a", "b").mapInArrow(worker, schema)

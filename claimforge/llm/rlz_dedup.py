@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimforge.llm import grams
-from claimforge.llm.common import read_table, utf8
+from claimforge.llm.common import cut, read_table, utf8
 from claimforge.llm.repeats import buckets, contested_blocks, lists, merged, shared_occurrences, with_spans
 
 
@@ -105,11 +105,11 @@ def duplicate_factors(docs: DataFrame, window: int = 50, k: int = 20, hot: int =
     An anchor with more than `hot` occurrences is split: its windows are dealt out by their own hashes instead of the anchor's.
     """
     reach = window - k
-    occ = shared_occurrences(docs, "word", window, k, hot)
+    occ = shared_occurrences(docs, "word", window, k, hot, "contested or doc_id > first_doc")
     whole = lambda df: df.select("doc_id", (F.col("pos") - reach).alias("a"), (F.col("pos") + window).alias("b"))
     plain = occ.where("not contested and doc_id > first_doc")
     mixed = occ.where("contested")
-    owner = mixed.groupBy("anchor", "block").agg(F.min("doc_id").alias("owner"))
+    owner = cut(mixed.groupBy("anchor", "block").agg(F.min("doc_id").alias("owner")))
     mixed = mixed.join(owner, ["anchor", "block"])
     # the first document of a block may have it more than once; each place is parsed
     own = mixed.where("doc_id = owner").select("anchor", "block", "doc_id", "pos", "hot")
