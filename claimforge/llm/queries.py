@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+from claimforge.llm.html_extract import op4_html_consensus
+from claimforge.llm.mixing import op8_source_mixing
 from claimforge.llm.prefix_bpe import op9_prefix_bpe
+from claimforge.llm.quality import op10_ordinal_quality
 from claimforge.llm.rlz_dedup import op1_rlz_substring_dedup
 from claimforge.llm.simhash_golay import op5_simhash_near_dedup
 from claimforge.llm.suffix_dedup import op7_suffix_array_dedup
+from claimforge.llm.url_filter import op3_url_filter
 from claimforge.llm.vectors import op2_kdtree_top_k, op6_vptree_ann
 
-QUERIES = (op1_rlz_substring_dedup, op2_kdtree_top_k, op5_simhash_near_dedup, op6_vptree_ann, op7_suffix_array_dedup, op9_prefix_bpe)
+QUERIES = (
+    op1_rlz_substring_dedup,
+    op2_kdtree_top_k,
+    op3_url_filter,
+    op4_html_consensus,
+    op5_simhash_near_dedup,
+    op6_vptree_ann,
+    op7_suffix_array_dedup,
+    op8_source_mixing,
+    op9_prefix_bpe,
+    op10_ordinal_quality,
+)
 
 
 def queries() -> dict:

@@ -67,13 +67,16 @@ def shared_occurrences(docs: DataFrame, unit: str, window: int, k: int, hot: int
     return out
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, worker, schema: str) -> DataFrame:
-    """Applies a worker to (doc_id, text, starts, ends), spans gathered per document; documents without spans too."""
+def with_spans(docs: DataFrame, spans: DataFrame, worker, schema: str, more: tuple = ()) -> DataFrame:
+    """Applies a worker to (doc_id, text, a_, b_, further columns), spans gathered per document; documents without spans too."""
     spans = cut(spans)
     free(docs.sparkSession)
     per_doc = spans.groupBy("doc_id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
-    text = keyed(docs, "doc_id", "text")
-    return text.join(per_doc, "doc_id", "left").select("doc_id", "text", "a", "b").mapInArrow(worker, schema)
+    text = keyed(docs, "doc_id", "text", *more).withColumnsRenamed({c: f"more_{i}" for i, c in enumerate(more)})
+    own = [f"more_{i}" for i in range(len(more))]
+    types = "".join(f", {c} {text.schema[c].dataType.simpleString()}" for c in own)
+    joined = text.join(per_doc.withColumnsRenamed({"a": "a_", "b": "b_"}), "doc_id", "left").select("doc_id", "text", "a_", "b_", *own)
+    return joined.mapInArrow(worker, schema + types).withColumnsRenamed(dict(zip(own, more, strict=True)))
 
 
 def merged(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

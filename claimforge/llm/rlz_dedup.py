@@ -129,7 +129,7 @@ def _cut_words(batches):
     for batch in batches:
         raw, off = utf8(batch.column("text"))
         view = raw.tobytes()
-        (cut_a, a), (_, b) = lists(batch.column("a")), lists(batch.column("b"))
+        (cut_a, a), (_, b) = lists(batch.column("a_")), lists(batch.column("b_"))
         total, spans, kept = [], [], []
         for i in range(batch.num_rows):
             words = view[off[i] : off[i + 1]].split()

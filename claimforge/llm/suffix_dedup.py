@@ -186,11 +186,11 @@ def duplicate_spans(docs: DataFrame, window: int = 100, k: int = 20, hot: int =
     return spans
 
 
-def _cut_bytes(batches):
+def _cut_bytes(batches, text: bool = False):
     for batch in batches:
         raw, off = utf8(batch.column("text"))
         view = memoryview(raw)
-        (cut_a, a), (_, b) = lists(batch.column("a")), lists(batch.column("b"))
+        (cut_a, a), (_, b) = lists(batch.column("a_")), lists(batch.column("b_"))
         kept, spans = [], []
         for i in range(batch.num_rows):
             s, e = int(off[i]), int(off[i + 1])
@@ -203,19 +203,21 @@ def _cut_bytes(batches):
             kept.append(b"".join(view[s + edges[j] : s + edges[j + 1]] for j in range(0, len(edges), 2)))
             spans.append(list(zip(x.tolist(), y.tolist(), strict=True)))
         kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array((off[1:] - off[:-1]).astype(np.int64)), pa.array([[{"a": p, "b": q} for p, q in s] for s in spans], kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"]
-        )
+        left = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if text else pa.array(kept, pa.binary())
+        own = [pa.array((off[1:] - off[:-1]).astype(np.int64)), pa.array([[{"a": p, "b": q} for p, q in s] for s in spans], kind), left]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *own, *batch.columns[4:]], names=["doc_id", "n_bytes", "spans", "kept", *batch.schema.names[4:]])
 
 
-def suffix_dedup(docs: DataFrame, window: int = 100, k: int = 20, hot: int = 1 << 18) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = 100, k: int = 20, hot: int = 1 << 18, more: tuple = (), text: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, spans (maximal removed runs of bytes) and kept (the remaining bytes).
 
-    Uses the columns doc_id and text only; others, whatever their names, play no part. A null text is empty. Rows with a null
+    With text, kept is a string without the parts of characters that were cut. Uses the columns doc_id and text, and carries
+    those named in more; others, whatever their names, play no part. A null text is empty. Rows with a null
     doc_id are kept whole and take no part in matching. Rows that share a doc_id count as one document: what either loses at
     a place, both lose; exact repeats of a row don't cost each other anything. Texts shorter than the window lose nothing.
     """
-    return with_spans(docs, duplicate_spans(docs, window, k, hot), _cut_bytes, "doc_id long, n_bytes long, spans array<struct<a:int,b:int>>, kept binary")
+    schema = f"doc_id long, n_bytes long, spans array<struct<a:int,b:int>>, kept {'string' if text else 'binary'}"
+    return with_spans(docs, duplicate_spans(docs, window, k, hot), lambda batches: _cut_bytes(batches, text), schema, more)
 
 
 def op7_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
