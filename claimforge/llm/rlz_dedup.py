@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimforge.llm import grams
-from claimforge.llm.common import cut, read_table, utf8
+from claimforge.llm.common import cut, free, read_table, utf8
 from claimforge.llm.repeats import buckets, contested_blocks, lists, merged, shared_occurrences, with_spans
 
 
@@ -113,7 +113,8 @@ def duplicate_factors(docs: DataFrame, window: int = 50, k: int = 20, hot: int =
     mixed = mixed.join(owner, ["anchor", "block"])
     # the first document of a block may have it more than once; each place is parsed
     own = mixed.where("doc_id = owner").select("anchor", "block", "doc_id", "pos", "hot")
-    blocks = contested_blocks(docs, own, "word", window, k)
+    blocks = cut(contested_blocks(docs, own, "word", window, k))
+    free(docs.sparkSession)
     cool = blocks.where("not hot").select("anchor", "doc_id", "pos", "before", "after")
     parsed = cool.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_parse(window), "doc_id long, a int, b int")
     spans = whole(plain).unionByName(whole(mixed.where("doc_id > owner"))).unionByName(parsed)
