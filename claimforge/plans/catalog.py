@@ -18,6 +18,7 @@ from claimforge.operators import metrics as M
 from claimforge.operators import validate as V
 from claimforge.operators.closure import closure, inherited, reachable
 from claimforge.plans import reports as R
+from claimforge.sources import ingest as I
 from claimforge.sources.kb import KnowledgeBase, merge_pairs, stats
 
 QUERIES: dict = {}
@@ -251,6 +252,8 @@ def f12_condition_forms(spark, d):
 
 REPLIES = ("Yes.", " no", "NO, because of it", "true", "incorrect", "It is correct", "That is not so", "nothing", "", C.ERROR_REPLY, "perhaps", "All are so, certainly", "well yes", "I don't know if it is true")
 TIDY = ("yes", "no", "no", "true", "incorrect", "it is correct", "no", "no", "", C.ERROR_REPLY, "perhaps", "all are so, certainly", "yes", "no")
+#: the same after tidying, as records are made
+PARSED_TIDY = ("true", "false", "false", "true", "false", "true", "false", "false", "null", "null", "null", "true", "true", "false")
 PARSED = ("true", "false", "false", "true", "false", "true", "false", "false", "null", "null", "null", "true", "null", "null")
 
 
@@ -454,3 +457,52 @@ def d8_mentions(spark, d):
     c = table(spark, d, "customer")
     name = F.when(F.col("c_custkey") % 3 == 0, F.upper(token("c_name"))).otherwise(F.concat(F.lit("x"), token("c_name")))
     return G.mentions(c.select(F.concat(F.lit("What of "), name, F.lit(", then?")).alias("question")), geography(spark, d))
+
+
+# ---------------------------------------------------------------- records of models, theories
+@register(
+    f"""WITH v AS ({GEO_VERDICT}), x AS (SELECT v.*, m, g, {_case('idx % 14', TIDY)} AS llm_raw, CAST({_case('idx % 14', PARSED_TIDY).replace(chr(39) + 'null' + chr(39), 'NULL')} AS BOOLEAN) AS p, idx % 3 <> 0 AS truth FROM v, (VALUES ('m0'), ('m1')) AS a(m), (VALUES (false), (true)) AS b(g)),
+y AS (SELECT *, CASE WHEN m = 'm1' THEN NULL ELSE p END AS parsed, CASE WHEN m = 'm1' THEN '[llm_error]' ELSE llm_raw END AS raw, g AND covered AS used FROM x)
+SELECT idx, m || CASE WHEN g THEN '_guarded' ELSE '_baseline' END AS run_key, raw AS llm_raw, parsed AS llm_parsed, CASE WHEN used THEN graph_answer ELSE parsed END AS final_answer,
+CASE WHEN NOT used THEN 'llm_only' WHEN parsed IS DISTINCT FROM graph_answer THEN 'guard_override' ELSE 'guard_agree' END AS method, coalesce(CASE WHEN used THEN graph_answer ELSE parsed END = truth, false) AS is_correct FROM y"""
+)
+def e1_e2_s10_p1_evaluation(spark, d):
+    """Verdicts, an answers table of two models (one always in error) and both kinds of run."""
+    q = geo_questions(spark, d).withColumn("ground_truth", F.col("idx") % 3 != 0).withColumn("source", F.lit("geography"))
+    raw = F.element_at(F.array(*[F.lit(v) for v in REPLIES]), (F.col("idx") % 14 + 1).cast("int"))
+    answers = q.withColumn("model", F.explode(F.array(F.lit("m0"), F.lit("m1")))).select("model", "question", F.when(F.col("model") == "m0", raw).alias("raw"))
+    rec = E.records(V.validate(q, geography(spark, d)), answers)
+    return rec.select("idx", "run_key", "llm_raw", "llm_parsed", "final_answer", "method", "is_correct")
+
+
+@register("SELECT DISTINCT split_part(p_name, ' ', 1) AS child, split_part(p_name, ' ', 2) AS parent FROM part WHERE p_partkey % 5 < 3")
+def s3_s4_theory_pairs(spark, d):
+    """Theories of every shape, made from parts: an object of sentences, a list, a wrapped list, a broken and an unrelated one."""
+    s = F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" is a "), F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit("."))
+    quoted = F.concat(F.lit('"'), s, F.lit('"'))
+    shapes = [F.concat(F.lit('{"triples": {'), quoted, F.lit(": 1}}")), F.concat(F.lit('[{"triples": ['), quoted, F.lit("]}]")), F.concat(F.lit('{"meta": 0, "dev": [{"triples": ['), quoted, F.lit("]}]}")), F.concat(F.lit('{"triples": ['), quoted), F.concat(F.lit('{"other": ['), quoted, F.lit("]}"))]
+    docs = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), F.element_at(F.array(*shapes), (F.col("p_partkey") % 5 + 1).cast("int")).alias("text"))
+    return I.isa_pairs(I.theory_entries(docs))
+
+
+@register("SELECT doc_id, text AS question, source AS category FROM documents WHERE length(regexp_replace(text, '\\s', '', 'g')) > 0 AND doc_id % 2 = 0 UNION ALL SELECT doc_id, text, 'Unknown' FROM documents WHERE length(regexp_replace(text, '\\s', '', 'g')) > 0 AND doc_id % 2 = 1")
+def s8_p3_question_rows(spark, d):
+    """Blank questions go, a missing category is Unknown."""
+    t = table(spark, d, "documents")
+    return t.where(T.strip(F.col("text")) != "").select("doc_id", F.col("text").alias("question"), F.coalesce(F.when(F.col("doc_id") % 2 == 0, F.col("source")), F.lit("Unknown")).alias("category"))
+
+
+# ---------------------------------------------------------------- registry by inventory
+#: Which queries stand for which rows of the inventory; rows not named here are readers, writers or command lines, tested in tests/.
+INVENTORY = {
+    "G": ("g1_transitive_closure", "g2_reachability", "g3_property_inheritance", "g4_merge_new_pairs", "g5_kb_stats"),
+    "V": ("v1_v2_v4_validate_geography", "v3_v8_validate_rules", "v5_validate_loose", "v6_v7_e1_e2_override", "v9_a11_coverage_by_pattern"),
+    "F": ("f1_clean_question", "f2_f3_singular", "f4_predicate", "f5_taxonomic", "f6_categorical", "f7_f8_hypothetical", "f10_consequence_forms", "f12_condition_forms", "f14_f15_replies", "f16_question_type", "f17_isa_fact", "p7_p8_f19_run_selection", "r2_r9_f20_rates_table"),
+    "A": ("a1_confusion", "a2_rates", "a3_a4_per_type", "a5_a16_summary", "a6_caught_and_errors", "a7_a15_r4_interception", "a8_query_set_stats", "a9_type_counts", "a10_coverage_totals", "a12_r12_coverage_table", "a13_w2_running_coverage", "a14_j6_r13_deltas"),
+    "J": ("u2_j5_kb_union", "j2_w1_last_wins_pairs", "r8_j4_o5_accuracy_table", "a14_j6_r13_deltas"),
+    "W, O": ("j2_w1_last_wins_pairs", "a13_w2_running_coverage", "o2_w3_first_per_group", "o3_first_intercepted", "p3_o4_blank_and_truncate"),
+    "U": ("u1_union_all", "u2_j5_kb_union"),
+    "R": ("r1_r10_confusion_block", "r2_r9_f20_rates_table", "r3_per_type_table", "r6_cross_model_table", "r8_j4_o5_accuracy_table"),
+    "S, P": ("s3_s4_theory_pairs", "s8_p3_question_rows", "e1_e2_s10_p1_evaluation", "p7_p8_f19_run_selection"),
+    "D": ("d8_mentions", "d9_generate_questions", "d11_not_yet_asked"),
+}

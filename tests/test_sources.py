@@ -61,3 +61,21 @@ def test_stream(spark, tmp_path):
     query.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 2 and out.where(F.col("graph_answer")).count() == 2
+
+
+def test_run(spark, tmp_path):
+    from claimforge.plans.golden import questions
+    from claimforge.plans.run import run
+
+    q = tmp_path / "q.json"
+    q.write_text(json.dumps({"queries": [{"question": t, "ground_truth": g, "type": k, "source": s} for _, t, g, k, s in questions()]}))
+    (tmp_path / "theory").mkdir()
+    (tmp_path / "theory/t.json").write_text(json.dumps({"triples": ["Rex is a dog."]}))
+    spark.createDataFrame([("m", t, "yes") for t in {x[1] for x in questions()}], "model string, question string, raw string").write.parquet(str(tmp_path / "answers"))
+    (tmp_path / "t.csv").write_text("Question,Category\nAre all dogs mammals?,X\nWhy?,Y\n")
+    out = str(tmp_path / "out")
+    assert run(spark, out, theories=str(tmp_path / "theory"), questions=str(q), answers=str(tmp_path / "answers"), table=str(tmp_path / "t.csv")) == ["kb", "validate", "metrics", "coverage", "report"]
+    assert K.read_json(spark, f"{out}/kb").isa.where("child = 'rex'").count() == 1
+    m = spark.read.parquet(f"{out}/metrics").first()
+    assert (m.intercepted + m.both_wrong, m.false_alarm) == (65, 4)
+    assert spark.read.parquet(f"{out}/coverage").where("covered").count() == 1
