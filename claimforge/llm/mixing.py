@@ -39,14 +39,22 @@ def targets(sizes: dict, weights=(5.0, 2.0, 1.0), most: float = 3.0) -> dict:
     return out
 
 
-def sized(docs: DataFrame, seed: int, weight_col: str | None) -> DataFrame:
-    """docs with size_ (words), key_ (exponential, scaled by the weight) and its two buckets."""
+def sized(docs: DataFrame) -> DataFrame:
+    """docs with size_, the number of words in the text."""
+    return docs.withColumn("size_", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"))
+
+
+def placed(rows: DataFrame, quality: DataFrame | None, seed: int) -> DataFrame:
+    """rows with key_ (exponential, divided by the quality weight) and its two buckets."""
+    if quality is None:
+        rows = rows.withColumn("weight_", F.lit(1.0))
+    else:
+        q = quality.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("weight").cast("double").alias("w_")).where("doc_id is not null")
+        rows = rows.join(q.groupBy("doc_id").agg(F.avg("w_").alias("weight_")), "doc_id", "left")
     u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    weight = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)), F.lit(1e-9))
-    rank = 1 - F.exp(-F.col("key_"))
-    fine = F.least(F.floor(rank * (BUCKETS * BUCKETS)), F.lit(BUCKETS * BUCKETS - 1)).cast("long")
-    out = docs.withColumn("size_", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")).withColumn("key_", -F.log(u) / weight).withColumn("fine_", fine)
-    return out.withColumn("coarse_", F.floor(F.col("fine_") / BUCKETS).cast("long"))
+    key = -F.log(u) / F.greatest(F.coalesce(F.col("weight_"), F.lit(1.0)), F.lit(1e-9))
+    fine = F.least(F.floor((1 - F.exp(-F.col("key_"))) * (BUCKETS * BUCKETS)), F.lit(BUCKETS * BUCKETS - 1)).cast("long")
+    return rows.withColumn("key_", key).withColumn("fine_", fine).withColumn("coarse_", F.floor(F.col("fine_") / BUCKETS).cast("long")).drop("weight_")
 
 
 def _end_in(rows: DataFrame, plan: DataFrame, bucket: str, begun: str) -> DataFrame:
@@ -59,15 +67,16 @@ def _end_in(rows: DataFrame, plan: DataFrame, bucket: str, begun: str) -> DataFr
     return plan.join(found, plan.source_.eqNullSafe(found.source__), "left").drop("source__")
 
 
-def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: float = 3.0, seed: int = 42, weight_col: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: float = 3.0, seed: int = 42, quality: DataFrame | None = None) -> DataFrame:
     """Per row of docs: doc_id, size, source_size, target and taken, the words that the mix takes of it, repeats counted.
 
-    weight_col names a column of quality weights (null: 1; at least 1e-9); without it all weigh the same. Size is the number of
+    quality has the quality weights (doc_id, weight) of some documents; the mean of repeats, at least 1e-9, counts; others weigh 1, as
+    all do without it. Size is the number of
     words in the text, 0 for null. A null source is a source of its own, last in order. A document is taken if more than half
     of it fits its source's budget, so each source misses its target by half a document at most. Rows of equal key are put in
     order of doc_id, repeated rows one after the other. Extra columns are ignored, an empty table gives an empty result.
     """
-    rows, plan = _plan(docs, weights, most, seed, weight_col)
+    rows, plan = _plan(docs, weights, most, seed, quality)
     joined = rows.join(plan, rows.source.eqNullSafe(plan.source_), "inner")
     inside = (F.col("coarse_") == F.col("endcoarse_")) & (F.col("fine_") == F.col("endfine_"))
     before = F.coalesce((F.col("coarse_") < F.col("endcoarse_")) | ((F.col("coarse_") == F.col("endcoarse_")) & (F.col("fine_") < F.col("endfine_"))), F.lit(False))
@@ -80,10 +89,10 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: float = 3.0, seed: int =
     return out.select("doc_id", F.col("size_").alias("size"), "source_size", "target", taken.alias("taken"))
 
 
-def _plan(docs: DataFrame, weights, most: float, seed: int, weight_col: str | None) -> tuple[DataFrame, DataFrame]:
+def _plan(docs: DataFrame, weights, most: float, seed: int, quality: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"]
-    rows = cut(sized(docs.select(*columns, *([F.col(weight_col).alias("weight__")] if weight_col else [])), seed, "weight__" if weight_col else None).drop("text", "weight__"))
+    rows = cut(placed(sized(docs.select(*columns)).drop("text"), quality, seed))
     sizes = {r["source"]: int(r["s"]) for r in rows.groupBy("source").agg(F.sum("size_").alias("s")).collect()}  # one row for each source
     goal = targets(sizes, weights, most)
     data = []
@@ -97,12 +106,12 @@ def _plan(docs: DataFrame, weights, most: float, seed: int, weight_col: str | No
     return rows, cut(_end_in(edge, plan, "fine_", "beforecoarse_"))
 
 
-def repeats(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: float = 3.0, seed: int = 42, weight_col: str | None = None) -> DataFrame:
+def repeats(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: float = 3.0, seed: int = 42, quality: DataFrame | None = None) -> DataFrame:
     """docs with its own columns, each row as often as the mix takes it (not at all, once, ...). Takes what `mix` takes.
 
     Rows are decided where they are, against one row for each source: the last (key, doc_id, size) that the budget takes.
     """
-    rows, plan = _plan(docs, weights, most, seed, weight_col)
+    rows, plan = _plan(docs, weights, most, seed, quality)
     joined = rows.join(plan, rows.source.eqNullSafe(plan.source_)).where((F.col("coarse_") == F.col("endcoarse_")) & (F.col("fine_") == F.col("endfine_")))
     w = Window.partitionBy("source").orderBy("key_", "doc_id", "size_").rowsBetween(Window.unboundedPreceding, 0)
     place = F.struct("key_", "doc_id", "size_")
@@ -110,13 +119,18 @@ def repeats(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: float = 3.0, seed: i
     last = last.select(F.col("source").alias("s__"), "last_")
     plan = cut(plan.join(last, F.col("source_").eqNullSafe(F.col("s__")), "left").select("source_", "epochs", "endcoarse_", "endfine_", "last_"))
     names = docs.columns
-    own = docs.select(F.struct(*names).alias("row_"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", *([F.col(weight_col).alias("weight__")] if weight_col else []))
-    all_rows = sized(own, seed, "weight__" if weight_col else None).drop("text")
+    own = docs.select(F.struct(*names).alias("row_"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
+    all_rows = placed(sized(own).drop("text"), quality, seed)
     x = all_rows.join(plan, all_rows.source.eqNullSafe(plan.source_))
     fine = (F.col("coarse_") < F.col("endcoarse_")) | ((F.col("coarse_") == F.col("endcoarse_")) & ((F.col("fine_") < F.col("endfine_")) | ((F.col("fine_") == F.col("endfine_")) & (place <= F.col("last_")))))
     n = F.col("epochs") + F.coalesce(fine, F.lit(False)).cast("long")
     return x.withColumn("n_", n).where("n_ > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_")))).select("row_.*")
 
 
+def label_weights(labels: DataFrame) -> DataFrame:
+    """(doc_id, weight) from labels: 2 for good quality, 1/2 for bad; documents without a label weigh 1."""
+    return labels.where("quality in (0, 1)").select("doc_id", F.when(F.col("quality") == 1, 2.0).otherwise(0.5).alias("weight"))
+
+
 def op8_source_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(read_table(spark, sf_dir, "documents"))
+    return mix(read_table(spark, sf_dir, "documents"), quality=label_weights(read_table(spark, sf_dir, "labels")))

@@ -79,9 +79,9 @@ def test_mixing(spark):
     rng = random.Random(1)
     rows = [(i, " ".join("w" * rng.randint(0, 40)), rng.choice(["s1", "s2", "s2", "s2", None]), rng.random(), 1) for i in range(600)] + [(700, None, "s3", None, 1), (701, "", None, 0.0, 1), (702, "a b", "only", -1.0, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, w double, target int")
-    for weight in (None, "w"):
-        out = M.mix(df, weight_col=weight).collect()
-        assert len(out) == len(rows) and sorted(map(tuple, M.mix(df, weight_col=weight).collect())) == sorted(map(tuple, out))
+    for weight in (None, df.select("doc_id", F.col("w").alias("weight"))):
+        out = M.mix(df, quality=weight).collect()
+        assert len(out) == len(rows) and sorted(map(tuple, M.mix(df, quality=weight).collect())) == sorted(map(tuple, out))
         source = {r[0]: r[2] for r in rows}
         size = {}
         for r in rows:
@@ -91,7 +91,7 @@ def test_mixing(spark):
             mine = [r for r in out if source[r.doc_id] == s]
             assert all(r.source_size == size[s] and r.target == goal[s] and r.taken in (0, r.size, 2 * r.size, 3 * r.size) for r in mine)
             assert abs(sum(r.taken for r in mine) - goal[s]) <= max(r.size for r in mine) / 2
-        again = {r.doc_id: r["count"] for r in M.repeats(df, weight_col=weight).groupBy("doc_id").count().collect()}
+        again = {r.doc_id: r["count"] for r in M.repeats(df, quality=weight).groupBy("doc_id").count().collect()}
         assert all(again.get(r.doc_id, 0) * r.size == r.taken for r in out)
     assert M.mix(df.limit(0)).count() == 0 and M.repeats(df.limit(0)).count() == 0
     assert M.repeats(df).columns == df.columns
@@ -99,7 +99,7 @@ def test_mixing(spark):
 
 def test_weights_pull(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") < 2000, "x").otherwise("y").alias("source"), F.when(F.col("id") % 2 == 0, 8.0).otherwise(1.0).alias("q"))
-    more = M.mix(df, weights=(1.0, 9.0), weight_col="q").where("doc_id < 2000 and taken > 0")
+    more = M.mix(df, weights=(1.0, 9.0), quality=df.select("doc_id", F.col("q").alias("weight"))).where("doc_id < 2000 and taken > 0")
     assert more.where("doc_id % 2 = 0").count() > 2 * more.where("doc_id % 2 = 1").count()
 
 
@@ -183,7 +183,9 @@ def test_pipeline_stages(spark, tmp_path):
             before = [(r.doc_id, r.text) for r in out.collect()]
         if name == "suffix_array_dedup":
             brute = substrings(before)
-            assert {r.doc_id: len(r.text.encode()) for r in out.collect()}.items() <= {d: n - r for d, (n, r, _, _) in brute.items()}.items() or all(n - r - 6 * s <= len(t.encode()) <= n - r for d, t in [(x.doc_id, x.text) for x in out.collect()] for n, r, s, _ in [brute[d]])
+            left = {r.doc_id: len(r.text.encode()) for r in out.collect()}
+            for d, (n, removed, spans, _) in brute.items():
+                assert n - removed - 6 * spans <= left.get(d, 0) <= n - removed  # a cut may go through a character at either end
         assert out.count() > 0
         docs = out
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
