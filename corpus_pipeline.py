@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimforge.llm.common import cut, read_table
-from claimforge.llm.mixing import repeats
+from claimforge.llm.mixing import label_weights, repeats
 from claimforge.llm.prefix_bpe import bpe_round_trip
 from claimforge.llm.quality import classify_rows, grades_of, train
 from claimforge.llm.simhash_golay import near_duplicates
@@ -43,8 +43,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return repeats(_documents(docs))
+    """Each document as often as the mix takes it; documents labelled as good come first."""
+    return repeats(_documents(docs), quality=label_weights(read_table(spark, sf_dir, "labels")))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
