@@ -373,7 +373,7 @@ def a10_coverage_totals(spark, d):
     return M.coverage_rates(table(spark, d, "events").select((F.col("value") > 10).alias("covered")))
 
 
-@register("SELECT idx, covered, round(100.0 * covered / idx, 2) AS rate FROM (SELECT event_id + 1 AS idx, sum(CASE WHEN value > 10 THEN 1 ELSE 0 END) OVER (ORDER BY event_id) AS covered FROM events) WHERE idx % 100 = 0")
+@register("SELECT idx, covered, round(100.0 * covered / idx, 2) AS rate FROM (SELECT event_id + 1 AS idx, CAST(sum(CASE WHEN value > 10 THEN 1 ELSE 0 END) OVER (ORDER BY event_id) AS BIGINT) AS covered FROM events) WHERE idx % 100 = 0")
 def a13_w2_running_coverage(spark, d):
     return M.running_coverage(table(spark, d, "events").select((F.col("event_id") + 1).alias("idx"), (F.col("value") > 10).alias("covered")))
 
