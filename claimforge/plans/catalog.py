@@ -19,6 +19,7 @@ from claimforge.operators import validate as V
 from claimforge.operators.closure import closure, inherited, reachable
 from claimforge.plans import reports as R
 from claimforge.sources import ingest as I
+from claimforge.sources import theories as TH
 from claimforge.sources.kb import KnowledgeBase, merge_pairs, stats
 
 QUERIES: dict = {}
@@ -492,6 +493,37 @@ def s8_p3_question_rows(spark, d):
     return t.where(T.strip(F.col("text")) != "").select("doc_id", F.col("text").alias("question"), F.coalesce(F.when(F.col("doc_id") % 2 == 0, F.col("source")), F.lit("Unknown")).alias("category"))
 
 
+def part_theories(spark, d) -> DataFrame:
+    """One theory with a question for each part: a text, a list of texts, a list of objects, or an object of triples."""
+    a, b, m = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2)), F.col("p_partkey") % 4
+    s = [F.concat(F.lit("All "), a, F.lit("s are "), b, F.lit("s")), F.concat(a, F.lit(" has big "), b, F.lit("s")), F.concat(a, F.lit(" is cold-blooded"))]
+    q = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    ask = F.concat(F.lit('"question": "'), F.when(m == 3, "Why?").otherwise(F.concat(F.lit("Are all "), a, F.lit("s "), b, F.lit("s?"))), F.lit('", "answer": "'), F.when(m == 1, "False").when(m == 2, "maybe").otherwise("True"), F.lit('"'))
+    theory = (
+        F.when(m == 0, F.concat(F.lit('"theory": "'), s[0], F.lit(". "), s[1], F.lit(". "), s[2], F.lit('. x.", "questions": [{'), ask, F.lit("}]")))
+        .when(m == 1, F.concat(F.lit('"theory": ['), q(s[0]), F.lit(","), q(s[1]), F.lit('], "questions": {"k": {'), ask, F.lit("}}")))
+        .when(m == 2, F.concat(F.lit('"context": [{"text": '), q(s[1]), F.lit('}], "questions": [{'), ask, F.lit("}]")))
+        .otherwise(F.concat(F.lit('"theory": {"triples": ['), q(s[2]), F.lit(']}, "questions": [{'), ask, F.lit("}]")))
+    )
+    docs = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), F.concat(F.lit("{"), theory, F.lit("}")).alias("text"))
+    return I.theory_entries(docs)
+
+
+PART = "pt AS (SELECT p_partkey % 4 AS m, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)"
+
+
+@register(f"WITH {PART}, f AS (SELECT a || 's' AS lhs, b || 's' AS rhs, 'class' AS kind FROM pt WHERE m < 2 UNION ALL SELECT a, 'big_' || b || 's', 'property' FROM pt WHERE m < 3 UNION ALL SELECT a, 'cold_blooded', 'property' FROM pt WHERE m IN (0, 3)) SELECT kind, lhs, rhs, count(*) AS n FROM f GROUP BY ALL")
+def d1_d2_d3_theory_facts(spark, d):
+    s = TH.sentences(part_theories(spark, d)).select(TH.class_fact(F.col("sentence")).alias("c"), TH.property_fact(F.col("sentence")).alias("p"))
+    facts = s.where("c is not null").select(F.lit("class").alias("kind"), F.col("c.a").alias("lhs"), F.col("c.b").alias("rhs")).unionByName(s.where("p is not null").select(F.lit("property").alias("kind"), F.col("p.a").alias("lhs"), F.col("p.b").alias("rhs")))
+    return facts.groupBy("kind", "lhs", "rhs").agg(F.count("*").alias("n"))
+
+
+@register(f"WITH {PART} SELECT 'Are all ' || a || 's ' || b || 's?' AS question, m = 0 AS ground_truth, 'taxonomic' AS type, 'theory' AS source, CASE m WHEN 0 THEN 'All ' || a || 's are ' || b || 's. ' || a || ' has big ' || b || 's. ' || a || ' is cold-blooded.' ELSE 'All ' || a || 's are ' || b || 's ' || a || ' has big ' || b || 's' END AS theory FROM pt WHERE m < 2")
+def d4_d5_d6_theory_questions(spark, d):
+    return TH.questions(part_theories(spark, d))
+
+
 # ---------------------------------------------------------------- registry by inventory
 #: Which queries stand for which rows of the inventory; rows not named here are readers, writers or command lines, tested in tests/.
 INVENTORY = {
@@ -504,5 +536,5 @@ INVENTORY = {
     "U": ("u1_union_all", "u2_j5_kb_union"),
     "R": ("r1_r10_confusion_block", "r2_r9_f20_rates_table", "r3_per_type_table", "r6_cross_model_table", "r8_j4_o5_accuracy_table"),
     "S, P": ("s3_s4_theory_pairs", "s8_p3_question_rows", "e1_e2_s10_p1_evaluation", "p7_p8_f19_run_selection"),
-    "D": ("d8_mentions", "d9_generate_questions", "d11_not_yet_asked"),
+    "D": ("d1_d2_d3_theory_facts", "d4_d5_d6_theory_questions", "d8_mentions", "d9_generate_questions", "d11_not_yet_asked"),
 }
