@@ -29,7 +29,7 @@ def closure(edges: DataFrame) -> DataFrame:
     while not delta.isEmpty():
         found = delta.join(step, "ancestor").select("child", F.col("next").alias("ancestor")).distinct()
         delta = checkpointed(found.join(known, ["child", "ancestor"], "left_anti"))
-        known = checkpointed(known.unionByName(delta))
+        known = known.unionByName(delta)  # all parts are checkpointed, none is written again
     return known
 
 
