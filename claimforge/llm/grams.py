@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-SLICE = 1 << 20  # units hashed at a time
+SLICE = 1 << 19  # units hashed at a time; bounds the memory of a worker
 _POW: dict[str, np.ndarray] = {}
 
 

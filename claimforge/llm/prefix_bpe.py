@@ -30,7 +30,7 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 class PrefixBPE:
     """Encoder of single pieces; `memory` bounds the pieces whose ids are kept for reuse."""
 
-    def __init__(self, ranks: dict[bytes, int], memory: int = 800_000):
+    def __init__(self, ranks: dict[bytes, int], memory: int = 500_000):
         self.ranks, self.memory = ranks, memory
         self.bytes = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimforge.llm import grams
-from claimforge.llm.common import keyed, read_table, ship, utf8
+from claimforge.llm.common import keyed, read_table, release, ship, utf8
 
 BITS = 22
-SAMPLE = 20_000
+SAMPLE = 12_000
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +64,7 @@ def features(raw: np.ndarray, off: np.ndarray, bits: int = BITS) -> tuple[np.nda
     return both >> bits, both & ((1 << bits) - 1)
 
 
-def _slices(raw: np.ndarray, off: np.ndarray, size: int = 4 << 20):
+def _slices(raw: np.ndarray, off: np.ndarray, size: int = 1 << 20):
     i, n = 0, len(off) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
@@ -193,6 +193,7 @@ def classify_rows(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5)
             raw, off = utf8(batch.column("text"))
             grade, p = own.score(raw, off)
             tail = p[:, -1]
+            release()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(grade), pa.array(tail), pa.array(tail >= threshold)], names=[*own_names, "expected_grade", "tail", "keep"])
 
     return rows.mapInArrow(run, schema)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimforge.llm import grams
-from claimforge.llm.common import cut, free, keyed, utf8
+from claimforge.llm.common import cut, free, keyed, release, utf8
 
 OCC = "anchor long, block long, doc_id long, pos int, lead boolean"
 
@@ -38,6 +38,7 @@ def _occurrences(unit: str, window: int, k: int):
             tag = grams.mix(anchor.view(np.uint64) ^ grams.mix(block.view(np.uint64)) ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
             lead[np.unique(tag, return_index=True)[1]] = True
             own = ids.to_numpy(zero_copy_only=False)[doc]
+            release()
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(block), pa.array(own, pa.int64()), pa.array(pos.astype(np.int32)), pa.array(lead)], names=["anchor", "block", "doc_id", "pos", "lead"])
 
     return run
@@ -102,7 +103,7 @@ def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def contested_blocks(docs: DataFrame, wanted: DataFrame, unit: str, window: int, k: int) -> DataFrame:
     """The content around each wanted (anchor, block, doc_id, pos, hot): left and right part as bytes, joined by document.
 
-    The content is hashed again, so that a row with the same doc_id but another text gives nothing.
+    Rows that share a doc_id count as one document, so each of them is read at each of the places.
     """
 
     def run(batches):

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimforge.llm.common import cut, free, keyed, read_table, ship, utf8
+from claimforge.llm.common import cut, free, keyed, read_table, release, ship, utf8
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0xC75
@@ -46,6 +46,8 @@ def _fingerprints(shingle: int, seed: int):
                     h = np.array([digest(line[x:y], seed) for x, y in zip(starts[a : a + 100_000].tolist(), stops[a : a + 100_000].tolist(), strict=True)], np.uint64)
                     count += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
                 out[i] = np.packbits(2 * count > n, bitorder="little").view("<u8")[0]
+            del view
+            release()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
     return run
