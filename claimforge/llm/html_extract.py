@@ -28,6 +28,7 @@ AWAY_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|promo\w*|sponsor\w*|cookies?|consent|notices?|popup|modal|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|disqus|repl(?:y|ies)|respond|shar(?:e|ing)|social|related|recommended|widget|newsletter|subscribe|search|login|complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
+SHARE = 0.85
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = BLOCK - {"html", "body", "head"}
 
@@ -91,15 +92,25 @@ def blocks(page: str):
 
 
 def best_path(found) -> tuple[str | None, float]:
-    """The path whose containers hold most text outside links; half of it counts for the container around."""
+    """The path of the main container and its score: what all text under it is worth, text in links counting against it.
+
+    An article, else a main element, that holds half of the page's worth is it; else the deepest container that holds SHARE of it.
+    So headings and leads beside the sections of an article stay with them.
+    """
     score: dict[str, float] = defaultdict(float)
+    whole = 0.0
     for text, paths, linked, tag in found:
-        worth = max(0, len(text) - 2 * linked) * (1.0 if tag in ("p", "pre", "blockquote", "h1", "h2", "h3") else 0.5)
-        if paths:
-            score[paths[-1]] += worth
-        if len(paths) > 1:
-            score[paths[-2]] += worth / 2
-    return max(((p, s) for p, s in score.items()), key=lambda x: (x[1], x[0]), default=(None, 0.0))
+        worth = max(len(text) - 2 * linked, 0.01 * len(text)) * (1.0 if tag in ("p", "pre", "blockquote", "h1", "h2", "h3") else 0.5)
+        whole += worth
+        for path in set(paths):
+            score[path] += worth
+    for tag in ("article", "main"):
+        if some := [p for p, s in score.items() if s >= whole / 2 and p.rpartition("/")[2].partition(".")[0] == tag]:
+            best = max(some, key=lambda p: (score[p], -p.count("/"), p))
+            return best, score[best]
+    deep = [p for p, s in score.items() if s >= SHARE * whole]
+    best = max(deep, key=lambda p: (p.count("/"), score[p], p), default=None)
+    return best, score.get(best, 0.0)
 
 
 def _votes(batches):
@@ -109,12 +120,12 @@ def _votes(batches):
 
 
 def main_text(page: str, winner: str | None) -> str:
-    """Blocks under the winning path; under the page's own best one if the page has no block there, all if it has no container."""
+    """Blocks under the winning path; under the page's own best one if the page has no block there; all if no container is best."""
     found = blocks(page)
     for path in (winner, best_path(found)[0]):
         if path and (inside := [t for t, paths, _, _ in found if path in paths]):
             return "\n".join(inside)
-    return "\n".join(t for t, paths, _, _ in found if not paths)
+    return "\n".join(t for t, *_ in found)
 
 
 def consensus(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
