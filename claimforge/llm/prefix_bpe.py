@@ -116,7 +116,13 @@ class PrefixBPE:
     def ids(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:  # a piece that is a token is this token
             return [whole]
-        last, out, i = self.extend(piece, [-1]), [], len(piece)
+        return self.read(piece, self.extend(piece, [-1]))
+
+    def read(self, piece: bytes, last: list[int]) -> list[int]:
+        """Ids of a piece from its table of last tokens."""
+        if (whole := self.ranks.get(piece)) is not None:
+            return [whole]
+        out, i = [], len(piece)
         while i:
             out.append(last[i])
             i -= len(self.bytes[last[i]])
@@ -138,18 +144,18 @@ class PrefixBPE:
 
 
 class EditableText:
-    """A text with its pieces and ids that follows appends and edits by encoding only near them.
+    """A text with its pieces and their tables of last tokens that follows appends and edits by encoding only near them.
 
-    Pieces cut before a change stay unless the change touches them or what the pattern looks at behind them; after it, cutting
-    goes on until it falls in step with the old pieces.
+    Pieces cut before a change stay unless the change touches them or what the pattern looks at behind them. A piece that is cut
+    anew keeps its table as far as its bytes stay, so an append to a piece is exact and costs its new bytes only. After the change,
+    cutting goes on until it falls in step with the old pieces.
     """
 
     def __init__(self, bpe: PrefixBPE, pattern: str, text: str = ""):
         self.bpe, self.pattern, self.text = bpe, regex.compile(pattern), ""
         self.pieces: list[str] = []
-        self.encoded: list[list[int]] = []
-        self.tail: list[int] = [-1]
-        self.reused = 0
+        self.tables: list[list[int]] = []
+        self.fresh = 0  # bytes encoded so far
         self.edit(0, 0, text)
 
     def append(self, more: str) -> None:
@@ -167,27 +173,30 @@ class EditableText:
             if keep:
                 keep -= 1
                 at -= len(self.pieces[keep])
-        shift, ends, pos = len(text) - len(self.text), {}, 0
-        for i, piece in enumerate(self.pieces):
+        shift, begins, after, pos = len(text) - len(self.text), {}, {}, at
+        for i in range(keep, len(self.pieces)):
+            if pos <= start:
+                begins[pos] = i
             if pos >= stop:
-                ends[pos + shift] = i
-            pos += len(piece)
-        pieces, encoded, rest = self.pieces[:keep], self.encoded[:keep], len(self.pieces)
+                after[pos + shift] = i
+            pos += len(self.pieces[i])
+        pieces, tables, rest = self.pieces[:keep], self.tables[:keep], len(self.pieces)
         for m in self.pattern.finditer(text, at):
-            if m.start() in ends and m.start() >= start + len(new):
-                rest = ends[m.start()]
+            if m.start() in after and m.start() >= start + len(new):
+                rest = after[m.start()]
                 break
+            b, table = m[0].encode(), [-1]
+            if (i := begins.get(m.start())) is not None:
+                old = self.pieces[i].encode()
+                same = next((k for k, (x, y) in enumerate(zip(old, b, strict=False)) if x != y), min(len(old), len(b)))
+                table = self.tables[i][: same + 1]
+            self.fresh += len(b) + 1 - len(table)
             pieces.append(m[0])
-            old = self.pieces[-1] if self.pieces else None
-            if old and m[0] != old and m[0].startswith(old) and self.bpe.ranks.get(m[0].encode()) is None:
-                self.tail = self.bpe.extend(m[0].encode(), self.tail[: len(old.encode()) + 1] or [-1])  # exact append to the last piece
-                self.reused += 1
-            encoded.append(self.bpe.ids(m[0].encode()))
-        self.pieces, self.encoded, self.text = pieces + self.pieces[rest:], encoded + self.encoded[rest:], text
-        self.tail = self.bpe.extend(self.pieces[-1].encode(), [-1]) if self.pieces else [-1]
+            tables.append(self.bpe.extend(b, table))
+        self.pieces, self.tables, self.text = pieces + self.pieces[rest:], tables + self.tables[rest:], text
 
     def ids(self) -> list[int]:
-        return [x for piece in self.encoded for x in piece]
+        return [x for piece, table in zip(self.pieces, self.tables, strict=True) for x in self.bpe.read(piece.encode(), table)]
 
 
 _BPE: dict[bytes, PrefixBPE] = {}

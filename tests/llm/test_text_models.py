@@ -140,6 +140,12 @@ def test_bpe_edits(bpe):
         text.edit(i, min(len(text.text), i + rng.randint(0, 6)), "".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 4))))
         text.append(rng.choice(ALPHABET))
         assert text.ids() == ref.encode_ordinary(text.text)
+    long = B.EditableText(bpe[1], public_tokenizers.PATTERN, "internationalis" * 50)
+    before = long.fresh
+    long.append("ation")
+    assert long.fresh - before == 5 and long.ids() == ref.encode_ordinary(long.text)
+    long.edit(0, 0, "A word. ")
+    assert long.ids() == ref.encode_ordinary(long.text)
 
 
 def test_classifier_held_out(spark):
