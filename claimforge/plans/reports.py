@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimforge.functions import constants as C
@@ -64,8 +64,8 @@ def coverage_table(records: DataFrame) -> DataFrame:
     """Coverage by pattern, all four patterns, with the share of questions."""
     counts = records.groupBy("pattern_type").agg(F.count("*").alias("total"), F.count_if("covered").alias("covered"))
     out = M.fixed_rows(counts, "pattern_type", C.PATTERNS, ("total", "covered"))
-    n = records.agg(F.count("*").alias("all_"))
-    return out.crossJoin(F.broadcast(n)).select("ord", "pattern_type", "total", "covered", M._share(F.col("total"), F.col("all_")).alias("share"))  # one row
+    whole = F.sum("total").over(Window.partitionBy())  # four rows
+    return out.select("ord", "pattern_type", "total", "covered", M._share(F.col("total"), whole).alias("share"))
 
 
 def metrics_report(records: DataFrame) -> DataFrame:
