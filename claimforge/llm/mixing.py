@@ -71,7 +71,7 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: float = 3.0, seed: int =
     """Per row of docs: doc_id, size, source_size, target and taken, the words that the mix takes of it, repeats counted.
 
     quality has the quality weights (doc_id, weight) of some documents; the mean of repeats, at least 1e-9, counts; others weigh 1, as
-    all do without it. Size is the number of
+    all do without it. Weights should be around 1, as the buckets of keys are cut for that. Size is the number of
     words in the text, 0 for null. A null source is a source of its own, last in order. A document is taken if more than half
     of it fits its source's budget, so each source misses its target by half a document at most. Rows of equal key are put in
     order of doc_id, repeated rows one after the other. Extra columns are ignored, an empty table gives an empty result.
