@@ -1,8 +1,8 @@
 """Vector search over shards: exact top-k inner products by KD-trees, nearest neighbours by vantage-point trees.
 
 Vectors are dealt to shards by the hash of their id, so many to a shard; each shard becomes one row that holds its tree.
-Queries are packed in blocks of bounded size, and each block meets each shard once, by an equi-join on the shard. The best of
-each query from each shard, k rows at most, are ranked in the end.
+Queries are packed in blocks of bounded size, and each block meets each shard once, by an equi-join on the shard. A task
+keeps the best of each query over its shards, k rows at most, and these are ranked in the end.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from claimforge.llm.common import read_table, ship
 
 SHARD_ROWS, BLOCK_ROWS, LEAF = 8192, 512, 64
+HELD = 50_000  # queries whose best a task keeps before it hands them on
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -41,7 +42,7 @@ def _dense(column, size: int = 0) -> np.ndarray:
     return out
 
 
-def fit(m: np.ndarray, size: int) -> np.ndarray:
+def widen(m: np.ndarray, size: int) -> np.ndarray:
     return m if m.shape[1] >= size else np.concatenate([m, np.zeros((len(m), size - m.shape[1]), m.dtype)], 1)
 
 
@@ -182,30 +183,32 @@ def _search(rows: DataFrame, queries: DataFrame, k: int, build, probe, prepare,
         ids, first = np.unique(table.column("vec_id").to_numpy(), return_index=True)
         return pa.table({"block": table.column("block").slice(0, 1), "queries": pa.array([pickle.dumps((ids, prepare(_dense(table.column("v")))[first]))], pa.binary())})
 
+    def emit(best: dict[int, Best]) -> pa.RecordBatch:
+        some = [(q, b) for q, b in best.items() if b.score is not None and len(b.ids)]
+        number = int if kind == "long" else float
+        columns = [pa.array(np.repeat([q for q, _ in some], [len(b.ids) for _, b in some]).astype(np.int64)), pa.array([int(i) for _, b in some for i in b.ids], pa.int64()), pa.array([number(x) for _, b in some for x in b.score], pa.int64() if kind == "long" else pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+
     def run(batches):
-        known: dict[int, Best] = {}  # k-th scores go on from shard to shard
+        best: dict[int, Best] = {}  # the k-th score of each query goes on from shard to shard
+        last, tree = None, None
         for batch in batches:
-            for tree, block in zip(batch.column("tree"), batch.column("queries"), strict=True):
-                tree, (ids, q) = pickle.loads(tree.as_py()), pickle.loads(block.as_py())
-                size = max(q.shape[1], tree.vectors.shape[1])
-                if size > tree.vectors.shape[1]:
-                    tree = build(tree.ids, fit(tree.vectors, size))
-                q = fit(q, size)
+            for packed_tree, block in zip(batch.column("tree"), batch.column("queries"), strict=True):
+                if (now := packed_tree.as_py()) != last:
+                    last, tree = now, pickle.loads(now)
+                ids, q = pickle.loads(block.as_py())
+                if q.shape[1] > tree.vectors.shape[1]:
+                    tree = build(tree.ids, widen(tree.vectors, q.shape[1]))
+                q = widen(q, tree.vectors.shape[1])
                 bound = tree.bounds(q).tolist()
-                found = []
                 for i, own in enumerate(ids.tolist()):
-                    best = Best(k)
-                    best.kth = known.get(own)
-                    probe(tree, q[i], bound[i], own, best)
-                    if best.score is not None:
-                        found.append((own, best.ids, best.score))
-                        if best.kth is not None and len(best.ids) == k:
-                            known[own] = max(best.kth, known.get(own, best.kth))
-                if found:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]), pa.int64()), pa.array(np.concatenate([f[1] for f in found]), pa.int64()), pa.array(np.concatenate([f[2] for f in found]).tolist()).cast(pa.int64() if kind == "long" else pa.float64())],
-                        names=["query_id", "vec_id", "score"],
-                    )
+                    if own not in best:
+                        best[own] = Best(k)
+                    probe(tree, q[i], bound[i], own, best[own])
+                if len(best) > HELD:
+                    yield emit(best)
+                    best = {}
+        yield emit(best)
 
     spread = lambda df, name, count: df.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(count)))
     trees = spread(rows, "shard", shards).groupBy("shard").applyInArrow(pack_tree, "shard long, tree binary")
@@ -224,14 +227,15 @@ class IntegerKDTree(KDTree):
         self.most = float(np.abs(self.vectors).max(initial=0))
 
     def search(self, query, bound, own, best):
-        if self.most * float(np.abs(query).sum()) < 2.0**52:
+        plain = best.score is None or best.score.dtype != object
+        if plain and self.most * float(np.abs(query).sum()) < 2.0**52:
             return super().search(query, bound, own, best)
         exact = self.vectors.astype(object) @ query.astype(object)
-        score = np.array([max(-(1 << 63), min((1 << 63) - 1, int(x))) for x in exact], object)
-        other = self.ids != own
-        rows = sorted(zip((-score[other]).tolist(), self.ids[other].tolist(), strict=True))[: best.k]
+        rows = [(-max(-(1 << 63), min((1 << 63) - 1, int(x))), int(i)) for x, i in zip(exact, self.ids, strict=True) if i != own]
+        rows += [] if best.score is None else [(-int(x), int(i)) for x, i in zip(best.score, best.ids, strict=True)]
+        rows = sorted(rows)[: best.k]
         best.score, best.ids = np.array([-s for s, _ in rows], object), np.array([i for _, i in rows], np.int64)
-        best.kth = None
+        best.kth = best.score[-1] if len(rows) == best.k else None
 
 
 def top_k_inner(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
