@@ -53,6 +53,17 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off
 
 
+def parts(batches, column: str = "text", size: int = 4 << 20):
+    """Batches cut into runs of rows with about so many bytes of text, which bounds a worker's memory (a longer text is one run)."""
+    for batch in batches:
+        _, off = utf8(batch.column(column))
+        i, n = 0, batch.num_rows
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def release() -> None:
     """Gives memory that Arrow holds for later back, as several workers share an executor's allowance."""
     pa.default_memory_pool().release_unused()

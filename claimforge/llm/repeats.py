@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimforge.llm import grams
-from claimforge.llm.common import cut, free, keyed, release, utf8
+from claimforge.llm.common import cut, free, keyed, parts, release, utf8
 
 OCC = "anchor long, block long, doc_id long, pos int, lead boolean"
 
@@ -27,7 +27,7 @@ def _units(unit: str, raw: np.ndarray, off: np.ndarray):
 
 def _occurrences(unit: str, window: int, k: int):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             ids = batch.column("doc_id")
             raw, off = utf8(batch.column("text"))
             if not len(ids) or off[-1] == off[0]:
@@ -107,7 +107,7 @@ def contested_blocks(docs: DataFrame, wanted: DataFrame, unit: str, window: int,
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             raw, off = utf8(batch.column("text"))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             cut_at, anchor = batch.column("anchor").value_lengths().to_numpy(), batch.column("anchor").flatten().to_numpy()
@@ -121,15 +121,14 @@ def contested_blocks(docs: DataFrame, wanted: DataFrame, unit: str, window: int,
             ok = p + k <= hi
             row, p, lo, hi, anchor, block, pos, hot = (x[ok] for x in (row, p, lo, hi, anchor, block, pos, hot))
             left, right = np.maximum(p - (window - k), lo), np.minimum(p + window, hi)
+            view = memoryview(raw)
             if unit == "byte":
-                view = raw.tobytes() if len(p) else b""
-                parts = [[view[x:y] for x, y in zip(left, p, strict=True)], [view[x:y] for x, y in zip(p, right, strict=True)]]
+                join = lambda x, y: bytes(view[x:y])
             else:
-                view = raw.tobytes() if len(p) else b""
                 join = lambda x, y: b" ".join(view[s[i] : e[i]] for i in range(x, y))
-                parts = [[join(x, y) for x, y in zip(left, p, strict=True)], [join(x, y) for x, y in zip(p, right, strict=True)]]
+            before, after = ([join(x, y) for x, y in zip(u.tolist(), v.tolist(), strict=True)] for u, v in ((left, p), (p, right)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), pa.array(block), pa.array(ids[row], pa.int64()), pa.array(pos), pa.array(hot), pa.array(parts[0], pa.binary()), pa.array(parts[1], pa.binary())],
+                [pa.array(anchor), pa.array(block), pa.array(ids[row], pa.int64()), pa.array(pos), pa.array(hot), pa.array(before, pa.binary()), pa.array(after, pa.binary())],
                 names=["anchor", "block", "doc_id", "pos", "hot", "before", "after"],
             )
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimforge.llm import grams
-from claimforge.llm.common import cut, free, read_table, utf8
+from claimforge.llm.common import cut, free, parts, read_table, utf8
 from claimforge.llm.repeats import buckets, contested_blocks, lists, merged, shared_occurrences, with_spans
 
 
@@ -65,10 +65,10 @@ def _parse(window: int):
     def run(batches):
         for table in buckets(batches, "anchor", 5000):
             table = table.sort_by([("anchor", "ascending"), ("doc_id", "ascending"), ("pos", "ascending")]).combine_chunks()
-            anchor, doc, pos = (table.column(c).to_numpy() for c in ("anchor", "doc_id", "pos"))
+            anchor, block, doc, pos = (table.column(c).to_numpy() for c in ("anchor", "block", "doc_id", "pos"))
             hashes, at, left = _window_hashes(table.column("before").combine_chunks(), table.column("after").combine_chunks(), window)
             hashes = hashes.tolist()
-            out: list[tuple[int, int, int]] = []
+            out: list[tuple[int, int, int]] = []  # row, factor in words from the anchor
             index, waiting, last = ReferenceIndex(window), [], None
             for i, key in enumerate(zip(anchor.tolist(), doc.tolist(), strict=True)):
                 if key != last:
@@ -78,12 +78,11 @@ def _parse(window: int):
                         index.add(x)
                     waiting, last = [], key
                 own = hashes[at[i] : at[i + 1]]
-                base = int(pos[i]) - int(left[i])
-                out += [(key[1], base + a, base + b) for a, b in index.factors(own)]
+                out += [(i, a - int(left[i]), b - int(left[i])) for a, b in index.factors(own)]
                 waiting.append(own)
             if out:
-                d, a, b = map(list, zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["doc_id", "a", "b"])
+                row, a, b = (np.array(x, np.int64) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[row]), pa.array(block[row]), pa.array(doc[row]), pa.array(pos[row]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["anchor", "block", "doc_id", "pos", "a", "b"])
 
     return run
 
@@ -92,9 +91,10 @@ def _hot_windows(window: int):
     def run(batches):
         for batch in batches:
             hashes, at, left = _window_hashes(batch.column("before"), batch.column("after"), window)
-            n = np.diff(at)
-            start = np.repeat(batch.column("pos").to_numpy() - left - at[:-1], n) + np.arange(at[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.repeat(batch.column("doc_id").to_numpy(), n)), pa.array(start.astype(np.int32))], names=["h", "doc_id", "at"])
+            row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            start = np.arange(at[-1]) - at[row] - left[row]
+            columns = [pa.array(batch.column(c).to_numpy()[row]) for c in ("anchor", "block", "doc_id", "pos")]
+            yield pa.RecordBatch.from_arrays([*columns[:2], pa.array(hashes.view(np.int64)), *columns[2:], pa.array(start.astype(np.int32))], names=["anchor", "block", "h", "doc_id", "pos", "at"])
 
     return run
 
@@ -111,29 +111,33 @@ def duplicate_factors(docs: DataFrame, window: int = 50, k: int = 20, hot: int =
     mixed = occ.where("contested")
     owner = cut(mixed.groupBy("anchor", "block").agg(F.min("doc_id").alias("owner")))
     mixed = mixed.join(owner, ["anchor", "block"])
-    # the first document of a block may have it more than once; each place is parsed
-    own = mixed.where("doc_id = owner").select("anchor", "block", "doc_id", "pos", "hot")
-    blocks = cut(contested_blocks(docs, own, "word", window, k))
+    # the first document of a block may have it more than once: it is parsed at its first place, the others follow
+    own = mixed.where("doc_id = owner").select("anchor", "block", "doc_id", "pos", "hot", "lead")
+    blocks = cut(contested_blocks(docs, own.where("lead").drop("lead"), "word", window, k))
     free(docs.sparkSession)
-    cool = blocks.where("not hot").select("anchor", "doc_id", "pos", "before", "after")
-    parsed = cool.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_parse(window), "doc_id long, a int, b int")
-    spans = whole(plain).unionByName(whole(mixed.where("doc_id > owner"))).unionByName(parsed)
+    cool = blocks.where("not hot").select("anchor", "block", "doc_id", "pos", "before", "after")
+    parsed = cool.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_parse(window), "anchor long, block long, doc_id long, pos int, a int, b int")
     if not occ.where("hot and contested").isEmpty():
-        w = blocks.where("hot").mapInArrow(_hot_windows(window), "h long, doc_id long, at int")
-        least = w.groupBy("h").agg(F.min("doc_id").alias("first_doc"))
+        w = blocks.where("hot").mapInArrow(_hot_windows(window), "anchor long, block long, h long, doc_id long, pos int, at int")
+        least = cut(w.groupBy("h").agg(F.min("doc_id").alias("first_doc")))
         late = w.join(least, "h").where("doc_id > first_doc")
-        spans = spans.unionByName(late.select("doc_id", F.col("at").alias("a"), (F.col("at") + window).alias("b")))
+        parsed = parsed.unionByName(late.select("anchor", "block", "doc_id", "pos", F.col("at").alias("a"), (F.col("at") + window).alias("b")))
+    parsed = cut(parsed)
+    free(docs.sparkSession)
+    moved = lambda df: df.select("doc_id", (F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("b")).alias("b"))
+    again = own.where("not lead").select("anchor", "block", "doc_id", "pos").join(parsed.drop("pos"), ["anchor", "block", "doc_id"])
+    spans = whole(plain).unionByName(whole(mixed.where("doc_id > owner"))).unionByName(moved(parsed)).unionByName(moved(again))
     return spans
 
 
 def _cut_words(batches):
-    for batch in batches:
+    for batch in parts(batches):
         raw, off = utf8(batch.column("text"))
-        view = raw.tobytes()
+        view = memoryview(raw)
         (cut_a, a), (_, b) = lists(batch.column("a_")), lists(batch.column("b_"))
         total, spans, kept = [], [], []
         for i in range(batch.num_rows):
-            words = view[off[i] : off[i + 1]].split()
+            words = bytes(view[off[i] : off[i + 1]]).split()
             total.append(len(words))
             x, y = (), ()
             if cut_a[i] < cut_a[i + 1]:

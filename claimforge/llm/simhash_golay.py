@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimforge.llm.common import cut, free, keyed, read_table, release, ship, utf8
+from claimforge.llm.common import cut, free, keyed, parts, read_table, release, ship, utf8
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0xC75
@@ -28,12 +28,12 @@ def _fingerprints(shingle: int, seed: int):
     digest = xxhash.xxh64_intdigest
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             raw, off = utf8(batch.column("text"))
-            view = raw.tobytes()
+            view = memoryview(raw)
             out = np.zeros(batch.num_rows, np.uint64)
             for i in range(batch.num_rows):
-                words = view[off[i] : off[i + 1]].lower().split()
+                words = bytes(view[off[i] : off[i + 1]]).lower().split()
                 if not words:
                     continue
                 n = max(1, len(words) - shingle + 1)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimforge.llm import grams
-from claimforge.llm.common import cut, free, read_table, utf8
+from claimforge.llm.common import cut, free, parts, read_table, utf8
 from claimforge.llm.repeats import buckets, contested_blocks, lists, merged, shared_occurrences, with_spans
 
 SHALLOW = 3  # characters of eight bytes
@@ -180,15 +180,15 @@ def duplicate_spans(docs: DataFrame, window: int = 100, k: int = 20, hot: int =
     if not occ.where("hot and contested").isEmpty():
         w = blocks.where("hot").mapInArrow(_windows(window, k), "h long, doc_id long, pos int, l int")
         at = F.col("pos") - F.col("l")
-        least = w.groupBy("h").agg(F.min("doc_id").alias("first_doc"))
-        here = w.join(least, "h").where("doc_id = first_doc").groupBy("h").agg(F.min(at).alias("first_at"))
-        w = w.join(least, "h").join(here, "h").where((F.col("doc_id") > F.col("first_doc")) | (at > F.col("first_at")))
+        # the first place of each window as a table of its own, so that a hot window's side of the join can be split
+        first = cut(w.groupBy("h", "doc_id").agg(F.min(at).alias("at")).groupBy("h").agg(F.min_by("at", "doc_id").alias("first_at"), F.min("doc_id").alias("first_doc")))
+        w = w.join(first, "h").where((F.col("doc_id") > F.col("first_doc")) | (at > F.col("first_at")))
         spans = spans.unionByName(w.select("doc_id", at.alias("a"), (at + window).alias("b")))
     return spans
 
 
 def _cut_bytes(batches, text: bool = False):
-    for batch in batches:
+    for batch in parts(batches):
         raw, off = utf8(batch.column("text"))
         view = memoryview(raw)
         (cut_a, a), (_, b) = lists(batch.column("a_")), lists(batch.column("b_"))

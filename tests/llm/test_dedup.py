@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import fingerprint, linked, sha, substrings, word_windows
 from pyspark.sql import functions as F
@@ -142,3 +143,18 @@ def test_near_duplicates(spark):
 
 def test_sha_of_nothing():
     assert sha(b"") == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def test_runs_of_rows(odd, monkeypatch):
+    """Workers give the same rows whatever the size of the runs into which they cut a batch."""
+    from claimforge.llm import common, repeats, rlz_dedup, simhash_golay, suffix_dedup
+
+    n = len(odd)
+    spans = [[(5, 20), (18, 30)] if i % 3 else None for i in range(n)]
+    batch = pa.RecordBatch.from_pydict(
+        {"doc_id": pa.array([d for d, _ in odd], pa.int64()), "text": pa.array([t for _, t in odd]), "a_": pa.array([s and [a for a, _ in s] for s in spans], pa.list_(pa.int32())), "b_": pa.array([s and [b for _, b in s] for s in spans], pa.list_(pa.int32()))}
+    ).slice(1)
+    workers = [repeats._occurrences("byte", 100, 20), repeats._occurrences("word", 50, 20), rlz_dedup._cut_words, suffix_dedup._cut_bytes, simhash_golay._fingerprints(3, 42)]
+    whole = [pa.Table.from_batches(list(w([batch]))).to_pylist() for w in workers]
+    monkeypatch.setattr(common.parts, "__defaults__", ("text", 3000))
+    assert [pa.Table.from_batches(list(w([batch]))).to_pylist() for w in workers] == whole
