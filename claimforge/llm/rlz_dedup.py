@@ -110,7 +110,8 @@ def duplicate_factors(docs: DataFrame, window: int = 50, k: int = 20, hot: int =
     plain = occ.where("not contested and doc_id > first_doc")
     mixed = occ.where("contested")
     owner = cut(mixed.groupBy("anchor", "block").agg(F.min("doc_id").alias("owner")))
-    mixed = mixed.join(owner, ["anchor", "block"])
+    mixed = cut(mixed.join(owner, ["anchor", "block"]))  # a table, so that a hot block's side of this join can be split
+    free(docs.sparkSession)
     # the first document of a block may have it more than once: it is parsed at its first place, the others follow
     own = mixed.where("doc_id = owner").select("anchor", "block", "doc_id", "pos", "hot", "lead")
     blocks = cut(contested_blocks(docs, own.where("lead").drop("lead"), "word", window, k))

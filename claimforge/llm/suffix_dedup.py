@@ -169,7 +169,8 @@ def duplicate_spans(docs: DataFrame, window: int = 100, k: int = 20, hot: int =
     plain = occ.where("not contested and (doc_id > first_doc or not lead)")
     mixed = occ.where("contested")
     owner = cut(mixed.groupBy("anchor", "block").agg(F.min("doc_id").alias("owner")))
-    mixed = mixed.join(owner, ["anchor", "block"])
+    mixed = cut(mixed.join(owner, ["anchor", "block"]))  # a table, so that a hot block's side of this join can be split
+    free(docs.sparkSession)
     copies = mixed.where("doc_id > owner or not lead")
     firsts = mixed.where("doc_id = owner and lead").select("anchor", "block", "doc_id", "pos", "hot")
     blocks = cut(contested_blocks(docs, firsts, "byte", window, k))
