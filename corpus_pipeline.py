@@ -13,7 +13,7 @@ from claimforge.llm.common import cut, read_table
 from claimforge.llm.mixing import label_weights, repeats
 from claimforge.llm.prefix_bpe import bpe_round_trip
 from claimforge.llm.quality import classify_rows, grades_of, train
-from claimforge.llm.simhash_golay import near_duplicates
+from claimforge.llm.similar import similar_components
 from claimforge.llm.suffix_dedup import suffix_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -31,8 +31,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each near-duplicate component; rows without an id stay."""
-    found = near_duplicates(docs).where("doc_id is not null and doc_id != component_id").select("doc_id").distinct()
+    """The document of least id of each component of pairs with 0.8 or more of their five-word shingles in common; rows without an id stay."""
+    member = cut(similar_components(docs))
+    least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    found = member.join(least, "root").where("doc_id is not null and doc_id != component_id").select("doc_id").distinct()
     return _documents(docs).join(found, "doc_id", "left_anti").select(*COLUMNS)
 
 
