@@ -1,7 +1,7 @@
 """HTML extraction by consensus host paths.
 
 Each page's containers are scored by the text they hold outside links; the best container's generalised tag-class path is the
-page's vote. Votes are counted per host in Spark, and the winning path of its host decides what is taken from each page.
+page's vote. Votes are counted per host in Spark, and the winning path of its host decides what is taken from each page of its layout.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ AWAY_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|promo\w*|sponsor\w*|cookies?|consent|notices?|popup|modal|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|disqus|repl(?:y|ies)|respond|shar(?:e|ing)|social|related|recommended|widget|newsletter|subscribe|search|login|complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
-SHARE = 0.85
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = BLOCK - {"html", "body", "head"}
 
@@ -91,11 +90,22 @@ def blocks(page: str):
     return out
 
 
+def prose(text: str, linked: int) -> bool:
+    """Whether less than half of a block is text in links."""
+    return len(text) > 2 * linked
+
+
+def marked(path: str) -> bool:
+    """Whether a container is an article or main element, or of the class main."""
+    tag, *classes = path.rpartition("/")[2].split(".")
+    return tag in ("article", "main") or "main" in classes
+
+
 def best_path(found) -> tuple[str | None, float]:
     """The path of the main container and its score: what all text under it is worth, text in links counting against it.
 
-    An article, else a main element, that holds half of the page's worth is it; else the deepest container that holds SHARE of it.
-    So headings and leads beside the sections of an article stay with them.
+    An article, else a main container, that holds half of the page's worth is it; else the deepest one that holds all blocks of prose.
+    So headings, leads and closing paragraphs beside the sections of an article stay with them, as do small sections.
     """
     score: dict[str, float] = defaultdict(float)
     whole = 0.0
@@ -104,41 +114,63 @@ def best_path(found) -> tuple[str | None, float]:
         whole += worth
         for path in set(paths):
             score[path] += worth
-    for tag in ("article", "main"):
-        if some := [p for p, s in score.items() if s >= whole / 2 and p.rpartition("/")[2].partition(".")[0] == tag]:
+    for is_it in (lambda p: p.rpartition("/")[2].partition(".")[0] == "article", marked):
+        if some := [p for p, s in score.items() if s >= whole / 2 and is_it(p)]:
             best = max(some, key=lambda p: (score[p], -p.count("/"), p))
             return best, score[best]
-    deep = [p for p, s in score.items() if s >= SHARE * whole]
-    best = max(deep, key=lambda p: (p.count("/"), score[p], p), default=None)
+    held = [set(paths) for text, paths, linked, _ in found if prose(text, linked)] or [set(paths) for _, paths, _, _ in found]
+    best = max(set.intersection(*held), key=lambda p: (p.count("/"), score[p], p), default=None) if held else None
     return best, score.get(best, 0.0)
 
 
+def beside(found, best: str | None) -> list[str]:
+    """Paths of the innermost containers of the blocks that are not under the best one, without those around it."""
+    inner = {paths[-1] for _, paths, _, _ in found if paths and best not in paths}
+    return sorted(p for p in inner if not f"{best}/".startswith(f"{p}/"))
+
+
 def _votes(batches):
     for batch in batches:
-        got = [best_path(blocks(p.as_py() or "")) for p in batch.column("html")]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([p for p, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=["host", "path", "worth"])
+        pages = [blocks(p.as_py() or "") for p in batch.column("html")]
+        got = [best_path(found) for found in pages]
+        out = [beside(found, p) if p else [] for found, (p, _) in zip(pages, got, strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("host"), pa.array([p for p, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64()), pa.array(out, pa.list_(pa.string()))], names=["host", "path", "worth", "beside"]
+        )
+
 
+def main_text(page: str, winner: str | None, outside=()) -> str:
+    """Blocks under the winning path if the page's own best container has no more prose than that, else under the own one.
 
-def main_text(page: str, winner: str | None) -> str:
-    """Blocks under the winning path; under the page's own best one if the page has no block there; all if no container is best."""
+    Prose in the containers `outside`, which most pages of the host have beside the winner, counts as none. All blocks if no container is best.
+    """
     found = blocks(page)
-    for path in (winner, best_path(found)[0]):
-        if path and (inside := [t for t, paths, _, _ in found if path in paths]):
-            return "\n".join(inside)
-    return "\n".join(t for t, *_ in found)
+    own = best_path(found)[0]
+    inside = [t for t, paths, _, _ in found if winner in paths] if winner else []
+    missed = (paths for t, paths, linked, _ in found if winner not in paths and prose(t, linked) and (own is None or own in paths))
+    if inside and all(paths and paths[-1] in outside for paths in missed):
+        return "\n".join(inside)
+    return "\n".join(t for t, paths, *_ in found if own is None or own in paths)
 
 
 def consensus(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, winner): each host's path with most votes; ties go to more text, then to the path's order."""
+    """(host, winner, outside): each host's path with most votes; ties go to more text, then to the path's order.
+
+    outside: the paths of containers beside the winner on more than half of the pages that voted for it.
+    """
     ship(pages.sparkSession)
-    votes = pages.select(url_parts(F.col(url_col))[0].alias("host"), F.col(html_col).alias("html")).mapInArrow(_votes, "host string, path string, worth double")
-    counted = votes.where("path is not null").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("worth").alias("worth"))
+    votes = cut(pages.select(url_parts(F.col(url_col))[0].alias("host"), F.col(html_col).alias("html")).mapInArrow(_votes, "host string, path string, worth double, beside array<string>").where("path is not null"))
+    counted = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("worth").alias("worth"))
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), F.desc("worth"), "path"))
-    return counted.withColumn("rank", rank).where("rank = 1").select("host", F.col("path").alias("winner"))
+    winners = counted.withColumn("rank", rank).where("rank = 1").select("host", F.col("path").alias("winner"), "n")
+    seen = votes.select("host", "path", F.explode("beside").alias("p")).groupBy("host", "path", "p").count().withColumnRenamed("path", "winner")
+    outside = seen.join(winners, ["host", "winner"]).where("2 * count > n").groupBy("host").agg(F.sort_array(F.collect_list("p")).alias("outside"))
+    return winners.join(outside, "host", "left").select("host", "winner", "outside")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per row of pages: page_id, url, text (main text, empty if none) and path (the host's winning container path or null).
+    """Per row of pages: page_id, url, text (main text, empty if none) and path (the host's winning container path or null; a
+    page with prose beside it that is not of the host's layout keeps its own best container).
 
     Blocks are joined by one line feed, with white space inside a block as one space. Menus, headers, footers, sidebars, notices,
     adverts, forms, scripts, styles and reader comments are left out. A null html is empty; a null url counts as the empty
@@ -150,10 +182,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches):
         for batch in batches:
-            text = [main_text(p.as_py() or "", w.as_py()) for p, w in zip(batch.column("html"), batch.column("winner"), strict=True)]
+            text = [main_text(p.as_py() or "", w.as_py(), o.as_py() or ()) for p, w, o in zip(batch.column("html"), batch.column("winner"), batch.column("outside"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), batch.column("winner")], names=["page_id", "url", "text", "path"])
 
-    return rows.join(winners, "host", "left").select("page_id", "url", "html", "winner").mapInArrow(run, schema)
+    return rows.join(winners, "host", "left").select("page_id", "url", "html", "winner", "outside").mapInArrow(run, schema)
 
 
 def op4_html_consensus(spark, sf_dir: str) -> DataFrame:
