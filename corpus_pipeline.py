@@ -31,11 +31,16 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each component of pairs with 0.8 or more of their five-word shingles in common; rows without an id stay."""
-    member = cut(similar_components(docs))
-    least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = member.join(least, "root").where("doc_id is not null and doc_id != component_id").select("doc_id").distinct()
-    return _documents(docs).join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each component of pairs with 0.8 or more of their five-word shingles in common, repeated rows included.
+
+    It is the one of least doc_id, null ids last, then of the least hash of its columns.
+    """
+    docs = cut(_documents(docs).withColumn("row", F.monotonically_increasing_id()).withColumn("tie", F.xxhash64(*COLUMNS)))
+    member = similar_components(docs.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
+    member = cut(member.join(docs.select("row", "doc_id", "tie"), "row").select("row", "root", F.struct(F.isnull("doc_id").alias("null"), "doc_id", "tie", "row").alias("rank")))
+    least = member.groupBy("root").agg(F.min("rank")["row"].alias("first"))
+    found = member.join(least, "root").where("row != first").select("row")
+    return docs.join(found, "row", "left_anti").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,3 +56,12 @@ def test_near_dedup_is_whole(spark, monkeypatch, hot):
     docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in P.near_dedup(spark, docs, SF).collect()} == kept(rows)
     assert P.near_dedup(spark, docs.limit(0), SF).count() == 0
+
+
+def test_one_row_of_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(3, text), (3, text), (2, text + " end"), (2, text), (None, text), (7, "other words only"), (7, "other words only"), (None, "no id here"), (None, "no id here"), (8, None), (None, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in P.near_dedup(spark, docs, SF).collect()]
+    assert len(got) == 4 and {d for d, _ in got} == {2, 7, None, 8}
+    assert sorted(P.near_dedup(spark, docs.orderBy("text"), SF).collect(), key=str) == sorted(P.near_dedup(spark, docs, SF).collect(), key=str)
