@@ -2,7 +2,8 @@
 
 Candidates come from SimHash fingerprints with Golay keys and, as fingerprints of such pairs often differ in more bits than the
 keys reach, from prefixes: two sets of that similarity share one of the least n - ceil(0.8 n) + 1 shingles of each, in any
-order that is the same for all; shingles of many texts come last in it. Every candidate is verified on the sets. First each text meets one
+order that is the same for all; shingles of many texts come last in it. Every candidate is verified on the sets, unless sketches show
+a difference that is too large: bits of parity, which differ in no more places than the sets have different shingles. First each text meets one
 of its bucket, then only pairs of a bucket that are not yet connected meet, so groups of near copies do not make all their pairs.
 """
 
@@ -20,6 +21,7 @@ from claimforge.llm.simhash_golay import components, links
 SHINGLE = 5
 #: buckets of more texts than HOT put their shingle last in the order; at most HELD such shingles go to the workers
 HOT, HELD, ROUNDS = 64, 1 << 17, 2
+BITS = 1024
 
 
 def least_overlap(n):
@@ -27,34 +29,47 @@ def least_overlap(n):
     return (4 * n + 4) // 5
 
 
+def _nodes(seed: int):
+    """(doc_id, node): a hash of the words of each text."""
+
+    def run(batches):
+        for batch in parts(batches):
+            raw, off = utf8(batch.column("text"))
+            view = memoryview(raw)
+            node = np.fromiter((xxhash.xxh64_intdigest(b" ".join(bytes(view[a:b]).lower().split()), seed + 1) for a, b in zip(off[:-1], off[1:], strict=True)), np.uint64, batch.num_rows)
+            del view
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node.view(np.int64))], names=["doc_id", "node"])
+
+    return run
+
+
 def _sets(shingle: int, seed: int):
+    """(node, fp, n, sketch, set): fingerprint, size, bits of parity and hashes of the shingles of each text."""
     digest = xxhash.xxh64_intdigest
 
     def run(batches):
         for batch in parts(batches, size=1 << 20):
             raw, off = utf8(batch.column("text"))
             view = memoryview(raw)
-            node, fp, sets = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64), []
+            fp, sets, sketches = np.zeros(batch.num_rows, np.uint64), [], []
             for i in range(batch.num_rows):
                 words = bytes(view[off[i] : off[i + 1]]).lower().split()
                 line = b" ".join(words)
-                node[i] = digest(line, seed + 1)
-                if not words:
-                    sets.append(np.zeros(0, np.uint64))
-                    continue
-                n = max(1, len(words) - shingle + 1)
+                n = max(1, len(words) - shingle + 1) if words else 0
                 ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-                starts = np.append(0, ends[: n - 1] + 1).tolist()
-                h = np.unique(np.fromiter((digest(line[x:y], seed) for x, y in zip(starts, ends[-n:].tolist(), strict=True)), np.uint64, n))
+                starts = np.append(0, ends[: max(n - 1, 0)] + 1)[:n].tolist()
+                h = np.unique(np.fromiter((digest(line[x:y], seed) for x, y in zip(starts, ends[len(ends) - n :].tolist(), strict=True)), np.uint64, n))
                 count = np.zeros(64, np.int64)
                 for a in range(0, len(h), 1 << 14):
                     count += np.unpackbits(h[a : a + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
                 fp[i] = np.packbits(2 * count > len(h), bitorder="little").view("<u8")[0]
                 sets.append(h)
+                sketches.append(np.packbits(np.bincount((h % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1 == 1).tobytes())
             del view
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node.view(np.int64)), pa.array(fp.view(np.int64)), lists], names=["doc_id", "node", "fp", "set"])
+            n = pa.array(np.diff(ends).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(fp.view(np.int64)), n, pa.array(sketches, pa.binary()), lists], names=["node", "fp", "n", "sketch", "set"])
             del lists, sets
             release()
 
@@ -92,6 +107,7 @@ def _prefixes(hot):
 def prefix_keys(sets: DataFrame, hot: int = HOT) -> DataFrame:
     """(key, node, n): prefixes of the sets. Which shingles count as hot changes the number of candidates, never the pairs."""
     spark, late = sets.sparkSession, []
+    sets = sets.select("node", "set")
     for _ in range(ROUNDS):
         keys = sets.mapInArrow(_prefixes(spark.sparkContext.broadcast(late)), "key long, node long, n long")
         found = keys.groupBy("key").count().where(F.col("count") > hot).orderBy(F.desc("count"), "key").limit(HELD)
@@ -157,10 +173,28 @@ def _verify(batches):
         yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _near(batches):
+    """Pairs whose sketches leave room for the similarity."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, BITS // 64) for c in ("su", "sv"))
+        apart = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+        yield batch.select(["u", "v"]).filter(pa.array(9 * apart <= batch.column("nu").to_numpy() + batch.column("nv").to_numpy()))
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets have a Jaccard similarity of at least 0.8."""
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("hu")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("hv")), "v")
-    return both.select("u", "v", "hu", "hv").mapInArrow(_verify, "u long, v long")
+    """The pairs (u, v) of nodes whose sets have a Jaccard similarity of at least 0.8, as a table."""
+
+    def ends(df, some, **columns):
+        for c in "uv":
+            df = df.join(some.select(F.col("node").alias(c), *[F.col(k).alias(v + c) for k, v in columns.items()]), c)
+        return df
+
+    near = cut(ends(pairs, sets, n="n", sketch="s").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(_near, "u long, v long"))
+    needed = cut(near.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    some = cut(sets.select("node", "set").join(needed, "node", "left_semi"))
+    found = cut(ends(near, some, set="h").select("u", "v", "hu", "hv").mapInArrow(_verify, "u long, v long"))
+    free(pairs.sparkSession)
+    return found
 
 
 def _pairs(df: DataFrame) -> DataFrame:
@@ -168,16 +202,17 @@ def _pairs(df: DataFrame) -> DataFrame:
 
 
 def similar_components(docs: DataFrame, seed: int = 42, hot: int = HOT) -> DataFrame:
-    """Per row of docs: doc_id and root, the same for the rows that links of similarity 0.8 or more connect.
+    """Per row of docs, whose ids are unique and not null: doc_id and root, the same for rows that links of similarity 0.8 or more connect.
 
     Words are lower-case ASCII letters and other bytes between white space; a text of fewer than five words is one shingle, and
     texts without words are alike. Shingles and texts are told apart by hashes of 64 bits.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = keyed(docs, "doc_id", "text").mapInArrow(_sets(SHINGLE, seed), "doc_id long, node long, fp long, set array<long>")
-    rows = cut(rows)
-    sets = cut(rows.select("node", "fp", "set").dropDuplicates(["node"]))
+    docs = keyed(docs, "doc_id", "text")
+    rows = cut(docs.mapInArrow(_nodes(seed), "doc_id long, node long"))
+    once = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    sets = cut(docs.join(once, "doc_id").select("node", "text").mapInArrow(_sets(SHINGLE, seed), "node long, fp long, n long, sketch binary, set array<long>"))
     free(spark)
     nodes = sets.select("node", "fp")
     first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
@@ -187,7 +222,7 @@ def similar_components(docs: DataFrame, seed: int = 42, hot: int = HOT) -> DataF
     met = cut(prefix_keys(sets, hot).repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_meet, "key long, n long, u long, v long"))
     free(spark)
     tried = cut(_pairs(same.unionByName(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))).unionByName(met.where("v is not null").select("u", "v"))))
-    found = cut(verified(tried, sets))
+    found = verified(tried, sets)
     roots = components(found)
     free(spark)
     labelled = met.select("key", "n", F.col("u").alias("node")).join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root"))
