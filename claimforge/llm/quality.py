@@ -17,7 +17,7 @@ from claimforge.llm import grams
 from claimforge.llm.common import keyed, read_table, release, ship, utf8
 
 BITS = 22
-SAMPLE = 12_000
+SAMPLE = 20_000
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
