@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -18,27 +18,47 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What the operators need of a session: Arrow batches of bounded bytes, and shuffle files that go when their query has ended.
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+def tune(spark: SparkSession) -> None:
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which a cluster shares as well."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    return sc.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes a data frame to the shared folder of ``spark.checkpoint.dir`` (a local one only where it is unset) and reads it.
+    """Writes a data frame to the shared folder and reads it.
 
-    The data survive lost executors, the lineage ends here, and the shuffles behind it can be cleaned up. The file system
-    removes the table when the driver ends.
+    The data survive lost executors and the lineage ends here. `discard` deletes the table once nothing reads it any more;
+    the file system does so at the latest when the driver ends.
     """
     spark = df.sparkSession
+    tune(spark)
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    where = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    where = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(where)
     path = sc._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(where)
+    out = spark.read.schema(df.schema).parquet(where)
+    out.table_path = where
+    return out
 
 
-def free(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files whose data frames are gone; call it after ``cut`` and ``del``."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `cut` that no later query reads."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.table_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +85,12 @@ def parts(batches, column: str = "text", size: int = 4 << 20):
 
 
 def release() -> None:
-    """Gives memory that Arrow holds for later back, as several workers share an executor's allowance."""
+    """Gives memory that Arrow and malloc hold for later back, as several workers share an executor's allowance."""
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        return
 
 
 _SHIPPED: set[str] = set()
@@ -74,6 +98,7 @@ _SHIPPED: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once for each application, so that workers find it wherever the driver runs."""
+    tune(spark)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return

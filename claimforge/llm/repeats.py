@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimforge.llm import grams
-from claimforge.llm.common import cut, free, keyed, parts, release, utf8
+from claimforge.llm.common import cut, keyed, parts, release, utf8
 
 OCC = "anchor long, block long, doc_id long, pos int, lead boolean"
 
@@ -61,17 +61,13 @@ def shared_occurrences(docs: DataFrame, unit: str, window: int, k: int, hot: int
         .where("n > 1")
         .select("anchor", "first_doc", (F.col("b0") != F.col("b1")).alias("contested"), (F.col("n") > hot).alias("hot"))
     )
-    free(spark)
     out = cut(occ.join(shared, "anchor").where(needed))
-    del occ, shared
-    free(spark)
     return out
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, worker, schema: str, more: tuple = ()) -> DataFrame:
     """Applies a worker to (doc_id, text, a_, b_, further columns), spans gathered per document; documents without spans too."""
     spans = cut(spans)
-    free(docs.sparkSession)
     per_doc = spans.groupBy("doc_id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     text = keyed(docs, "doc_id", "text", *more).withColumnsRenamed({c: f"more_{i}" for i, c in enumerate(more)})
     own = [f"more_{i}" for i in range(len(more))]

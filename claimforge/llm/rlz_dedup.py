@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimforge.llm import grams
-from claimforge.llm.common import cut, free, parts, read_table, utf8
+from claimforge.llm.common import cut, parts, read_table, utf8
 from claimforge.llm.repeats import buckets, contested_blocks, lists, merged, shared_occurrences, with_spans
 
 
@@ -111,11 +111,9 @@ def duplicate_factors(docs: DataFrame, window: int = 50, k: int = 20, hot: int =
     mixed = occ.where("contested")
     owner = cut(mixed.groupBy("anchor", "block").agg(F.min("doc_id").alias("owner")))
     mixed = cut(mixed.join(owner, ["anchor", "block"]))  # a table, so that a hot block's side of this join can be split
-    free(docs.sparkSession)
     # the first document of a block may have it more than once: it is parsed at its first place, the others follow
     own = mixed.where("doc_id = owner").select("anchor", "block", "doc_id", "pos", "hot", "lead")
     blocks = cut(contested_blocks(docs, own.where("lead").drop("lead"), "word", window, k))
-    free(docs.sparkSession)
     cool = blocks.where("not hot").select("anchor", "block", "doc_id", "pos", "before", "after")
     parsed = cool.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_parse(window), "anchor long, block long, doc_id long, pos int, a int, b int")
     if not occ.where("hot and contested").isEmpty():
@@ -124,7 +122,6 @@ def duplicate_factors(docs: DataFrame, window: int = 50, k: int = 20, hot: int =
         late = w.join(least, "h").where("doc_id > first_doc")
         parsed = parsed.unionByName(late.select("anchor", "block", "doc_id", "pos", F.col("at").alias("a"), (F.col("at") + window).alias("b")))
     parsed = cut(parsed)
-    free(docs.sparkSession)
     moved = lambda df: df.select("doc_id", (F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("b")).alias("b"))
     again = own.where("not lead").select("anchor", "block", "doc_id", "pos").join(parsed.drop("pos"), ["anchor", "block", "doc_id"])
     spans = whole(plain).unionByName(whole(mixed.where("doc_id > owner"))).unionByName(moved(parsed)).unionByName(moved(again))

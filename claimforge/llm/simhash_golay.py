@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimforge.llm.common import cut, free, keyed, parts, read_table, release, ship, utf8
+from claimforge.llm.common import cut, keyed, parts, read_table, release, ship, utf8
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0xC75
@@ -245,7 +245,6 @@ def components(edges: DataFrame) -> DataFrame:
         after = cut(small)
         now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         edges = after
-        free(spark)
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = now

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimforge.llm.common import cut, free, keyed, parts, release, ship, utf8
+from claimforge.llm.common import cut, keyed, parts, release, ship, utf8
 from claimforge.llm.simhash_golay import components, links
 
 SHINGLE = 5
@@ -193,7 +193,6 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     needed = cut(near.select(F.explode(F.array("u", "v")).alias("node")).distinct())
     some = cut(sets.select("node", "set").join(needed, "node", "left_semi"))
     found = cut(ends(near, some, set="h").select("u", "v", "hu", "hv").mapInArrow(_verify, "u long, v long"))
-    free(pairs.sparkSession)
     return found
 
 
@@ -213,18 +212,15 @@ def similar_components(docs: DataFrame, seed: int = 42, hot: int = HOT) -> DataF
     rows = cut(docs.mapInArrow(_nodes(seed), "doc_id long, node long"))
     once = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = cut(docs.join(once, "doc_id").select("node", "text").mapInArrow(_sets(SHINGLE, seed), "node long, fp long, n long, sketch binary, set array<long>"))
-    free(spark)
     nodes = sets.select("node", "fp")
     first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
     same = nodes.join(first, "fp").select(F.col("node").alias("u"), F.col("first").alias("v"))
     edges = links(first.select("fp"))
     ends = edges.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
     met = cut(prefix_keys(sets, hot).repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_meet, "key long, n long, u long, v long"))
-    free(spark)
     tried = cut(_pairs(same.unionByName(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))).unionByName(met.where("v is not null").select("u", "v"))))
     found = verified(tried, sets)
     roots = components(found)
-    free(spark)
     labelled = met.select("key", "n", F.col("u").alias("node")).join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root"))
     rest = labelled.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_apart, "u long, v long").distinct()
     rest = cut(rest.join(tried, ["u", "v"], "left_anti"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimforge.llm import grams
-from claimforge.llm.common import cut, free, parts, read_table, utf8
+from claimforge.llm.common import cut, parts, read_table, utf8
 from claimforge.llm.repeats import buckets, contested_blocks, lists, merged, shared_occurrences, with_spans
 
 SHALLOW = 3  # characters of eight bytes
@@ -170,11 +170,9 @@ def duplicate_spans(docs: DataFrame, window: int = 100, k: int = 20, hot: int =
     mixed = occ.where("contested")
     owner = cut(mixed.groupBy("anchor", "block").agg(F.min("doc_id").alias("owner")))
     mixed = cut(mixed.join(owner, ["anchor", "block"]))  # a table, so that a hot block's side of this join can be split
-    free(docs.sparkSession)
     copies = mixed.where("doc_id > owner or not lead")
     firsts = mixed.where("doc_id = owner and lead").select("anchor", "block", "doc_id", "pos", "hot")
     blocks = cut(contested_blocks(docs, firsts, "byte", window, k))
-    free(docs.sparkSession)
     cool = blocks.where("not hot").select("anchor", "doc_id", "pos", "before", "after")
     by_sort = cool.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_spans(window, k), "doc_id long, a int, b int")
     spans = whole(plain).unionByName(whole(copies)).unionByName(by_sort)
