@@ -1,81 +1,227 @@
 """Occurrences of content-selected anchors that the corpus shares, and the spans cut from documents.
 
-Used by both substring deduplicators. All rows move keyed by anchor or document; counts are pre-aggregated before each
-shuffle, the join with the shared anchors is a plain equi-join that adaptive execution may split where a key is hot.
+Used by both substring deduplicators. A row of documents is known by its doc_id and the hash of its text, so rows that share a
+doc_id keep their own spans. Hashes only propose: what lies behind equal hashes is compared byte by byte, in the buckets that
+are parsed or sorted, or against the source's own bytes in the end. A bucket of many blocks is split by more of its content
+until its parts are small enough for the same solver, as a radix sort splits.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimforge.llm import grams
-from claimforge.llm.common import cut, keyed, parts, release, utf8
+from claimforge.llm.common import cut, discard, parts, release, ship, utf8
 
-OCC = "anchor long, block long, doc_id long, pos int, lead boolean"
+KEY = ["doc_id", "row"]
+OCC = "anchor long, block long, doc_id long, row long, pos int, first int, ba int, bb int"
+BLOCK = "anchor long, doc_id long, row long, pos int, before binary, after binary"
+SPLIT = 1 << 13  # blocks that one solver call takes at most
+
+
+def texts(docs: DataFrame, *columns: str) -> DataFrame:
+    """(doc_id, row, text) and the named columns only, so that extra columns with clashing names never meet in a join."""
+    ship(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text")).alias("row"), F.col("text"), *[F.col(c) for c in columns])
+
+
+def once(docs: DataFrame) -> DataFrame:
+    """One row of each (doc_id, row) of documents with an id."""
+    rows = texts(docs).where("doc_id is not null")
+    again = cut(rows.groupBy(*KEY).count().where("count > 1").select(*KEY))
+    if again.isEmpty():
+        return rows
+    return rows.join(again, KEY, "left_anti").unionByName(rows.join(again, KEY, "left_semi").dropDuplicates(KEY))
 
 
 def _units(unit: str, raw: np.ndarray, off: np.ndarray):
+    """Hashes of a range of units, the first unit of each text, and the first and last byte of ranges of units of texts."""
     if unit == "byte":
-        return (lambda a, b: grams.BYTE[raw[a:b]]), off
+        return (lambda a, b: grams.BYTE[raw[a:b]]), off, lambda doc, x, y: (x - off[doc], y - off[doc])
     s, e, bounds = grams.words(raw, off)
     h = grams.word_hashes(raw, s, e)
-    return (lambda a, b: h[a:b]), bounds
+    return (lambda a, b: h[a:b]), bounds, lambda doc, x, y: (s[x] - off[doc], e[y - 1] - off[doc])
 
 
 def _occurrences(unit: str, window: int, k: int):
     def run(batches):
         for batch in parts(batches):
-            ids = batch.column("doc_id")
             raw, off = utf8(batch.column("text"))
-            if not len(ids) or off[-1] == off[0]:
+            if not batch.num_rows or off[-1] == off[0]:
                 continue
-            units, bounds = _units(unit, raw, off)
+            units, bounds, bytes_of = _units(unit, raw, off)
             doc, pos, anchor, block = grams.anchors(units, bounds, window, k)
-            lead = np.zeros(len(doc), bool)
+            if not len(doc):
+                continue
             tag = grams.mix(anchor.view(np.uint64) ^ grams.mix(block.view(np.uint64)) ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-            lead[np.unique(tag, return_index=True)[1]] = True
-            own = ids.to_numpy(zero_copy_only=False)[doc]
+            _, index, inverse = np.unique(tag, return_index=True, return_inverse=True)
+            left, right = np.maximum(pos - (window - k), 0) + bounds[doc], np.minimum(pos + bounds[doc] + window, bounds[doc + 1])
+            ba, bb = bytes_of(doc, left, right)
+            ids, row = (batch.column(c).to_numpy()[doc] for c in KEY)
+            columns = [anchor, block, ids, row, *(x.astype(np.int32) for x in (pos, pos[index[inverse]], ba, bb))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "block", *KEY, "pos", "first", "ba", "bb"])
             release()
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(block), pa.array(own, pa.int64()), pa.array(pos.astype(np.int32)), pa.array(lead)], names=["anchor", "block", "doc_id", "pos", "lead"])
 
     return run
 
 
-def shared_occurrences(docs: DataFrame, unit: str, window: int, k: int, hot: int, needed: str) -> DataFrame:
-    """Occurrences of anchors that occur more than once, as far as a condition on them needs them, written to a table.
+def shared_occurrences(docs: DataFrame, unit: str, window: int, k: int) -> DataFrame:
+    """A table of the occurrences of anchors that occur more than once.
 
-    The shared anchors are a table of their own, so that the join has plain exchanges and a hot anchor's side can be split.
+    Columns: those of OCC (first: the place of the document's first occurrence of this anchor and block), contested (the anchor
+    stands in different blocks), and o, the least document with the anchor and block, its row, first place there, and the
+    bytes of the block there.
 
-    Columns: those of OCC (lead: the document's first of this anchor and block), first_doc (the least document with the
-    anchor), contested (the anchor stands in different blocks), hot (the anchor occurs more than `hot` times).
+    The shared anchors and the owners are tables of their own, so that the joins have plain exchanges and a hot key's side can be split.
     """
-    spark = docs.sparkSession
-    occ = keyed(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(_occurrences(unit, window, k), OCC)
+    occ = texts(docs).where("doc_id is not null").mapInArrow(_occurrences(unit, window, k), OCC)
     shared = cut(
-        occ.select("anchor", "doc_id", F.col("block").alias("b"))
+        occ.select("anchor", F.col("block").alias("b"))
         .groupBy("anchor")
-        .agg(F.count("*").alias("n"), F.min("b").alias("b0"), F.max("b").alias("b1"), F.min("doc_id").alias("first_doc"))
+        .agg(F.count("*").alias("n"), F.min("b").alias("b0"), F.max("b").alias("b1"))
         .where("n > 1")
-        .select("anchor", "first_doc", (F.col("b0") != F.col("b1")).alias("contested"), (F.col("n") > hot).alias("hot"))
+        .select("anchor", (F.col("b0") != F.col("b1")).alias("contested"))
     )
-    out = cut(occ.join(shared, "anchor").where(needed))
-    return out
+    out = cut(occ.join(shared, "anchor"))
+    owner = cut(out.groupBy("anchor", "block").agg(F.min(F.struct(*KEY, "pos", "ba", "bb")).alias("o")))
+    owned = cut(out.drop("ba", "bb").join(owner, ["anchor", "block"]).where("contested or doc_id > o.doc_id or pos > first").drop("block"))
+    discard(shared, out, owner)
+    return owned
+
+
+def wanted_bytes(docs: DataFrame, copies: DataFrame, reach: int, window: int) -> DataFrame:
+    """Spans (doc_id, row, a, b, shift, want) of copies of blocks of other rows, each with the bytes of the source.
+
+    Blocks that overlap at the same distance from one source become one span first, so a copied text is fetched once.
+    """
+    one = copies.select(*KEY, (F.col("pos") - reach).alias("a"), F.col("o.doc_id").alias("s_doc"), F.col("o.row").alias("s_row"), (F.col("o.pos") - F.col("pos")).alias("away"), F.col("o.ba").alias("ba"), F.col("o.bb").alias("bb"))
+    line = [*KEY, "s_doc", "s_row", "away"]
+    w = Window.partitionBy(*line).orderBy("a")  # the places of one document
+    head = F.coalesce(F.col("a") - F.lag("a").over(w) > reach + window, F.lit(True)).cast("int")
+    runs = one.withColumn("head", head).withColumn("run", F.sum("head").over(w)).groupBy(*line, "run")
+    runs = runs.agg(F.min("a").alias("a"), (F.max("a") + reach + window).alias("b"), F.min("ba").alias("ba"), F.max("bb").alias("bb"))
+    runs = cut(runs.select(*KEY, "a", "b", "s_doc", "s_row", "ba", "bb"))
+    source = once(docs).select(F.col("doc_id").alias("s_doc"), F.col("row").alias("s_row"), F.col("text").cast("binary").alias("bytes"))
+    found = runs.join(source, ["s_doc", "s_row"])
+    return found.select(*KEY, "a", "b", F.lit(None).cast("int").alias("shift"), F.expr("substring(bytes, ba + 1, bb - ba)").alias("want"))
+
+
+def blocks_of(docs: DataFrame, wanted: DataFrame, unit: str, window: int, k: int) -> DataFrame:
+    """BLOCK: the content around each wanted (anchor, doc_id, row, pos), left and right part as bytes (words joined by a space)."""
+
+    def run(batches):
+        for batch in parts(batches):
+            raw, off = utf8(batch.column("text"))
+            ids, rows = (batch.column(c).to_numpy() for c in KEY)
+            sizes, anchor, pos = batch.column("anchor").value_lengths().to_numpy(), batch.column("anchor").flatten().to_numpy(), batch.column("pos").flatten().to_numpy()
+            s, e, bounds = (None, None, off) if unit == "byte" else grams.words(raw, off)
+            doc = np.repeat(np.arange(len(ids)), sizes)
+            view = memoryview(raw)
+            if unit == "byte":
+                join = lambda x, y: bytes(view[x:y])
+            else:
+                join = lambda x, y: b" ".join(view[s[i] : e[i]] for i in range(x, y))
+            for i in range(0, len(doc), 8192):  # a long document's blocks are several times its size
+                d = doc[i : i + 8192]
+                p = pos[i : i + 8192].astype(np.int64) + bounds[d]
+                left, right = np.maximum(p - (window - k), bounds[d]), np.minimum(p + window, bounds[d + 1])
+                before, after = ([join(x, y) for x, y in zip(u.tolist(), v.tolist(), strict=True)] for u, v in ((left, p), (p, right)))
+                columns = [pa.array(anchor[i : i + 8192]), pa.array(ids[d]), pa.array(rows[d]), pa.array(pos[i : i + 8192]), pa.array(before, pa.binary()), pa.array(after, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", *KEY, "pos", "before", "after"])
+            del view
+            release()
+
+    lists = wanted.groupBy(*KEY).agg(*[F.collect_list(c).alias(c) for c in ("anchor", "pos")])
+    return once(docs).join(lists, KEY).mapInArrow(run, BLOCK)
+
+
+def _split(unit: str, window: int, step: int):
+    """Deals blocks out by what all windows share that begin lo ... hi units left of the anchor, `step` such places at a time."""
+
+    def run(batches):
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+            at, keys, los, his = [], [], [], []
+            columns = [batch.column(c).to_pylist() for c in ("key", "lo", "hi", "before", "after")]
+            for i, (key, lo, hi, before, after) in enumerate(zip(*columns, strict=True)):
+                x, y = (before, after) if unit == "byte" else (before.split(), after.split())
+                for g in range(lo, hi + 1, step):
+                    top = min(g + step - 1, hi)
+                    if len(x) >= g and len(y) >= window - top:
+                        core = x[len(x) - g :] + y[: window - top]
+                        at.append(i)
+                        keys.append(xxhash.xxh64_intdigest(core if unit == "byte" else b" ".join(core), (key + g) & 0xFFFFFFFFFFFFFFFF))
+                        los.append(g)
+                        his.append(top)
+            rest = batch.select(["anchor", *KEY, "pos", "before", "after"]).take(pa.array(at, pa.int64()))
+            own = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(los, pa.int32()), pa.array(his, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*own, *rest.columns], names=["key", "lo", "hi", *rest.schema.names])
+
+    return run
+
+
+def solved(blocks: DataFrame, unit: str, window: int, k: int, solver, schema: str, split: int = SPLIT) -> DataFrame:
+    """What a solver finds in the buckets of blocks (rows sorted by key; windows that begin lo ... hi units left of the anchor).
+
+    A bucket of more than `split` blocks is split by the content that its windows share, first 1/5, then 1/20 of the places at
+    a time, then one by one; only blocks that agree there can have a window in common. What is still larger then holds the
+    same window in each row: it is dealt out by rows, and its earliest row goes to each part.
+    """
+    reach = window - k
+    run = lambda df: df.repartition("key").sortWithinPartitions("key").mapInArrow(solver, schema)
+    todo = blocks.withColumn("key", F.col("anchor")).withColumn("lo", F.lit(0)).withColumn("hi", F.lit(reach))
+    out = []
+    for step in (max(2, reach // 5), max(2, reach // 20), 1, 0):
+        large = cut(todo.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > split))
+        if large.isEmpty():
+            out.append(run(todo))
+            break
+        out.append(run(todo.join(large, "key", "left_anti")))
+        hot = todo.join(large, "key")
+        if step:
+            todo = cut(hot.drop("n").mapInArrow(_split(unit, window, step), "key long, lo int, hi int, " + BLOCK))
+            continue
+        shares = F.ceil(F.col("n") / split).cast("long")
+        earliest = cut(hot.groupBy("key").agg(F.min(F.struct(*KEY, "pos", "lo", "hi", "anchor", "before", "after")).alias("e"), F.max(shares).alias("shares")))
+        guide = earliest.select("key", "e.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
+        dealt = hot.withColumn("share", F.pmod(F.xxhash64(*KEY), shares)).drop("n")
+        out.append(run(dealt.unionByName(guide).withColumn("key", F.xxhash64("key", "share")).drop("share")))
+    result = out[0]
+    for df in out[1:]:
+        result = result.unionByName(df)
+    return result
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, worker, schema: str, more: tuple = ()) -> DataFrame:
-    """Applies a worker to (doc_id, text, a_, b_, further columns), spans gathered per document; documents without spans too."""
-    spans = cut(spans)
-    per_doc = spans.groupBy("doc_id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
-    text = keyed(docs, "doc_id", "text", *more).withColumnsRenamed({c: f"more_{i}" for i, c in enumerate(more)})
+    """Applies a worker to (doc_id, text, spans_, further columns), spans gathered per row; rows without spans too."""
+    per_row = spans.groupBy(*KEY).agg(F.collect_list(F.struct("a", "b", "shift", "want")).alias("spans_"))
     own = [f"more_{i}" for i in range(len(more))]
+    text = texts(docs.select("doc_id", "text", *[F.col(c).alias(n) for c, n in zip(more, own, strict=True)]), *own)
     types = "".join(f", {c} {text.schema[c].dataType.simpleString()}" for c in own)
-    joined = text.join(per_doc.withColumnsRenamed({"a": "a_", "b": "b_"}), "doc_id", "left").select("doc_id", "text", "a_", "b_", *own)
+    joined = text.join(per_row, KEY, "left").select("doc_id", "text", "spans_", *own)
     return joined.mapInArrow(worker, schema + types).withColumnsRenamed(dict(zip(own, more, strict=True)))
 
 
+def holding(column: pa.Array, row: int, units, read) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the spans of a row that hold: found in a bucket, equal to the place `shift` units on, or to the wanted bytes."""
+    a, b = [], []
+    for s in column[row].as_py() or ():
+        x, y = max(s["a"], 0), min(s["b"], len(units))
+        if s["want"] is not None:
+            want = read(s["want"])
+            y = x + len(want)
+            if units[x:y] != want:
+                continue
+        elif s["shift"] is not None and units[x:y] != units[x + s["shift"] : y + s["shift"]]:
+            continue
+        a.append(x)
+        b.append(y)
+    return merged(np.array(a, np.int64), np.array(b, np.int64), len(units))
+
+
 def merged(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of the union of half-open intervals, clipped to [0, n)."""
     a, b = np.clip(a, 0, n), np.clip(b, 0, n)
@@ -83,55 +229,12 @@ def merged(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
     a, b = a[order], np.maximum.accumulate(b[order])
     head = np.ones(len(a), bool)
     head[1:] = a[1:] > b[:-1]
-    tail = np.append(head[1:], True)
+    tail = np.append(head[1:], True)[: len(a)]
     a, b = a[head], b[tail]
     keep = b > a
     return a[keep], b[keep]
 
 
-def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and flat values of a list column; null lists are empty."""
-    column = column.cast(pa.list_(pa.int32()))
-    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.append(0, np.cumsum(sizes)), column.flatten().to_numpy(zero_copy_only=False)
-
-
-def contested_blocks(docs: DataFrame, wanted: DataFrame, unit: str, window: int, k: int) -> DataFrame:
-    """The content around each wanted (anchor, block, doc_id, pos, hot): left and right part as bytes, joined by document.
-
-    Rows that share a doc_id count as one document, so each of them is read at each of the places.
-    """
-
-    def run(batches):
-        for batch in parts(batches):
-            raw, off = utf8(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            cut_at, anchor = batch.column("anchor").value_lengths().to_numpy(), batch.column("anchor").flatten().to_numpy()
-            block, pos, hot = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("block", "pos", "hot"))
-            if unit == "byte":
-                s, e, bounds = None, None, off
-            else:
-                s, e, bounds = grams.words(raw, off)
-            row = np.repeat(np.arange(len(ids)), cut_at)
-            p, lo, hi = pos.astype(np.int64) + bounds[row], bounds[row], bounds[row + 1]
-            ok = p + k <= hi
-            row, p, lo, hi, anchor, block, pos, hot = (x[ok] for x in (row, p, lo, hi, anchor, block, pos, hot))
-            left, right = np.maximum(p - (window - k), lo), np.minimum(p + window, hi)
-            view = memoryview(raw)
-            if unit == "byte":
-                join = lambda x, y: bytes(view[x:y])
-            else:
-                join = lambda x, y: b" ".join(view[s[i] : e[i]] for i in range(x, y))
-            before, after = ([join(x, y) for x, y in zip(u.tolist(), v.tolist(), strict=True)] for u, v in ((left, p), (p, right)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), pa.array(block), pa.array(ids[row], pa.int64()), pa.array(pos), pa.array(hot), pa.array(before, pa.binary()), pa.array(after, pa.binary())],
-                names=["anchor", "block", "doc_id", "pos", "hot", "before", "after"],
-            )
-
-    lists_ = wanted.groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in ("anchor", "block", "pos", "hot")])
-    return keyed(docs, "doc_id", "text").join(lists_, "doc_id").mapInArrow(run, "anchor long, block long, doc_id long, pos int, hot boolean, before binary, after binary")
-
-
 def buckets(batches, key: str, rows: int):
     """Regroups Arrow batches sorted by key into tables of about `rows` rows that never split a key."""
     held: list[pa.RecordBatch] = []
@@ -148,7 +251,5 @@ def buckets(batches, key: str, rows: int):
             yield table.slice(0, at)
         rest = table.slice(at)
         held, n = rest.to_batches(), rest.num_rows
-        rows_now = max(rows, 2 * n)
-        rows = rows_now if n >= rows else rows
     if n:
         yield pa.Table.from_batches(held).combine_chunks()

@@ -1,162 +1,134 @@
 """Substring dedup by Relative Lempel-Ziv parsing: word sequences that an earlier document has are cut out.
 
-Documents are factored against indexed reference blocks. The index holds, for each content-selected anchor (see grams) that
-occurs more than once, the distinct blocks of words around it with the earliest document of each. A document's anchor whose
-block is in the index under an earlier document is one factor, the whole block. Where an anchor stands in different blocks,
-they come together in one bucket, and each block is parsed greedily, earliest document first: at a place where a window
-of the index begins, the longest common extension is the factor; the next places tried are those of the windows across
-the factor's end, so that nothing is missed at factor boundaries. Factors of at least `window` words are duplicate spans.
+Documents are factored against indexed reference blocks, the words around content-selected anchors (see grams) that occur
+more than once. A block that an earlier document has as it stands is one factor; neighbouring ones with the same source grow to
+one long factor, and its words are compared with the source's. Where an anchor stands in different blocks, they come
+together in a bucket, and each block is parsed greedily, earliest document first: at a place where a window of the index
+begins, the longest common extension, word by word, is the factor; the next places tried are those of the windows across the
+factor's end, so that nothing is missed at factor boundaries. Factors of at least `window` words are duplicate spans.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimforge.llm import grams
-from claimforge.llm.common import cut, parts, read_table, utf8
-from claimforge.llm.repeats import buckets, contested_blocks, lists, merged, shared_occurrences, with_spans
+from claimforge.llm.common import cut, discard, parts, read_table, utf8
+from claimforge.llm.repeats import KEY, SPLIT, blocks_of, buckets, holding, shared_occurrences, solved, wanted_bytes, with_spans
+
+LOCAL = "anchor long, doc_id long, row long, pos int, a int, b int"
 
 
 class ReferenceIndex:
-    """Windows of blocks already seen, each at its first place, for greedy factoring of further blocks."""
+    """Windows of blocks already seen, for greedy factoring of further blocks. Hashes find places, words decide."""
 
     def __init__(self, window: int):
         self.window, self.at = window, {}
 
-    def factors(self, windows: list[int]) -> list[tuple[int, int]]:
-        """Greedy factors [a, b) in words of at least `window` words."""
-        out, i, n, at = [], 0, len(windows), self.at
-        while i < n:
-            if (found := at.get(windows[i])) is None:
+    def _starts(self, words: list[bytes], lo: int, hi: int):
+        return range(max(0, lo), min(hi, len(words) - self.window) + 1)
+
+    def factors(self, words: list[bytes], lo: int, hi: int) -> list[tuple[int, int]]:
+        """Greedy factors [a, b) of at least `window` words that begin at places lo ... hi."""
+        out, size, n, last = [], self.window, len(words), self._starts(words, lo, hi)
+        i = last.start
+        while i < last.stop:
+            own = words[i : i + size]
+            for source, j in self.at.get(hash(tuple(own)), ()):
+                if source[j : j + size] == own:
+                    break
+            else:
                 i += 1
                 continue
-            source, j = found
-            length = 1
-            while i + length < n and j + length < len(source) and windows[i + length] == source[j + length]:
+            length = size
+            while i + length < n and j + length < len(source) and words[i + length] == source[j + length]:
                 length += 1
-            out.append((i, i + length - 1 + self.window))
-            i += length
+            out.append((i, i + length))
+            i += length - size + 1
         return out
 
-    def add(self, windows: list[int]) -> None:
-        put = self.at.setdefault
-        for j, h in enumerate(windows):
-            put(h, (windows, j))
-
-
-def _window_hashes(before: pa.Array, after: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the windows of each block, their bounds by block, and the number of words before the anchor."""
-    text = [x + b" " + y for x, y in zip(before.to_pylist(), after.to_pylist(), strict=True)]
-    off = np.append(0, np.cumsum([len(x) for x in text])).astype(np.int64)
-    raw = np.frombuffer(b"".join(text), np.uint8)
-    s, e, bounds = grams.words(raw, off)
-    left = np.searchsorted(s, off[:-1] + np.array([len(x) for x in before.to_pylist()], np.int64)) - bounds[:-1]
-    ranges = grams.Ranges(grams.word_hashes(raw, s, e))
-    n = np.maximum(np.diff(bounds) - window + 1, 0)
-    at = np.append(0, np.cumsum(n))
-    start = np.repeat(bounds[:-1] - at[:-1], n) + np.arange(at[-1])
-    return grams.mix(ranges.of(start, start + window)), at, left
+    def add(self, words: list[bytes], lo: int, hi: int) -> None:
+        """Takes the windows that are not yet there."""
+        size = self.window
+        for i in self._starts(words, lo, hi):
+            own = words[i : i + size]
+            known = self.at.setdefault(hash(tuple(own)), [])
+            if not any(source[j : j + size] == own for source, j in known):
+                known.append((words, i))
 
 
 def _parse(window: int):
     def run(batches):
-        for table in buckets(batches, "anchor", 5000):
-            table = table.sort_by([("anchor", "ascending"), ("doc_id", "ascending"), ("pos", "ascending")]).combine_chunks()
-            anchor, block, doc, pos = (table.column(c).to_numpy() for c in ("anchor", "block", "doc_id", "pos"))
-            hashes, at, left = _window_hashes(table.column("before").combine_chunks(), table.column("after").combine_chunks(), window)
-            hashes = hashes.tolist()
-            out: list[tuple[int, int, int]] = []  # row, factor in words from the anchor
+        for table in buckets(batches, "key", 5000):
+            table = table.sort_by([("key", "ascending"), ("doc_id", "ascending"), ("pos", "ascending")]).combine_chunks()
+            found: list[tuple[int, int, int]] = []  # row, factor in words from the anchor
             index, waiting, last = ReferenceIndex(window), [], None
-            for i, key in enumerate(zip(anchor.tolist(), doc.tolist(), strict=True)):
-                if key != last:
-                    if last is None or key[0] != last[0]:
+            columns = [table.column(c) for c in ("key", "doc_id", "lo", "hi", "before", "after")]
+            for i in range(table.num_rows):
+                key, doc, lo, hi, before, after = (c[i].as_py() for c in columns)
+                if (key, doc) != last:
+                    if last is None or key != last[0]:
                         index, waiting = ReferenceIndex(window), []
                     for x in waiting:  # only earlier documents serve as reference
-                        index.add(x)
-                    waiting, last = [], key
-                own = hashes[at[i] : at[i + 1]]
-                out += [(i, a - int(left[i]), b - int(left[i])) for a, b in index.factors(own)]
+                        index.add(*x)
+                    waiting, last = [], (key, doc)
+                left = before.split()
+                own = (left + after.split(), len(left) - hi, len(left) - lo)
+                found += [(i, a - len(left), b - len(left)) for a, b in index.factors(*own)]
                 waiting.append(own)
-            if out:
-                row, a, b = (np.array(x, np.int64) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[row]), pa.array(block[row]), pa.array(doc[row]), pa.array(pos[row]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["anchor", "block", "doc_id", "pos", "a", "b"])
-
-    return run
-
-
-def _hot_windows(window: int):
-    def run(batches):
-        for batch in batches:
-            hashes, at, left = _window_hashes(batch.column("before"), batch.column("after"), window)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(at))
-            start = np.arange(at[-1]) - at[row] - left[row]
-            columns = [pa.array(batch.column(c).to_numpy()[row]) for c in ("anchor", "block", "doc_id", "pos")]
-            yield pa.RecordBatch.from_arrays([*columns[:2], pa.array(hashes.view(np.int64)), *columns[2:], pa.array(start.astype(np.int32))], names=["anchor", "block", "h", "doc_id", "pos", "at"])
+            if found:
+                row, a, b = zip(*found, strict=True)
+                one = table.select(["anchor", *KEY, "pos"]).take(pa.array(row)).append_column("a", pa.array(a, pa.int32())).append_column("b", pa.array(b, pa.int32()))
+                yield from one.combine_chunks().to_batches()
 
     return run
 
 
-def duplicate_factors(docs: DataFrame, window: int = 50, k: int = 20, hot: int = 1 << 18) -> DataFrame:
-    """Spans (doc_id, a, b) of words whose union is all that a window of an earlier document covers.
-
-    An anchor with more than `hot` occurrences is split: its windows are dealt out by their own hashes instead of the anchor's.
-    """
+def duplicate_factors(docs: DataFrame, window: int = 50, k: int = 20, split: int = SPLIT) -> DataFrame:
+    """Spans (doc_id, row, a, b, shift, want) of words whose union is all that a window of an earlier document covers."""
     reach = window - k
-    occ = shared_occurrences(docs, "word", window, k, hot, "contested or doc_id > first_doc")
-    whole = lambda df: df.select("doc_id", (F.col("pos") - reach).alias("a"), (F.col("pos") + window).alias("b"))
-    plain = occ.where("not contested and doc_id > first_doc")
-    mixed = occ.where("contested")
-    owner = cut(mixed.groupBy("anchor", "block").agg(F.min("doc_id").alias("owner")))
-    mixed = cut(mixed.join(owner, ["anchor", "block"]))  # a table, so that a hot block's side of this join can be split
-    # the first document of a block may have it more than once: it is parsed at its first place, the others follow
-    own = mixed.where("doc_id = owner").select("anchor", "block", "doc_id", "pos", "hot", "lead")
-    blocks = cut(contested_blocks(docs, own.where("lead").drop("lead"), "word", window, k))
-    cool = blocks.where("not hot").select("anchor", "block", "doc_id", "pos", "before", "after")
-    parsed = cool.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_parse(window), "anchor long, block long, doc_id long, pos int, a int, b int")
-    if not occ.where("hot and contested").isEmpty():
-        w = blocks.where("hot").mapInArrow(_hot_windows(window), "anchor long, block long, h long, doc_id long, pos int, at int")
-        least = cut(w.groupBy("h").agg(F.min("doc_id").alias("first_doc")))
-        late = w.join(least, "h").where("doc_id > first_doc")
-        parsed = parsed.unionByName(late.select("anchor", "block", "doc_id", "pos", F.col("at").alias("a"), (F.col("at") + window).alias("b")))
-    parsed = cut(parsed)
-    moved = lambda df: df.select("doc_id", (F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("b")).alias("b"))
-    again = own.where("not lead").select("anchor", "block", "doc_id", "pos").join(parsed.drop("pos"), ["anchor", "block", "doc_id"])
-    spans = whole(plain).unionByName(whole(mixed.where("doc_id > owner"))).unionByName(moved(parsed)).unionByName(moved(again))
+    occ = shared_occurrences(docs, "word", window, k)
+    copies = wanted_bytes(docs, occ.where("doc_id > o.doc_id"), reach, window)
+    own = occ.where("contested and doc_id = o.doc_id")
+    # a document may have its block more than once: it is parsed at its first place, the others follow
+    blocks = cut(blocks_of(docs, own.where("pos = first"), "word", window, k))
+    parsed = cut(solved(blocks, "word", window, k, _parse(window), LOCAL, split))
+    none, bytes_ = F.lit(None).cast("int"), F.lit(None).cast("binary")
+    moved = lambda df, shift: df.select(*KEY, (F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("b")).alias("b"), shift.alias("shift"), bytes_.alias("want"))
+    again = own.where("pos != first").select("anchor", *KEY, "pos", "first").join(parsed.withColumnRenamed("pos", "first"), ["anchor", *KEY, "first"])
+    spans = cut(copies.unionByName(moved(parsed, none)).unionByName(moved(again, F.col("first") - F.col("pos"))))
+    discard(occ, blocks, parsed)
     return spans
 
 
 def _cut_words(batches):
-    for batch in parts(batches):
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    for batch in parts(batches, size=1 << 20):
         raw, off = utf8(batch.column("text"))
-        view = memoryview(raw)
-        (cut_a, a), (_, b) = lists(batch.column("a_")), lists(batch.column("b_"))
+        view, column = memoryview(raw), batch.column("spans_")
         total, spans, kept = [], [], []
         for i in range(batch.num_rows):
             words = bytes(view[off[i] : off[i + 1]]).split()
             total.append(len(words))
-            x, y = (), ()
-            if cut_a[i] < cut_a[i + 1]:
-                x, y = merged(a[cut_a[i] : cut_a[i + 1]], b[cut_a[i] : cut_a[i + 1]], len(words))
-                for p, q in zip(x[::-1].tolist(), y[::-1].tolist(), strict=True):
-                    del words[p:q]
-            spans.append([{"a": int(p), "b": int(q)} for p, q in zip(x, y, strict=True)])
-            kept.append(b" ".join(words))
-        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+            x, y = holding(column, i, words, bytes.split)
+            spans.append([{"a": p, "b": q} for p, q in zip(x.tolist(), y.tolist(), strict=True)])
+            edges = [0, *(z for p in zip(x.tolist(), y.tolist(), strict=True) for z in p), len(words)]
+            kept.append(b" ".join(w for j in range(0, len(edges), 2) for w in words[edges[j] : edges[j + 1]]))
+        del view
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "spans", "kept"])
 
 
-def rlz_dedup(docs: DataFrame, window: int = 50, k: int = 20, hot: int = 1 << 18) -> DataFrame:
+def rlz_dedup(docs: DataFrame, window: int = 50, k: int = 20, split: int = SPLIT) -> DataFrame:
     """Per row of docs: doc_id, n_words, spans (maximal removed runs of words) and kept (the rest, joined by one space).
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D, unchanged. Uses doc_id and text only; other columns, whatever
     their names, play no part. A null text has no words. Rows with a null doc_id are kept whole and take no part in matching.
-    Rows that share a doc_id count as one document: they never cost each other anything, and what either loses at a place,
-    both lose. Texts shorter than the window lose nothing. An empty table gives an empty result.
+    Rows that share a doc_id never cost each other anything, and each has spans of its own; repeated rows come back as often.
+    Texts shorter than the window lose nothing. An empty table gives an empty result. split bounds the blocks of one task's
+    bucket; results do not depend on it.
     """
-    return with_spans(docs, duplicate_factors(docs, window, k, hot), _cut_words, "doc_id long, n_words long, spans array<struct<a:int,b:int>>, kept string")
+    return with_spans(docs, duplicate_factors(docs, window, k, split), _cut_words, "doc_id long, n_words long, spans array<struct<a:int,b:int>>, kept string")
 
 
 def op1_rlz_substring_dedup(spark, sf_dir: str) -> DataFrame:

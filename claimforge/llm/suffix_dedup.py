@@ -2,11 +2,11 @@
 
 Method: deep-shallow sorting. Suffixes that can have an equal partner are those around an anchor (a content-selected
 k-gram, see grams) that occurs more than once; they are dealt out by anchor. In a bucket the suffixes to the right of the
-anchor, and the reversed prefixes to its left, are put in order by multikey quicksort on characters of eight bytes down to a
+anchor, and the reversed prefixes to its left, are put in order by multikey quicksort, one character at a time, down to a
 shallow depth; groups that still agree are ordered by blind tries. The common prefixes of neighbours in the two arrays
 give, at every depth, the classes of equal strings; a window with l bytes left of the anchor is the pair of its classes at
-depth l and depth W - k - l, and all but the earliest window of a pair are duplicates. A bucket in which all blocks are
-equal is sorted already: all occurrences but the first go whole.
+depth l and depth W - k - l, and all but the earliest window of a pair are duplicates. Copies of a block as it stands form one
+class with it: they do not go to the sort, but are compared with the bytes of the earliest one.
 """
 
 from __future__ import annotations
@@ -16,11 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimforge.llm import grams
-from claimforge.llm.common import cut, parts, read_table, utf8
-from claimforge.llm.repeats import buckets, contested_blocks, lists, merged, shared_occurrences, with_spans
+from claimforge.llm.common import cut, discard, parts, read_table, utf8
+from claimforge.llm.repeats import KEY, SPLIT, blocks_of, buckets, holding, shared_occurrences, solved, wanted_bytes, with_spans
 
-SHALLOW = 3  # characters of eight bytes
+SHALLOW = 12
 
 
 def blind_trie_order(strings: list[bytes]) -> list[int]:
@@ -53,45 +52,52 @@ def blind_trie_order(strings: list[bytes]) -> list[int]:
     return out
 
 
+def multikey_quicksort(rows: np.ndarray, bucket: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of byte strings (a matrix) within sorted buckets by their first `depth` characters, and the heads of equal groups.
+
+    Ternary partition at the middle string's character, of all groups at once: smaller, equal (one character deeper), greater.
+    """
+    n = len(rows)
+    order, at_char = np.arange(n), np.zeros(n, np.int64)
+    head = np.append(True, bucket[1:] != bucket[:-1])[:n]
+    while True:
+        start = np.flatnonzero(head)
+        size = np.diff(np.append(start, n))
+        live = np.repeat(size > 1, size) & (at_char < depth)
+        at = np.flatnonzero(live)
+        if not len(at):
+            return order, head
+        group = (np.cumsum(head) - 1)[at]
+        middle = (start + size // 2)[group]
+        char, pivot = rows[order[at], at_char[at]], rows[order[middle], at_char[middle]]
+        side = np.where(char < pivot, 0, np.where(char == pivot, 1, 2))
+        key = 3 * group + side
+        by = np.argsort(key, kind="stable")
+        order[at], at_char[at] = order[at][by], at_char[at][by] + (side[by] == 1)
+        key = key[by]
+        head[at[1:]] |= key[1:] != key[:-1]
+
+
 def deep_shallow(rows: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of byte strings of one length (a matrix) within buckets, and the common prefix of each with the one before."""
     n, width = rows.shape
-    chars = np.ascontiguousarray(rows).view(">u8").astype(np.uint64)
-    order = np.arange(n)
-    same = bucket[1:] == bucket[:-1]  # rows come sorted by bucket
-    for depth in range(min(SHALLOW, chars.shape[1])):
-        group = np.append(0, np.cumsum(~same))
-        live = np.zeros(n, bool)
-        live[1:] |= same
-        live[:-1] |= same
-        at = np.flatnonzero(live)
-        if not len(at):
-            break
-        key = chars[order[at], depth]
-        by = np.lexsort((key, group[at]))
-        order[at] = order[at][by]
-        key = chars[order, depth]
-        same &= key[1:] == key[:-1]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
-    for a, b in zip(edge[::2], edge[1::2] + 1, strict=True):  # long common prefixes: blind tries
-        members = order[a:b]
+    order, head = multikey_quicksort(rows, bucket, min(SHALLOW, width))
+    start = np.flatnonzero(head)
+    size = np.diff(np.append(start, n))
+    for a, m in zip(start[size > 1].tolist(), size[size > 1].tolist(), strict=True):  # long common prefixes: blind tries
+        members = order[a : a + m]
         leaf: dict[bytes, list[int]] = {}
         for i in members:
             leaf.setdefault(rows[i].tobytes(), []).append(i)
         if len(leaf) > 1:
             strings = list(leaf)
-            order[a:b] = [i for x in blind_trie_order(strings) for i in leaf[strings[x]]]
-    lcp = np.zeros(n, np.int64)
+            order[a : a + m] = [i for x in blind_trie_order(strings) for i in leaf[strings[x]]]
+    lcp = np.full(n, -1, np.int64)
     if n > 1:
-        x = chars[order]
+        x = rows[order]
         differ = x[1:] != x[:-1]
-        word = differ.argmax(1)
-        equal = ~differ.any(1)
-        y, z = (rows[order[i]].reshape(n - 1, -1, 8)[np.arange(n - 1), word] for i in (slice(1, None), slice(None, -1)))
-        lcp[1:] = np.where(equal, width, 8 * word + (y != z).argmax(1))
         b = bucket[order]
-        lcp[1:][b[1:] != b[:-1]] = -1
-    lcp[:1] = -1
+        lcp[1:] = np.where(b[1:] != b[:-1], -1, np.where(differ.any(1), differ.argmax(1), width))
     return order, lcp
 
 
@@ -105,119 +111,84 @@ def matrix(column: pa.Array, width: int, skip: int = 0, backwards: bool = False)
 
 def _sorted_spans(window: int, k: int):
     reach = window - k
-    width = -(-reach // 8) * 8
-
-    def run(batches):
-        for table in buckets(batches, "anchor", 20000):
-            table = table.sort_by([("anchor", "ascending"), ("doc_id", "ascending"), ("pos", "ascending")]).combine_chunks()
-            anchor, doc, pos = (table.column(c).to_numpy() for c in ("anchor", "doc_id", "pos"))
-            n = len(anchor)
-            bucket = np.append(0, np.cumsum(anchor[1:] != anchor[:-1]))
-            right, n_right = matrix(table.column("after"), width, skip=k)
-            left, n_left = matrix(table.column("before"), width, backwards=True)
-            ro, rl = deep_shallow(right, bucket)
-            lo, ll = deep_shallow(left, bucket)
-            rank_r, rank_l = np.empty(n, np.int64), np.empty(n, np.int64)
-            rank_r[ro], rank_l[lo] = np.arange(n), np.arange(n)
-            copy = np.zeros((n, reach + 3), bool)
-            for back in range(reach + 1):
-                at = np.flatnonzero((n_left >= back) & (n_right >= reach - back))
-                if len(at) < 2:
-                    continue
-                pair = np.cumsum(rl < reach - back)[rank_r[at]] * (n + 1) + np.cumsum(ll < back)[rank_l[at]]
-                _, first, inverse = np.unique(pair, return_index=True, return_inverse=True)
-                owner = at[first[inverse]]  # rows are sorted by document and place: the first is the earliest
-                copy[at, back + 1] = (doc[owner] < doc[at]) | (doc[owner] == doc[at]) & (pos[owner] < pos[at])
-            step = np.diff(copy.astype(np.int8), axis=1)
-            row, lo_l = np.nonzero(step == 1)
-            _, hi_l = np.nonzero(step == -1)  # runs of l in [lo_l, hi_l)
-            if len(row):
-                a, b = pos[row] - (hi_l - 1), pos[row] - lo_l + window
-                yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["doc_id", "a", "b"])
-
-    return run
 
-
-def _windows(window: int, k: int):
-    """Every window of the blocks of hot anchors as (hash, hash, doc_id, pos of the anchor, l)."""
-    reach = window - k
+    def solve(table: pa.Table):
+        key, doc, own, pos, lo, hi = (table.column(c).to_numpy() for c in ("key", "doc_id", "row", "pos", "lo", "hi"))
+        n = len(key)
+        bucket = np.append(0, np.cumsum(key[1:] != key[:-1]))
+        right, n_right = matrix(table.column("after"), reach, skip=k)
+        left, n_left = matrix(table.column("before"), reach, backwards=True)
+        (ro, rl), (lo_, ll) = deep_shallow(right, bucket), deep_shallow(left, bucket)
+        rank_r, rank_l = np.empty(n, np.int64), np.empty(n, np.int64)
+        rank_r[ro], rank_l[lo_] = np.arange(n), np.arange(n)
+        document = np.append(0, np.cumsum((doc[1:] != doc[:-1]) | (own[1:] != own[:-1])))  # a row of a bucket
+        copy = np.zeros((n, reach + 3), bool)
+        for back in range(int(lo.min()), int(hi.max()) + 1):
+            at = np.flatnonzero((n_left >= back) & (n_right >= reach - back) & (lo <= back) & (back <= hi))
+            if len(at) < 2:
+                continue
+            pair = np.cumsum(rl < reach - back)[rank_r[at]] * (n + 1) + np.cumsum(ll < back)[rank_l[at]]
+            _, first, inverse = np.unique(pair, return_index=True, return_inverse=True)
+            here = inverse * (n + 1) + document[at]
+            _, first_here, inverse_here = np.unique(here, return_index=True, return_inverse=True)
+            # rows are sorted by document and place: the first of a class is the earliest, of all and of its own document
+            copy[at, back + 1] = (doc[at[first[inverse]]] < doc[at]) | (pos[at[first_here[inverse_here]]] < pos[at])
+        step = np.diff(copy.astype(np.int8), axis=1)
+        row, begin = np.nonzero(step == 1)
+        _, end = np.nonzero(step == -1)  # runs of places left of the anchor
+        a, b = pos[row] - (end - 1), pos[row] - begin + window
+        return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(own[row]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=[*KEY, "a", "b"])
 
     def run(batches):
-        for batch in batches:
-            before, after = batch.column("before").to_pylist(), batch.column("after").to_pylist()
-            doc, pos = batch.column("doc_id").to_numpy(), batch.column("pos").to_numpy()
-            for i, (x, y) in enumerate(zip(before, after, strict=True)):
-                start = np.arange(max(0, len(x) - reach), min(len(x), len(x) + len(y) - window) + 1)
-                u = grams.Ranges(grams.BYTE[np.frombuffer(x + y, np.uint8)])
-                h = u.of(start, start + window)
-                m = len(start)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams.mix(h).view(np.int64)), pa.array(np.full(m, doc[i])), pa.array(np.full(m, pos[i], np.int32)), pa.array((len(x) - start).astype(np.int32))], names=["h", "doc_id", "pos", "l"]
-                )
+        for table in buckets(batches, "key", 8192):
+            yield solve(table.sort_by([(c, "ascending") for c in ("key", "doc_id", "row", "pos")]).combine_chunks())
 
     return run
 
 
-def duplicate_spans(docs: DataFrame, window: int = 100, k: int = 20, hot: int = 1 << 18) -> DataFrame:
-    """Spans (doc_id, a, b) of bytes whose union is all that an earlier string of `window` bytes covers.
-
-    An anchor with more than `hot` occurrences is split: its windows are dealt out by their own hashes instead of the anchor's.
-    """
+def duplicate_spans(docs: DataFrame, window: int = 100, k: int = 20, split: int = SPLIT) -> DataFrame:
+    """Spans (doc_id, row, a, b, shift, want) of bytes whose union is all that an earlier string of `window` bytes covers."""
     reach = window - k
-    occ = shared_occurrences(docs, "byte", window, k, hot, "contested or doc_id > first_doc or not lead")
-    whole = lambda df: df.select("doc_id", (F.col("pos") - reach).alias("a"), (F.col("pos") + window).alias("b"))
-    plain = occ.where("not contested and (doc_id > first_doc or not lead)")
-    mixed = occ.where("contested")
-    owner = cut(mixed.groupBy("anchor", "block").agg(F.min("doc_id").alias("owner")))
-    mixed = cut(mixed.join(owner, ["anchor", "block"]))  # a table, so that a hot block's side of this join can be split
-    copies = mixed.where("doc_id > owner or not lead")
-    firsts = mixed.where("doc_id = owner and lead").select("anchor", "block", "doc_id", "pos", "hot")
-    blocks = cut(contested_blocks(docs, firsts, "byte", window, k))
-    cool = blocks.where("not hot").select("anchor", "doc_id", "pos", "before", "after")
-    by_sort = cool.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_spans(window, k), "doc_id long, a int, b int")
-    spans = whole(plain).unionByName(whole(copies)).unionByName(by_sort)
-    if not occ.where("hot and contested").isEmpty():
-        w = blocks.where("hot").mapInArrow(_windows(window, k), "h long, doc_id long, pos int, l int")
-        at = F.col("pos") - F.col("l")
-        # the first place of each window as a table of its own, so that a hot window's side of the join can be split
-        first = cut(w.groupBy("h", "doc_id").agg(F.min(at).alias("at")).groupBy("h").agg(F.min_by("at", "doc_id").alias("first_at"), F.min("doc_id").alias("first_doc")))
-        w = w.join(first, "h").where((F.col("doc_id") > F.col("first_doc")) | (at > F.col("first_at")))
-        spans = spans.unionByName(w.select("doc_id", at.alias("a"), (at + window).alias("b")))
+    occ = shared_occurrences(docs, "byte", window, k)
+    copies = wanted_bytes(docs, occ.where("doc_id > o.doc_id"), reach, window)
+    same = occ.where("doc_id = o.doc_id and pos > first").select(*KEY, (F.col("pos") - reach).alias("a"), (F.col("pos") + window).alias("b"), (F.col("first") - F.col("pos")).alias("shift"))
+    blocks = cut(blocks_of(docs, occ.where("contested and doc_id = o.doc_id and pos = first"), "byte", window, k))
+    by_sort = solved(blocks, "byte", window, k, _sorted_spans(window, k), "doc_id long, row long, a int, b int", split)
+    none, bytes_ = F.lit(None).cast("int").alias("shift"), F.lit(None).cast("binary").alias("want")
+    spans = cut(copies.unionByName(same.select("*", bytes_)).unionByName(by_sort.select("*", none, bytes_)))
+    discard(occ, blocks)
     return spans
 
 
 def _cut_bytes(batches, text: bool = False):
-    for batch in parts(batches):
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    for batch in parts(batches, size=1 << 20):
         raw, off = utf8(batch.column("text"))
-        view = memoryview(raw)
-        (cut_a, a), (_, b) = lists(batch.column("a_")), lists(batch.column("b_"))
+        view, column = memoryview(raw), batch.column("spans_")
         kept, spans = [], []
         for i in range(batch.num_rows):
-            s, e = int(off[i]), int(off[i + 1])
-            if cut_a[i] == cut_a[i + 1]:
-                kept.append(bytes(view[s:e]))
-                spans.append([])
-                continue
-            x, y = merged(a[cut_a[i] : cut_a[i + 1]], b[cut_a[i] : cut_a[i + 1]], e - s)
-            edges = np.concatenate([[0], np.column_stack([x, y]).ravel(), [e - s]]).tolist()
-            kept.append(b"".join(view[s + edges[j] : s + edges[j + 1]] for j in range(0, len(edges), 2)))
-            spans.append(list(zip(x.tolist(), y.tolist(), strict=True)))
-        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+            own = bytes(view[off[i] : off[i + 1]])
+            x, y = holding(column, i, own, bytes)
+            edges = [0, *(z for p in zip(x.tolist(), y.tolist(), strict=True) for z in p), len(own)]
+            kept.append(b"".join(own[edges[j] : edges[j + 1]] for j in range(0, len(edges), 2)))
+            spans.append([{"a": p, "b": q} for p, q in zip(x.tolist(), y.tolist(), strict=True)])
+        del view
         left = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if text else pa.array(kept, pa.binary())
-        own = [pa.array((off[1:] - off[:-1]).astype(np.int64)), pa.array([[{"a": p, "b": q} for p, q in s] for s in spans], kind), left]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *own, *batch.columns[4:]], names=["doc_id", "n_bytes", "spans", "kept", *batch.schema.names[4:]])
+        own = [pa.array((off[1:] - off[:-1]).astype(np.int64)), pa.array(spans, kind), left]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *own, *batch.columns[3:]], names=["doc_id", "n_bytes", "spans", "kept", *batch.schema.names[3:]])
 
 
-def suffix_dedup(docs: DataFrame, window: int = 100, k: int = 20, hot: int = 1 << 18, more: tuple = (), text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = 100, k: int = 20, split: int = SPLIT, more: tuple = (), text: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, spans (maximal removed runs of bytes) and kept (the remaining bytes).
 
     With text, kept is a string without the parts of characters that were cut. Uses the columns doc_id and text, and carries
     those named in more; others, whatever their names, play no part. A null text is empty. Rows with a null
-    doc_id are kept whole and take no part in matching. Rows that share a doc_id count as one document: what either loses at
-    a place, both lose; exact repeats of a row don't cost each other anything. Texts shorter than the window lose nothing.
+    doc_id are kept whole and take no part in matching. Rows that share a doc_id never cost each other anything, and each has
+    spans of its own; repeated rows come back as often. Texts shorter than the window lose nothing. split bounds the blocks
+    of one task's bucket; results do not depend on it.
     """
     schema = f"doc_id long, n_bytes long, spans array<struct<a:int,b:int>>, kept {'string' if text else 'binary'}"
-    return with_spans(docs, duplicate_spans(docs, window, k, hot), lambda batches: _cut_bytes(batches, text), schema, more)
+    return with_spans(docs, duplicate_spans(docs, window, k, split), lambda batches: _cut_bytes(batches, text), schema, more)
 
 
 def op7_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

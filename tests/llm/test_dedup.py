@@ -9,6 +9,7 @@ from brute import fingerprint, linked, sha, substrings, word_windows
 from pyspark.sql import functions as F
 
 from claimforge.llm import grams
+from claimforge.llm.repeats import holding
 from claimforge.llm.rlz_dedup import ReferenceIndex, rlz_dedup
 from claimforge.llm.simhash_golay import _golay, components, fuzzy_keys, links, near_duplicates
 from claimforge.llm.suffix_dedup import blind_trie_order, deep_shallow, suffix_dedup
@@ -44,14 +45,31 @@ def digest1(df):
     return {r.doc_id: (r.n_words, r.r, r.h) for r in df.select("doc_id", "n_words", removed.alias("r"), F.sha2("kept", 256).alias("h")).collect()}
 
 
-@pytest.mark.parametrize("hot", [1 << 18, 3])
-def test_suffix_dedup(spark, odd, hot):
-    assert digest7(suffix_dedup(make(spark, odd), hot=hot)) == substrings(odd)
+@pytest.mark.parametrize("split", [1 << 13, 3])
+def test_suffix_dedup(spark, odd, split):
+    assert digest7(suffix_dedup(make(spark, odd), split=split)) == substrings(odd)
 
 
-@pytest.mark.parametrize("hot", [1 << 18, 3])
-def test_rlz_dedup(spark, odd, hot):
-    assert digest1(rlz_dedup(make(spark, odd), hot=hot)) == word_windows(odd)
+@pytest.mark.parametrize("split", [1 << 13, 3])
+def test_rlz_dedup(spark, odd, split):
+    assert digest1(rlz_dedup(make(spark, odd), split=split)) == word_windows(odd)
+
+
+@pytest.mark.parametrize("dedup", [suffix_dedup, rlz_dedup])
+def test_rows_that_share_an_id(spark, dedup):
+    a, b = (" ".join(f"{c}{i}" for i in range(200)) for c in "ab")
+    rows = {(r.doc_id, r.kept if isinstance(r.kept, str) else bytes(r.kept).decode()) for r in dedup(make(spark, [(1, a), (2, a), (2, b), (2, a), (3, b + " " + a)])).select("doc_id", "kept").collect()}
+    assert rows == {(1, a), (2, ""), (2, b), (3, "" if dedup is rlz_dedup else " ")}
+
+
+def test_bytes_behind_equal_hashes(spark, monkeypatch):
+    """With hashes that tell nothing apart, nothing that occurs once is cut."""
+    docs = [(1, " ".join(f"a{i}" for i in range(90))), (2, " ".join(f"b{i}" for i in range(90))), (3, " ".join(f"a{i}" for i in range(90)))]
+    for dedup, digest, plain in ((rlz_dedup, digest1, word_windows), (suffix_dedup, digest7, substrings)):
+        assert digest(dedup(make(spark, docs))) == plain(docs)
+    spans = pa.array([[{"a": 0, "b": 3, "shift": None, "want": b"x y z"}, {"a": 1, "b": 2, "shift": None, "want": b"b"}, {"a": 2, "b": 3, "shift": -2, "want": None}]])
+    x, y = holding(spans, 0, [b"a", b"b", b"c"], bytes.split)
+    assert (x.tolist(), y.tolist()) == ([1], [2])
 
 
 def test_tables(spark):
@@ -96,8 +114,10 @@ def test_sorting():
 
 def test_factors():
     index = ReferenceIndex(50)
-    index.add(list(range(30)))
-    assert index.factors([7, 8, 9, 99, 3, 4]) == [(0, 52), (4, 55)]
+    words = [b"%d" % i for i in range(80)]
+    index.add(words, 0, 30)
+    assert index.factors(words[7:60] + [b"x"] + words[3:55], 0, 99) == [(0, 53), (54, 106)]
+    assert index.factors(words[7:60], 1, 1) == [(1, 53)]
 
 
 def test_golay_keys():
@@ -151,10 +171,11 @@ def test_runs_of_rows(odd, monkeypatch):
 
     n = len(odd)
     spans = [[(5, 20), (18, 30)] if i % 3 else None for i in range(n)]
-    batch = pa.RecordBatch.from_pydict(
-        {"doc_id": pa.array([d for d, _ in odd], pa.int64()), "text": pa.array([t for _, t in odd]), "a_": pa.array([s and [a for a, _ in s] for s in spans], pa.list_(pa.int32())), "b_": pa.array([s and [b for _, b in s] for s in spans], pa.list_(pa.int32()))}
-    ).slice(1)
-    workers = [repeats._occurrences("byte", 100, 20), repeats._occurrences("word", 50, 20), rlz_dedup._cut_words, suffix_dedup._cut_bytes, simhash_golay._fingerprints(3, 42)]
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("shift", pa.int32()), ("want", pa.binary())]))
+    rows = [s and [{"a": a, "b": b, "shift": None, "want": None} for a, b in s] for s in spans]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([d for d, _ in odd], pa.int64()), "row": pa.array(range(len(odd)), pa.int64()), "text": pa.array([t for _, t in odd]), "spans_": pa.array(rows, kind)}).slice(1)
+    batch = batch.select(["doc_id", "text", "spans_", "row"])
+    workers = [repeats._occurrences("byte", 100, 20), repeats._occurrences("word", 50, 20), rlz_dedup._cut_words, lambda x: suffix_dedup._cut_bytes(b.select(["doc_id", "text", "spans_"]) for b in x), simhash_golay._fingerprints(3, 42)]
     whole = [pa.Table.from_batches(list(w([batch]))).to_pylist() for w in workers]
     monkeypatch.setattr(common.parts, "__defaults__", ("text", 3000))
     assert [pa.Table.from_batches(list(w([batch]))).to_pylist() for w in workers] == whole
