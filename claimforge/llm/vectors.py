@@ -1,8 +1,8 @@
 """Vector search over shards: exact top-k inner products by KD-trees, nearest neighbours by vantage-point trees.
 
-Vectors are dealt to shards by the hash of their id, so many to a shard; each shard becomes one row that holds its tree.
-Queries are packed in blocks of bounded size, and each block meets each shard once, by an equi-join on the shard. A task
-keeps the best of each query over its shards, k rows at most, and these are ranked in the end.
+Vectors are dealt to shards by the hash of their id, so many to a shard. Queries are packed in blocks of bounded size. A task
+gets the vectors of a shard, builds its tree once, and then the query blocks that meet it, one after the other; trees never
+travel. Each block first meets one shard; the k-th scores found there go with it to all other shards as bounds.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimforge.llm.common import read_table, ship
+from claimforge.llm.common import cut, read_table, ship
 
 SHARD_ROWS, BLOCK_ROWS, LEAF = 8192, 512, 64
-HELD = 50_000  # queries whose best a task keeps before it hands them on
+FACTOR = 0.18
+BLOCKS = 64  # query blocks that one tree serves
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -47,12 +48,12 @@ def widen(m: np.ndarray, size: int) -> np.ndarray:
 
 
 class Best:
-    """The k best (score, id) of one query: highest score, then smallest id."""
+    """The k best (score, id) of one query: highest score, then smallest id. Scores below a known k-th one are left out."""
 
     __slots__ = ("k", "score", "ids", "kth")
 
-    def __init__(self, k: int):
-        self.k, self.score, self.ids, self.kth = k, None, None, None
+    def __init__(self, k: int, kth=None):
+        self.k, self.score, self.ids, self.kth = k, None, None, kth
 
     def offer(self, score: np.ndarray, ids: np.ndarray) -> None:
         if self.kth is not None:
@@ -112,6 +113,12 @@ class KDTree:
             best.offer(score[other], ids[other])
 
 
+def balanced(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two that bring their largest components near one: same cosines, no over- or underflow."""
+    _, exponent = np.frexp(np.abs(vectors).max(1, initial=0))
+    return np.ldexp(vectors, -exponent[:, None])
+
+
 class VPTree:
     """Vantage points with the median distance to them; each side knows the range of its distances.
 
@@ -119,6 +126,7 @@ class VPTree:
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF):
+        vectors = balanced(vectors)
         self.norm = np.sqrt((vectors * vectors).sum(1))
         unit = vectors / self.norm[:, None]
         order, nodes, points = np.arange(len(ids)), [], []
@@ -174,14 +182,12 @@ def _search(rows: DataFrame, queries: DataFrame, k: int, build, probe, prepare,
     """rows, queries: (vec_id, v). Returns query_id, rank, vec_id, score."""
     n, m = rows.count(), queries.count()
     shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-m // BLOCK_ROWS))
-
-    def pack_tree(table: pa.Table) -> pa.Table:
-        tree = build(table.column("vec_id").to_numpy(), prepare(_dense(table.column("v"))))
-        return pa.table({"shard": table.column("shard").slice(0, 1), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+    found_schema = f"query_id long, vec_id long, score {kind}"
 
     def pack_block(table: pa.Table) -> pa.Table:
         ids, first = np.unique(table.column("vec_id").to_numpy(), return_index=True)
-        return pa.table({"block": table.column("block").slice(0, 1), "queries": pa.array([pickle.dumps((ids, prepare(_dense(table.column("v")))[first]))], pa.binary())})
+        kth = [table.column("kth")[int(i)].as_py() for i in first]
+        return pa.table({"block": table.column("block").slice(0, 1), "queries": pa.array([pickle.dumps((ids, prepare(_dense(table.column("v")))[first], kth))], pa.binary())})
 
     def emit(best: dict[int, Best]) -> pa.RecordBatch:
         some = [(q, b) for q, b in best.items() if b.score is not None and len(b.ids)]
@@ -189,32 +195,63 @@ def _search(rows: DataFrame, queries: DataFrame, k: int, build, probe, prepare,
         columns = [pa.array(np.repeat([q for q, _ in some], [len(b.ids) for _, b in some]).astype(np.int64)), pa.array([int(i) for _, b in some for i in b.ids], pa.int64()), pa.array([number(x) for _, b in some for x in b.score], pa.int64() if kind == "long" else pa.float64())]
         return pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
 
+    def tree_of(ids: np.ndarray, vectors: np.ndarray):
+        order = np.lexsort((*vectors.T[::-1], ids))  # the same tree whatever the order in which rows come
+        return build(ids[order], vectors[order])
+
     def run(batches):
-        best: dict[int, Best] = {}  # the k-th score of each query goes on from shard to shard
-        last, tree = None, None
+        """Rows sorted by (shard, part, block): first the vectors of a shard, without a block, then its query blocks."""
+        ids, vectors, tree, last = [], [], None, None
         for batch in batches:
-            for packed_tree, block in zip(batch.column("tree"), batch.column("queries"), strict=True):
-                if (now := packed_tree.as_py()) != last:
-                    last, tree = now, pickle.loads(now)
-                ids, q = pickle.loads(block.as_py())
+            place = list(zip(batch.column("shard").to_pylist(), batch.column("part").to_pylist(), strict=True))
+            is_query = batch.column("queries").is_valid().to_numpy(zero_copy_only=False)
+            i = 0
+            while i < batch.num_rows:
+                if place[i] != last:
+                    ids, vectors, tree, last = [], [], None, place[i]
+                if not is_query[i]:
+                    j = i + 1
+                    while j < batch.num_rows and not is_query[j] and place[j] == last:
+                        j += 1
+                    ids.append(batch.column("vec_id").slice(i, j - i).to_numpy(zero_copy_only=False).astype(np.int64))
+                    vectors.append(_dense(batch.column("v").slice(i, j - i)))
+                    i = j
+                    continue
+                if vectors:
+                    size = max(x.shape[1] for x in vectors)
+                    tree = tree_of(np.concatenate(ids), prepare(np.concatenate([widen(x, size) for x in vectors])))
+                    ids, vectors = [], []
+                own, q, kth = pickle.loads(batch.column("queries")[i].as_py())
+                i += 1
+                if tree is None:  # a shard that the hash left without vectors
+                    continue
                 if q.shape[1] > tree.vectors.shape[1]:
                     tree = build(tree.ids, widen(tree.vectors, q.shape[1]))
                 q = widen(q, tree.vectors.shape[1])
                 bound = tree.bounds(q).tolist()
-                for i, own in enumerate(ids.tolist()):
-                    if own not in best:
-                        best[own] = Best(k)
-                    probe(tree, q[i], bound[i], own, best[own])
-                if len(best) > HELD:
-                    yield emit(best)
-                    best = {}
-        yield emit(best)
+                best = {o: Best(k, x) for o, x in zip(own.tolist(), kth, strict=True)}
+                for x, o in enumerate(best):
+                    probe(tree, q[x], bound[x], o, best[o])
+                yield emit(best)
 
+    parts = -(-blocks // BLOCKS)
     spread = lambda df, name, count: df.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(count)))
-    trees = spread(rows, "shard", shards).groupBy("shard").applyInArrow(pack_tree, "shard long, tree binary")
-    packed = spread(queries, "block", blocks).groupBy("block").applyInArrow(pack_block, "block long, queries binary")
-    met = trees.join(packed.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), "queries"), "shard").select("tree", "queries")
-    found = met.mapInArrow(run, f"query_id long, vec_id long, score {kind}")
+    many = lambda name, count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias(name)
+    vectors = spread(rows, "shard", shards).select("shard", many("part", parts), F.lit(-1).cast("long").alias("block"), "vec_id", "v", F.lit(None).cast("binary").alias("queries"))
+
+    def meet(asked: DataFrame, home: bool) -> DataFrame:
+        """Best of the query blocks (vec_id, v, kth) in the shard that each meets first, or in all others."""
+        first = F.pmod("block", F.lit(shards))
+        packed = spread(asked, "block", blocks).groupBy("block").applyInArrow(pack_block, "block long, queries binary")
+        met = packed.select(first.alias("shard"), "block", "queries") if home else packed.select(many("shard", shards), "block", "queries").where(F.col("shard") != first)
+        met = met.select("shard", F.floor(F.col("block") / BLOCKS).alias("part"), "block", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("v"), "queries")
+        return vectors.unionByName(met).repartition("shard", "part").sortWithinPartitions("shard", "part", "block").mapInArrow(run, found_schema)
+
+    found = meet(queries.withColumn("kth", F.lit(None).cast(kind)), True)
+    if shards > 1:
+        found = cut(found)
+        kth = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), "kth")
+        found = found.unionByName(meet(queries.join(kth, "vec_id", "left"), False))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -254,7 +291,7 @@ def top_k_inner(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 102
     return _search(usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col), k, build, lambda t, q, b, own, best: t.search(q, b, own, best), whole, "long")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, factor: float = 0.3, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, factor: float = FACTOR, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Nearest found by cosine: query_id, rank, vec_id and score, the cosine of the original vectors in double precision.
 
     factor relaxes the triangle-inequality pruning: one is exact, less leaves out more. Candidates are all rows of vectors but
@@ -264,7 +301,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, factor: float = 0.3,
     """
     some = F.exists("v", lambda x: x != 0)
     rows, asked = usable(vectors, id_col, vec_col).where(some), usable(queries, id_col, vec_col).where(some)
-    return _search(rows, asked, k, VPTree, lambda t, q, b, own, best: t.search(q, b, own, best, factor), lambda m: m, "double")
+    return _search(rows, asked, k, VPTree, lambda t, q, b, own, best: t.search(q, b, own, best, factor), balanced, "double")
 
 
 def op2_kdtree_top_k(spark, sf_dir: str) -> DataFrame:
