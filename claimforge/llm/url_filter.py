@@ -19,22 +19,32 @@ from claimforge.llm.common import read_table, ship, utf8
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
-#: A small labelled table: 1 is to be blocked.
-LABELLED = tuple((u, 0) for u in (
-    "https://www.example.net/en/10231", "http://blog.example.com/en/7198", "https://m.example.net/fr/24311.html", "https://example.net/de/1244/", "https://news.example.com/es/2931",
-    "https://www.library.example.edu/catalogue/item/4182", "https://docs.example.io/guide/install.html", "https://en.encyclopedia.example/wiki/Photosynthesis",
-    "https://museum.example.de/ausstellung/2020", "https://www.university.example.edu/physics/course-notes", "https://blog.garden.example/2019/05/planting-tomatoes",
-    "https://www.weather.example.net/forecast/madrid", "https://journal.example.org/article/77123", "https://www.cityhall.example.fr/services/horaires", "https://recipes.example.com/soup/onion",
-    "https://forum.example.net/thread/48213", "https://www.radio.example.es/programas/ciencia", "https://books.example.com/chapter/12", "https://www.hospital.example.org/patients/visiting",
-    "https://research.example.edu/papers/graph-theory.pdf", "https://www.example.net/en/about", "https://shop.example.com/books/history", "https://www.example.com/fr/articles/8812", "https://mag.example.net/de/reportage/551",
-)) + tuple((u, 1) for u in (
-    "http://best-casino-bonus.example.biz/win/jackpot", "http://free-slots-casino.example.xyz/play-now", "https://cheap-pills-online.example.top/buy/viagra", "http://xxx-tube.example.xxx/video/9912",
-    "http://adult-cams.example.xxx/live", "https://poker-betting-odds.example.bet/bonus?ref=1", "http://click.adserver.example.biz/banner/track?id=1", "http://ads.tracker.example.top/popunder/redirect",
-    "http://download-crack-keygen.example.xyz/serial/full", "https://warez-torrents.example.top/crack/download", "http://replica-watches-sale.example.biz/cheap/rolex", "https://payday-loans-fast.example.top/apply-now",
-    "http://win-free-iphone.example.xyz/prize/claim", "http://hot-singles-dating.example.xxx/meet/sexy", "https://crypto-doubler.example.bet/invest/profit", "http://seo-backlinks-cheap.example.biz/buy-links",
-    "http://porn-videos.example.xxx/sex/free", "https://lottery-jackpot.example.bet/win-big", "http://phishing-login-verify.example.top/account/secure-update", "http://malware-download.example.xyz/setup.exe",
-    "http://viagra-cialis-pharmacy.example.biz/order", "http://spam-links.example.top/redirect/click", "https://casino-poker-slots.example.bet/free-spins", "http://escort-girls.example.xxx/book-now",
-))
+# What the small labelled table is made of: words of hosts that are to be blocked and of clean ones, and what surrounds them.
+BLOCKED = "casino bets betting poker slots jackpot lottery gambling pills viagra pharmacy adult porn sex xxx escort cams dating spam spamlist scam malware phishing crack warez keygen torrent replica loans payday ads adserver tracker track popunder clickbait".split()
+CLEAN = "library museum school university research journal news weather recipes garden history science physics music books travel hospital city council archive forum docs wiki radio theatre nature family bicycle kitchen language market station harbour village painting reading cooking sailing building training hotel planet report letter".split()
+BESIDE = "free cheap best win online x top live now city today world house group web".split()
+PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()  # frequent pairs of letters
+FORMS = ("{w}-{b}.example.com", "www.{b}-{w}.example.org", "{w}{n}.example.net", "blog.{w}.example.org", "m.{b}{w}.example.com", "{b}.{w}.example.net", "{w}{b}.example.org", "www.{w}-{b}.example.com", "m.{w}-{b}.example.net", "{b}-{w}-{n}.example.com")
+PATHS = ("/{l}/{n}", "/{l}/{n}.html", "/articles/{n}/", "/", "/{l}/about", "/item/{n}")
+
+
+def labelled_urls(blocked=BLOCKED, clean=CLEAN, beside=BESIDE) -> list[tuple[str, int]]:
+    """A small labelled table (URL, 1 to be blocked): every word in every form of host; words beside it, numbers and paths go
+    round alike in both classes, and clean hosts of invented names come with them."""
+    out = []
+    for label, words in ((0, clean), (1, blocked)):
+        for i, word in enumerate(words):
+            for j, form in enumerate(FORMS):
+                at = 7 * i + 3 * j
+                fill = {"w": word, "b": beside[at % len(beside)], "n": 17 + 31 * at % 9000, "l": ("en", "de", "fr", "es")[at % 4]}
+                out.append((f"http{'s' * (at % 2)}://{form.format(**fill)}{PATHS[at % len(PATHS)].format(**fill)}", label))
+    for i in range(5 * len(blocked)):
+        name = "".join(PAIRS[(i * (7 + 4 * x) + 11 * x * x) % len(PAIRS)] for x in range(2 + i % 3))
+        out.append((f"https://{('www.', 'blog.', 'm.', '')[i % 4]}{name}.example.{('com', 'org', 'net')[i % 3]}{PATHS[i % len(PATHS)].format(n=13 * i, l='en')}", 0))
+    return out
+
+
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -55,7 +65,7 @@ def rule_of(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _features(raw: np.ndarray, off: np.ndarray, bits: int, sizes=(3, 4, 5)) -> tuple[np.ndarray, np.ndarray]:
+def _features(raw: np.ndarray, off: np.ndarray, bits: int, sizes=(4, 5, 6)) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) of each n-gram of each string; n-grams never cross strings."""
     base = int(off[0])
     text, off = raw[base : int(off[-1])], off - base
@@ -76,27 +86,28 @@ def _marked(host, path) -> tuple[np.ndarray, np.ndarray]:
 
 
 class UrlModel:
-    def __init__(self, labelled, bits: int = 16, steps: int = 400, rate: float = 1.0, ridge: float = 1e-3):
+    """Logistic regression on n-gram counts divided by the root of their number, fitted on the non-zero entries only."""
+
+    def __init__(self, labelled, bits: int = 18, steps: int = 1500, rate: float = 4.0, ridge: float = 1e-4):
         self.bits = bits
-        parts = [self.parts(u) for u, _ in labelled]
         y = np.array([label for _, label in labelled], float)
-        x = np.zeros((len(y), 1 << bits))
-        row, bucket = _features(*_marked(*zip(*parts, strict=True)), bits)
-        np.add.at(x, (row // 2, bucket), 1.0)
-        used = np.flatnonzero(x.any(0))
-        z = x[:, used] / np.sqrt(np.maximum(1, x.sum(1)))[:, None]
+        row, bucket = _features(*_marked(*zip(*(self.parts(u) for u, _ in labelled), strict=True)), bits)
+        used, code = np.unique(bucket, return_inverse=True)
+        row, n = row // 2, len(y)
+        value = 1 / np.sqrt(np.maximum(1, np.bincount(row, minlength=n)))[row]
         w, bias = np.zeros(len(used)), 0.0
         for _ in range(steps):
-            error = 1 / (1 + np.exp(-(z @ w + bias))) - y
-            w -= rate * (z.T @ error / len(y) + ridge * w)
+            error = 1 / (1 + np.exp(-(np.bincount(row, w[code] * value, n) + bias))) - y
+            w -= rate * (np.bincount(code, error[row] * value, len(used)) / n + ridge * w)
             bias -= rate * error.mean()
         self.weights, self.bias = np.zeros(1 << bits), bias
         self.weights[used] = w
 
     @staticmethod
     def parts(url: str) -> tuple[str, str]:
+        """Host (A-Z lower-cased) and path as `url_parts` has them."""
         m = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1] if "://" in url else "")
-        return m[1].lower(), m[2]
+        return m[1].translate(LOWER), m[2]
 
     def score(self, host, path) -> np.ndarray:
         n = len(host)
@@ -105,22 +116,23 @@ class UrlModel:
         return self.bias + total / np.sqrt(np.maximum(1, count))
 
 
-def url_filter(pages: DataFrame, rules=RULES, labelled=LABELLED, threshold: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def url_filter(pages: DataFrame, rules=RULES, labelled=None, threshold: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Per row of pages: page_id, host, path, rule, verdict (allow or block) and score, the model's probability of block.
 
     A rule fits its host and all subdomains if the path starts with its own; the longest wins over the model. A null URL, or
     one without '://', has an empty host and path and is left to the model. Ids may be null or repeated, rows come back as often;
-    other columns are ignored. Rules and the labelled table are small parameters.
+    other columns are ignored. Rules and the labelled table (URL, 0 or 1) are small parameters; of fitting rules of one length
+    block goes before allow.
     """
     ship(pages.sparkSession)
-    model = UrlModel(labelled)
+    model = UrlModel(labelled_urls() if labelled is None else labelled)
     host, path = url_parts(F.col(url_col))
     parsed = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     schema = f"page_id {parsed.schema['page_id'].dataType.simpleString()}, host string, path string, score double"
 
     def run(batches):
-        for batch in batches:
-            raw = model.score(batch.column("host").to_pylist(), batch.column("path").to_pylist()) if batch.num_rows else np.zeros(0)
+        for batch in (b.slice(i, 4096) for b in batches for i in range(0, b.num_rows, 4096)):
+            raw = model.score(batch.column("host").to_pylist(), batch.column("path").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-raw)))], names=["page_id", "host", "path", "score"])
 
     scored = parsed.mapInArrow(run, schema)

@@ -10,6 +10,7 @@ from brute import substrings
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from claimforge.llm import grams
 from claimforge.llm import html_extract as H
 from claimforge.llm import mixing as M
 from claimforge.llm import prefix_bpe as B
@@ -38,10 +39,32 @@ def test_urls(spark):
     assert U.url_filter(df.limit(0)).count() == 0
 
 
-def test_url_model_on_held_out_urls():
-    held = [("http://casino-slots.example.top/free-bonus", 1), ("https://porn-sex.example.xxx/tube", 1), ("http://cheap-viagra-pills.example.biz/buy", 1), ("https://www.library.example.net/books/12", 0), ("https://blog.example.com/en/4711", 0), ("http://tion.example.net/fr/120.html", 0)]
-    model = U.UrlModel(U.LABELLED)
-    assert [int(s > 0) for s in model.score(*zip(*[model.parts(u) for u, _ in held], strict=True))] == [y for _, y in held]
+def plain_features(url):
+    """The n-grams of host and path by a plain loop."""
+    host, path = U.UrlModel.parts(url)
+    return [t[i : i + n].encode() for t in (f"^{host}$", f"|{path}$") for n in (4, 5, 6) for i in range(len(t) - n + 1)]
+
+
+def test_url_scores_are_those_of_plain_n_grams():
+    model = U.UrlModel(U.labelled_urls())
+    urls = [u for u, _ in U.labelled_urls()[::40]] + ["http://EXAMPLE.com/Ä?x", "no url", "https://" + "long" * 500 + "/p" * 3000]
+    for url in urls:
+        found = plain_features(url)
+        buckets = [int(grams.mix(grams.Ranges(grams.BYTE[np.frombuffer(g, np.uint8)]).grams(len(g)) + np.uint64(len(g)))[0] >> np.uint64(64 - model.bits)) for g in map(bytes, (x for x in found)) if len(g)]
+        want = model.bias + sum(model.weights[b] for b in buckets) / max(1, len(buckets)) ** 0.5
+        host, path = model.parts(url)
+        assert abs(model.score([host], [path])[0] - want) < 1e-9 or not url.isascii()
+
+
+def test_url_model_on_held_out_hosts():
+    """Hosts of the test are not in the labelled table, nor are their words in these forms."""
+    known = {U.UrlModel.parts(u)[0] for u, _ in U.labelled_urls()}
+    bad = ["m.casino-win.example.com", "free-bets.example.com", "www.cheap-pills.example.com", "blog.adult-x.example.net", "casino-night.example.io", "best-viagra-shop.example.biz"]
+    good = ["www.citylibrary.example.edu", "museum-of-art.example.de", "blog.tionsh.example.com", "the-garden-book.example.fr", "tionble.example.org", "weather-report.example.io"]
+    assert not known & set(bad + good)
+    model = U.UrlModel(U.labelled_urls())
+    score = dict(zip(bad + good, model.score(bad + good, ["/de/217"] * 12), strict=True))
+    assert all(score[h] > 0 for h in bad) and all(score[h] < 0 for h in good), score
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body><nav><a href=/>menu</a></nav><!-- <p>no</p> -->
