@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -84,13 +85,19 @@ def parts(batches, column: str = "text", size: int = 4 << 20):
             i = j
 
 
+_RELEASED = [0.0]
+
+
 def release() -> None:
-    """Gives memory that Arrow and malloc hold for later back, as several workers share an executor's allowance."""
+    """Gives memory that Arrow and malloc hold for later back, twice a second at most; several workers share an executor's allowance."""
+    if time.monotonic() - _RELEASED[0] < 0.5:
+        return
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # not glibc
-        return
+        pass
+    _RELEASED[0] = time.monotonic()
 
 
 _SHIPPED: set[str] = set()

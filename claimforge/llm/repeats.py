@@ -18,7 +18,7 @@ from claimforge.llm import grams
 from claimforge.llm.common import cut, discard, parts, release, ship, utf8
 
 KEY = ["doc_id", "row"]
-OCC = "anchor long, block long, doc_id long, row long, pos int, first int, ba int, bb int"
+OCC = "anchor long, block long, doc_id long, row long, pos int, first int"
 BLOCK = "anchor long, doc_id long, row long, pos int, before binary, after binary"
 SPLIT = 1 << 13  # blocks that one solver call takes at most
 
@@ -39,12 +39,12 @@ def once(docs: DataFrame) -> DataFrame:
 
 
 def _units(unit: str, raw: np.ndarray, off: np.ndarray):
-    """Hashes of a range of units, the first unit of each text, and the first and last byte of ranges of units of texts."""
+    """Hashes of a range of units, and the first unit of each text; for words also their first and last bytes."""
     if unit == "byte":
-        return (lambda a, b: grams.BYTE[raw[a:b]]), off, lambda doc, x, y: (x - off[doc], y - off[doc])
+        return (lambda a, b: grams.BYTE[raw[a:b]]), off, None, None
     s, e, bounds = grams.words(raw, off)
     h = grams.word_hashes(raw, s, e)
-    return (lambda a, b: h[a:b]), bounds, lambda doc, x, y: (s[x] - off[doc], e[y - 1] - off[doc])
+    return (lambda a, b: h[a:b]), bounds, s, e
 
 
 def _occurrences(unit: str, window: int, k: int):
@@ -53,17 +53,18 @@ def _occurrences(unit: str, window: int, k: int):
             raw, off = utf8(batch.column("text"))
             if not batch.num_rows or off[-1] == off[0]:
                 continue
-            units, bounds, bytes_of = _units(unit, raw, off)
+            units, bounds, s, e = _units(unit, raw, off)
             doc, pos, anchor, block = grams.anchors(units, bounds, window, k)
             if not len(doc):
                 continue
             tag = grams.mix(anchor.view(np.uint64) ^ grams.mix(block.view(np.uint64)) ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
             _, index, inverse = np.unique(tag, return_index=True, return_inverse=True)
-            left, right = np.maximum(pos - (window - k), 0) + bounds[doc], np.minimum(pos + bounds[doc] + window, bounds[doc + 1])
-            ba, bb = bytes_of(doc, left, right)
-            ids, row = (batch.column(c).to_numpy()[doc] for c in KEY)
-            columns = [anchor, block, ids, row, *(x.astype(np.int32) for x in (pos, pos[index[inverse]], ba, bb))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "block", *KEY, "pos", "first", "ba", "bb"])
+            out = dict(zip(KEY, (batch.column(c).to_numpy()[doc] for c in KEY), strict=True))
+            out = {"anchor": anchor, "block": block} | out | {"pos": pos.astype(np.int32), "first": pos[index[inverse]].astype(np.int32)}
+            if unit == "word":
+                left, right = np.maximum(pos - (window - k), 0) + bounds[doc], np.minimum(pos + bounds[doc] + window, bounds[doc + 1])
+                out |= {"ba": (s[left] - off[doc]).astype(np.int32), "bb": (e[right - 1] - off[doc]).astype(np.int32)}
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out.values()], names=list(out))
             release()
 
     return run
@@ -73,12 +74,12 @@ def shared_occurrences(docs: DataFrame, unit: str, window: int, k: int) -> DataF
     """A table of the occurrences of anchors that occur more than once.
 
     Columns: those of OCC (first: the place of the document's first occurrence of this anchor and block), contested (the anchor
-    stands in different blocks), and o, the least document with the anchor and block, its row, first place there, and the
-    bytes of the block there.
+    stands in different blocks), and o, the least document with the anchor and block, its row, first place there, and (of
+    words) the bytes of the block there.
 
     The shared anchors and the owners are tables of their own, so that the joins have plain exchanges and a hot key's side can be split.
     """
-    occ = texts(docs).where("doc_id is not null").mapInArrow(_occurrences(unit, window, k), OCC)
+    occ = texts(docs).where("doc_id is not null").mapInArrow(_occurrences(unit, window, k), OCC + (", ba int, bb int" if unit == "word" else ""))
     shared = cut(
         occ.select("anchor", F.col("block").alias("b"))
         .groupBy("anchor")
@@ -87,7 +88,7 @@ def shared_occurrences(docs: DataFrame, unit: str, window: int, k: int) -> DataF
         .select("anchor", (F.col("b0") != F.col("b1")).alias("contested"))
     )
     out = cut(occ.join(shared, "anchor"))
-    owner = cut(out.groupBy("anchor", "block").agg(F.min(F.struct(*KEY, "pos", "ba", "bb")).alias("o")))
+    owner = cut(out.groupBy("anchor", "block").agg(F.min(F.struct(*KEY, "pos", *[c for c in out.columns if c in ("ba", "bb")])).alias("o")))
     owned = cut(out.drop("ba", "bb").join(owner, ["anchor", "block"]).where("contested or doc_id > o.doc_id or pos > first").drop("block"))
     discard(shared, out, owner)
     return owned
@@ -98,7 +99,8 @@ def wanted_bytes(docs: DataFrame, copies: DataFrame, reach: int, window: int) ->
 
     Blocks that overlap at the same distance from one source become one span first, so a copied text is fetched once.
     """
-    one = copies.select(*KEY, (F.col("pos") - reach).alias("a"), F.col("o.doc_id").alias("s_doc"), F.col("o.row").alias("s_row"), (F.col("o.pos") - F.col("pos")).alias("away"), F.col("o.ba").alias("ba"), F.col("o.bb").alias("bb"))
+    ends = (F.col("o.ba"), F.col("o.bb")) if "ba" in copies.schema["o"].dataType.names else (F.greatest(F.col("o.pos") - reach, F.lit(0)), F.col("o.pos") + window)
+    one = copies.select(*KEY, (F.col("pos") - reach).alias("a"), F.col("o.doc_id").alias("s_doc"), F.col("o.row").alias("s_row"), (F.col("o.pos") - F.col("pos")).alias("away"), ends[0].alias("ba"), ends[1].alias("bb"))
     line = [*KEY, "s_doc", "s_row", "away"]
     w = Window.partitionBy(*line).orderBy("a")  # the places of one document
     head = F.coalesce(F.col("a") - F.lag("a").over(w) > reach + window, F.lit(True)).cast("int")

@@ -17,7 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimforge.llm.common import cut, keyed, parts, read_table, release, ship, utf8
+from claimforge.llm import grams
+from claimforge.llm.common import cut, discard, keyed, parts, read_table, release, ship, utf8
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0xC75
@@ -183,74 +184,74 @@ def _links(radius: int):
     return run
 
 
-def _balls(radius: int):
-    """Centres within one bit of a fingerprint (near) and within radius - 1 bits (far), for buckets too large to compare.
+def _deal(level: int):
+    """Four finer keys of each row: its key and the bits of the fingerprint whose number has 0, 1, 2 or 3 as a digit in base four.
 
-    Two fingerprints at most `radius` apart have a centre that is near the one and far from the other.
+    Of four disjoint sets of bits, three errors leave one alone; each level takes another digit.
     """
-    one = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    masks = [np.uint64(sum(1 << b for b in range(64) if b >> (2 * level) & 3 == digit)) for digit in range(4)]
 
     def run(batches):
         for batch in batches:
-            for x in batch.column("fp").to_numpy().view(np.uint64):
-                near = np.append(x, x ^ one)
-                far = near
-                for _ in range(radius - 2):
-                    far = np.unique(np.append(far, far[:, None] ^ one))
-                z = np.append(near, far)
-                yield pa.RecordBatch.from_arrays([pa.array(z.view(np.int64)), pa.array(np.full(len(z), x).view(np.int64)), pa.array(np.arange(len(z)) < len(near))], names=["z", "fp", "near"])
+            key, fp = batch.column("key").to_numpy().view(np.uint64), batch.column("fp").to_numpy().view(np.uint64)
+            keys = [grams.mix(grams.mix(key + np.uint64(4 * level + digit)) ^ grams.mix((fp & mask) + np.uint64(digit))) for digit, mask in enumerate(masks)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(fp, 4).view(np.int64))], names=["key", "fp"])
 
     return run
 
 
-def links(fps: DataFrame, radius: int = RADIUS, hot: int = 1 << 16) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, split: int = 1 << 14) -> DataFrame:
     """Edges (u, v) of spanning forests that connect distinct fingerprints (column fp) at most `radius` bits apart.
 
-    Buckets of more than `hot` fingerprints are not compared in one task: their fingerprints meet in balls around centres.
+    A bucket of more than `split` fingerprints is dealt out by four sets of sixteen further bits, of which one is equal, by the
+    pigeonhole principle again, and its parts likewise up to three times; then 37 bits are equal.
     """
     if not 0 <= radius <= RADIUS:
         raise ValueError("the keys hold for 0 to 3 differing bits")
     ship(fps.sparkSession)
-    keys = fps.mapInArrow(_keys, "key long, fp long")
-    large = cut(keys.groupBy("key").count().where(F.col("count") > hot).select("key"))
-    within = "u long, v long"
-    if large.isEmpty():
-        return keys.repartition("key").sortWithinPartitions("key").mapInArrow(_links(radius), within).distinct()
-    cool = keys.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(_links(radius), within)
-    ball = keys.join(large, "key", "left_semi").select("fp").distinct().mapInArrow(_balls(max(2, radius)), "z long, fp long, near boolean")
-    centre = ball.where("near").groupBy("z").agg(F.min("fp").alias("v"))
-    bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("v")))
-    # all fingerprints near a centre are within two bits of each other, so one of them stands for all
-    met = ball.join(centre, "z").where((F.col("fp") != F.col("v")) & (bits <= radius)).select(F.col("fp").alias("u"), "v")
-    if radius < 2:
-        raise ValueError("buckets beyond `hot` need a radius of 2 or 3")
-    return cool.unionByName(met).distinct()
+    todo = cut(fps.mapInArrow(_keys, "key long, fp long"))
+    solve = lambda df: cut(df.repartition("key").sortWithinPartitions("key").mapInArrow(_links(radius), "u long, v long").distinct())
+    out = []
+    for level in range(4):
+        large = cut(todo.groupBy("key").count().where(F.col("count") > split).select("key"))
+        if level == 3 or large.isEmpty():
+            out.append(solve(todo))
+            discard(todo)
+            break
+        out.append(solve(todo.join(large, "key", "left_anti")))
+        dealt = cut(todo.join(large, "key", "left_semi").mapInArrow(_deal(level), "key long, fp long"))
+        discard(todo, large)
+        todo = dealt
+    result = out[0]
+    for df in out[1:]:
+        result = result.unionByName(df)
+    return result
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node reachable, for every node of edges (u, v), by alternating large and small stars.
 
-    Each round is checkpointed; the least neighbour is aggregated before the shuffle, and no adjacency list is ever built.
+    Each round's tables are written; the least neighbour is aggregated before the shuffle and is a table of its own, so that a
+    centre with many neighbours is a skewed key of a plain join, which can be split. No adjacency list is ever built.
     """
-    spark = edges.sparkSession
     edges = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.join(low, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         after = cut(small)
         now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        discard(edges, low, large, least)
         edges = after
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = now
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, seed: int = 42, hot: int = 1 << 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, seed: int = 42, split: int = 1 << 14) -> DataFrame:
     """Per row of docs: doc_id, fp and component_id, the least doc_id reachable over links of at most `radius` bits.
 
     Uses doc_id and text only; other columns, whatever their names, play no part. Null and empty texts and those of white
@@ -259,7 +260,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, see
     """
     fp = cut(fingerprints(docs, shingle, seed))
     distinct = cut(fp.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
-    roots = components(links(distinct.select("fp"), radius, hot))
+    roots = components(links(distinct.select("fp"), radius, split))
     labelled = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     by_fp = labelled.select("fp", "root").join(least, "root").select("fp", "component_id")

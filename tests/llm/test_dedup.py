@@ -130,8 +130,8 @@ def test_golay_keys():
             assert a & set(b.tolist())
 
 
-@pytest.mark.parametrize("hot", [1 << 16, 2])
-def test_links_between_clusters(spark, hot):
+@pytest.mark.parametrize("split", [1 << 14, 2])
+def test_links_between_clusters(spark, split):
     rng = np.random.default_rng(2)
     base, out = rng.integers(0, 1 << 63, 20), []
     for _ in range(300):
@@ -141,7 +141,7 @@ def test_links_between_clusters(spark, hot):
         out.append(x)
     x = np.unique(np.array(out, np.uint64))
     signed = x.view(np.int64).tolist()
-    root = {r.node: r.root for r in components(links(spark.createDataFrame([(v,) for v in signed], "fp long"), hot=hot)).collect()}
+    root = {r.node: r.root for r in components(links(spark.createDataFrame([(v,) for v in signed], "fp long"), split=split)).collect()}
     want = linked(list(range(len(x))), x)
     groups = {}
     for i, v in enumerate(signed):
