@@ -8,86 +8,183 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimforge.llm.common import cut, read_table, ship
+from claimforge.llm.common import cut, parts, read_table, ship
 from claimforge.llm.url_filter import url_parts
 
-TAG = re.compile(r"<(?:!--(?:.*?-->|.*\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[!?][^>]*+>)", re.S)
-CLASS = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+TAG = re.compile(r"<(?:!--(?:.*?-->|.*\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|)|[\"'])*+)(?:>|\Z)|[!?/][^>]*+(?:>|\Z))", re.S)
+ATTRIBUTE = re.compile(r"""([^\s=\"'/>]+)\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+)""")
 RAW = {t: re.compile(rf"</{t}\b[^>]*>|\Z", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp")}
 BLOCK = set("html body head main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address hr center details summary fieldset nav aside header footer form menu dialog".split())
 CONTAINER = set("body main article section div td blockquote center details".split())
-AWAY = set("head nav aside header footer form menu dialog button select option svg canvas object audio video map label".split())
+AWAY = set("head nav aside footer menu dialog button select option svg canvas object audio video map label".split())
+#: away unless the page's article is in them
+WRAPPERS = set("div section ul ol dl table span form header center details fieldset figure".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-AWAY_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|promo\w*|sponsor\w*|cookies?|consent|notices?|popup|modal|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|disqus|repl(?:y|ies)|respond|shar(?:e|ing)|social|related|recommended|widget|newsletter|subscribe|search|login|complementary|contentinfo)(?:$|[\s_-])",
-    re.I,
-)
+NAMES = r"ads?|advert\w*|banners?|promo\w*|sponsor\w*|cookies?|consent|notices?|popup|modal|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|shar(?:e|ing)|social|related|recommended|widgets?|newsletter|subscribe|search|login|complementary|contentinfo"
+COMMENTS = r"comments?|disqus|repl(?:y|ies)|responses?|respond"
+BEFORE, AFTER = "post|entry|article|page|site|main|top|bottom|left|right|in|inline|user|reader|global|cookie|ad", "list|area|section|box|bar|block|buttons?|links?|slot|unit|wrap|wrapper|container|widget|form|thread|posts?|articles?|stories|inner|body|content|text|item|top|bottom|left|right|notice|banner"
+AWAY_NAME, COMMENT_NAME = (re.compile(rf"(?:(?:{BEFORE})[-_])?(?:{names})(?:[-_](?:{AFTER}))*(?:[-_]?\d+)?", re.I) for names in (NAMES, COMMENTS))
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+VOTE = pa.schema([("host", pa.string()), ("path", pa.string()), ("key", pa.int64()), ("worth", pa.float64()), ("beside", pa.list_(pa.int64()))])
 ENDS_P = BLOCK - {"html", "body", "head"}
+STRONG = {"p", "pre", "blockquote", "h1", "h2", "h3"}
 
 
-def blocks(page: str):
-    """Text blocks outside boilerplate in page order: (text, paths of the containers around it, characters in links, tag)."""
-    stack: list[tuple[str, str, bool]] = []  # tag, path, away
-    out, piece, linked, links, pos = [], [], 0, 0, 0
-
-    def flush():
-        nonlocal piece, linked
-        if piece:
-            text = " ".join(entities.unescape("".join(piece)).split())
-            if text and not (stack and stack[-1][2]):
-                out.append((text, tuple(p for t, p, _ in stack if t in CONTAINER), linked, stack[-1][0] if stack else ""))
-        piece, linked = [], 0
-
-    def text(a: int, b: int):
-        nonlocal linked
-        if b > a and not (stack and stack[-1][2]):
-            piece.append(page[a:b])
-            if links:
-                linked += b - a
-
-    for m in iter(lambda: TAG.search(page, pos), None):
-        text(pos, m.start())
-        pos = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag == "a":
-                links = max(0, links - 1)
-            elif tag in BLOCK or tag in AWAY:
-                if any(t == tag for t, _, _ in stack):
-                    flush()
-                    while stack.pop()[0] != tag:
-                        pass
-            continue
-        if tag == "br":
-            piece.append(" ")
-        elif tag in RAW:
-            pos = RAW[tag].search(page, pos).end()
-        elif tag == "a":
-            links += 1
-        elif tag in BLOCK or tag in AWAY:
-            flush()
-            if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK:
+class Page:
+    """Text blocks outside boilerplate in page order, and the tree of the paths around them; everything in linear time.
+
+    blocks: (text, number of the innermost element's path, characters in links, tag). A path is known by its number, its parent's number and its
+    last step, the tag with its classes; elements of the same path share it.
+    """
+
+    def __init__(self, page: str):
+        self.parent, self.step, self.tag, self.key, self._number = [-1], [""], [""], [0], {}
+        self._nodes: list[list] = [[0, -1, "", False, False, 0, 0, 0]]  # path, parent, kind of boilerplate, hard, article, first block, end block, last node
+        self._found: list[tuple[str, int, int, str]] = []
+        self._read(page)
+        self.blocks = self._outside_boilerplate()
+
+    def _path(self, above: int, tag: str, step: str) -> int:
+        number = self._number.setdefault((above, step), len(self.parent))
+        if number == len(self.parent):
+            self.parent.append(above)
+            self.step.append(step)
+            self.tag.append(tag)
+            self.key.append(xxhash.xxh64_intdigest(step.encode(), self.key[above]) & (1 << 63) - 1)
+        return number
+
+    def _open(self, tag: str, rest: str, above: int) -> None:
+        names = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(rest)} if "=" in rest else {}
+        classes = names.get("class", "").split()
+        said = [*classes, *names.get("id", "").split(), *names.get("role", "").split()]
+        kind = ""
+        if tag in WRAPPERS | {"article"} and any(COMMENT_NAME.fullmatch(n) for n in said):
+            kind = "comments"
+        elif tag in ("form", "header") or tag in WRAPPERS and any(AWAY_NAME.fullmatch(n) for n in said):
+            kind = "side"
+        article = not kind and (tag in ("article", "main") or "main" in said)
+        step = tag + "".join("." + re.sub(r"[\d/]+", "", c) for c in sorted(set(classes)))
+        path = self._path(self._nodes[above][0], tag, step)
+        self._nodes.append([path, above, kind, tag in AWAY, article, len(self._found), 0, 0])
+
+    def _read(self, page: str) -> None:
+        stack, tags, open_ = [0], [""], Counter()
+        piece, linked, links, pos = [], 0, 0, 0
+
+        def flush():
+            nonlocal piece, linked
+            if piece and (text := " ".join(entities.unescape("".join(piece)).split())):
+                self._found.append((text, stack[-1], linked, tags[-1]))
+            piece, linked = [], 0
+
+        def close():
+            at = stack.pop()
+            open_[tags.pop()] -= 1
+            self._nodes[at][6:] = [len(self._found), len(self._nodes)]
+
+        while pos < len(page):
+            m = TAG.search(page, pos)
+            end = m.start() if m else len(page)
+            if end > pos:
+                piece.append(page[pos:end])
+                linked += (end - pos) * bool(links)
+            if not m:
+                break
+            pos = m.end()
+            if not m[2]:
                 continue
-            closes = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-            while stack and stack[-1][0] in closes:
-                stack.pop()
-            names = {k.lower(): v.strip("\"'") for k, v in CLASS.findall(m[3])} if m[3] else {}
-            away = tag in AWAY or any(AWAY_WORDS.search(v) for v in names.values()) and tag not in ("html", "body", "article", "main")
-            step = tag + "".join("." + re.sub(r"\d+", "", c) for c in sorted(set(names.get("class", "").lower().split())))
-            stack.append((tag, f"{stack[-1][1]}/{step}" if stack else step, away or bool(stack and stack[-1][2])))
-            links = 0
-    text(pos, len(page))
-    flush()
-    return out
+            tag = m[2].lower()
+            if m[1]:
+                if tag == "a":
+                    links = max(0, links - 1)
+                elif open_[tag] and (tag in BLOCK or tag in AWAY):
+                    flush()
+                    while tags[-1] != tag:
+                        close()
+                    close()
+            elif tag == "br":
+                piece.append(" ")
+            elif tag in RAW:
+                pos = RAW[tag].search(page, pos).end()
+            elif tag == "a":
+                links += 1
+            elif tag in BLOCK or tag in AWAY:
+                flush()
+                if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK:
+                    continue
+                closes = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
+                while tags[-1] in closes:
+                    close()
+                self._open(tag, m[3], stack[-1])
+                stack.append(len(self._nodes) - 1)
+                tags.append(tag)
+                open_[tag] += 1
+                links = 0
+        flush()
+        while stack:
+            close()
+
+    def _outside_boilerplate(self) -> list[tuple[str, int, int, str]]:
+        """A wrapper named like boilerplate is none if it holds the page's article or, comments apart, four fifths of the page."""
+        nodes, found = self._nodes, self._found
+        away = [False] * len(nodes)
+        for i, (_, above, kind, hard, *_) in enumerate(nodes):
+            away[i] = hard or kind == "comments" or above >= 0 and away[above]
+        worth = [0.0, *accumulate(0.0 if away[at] else _worth(text, linked, tag) for text, at, linked, tag in found)]
+        own = lambda i: worth[nodes[i][6]] - worth[nodes[i][5]]
+        article = [0, *accumulate(int(node[4] and own(i) >= worth[-1] / 2 > 0) for i, node in enumerate(nodes))]
+        for i, (_, above, kind, hard, _, _, _, last) in enumerate(nodes):
+            holds = article[last] > article[i] or kind == "side" and own(i) >= 0.8 * worth[-1] > 0
+            away[i] = hard or bool(kind) and not holds or above >= 0 and away[above]
+        return [(text, nodes[at][0], linked, tag) for text, at, linked, tag in found if not away[at]]
+
+    def sums(self, values) -> list[float]:
+        """For each path the sum of a value for each block under it."""
+        out = [0.0] * len(self.parent)
+        for (_, path, _, _), x in zip(self.blocks, values, strict=True):
+            out[path] += x
+        for i in range(len(out) - 1, 0, -1):  # parents come before their children
+            out[self.parent[i]] += out[i]
+        return out
+
+    def under(self, path: int | None) -> list[bool]:
+        """For each path whether it is below this one or is it."""
+        out = [False] * len(self.parent)
+        for i in range(1, len(out)):
+            out[i] = i == path or out[self.parent[i]]
+        return out
+
+    def name(self, path: int) -> str:
+        steps = []
+        while path:
+            steps.append(self.step[path])
+            path = self.parent[path]
+        return "/".join(reversed(steps))
+
+    def find(self, name: str | None) -> int | None:
+        path = 0
+        for step in name.split("/") if name else ():
+            path = self._number.get((path, step), -1)
+        return path if path > 0 else None
+
+    def container(self, path: int) -> int:
+        """The innermost container at or above a path."""
+        while path and self.tag[path] not in CONTAINER:
+            path = self.parent[path]
+        return path
+
+
+def _worth(text: str, linked: int, tag: str) -> float:
+    """What a block counts: its characters, those in links against it, half outside paragraphs and headings."""
+    return max(len(text) - 2 * linked, 0.01 * len(text)) * (1.0 if tag in STRONG else 0.5)
 
 
 def prose(text: str, linked: int) -> bool:
@@ -95,62 +192,62 @@ def prose(text: str, linked: int) -> bool:
     return len(text) > 2 * linked
 
 
-def marked(path: str) -> bool:
-    """Whether a container is an article or main element, or of the class main."""
-    tag, *classes = path.rpartition("/")[2].split(".")
-    return tag in ("article", "main") or "main" in classes
-
-
-def best_path(found) -> tuple[str | None, float]:
-    """The path of the main container and its score: what all text under it is worth, text in links counting against it.
+def best_path(page: Page) -> tuple[int | None, float]:
+    """The path of the main container and its score: what all text under it is worth.
 
     An article, else a main container, that holds half of the page's worth is it; else the deepest one that holds all blocks of prose.
     So headings, leads and closing paragraphs beside the sections of an article stay with them, as do small sections.
     """
-    score: dict[str, float] = defaultdict(float)
-    whole = 0.0
-    for text, paths, linked, tag in found:
-        worth = max(len(text) - 2 * linked, 0.01 * len(text)) * (1.0 if tag in ("p", "pre", "blockquote", "h1", "h2", "h3") else 0.5)
-        whole += worth
-        for path in set(paths):
-            score[path] += worth
-    for is_it in (lambda p: p.rpartition("/")[2].partition(".")[0] == "article", marked):
-        if some := [p for p, s in score.items() if s >= whole / 2 and is_it(p)]:
-            best = max(some, key=lambda p: (score[p], -p.count("/"), p))
+    score = page.sums(_worth(text, linked, tag) for text, _, linked, tag in page.blocks)
+    main = lambda i: page.tag[i] in ("article", "main") or "main" in page.step[i].split(".")[1:]
+    for is_it in (lambda i: page.tag[i] == "article", main):
+        if some := [i for i in range(1, len(score)) if page.tag[i] in CONTAINER and is_it(i) and score[i] >= score[0] / 2 > 0]:
+            best = max(some, key=lambda i: (score[i], -i))  # of nested ones of one worth the outer, which has the lower number
             return best, score[best]
-    held = [set(paths) for text, paths, linked, _ in found if prose(text, linked)] or [set(paths) for _, paths, _, _ in found]
-    best = max(set.intersection(*held), key=lambda p: (p.count("/"), score[p], p), default=None) if held else None
-    return best, score.get(best, 0.0)
+    held = [prose(text, linked) for text, _, linked, _ in page.blocks]
+    count = page.sums(float(h or not any(held)) for h in held) if held else [0.0]
+    whole = [i for i in range(1, len(count)) if count[i] == count[0] and page.tag[i] in CONTAINER] if held else []
+    best = max(whole, default=None)  # they are nested, the deepest has the highest number
+    return best, score[best] if best else 0.0
 
 
-def beside(found, best: str | None) -> list[str]:
-    """Paths of the innermost containers of the blocks that are not under the best one, without those around it."""
-    inner = {paths[-1] for _, paths, _, _ in found if paths and best not in paths}
-    return sorted(p for p in inner if not f"{best}/".startswith(f"{p}/"))
+def beside(page: Page, best: int) -> list[int]:
+    """Keys of the innermost containers of the blocks that are not under the best one, without those around it."""
+    inside, around = page.under(best), set()
+    at = best
+    while at:
+        around.add(at)
+        at = page.parent[at]
+    inner = {page.container(path) for path in {p for _, p, _, _ in page.blocks if not inside[p]}}
+    return sorted(page.key[i] for i in inner - around - {0})
 
 
 def _votes(batches):
-    for batch in batches:
-        pages = [blocks(p.as_py() or "") for p in batch.column("html")]
-        got = [best_path(found) for found in pages]
-        out = [beside(found, p) if p else [] for found, (p, _) in zip(pages, got, strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("host"), pa.array([p for p, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64()), pa.array(out, pa.list_(pa.string()))], names=["host", "path", "worth", "beside"]
-        )
+    for batch in parts(batches, "html", 1 << 20):
+        hosts, out = batch.column("host").to_pylist(), []
+        for host, html in zip(hosts, batch.column("html"), strict=True):
+            page = Page(html.as_py() or "")
+            best, worth = best_path(page)
+            if best:
+                out.append({"host": host, "path": page.name(best), "key": page.key[best], "worth": worth, "beside": beside(page, best)})
+        yield pa.RecordBatch.from_pylist(out, VOTE)
 
 
-def main_text(page: str, winner: str | None, outside=()) -> str:
+def main_text(html: str, winner: str | None, outside=()) -> str:
     """Blocks under the winning path if the page's own best container has no more prose than that, else under the own one.
 
-    Prose in the containers `outside`, which most pages of the host have beside the winner, counts as none. All blocks if no container is best.
+    Prose in the containers `outside` (their keys), which most pages of the host have beside the winner, counts as none. All
+    blocks if no container is best.
     """
-    found = blocks(page)
-    own = best_path(found)[0]
-    inside = [t for t, paths, _, _ in found if winner in paths] if winner else []
-    missed = (paths for t, paths, linked, _ in found if winner not in paths and prose(t, linked) and (own is None or own in paths))
-    if inside and all(paths and paths[-1] in outside for paths in missed):
-        return "\n".join(inside)
-    return "\n".join(t for t, paths, *_ in found if own is None or own in paths)
+    page = Page(html)
+    own, found = best_path(page)[0], page.find(winner)
+    mine = page.under(own)
+    if found:
+        inside, outside = page.under(found), set(outside)
+        missed = {p for text, p, linked, _ in page.blocks if not inside[p] and prose(text, linked) and (own is None or mine[p])}
+        if any(inside[p] for _, p, _, _ in page.blocks) and all(page.key[page.container(p)] in outside for p in missed):
+            own, mine = found, inside
+    return "\n".join(text for text, p, _, _ in page.blocks if own is None or mine[p])
 
 
 def consensus(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -159,12 +256,12 @@ def consensus(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     outside: the paths of containers beside the winner on more than half of the pages that voted for it.
     """
     ship(pages.sparkSession)
-    votes = cut(pages.select(url_parts(F.col(url_col))[0].alias("host"), F.col(html_col).alias("html")).mapInArrow(_votes, "host string, path string, worth double, beside array<string>").where("path is not null"))
-    counted = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("worth").alias("worth"))
+    votes = cut(pages.select(url_parts(F.col(url_col))[0].alias("host"), F.col(html_col).alias("html")).mapInArrow(_votes, "host string, path string, key long, worth double, beside array<long>"))
+    counted = votes.groupBy("host", "key").agg(F.min("path").alias("path"), F.count("*").alias("n"), F.sum("worth").alias("worth"))
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), F.desc("worth"), "path"))
-    winners = counted.withColumn("rank", rank).where("rank = 1").select("host", F.col("path").alias("winner"), "n")
-    seen = votes.select("host", "path", F.explode("beside").alias("p")).groupBy("host", "path", "p").count().withColumnRenamed("path", "winner")
-    outside = seen.join(winners, ["host", "winner"]).where("2 * count > n").groupBy("host").agg(F.sort_array(F.collect_list("p")).alias("outside"))
+    winners = counted.withColumn("rank", rank).where("rank = 1").select("host", "key", F.col("path").alias("winner"), "n")
+    seen = votes.select("host", "key", F.explode("beside").alias("p")).groupBy("host", "key", "p").count()
+    outside = seen.join(winners, ["host", "key"]).where("2 * count > n").groupBy("host").agg(F.sort_array(F.collect_list("p")).alias("outside"))
     return winners.join(outside, "host", "left").select("host", "winner", "outside")
 
 
@@ -181,7 +278,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, path string"
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, "html", 1 << 20):
             text = [main_text(p.as_py() or "", w.as_py(), o.as_py() or ()) for p, w, o in zip(batch.column("html"), batch.column("winner"), batch.column("outside"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), batch.column("winner")], names=["page_id", "url", "text", "path"])
 

@@ -26,3 +26,89 @@ def test_mixed_hosts(spark):
     story = "the story of the page " * 10
     got = texts(spark, [usual.format(f"article {i} " * 20) for i in range(5)] + [rare.format(story), usual.format("few")])
     assert got[0] == ("article 0 " * 20).strip() and got[5] == f"teaser\n{story.strip()}\nend" and got[6] == "few"
+
+
+def test_wrappers_named_like_boilerplate():
+    story = "<h1>Head</h1><p>" + "the story goes on " * 20 + "</p>"
+    want = "Head\n" + ("the story goes on " * 20).strip()
+    menu = "<nav><a href=/>menu</a></nav><div class=sidebar><p>side text</p></div>"
+    for open_, close in (
+        ('<div class="layout no-sidebar"><article>', "</article></div>"),
+        ('<div id="page" class="with-sidebar"><article>', "</article></div>"),
+        ('<div class="site search"><article>', "</article></div>"),
+        ("<form action=/><article>", "</article></form>"),
+        ('<form action=/><div class="sidebar">', "</div></form>"),
+        ("<main>", '<section class="thread"><article class="comment"><p>I hate it</p></article></section></main>'),
+        ("<article>", '<div class="comments"><p>I hate it, and all of you</p></div></article>'),
+        ("<article><div class=ad>buy</div>", '<div class="share-buttons">share</div></article><div id=comment-list><p>me too</p></div>'),
+    ):
+        assert H.main_text(f"<body>{menu}{open_}{story}{close}<footer>end</footer></body>", None) == want, open_
+    kept = H.main_text("<article><h1 class='page-header'>T</h1><h2 id='related-work'>R</h2><section id='search-methods'><p>long text of it</p></section><p title=it's data-id=ads>q</p></article>", None)
+    assert kept == "T\nR\nlong text of it\nq"
+
+
+def test_long_and_deep_pages_take_linear_time():
+    import time
+
+    for page, want in (
+        ("<div>" * 100_000 + "x", "x"),
+        ("<div class=a><p>t" * 20_000, "\n".join("t" * 20_000)),
+        ("<p title='a" * 50_000, ""),
+        ('<b "' * 50_000 + ">x", "x"),
+        ("<p>" + "a < b & c </ d <" * 50_000, None),
+    ):
+        began = time.perf_counter()
+        text = H.main_text(page, "body/div.a")
+        assert want is None or text == want
+        assert time.perf_counter() - began < 3
+
+
+def test_pages_of_the_tables_by_a_plain_extractor():
+    """On the test tables, whose pages have an article or a div of the class main, that element's blocks are the text."""
+    from html.parser import HTMLParser
+
+    import duckdb
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.depth, self.skip, self.out, self.piece = 0, 0, [], []
+
+        def cut(self):
+            if text := " ".join("".join(self.piece).split()):
+                self.out.append(text)
+            self.piece = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("script", "style"):
+                self.skip += 1
+            if tag in H.BLOCK or tag in H.AWAY:
+                self.cut()
+            if tag == "br" and self.depth:
+                self.piece.append(" ")
+            if tag == self.within and (self.depth or dict(attrs).get("class") == self.named):
+                self.depth += 1
+
+        def handle_endtag(self, tag):
+            if tag in ("script", "style"):
+                self.skip -= 1
+            if tag in H.BLOCK or tag in H.AWAY:
+                self.cut()
+            if tag == self.within and self.depth:
+                self.depth -= 1
+
+        def handle_data(self, data):
+            if self.depth and not self.skip:
+                self.piece.append(data)
+
+    seen = 0
+    for (html,) in duckdb.sql("select html from '/root/testdata/sf0.01/pages.parquet' where html is not null").fetchall():
+        if html.count("<article>") != 1 or "</article>" not in html:
+            continue
+        p = Plain()
+        p.within, p.named = "article", None
+        p.feed(html)
+        p.close()
+        seen += 1
+        assert H.main_text(html, None) == "\n".join(p.out)
+    assert seen > 50
