@@ -247,7 +247,9 @@ def components(edges: DataFrame) -> DataFrame:
         discard(edges, low, large, least)
         edges = after
         if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            roots.table_path = edges.table_path
+            return roots
         state = now
 
 

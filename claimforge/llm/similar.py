@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimforge.llm.common import cut, keyed, parts, release, ship, utf8
+from claimforge.llm.common import cut, discard, keyed, parts, release, ship, utf8
 from claimforge.llm.simhash_golay import components, links
 
 SHINGLE = 5
@@ -184,15 +184,14 @@ def _near(batches):
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) of nodes whose sets have a Jaccard similarity of at least 0.8, as a table."""
 
-    def ends(df, some, **columns):
+    def ends(df, **columns):
         for c in "uv":
-            df = df.join(some.select(F.col("node").alias(c), *[F.col(k).alias(v + c) for k, v in columns.items()]), c)
+            df = df.join(sets.select(F.col("node").alias(c), *[F.col(k).alias(v + c) for k, v in columns.items()]), c)
         return df
 
-    near = cut(ends(pairs, sets, n="n", sketch="s").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(_near, "u long, v long"))
-    needed = cut(near.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    some = cut(sets.select("node", "set").join(needed, "node", "left_semi"))
-    found = cut(ends(near, some, set="h").select("u", "v", "hu", "hv").mapInArrow(_verify, "u long, v long"))
+    near = cut(ends(pairs, n="n", sketch="s").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(_near, "u long, v long"))
+    found = cut(ends(near, set="h").select("u", "v", "hu", "hv").mapInArrow(_verify, "u long, v long"))
+    discard(near)
     return found
 
 
@@ -200,29 +199,44 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def one_of_each(docs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """docs with repeated rows of one key (as `rows`, which has the keys of docs, shows them) once."""
+    again = cut(rows.groupBy(key).count().where("count > 1").select(key))
+    if again.isEmpty():
+        return docs
+    return docs.join(again, key, "left_anti").unionByName(docs.join(again, key, "left_semi").dropDuplicates([key]))
+
+
 def similar_components(docs: DataFrame, seed: int = 42, hot: int = HOT) -> DataFrame:
-    """Per row of docs, whose ids are unique and not null: doc_id and root, the same for rows that links of similarity 0.8 or more connect.
+    """Per row of docs: doc_id and root, the same for rows that links of similarity 0.8 or more connect.
 
-    Words are lower-case ASCII letters and other bytes between white space; a text of fewer than five words is one shingle, and
-    texts without words are alike. Shingles and texts are told apart by hashes of 64 bits.
+    Ids are not null; rows of one id have one text. Words are lower-case ASCII letters and other bytes between white space; a
+    text of fewer than five words is one shingle, and texts without words are alike. Shingles and texts are told apart by
+    hashes of 64 bits.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = keyed(docs, "doc_id", "text")
     rows = cut(docs.mapInArrow(_nodes(seed), "doc_id long, node long"))
     once = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = cut(docs.join(once, "doc_id").select("node", "text").mapInArrow(_sets(SHINGLE, seed), "node long, fp long, n long, sketch binary, set array<long>"))
+    sets = cut(one_of_each(docs, rows, "doc_id").join(once, "doc_id").select("node", "text").mapInArrow(_sets(SHINGLE, seed), "node long, fp long, n long, sketch binary, set array<long>"))
     nodes = sets.select("node", "fp")
-    first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    first = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")))
     same = nodes.join(first, "fp").select(F.col("node").alias("u"), F.col("first").alias("v"))
     edges = links(first.select("fp"))
     ends = edges.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
     met = cut(prefix_keys(sets, hot).repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_meet, "key long, n long, u long, v long"))
-    tried = cut(_pairs(same.unionByName(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))).unionByName(met.where("v is not null").select("u", "v"))))
+    # of all that a text meets, first the one that it meets most often; what that leaves open comes later
+    most = met.where("v is not null").groupBy("u", "v").count().groupBy("u").agg(F.max_by("v", F.struct("count", "v")).alias("v"))
+    tried = cut(_pairs(same.unionByName(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))).unionByName(most)))
     found = verified(tried, sets)
     roots = components(found)
     labelled = met.select("key", "n", F.col("u").alias("node")).join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root"))
     rest = labelled.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_apart, "u long, v long").distinct()
     rest = cut(rest.join(tried, ["u", "v"], "left_anti"))
-    roots = components(found.unionByName(verified(rest, sets)))
+    discard(met, tried, first, roots)
+    more = verified(rest, sets)
+    discard(sets, rest)
+    roots = components(found.unionByName(more))
+    discard(found, more)
     return rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))

@@ -13,7 +13,7 @@ from claimforge.llm.common import cut, read_table
 from claimforge.llm.mixing import label_weights, repeats
 from claimforge.llm.prefix_bpe import bpe_round_trip
 from claimforge.llm.quality import classify_rows, grades_of, train
-from claimforge.llm.similar import similar_components
+from claimforge.llm.similar import one_of_each, similar_components
 from claimforge.llm.suffix_dedup import suffix_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -35,12 +35,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     It is the one of least doc_id, null ids last, then of the least hash of its columns.
     """
-    docs = cut(_documents(docs).withColumn("row", F.monotonically_increasing_id()).withColumn("tie", F.xxhash64(*COLUMNS)))
-    member = similar_components(docs.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
-    member = cut(member.join(docs.select("row", "doc_id", "tie"), "row").select("row", "root", F.struct(F.isnull("doc_id").alias("null"), "doc_id", "tie", "row").alias("rank")))
-    least = member.groupBy("root").agg(F.min("rank")["row"].alias("first"))
-    found = member.join(least, "root").where("row != first").select("row")
-    return docs.join(found, "row", "left_anti").select(*COLUMNS)
+    docs = _documents(docs).withColumn("row", F.xxhash64(*COLUMNS))  # repeated rows share it
+    member = similar_components(docs.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row").distinct()
+    ids = docs.select("row", F.struct(F.isnull("doc_id").alias("null"), "doc_id", "row").alias("rank")).distinct()
+    first = cut(member.join(ids, "row").groupBy("root").agg(F.min("rank")["row"].alias("row")).select("row"))
+    kept = docs.join(first, "row", "left_semi")
+    return one_of_each(kept, docs.select("row"), "row").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

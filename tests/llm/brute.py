@@ -72,3 +72,25 @@ def linked(ids, fps, radius=3):
             a, b = find(i), find(int(j))
             parent[max(a, b)] = min(a, b)
     return {int(ids[i]): int(ids[find(i)]) for i in range(len(ids))}
+
+
+def similar_firsts(rows, shingle=5, least=0.8):
+    """Least ids of the components of texts whose sets of word shingles have a Jaccard similarity of at least 0.8, of all pairs."""
+    sets = {}
+    for d, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[d] = {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
+    ids, root = sorted(sets), {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            x, y = sets[a], sets[b]
+            if (not x and not y) or min(len(x), len(y)) >= least * max(len(x), len(y)) and len(x & y) >= least * len(x | y):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return {d for d in ids if find(d) == d}
