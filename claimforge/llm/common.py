@@ -19,13 +19,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: What the operators need of a session: Arrow batches of bounded bytes, and shuffle files that go when their query has ended.
-SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def tune(spark: SparkSession) -> None:
-    for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+    """Arrow batches of bounded bytes, which bounds what workers and the JVM hold of long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,14 +38,19 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Writes a data frame to the shared folder and reads it.
 
-    The data survive lost executors and the lineage ends here. `discard` deletes the table once nothing reads it any more;
+    The data survive lost executors and the lineage ends here; the write's shuffle files go with it. `discard` deletes the table once nothing reads it any more;
     the file system does so at the latest when the driver ends.
     """
     spark = df.sparkSession
     tune(spark)
     sc = spark.sparkContext
     where = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(where)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # for this write only: results that are read bit by bit need their shuffles longer
+    try:
+        df.write.option("compression", "zstd").parquet(where)
+    finally:
+        spark.conf.set(CLEANUP, before)
     path = sc._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
     out = spark.read.schema(df.schema).parquet(where)

@@ -111,7 +111,7 @@ def prefix_keys(sets: DataFrame, hot: int = HOT) -> DataFrame:
     for _ in range(ROUNDS):
         keys = sets.mapInArrow(_prefixes(spark.sparkContext.broadcast(late)), "key long, node long, n long")
         found = keys.groupBy("key").count().where(F.col("count") > hot).orderBy(F.desc("count"), "key").limit(HELD)
-        new = sorted(set(late) | {r.key for r in found.select("key").toLocalIterator()})[:HELD]
+        new = sorted(set(late) | {r.key for r in found.select("key").collect()})[:HELD]
         if new == late:
             break
         late = new
