@@ -9,6 +9,8 @@ of its bucket, then only pairs of a bucket that are not yet connected meet, so g
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,6 +24,7 @@ SHINGLE = 5
 #: buckets of more texts than HOT put their shingle last in the order; at most HELD such shingles go to the workers
 HOT, HELD, ROUNDS = 64, 1 << 17, 2
 BITS = 1024
+ROOM, TURNS = 8, 4
 
 
 def least_overlap(n):
@@ -44,7 +47,8 @@ def _nodes(seed: int):
 
 
 def _sets(shingle: int, seed: int):
-    """(node, fp, n, sketch, set): fingerprint, size, bits of parity and hashes of the shingles of each text."""
+    """(node, fp, n, sketch, hi, lo): fingerprint, size, bits of parity and sorted hashes of the shingles of each text, the
+    upper and the lower halves of the hashes apart, as most comparisons need the upper ones only."""
     digest = xxhash.xxh64_intdigest
 
     def run(batches):
@@ -66,11 +70,10 @@ def _sets(shingle: int, seed: int):
                 sets.append(h)
                 sketches.append(np.packbits(np.bincount((h % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1 == 1).tobytes())
             del view
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
-            n = pa.array(np.diff(ends).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(fp.view(np.int64)), n, pa.array(sketches, pa.binary()), lists], names=["node", "fp", "n", "sketch", "set"])
-            del lists, sets
+            halves = [pa.array([(h >> np.uint64(shift)).astype("<u4").tobytes() for h in sets], pa.binary()) for shift in (32, 0)]
+            n = pa.array([len(h) for h in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(fp.view(np.int64)), n, pa.array(sketches, pa.binary()), *halves], names=["node", "fp", "n", "sketch", "hi", "lo"])
+            del halves, sets
             release()
 
     return run
@@ -82,12 +85,12 @@ def _prefixes(hot):
     def run(batches):
         late = np.sort(np.array(hot.value, np.int64))
         for batch in batches:
-            nodes, lists = batch.column("node").to_numpy(), batch.column("set")
-            off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            nodes, halves = batch.column("node").to_numpy(), [batch.column(c) for c in ("hi", "lo")]
             for first in range(0, len(nodes), 1024):
                 keys, owner, sizes = [], [], []
                 for i in range(first, min(first + 1024, len(nodes))):
-                    h = flat[off[i] : off[i + 1]]
+                    hi, lo = (np.frombuffer(x[i].as_buffer(), "<u4").astype(np.uint64) for x in halves)
+                    h = (hi << np.uint64(32) | lo).view(np.int64)
                     n = len(h)
                     if not n:
                         continue
@@ -107,7 +110,7 @@ def _prefixes(hot):
 def prefix_keys(sets: DataFrame, hot: int = HOT) -> DataFrame:
     """(key, node, n): prefixes of the sets. Which shingles count as hot changes the number of candidates, never the pairs."""
     spark, late = sets.sparkSession, []
-    sets = sets.select("node", "set")
+    sets = sets.select("node", "hi", "lo")
     for _ in range(ROUNDS):
         keys = sets.mapInArrow(_prefixes(spark.sparkContext.broadcast(late)), "key long, node long, n long")
         found = keys.groupBy("key").count().where(F.col("count") > hot).orderBy(F.desc("count"), "key").limit(HELD)
@@ -161,15 +164,32 @@ def _apart(batches):
             step += 1
 
 
+def _common(p: np.ndarray, q: np.ndarray) -> int:
+    """How many of p are in q, which is sorted."""
+    return int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) if len(q) else 0
+
+
 def _verify(batches):
+    """Pairs by the upper halves of the hashes. Equal halves of different shingles only add to what is common, so a pair below
+    the similarity is settled, and one above it by more than ROOM shingles too; `sure` says which."""
+    for batch in batches:
+        like, sure = [], []
+        for u, v in zip(batch.column("hu"), batch.column("hv"), strict=True):
+            p, q = (np.frombuffer(x.as_buffer(), "<u4") for x in (u, v))
+            both = _common(p, q)
+            like.append(9 * both >= 4 * (len(p) + len(q)))
+            sure.append(9 * (both - ROOM) >= 4 * (len(p) + len(q)) or not len(p) and not len(q))
+        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(sure, pa.bool_())], names=["u", "v", "sure"]).filter(pa.array(like, pa.bool_()))
+
+
+def _settle(batches):
+    """Pairs by whole hashes."""
     for batch in batches:
-        u, v = batch.column("hu"), batch.column("hv")
-        (a, x), (b, y) = ((c.offsets.to_numpy(), c.values.to_numpy()) for c in (u, v))
         ok = []
-        for i in range(batch.num_rows):
-            p, q = x[a[i] : a[i + 1]], y[b[i] : b[i + 1]]
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            ok.append(9 * both >= 4 * (len(p) + len(q)))
+        for row in zip(*(batch.column(c) for c in ("hu", "lu", "hv", "lv")), strict=True):
+            hu, lu, hv, lv = (np.frombuffer(x.as_buffer(), "<u4").astype(np.uint64) for x in row)
+            p, q = hu << np.uint64(32) | lu, hv << np.uint64(32) | lv
+            ok.append(9 * _common(p, q) >= 4 * (len(p) + len(q)))
         yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
@@ -190,8 +210,14 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return df
 
     near = cut(ends(pairs, n="n", sketch="s").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(_near, "u long, v long"))
-    found = cut(ends(near, set="h").select("u", "v", "hu", "hv").mapInArrow(_verify, "u long, v long"))
-    discard(near)
+    tables = []
+    for i in range(TURNS):  # the sets of some pairs at a time, which bounds the shuffles
+        some = near.where(F.pmod(F.xxhash64("u", "v"), F.lit(TURNS)) == i)
+        tables.append(cut(ends(some, hi="h").select("u", "v", "hu", "hv").mapInArrow(_verify, "u long, v long, sure boolean")))
+    like = reduce(DataFrame.unionByName, tables)
+    open_ = ends(like.where("not sure").select("u", "v"), hi="h", lo="l").select("u", "v", "hu", "lu", "hv", "lv").mapInArrow(_settle, "u long, v long")
+    found = cut(like.where("sure").select("u", "v").unionByName(open_))
+    discard(near, *tables)
     return found
 
 
@@ -219,7 +245,7 @@ def similar_components(docs: DataFrame, seed: int = 42, hot: int = HOT) -> DataF
     docs = keyed(docs, "doc_id", "text")
     rows = cut(docs.mapInArrow(_nodes(seed), "doc_id long, node long"))
     once = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = cut(one_of_each(docs, rows, "doc_id").join(once, "doc_id").select("node", "text").mapInArrow(_sets(SHINGLE, seed), "node long, fp long, n long, sketch binary, set array<long>"))
+    sets = cut(one_of_each(docs, rows, "doc_id").join(once, "doc_id").select("node", "text").mapInArrow(_sets(SHINGLE, seed), "node long, fp long, n long, sketch binary, hi binary, lo binary"))
     nodes = sets.select("node", "fp")
     first = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")))
     same = nodes.join(first, "fp").select(F.col("node").alias("u"), F.col("first").alias("v"))
