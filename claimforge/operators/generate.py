@@ -5,20 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimforge.functions.text import strip
 from claimforge.sources.kb import KnowledgeBase
 
 
-def plural(c):
-    """A simple plural: words in -s keep it, others get it."""
-    return F.when(c.endswith("s"), c).otherwise(F.concat(c, F.lit("s")))
+def _asked(text):
+    """A question as it is asked: endings -ss and -ys tidied, a capital first and nothing but small letters after it."""
+    tidy = F.replace(F.replace(text, F.lit("ss?"), F.lit("s?")), F.lit("ys?"), F.lit("ies?"))
+    return F.concat(F.upper(F.substring(tidy, 1, 1)), F.lower(F.substr(tidy, F.lit(2))))
 
 
 def questions_from_kb(kb: KnowledgeBase, per_key: int = 2) -> DataFrame:
-    """(question, ground_truth, type, source): true questions from the first parents and properties of each key, in order of name."""
-    take = lambda df, k, v: df.groupBy(k).agg(F.slice(F.array_sort(F.collect_set(v)), 1, per_key).alias("v")).select(k, F.explode("v").alias("v"))
-    a = take(kb.isa, "child", "parent").select(F.concat(F.lit("Are all "), plural(F.col("child")), F.lit(" "), plural(F.col("v")), F.lit("?")).alias("question"), F.lit("taxonomic").alias("type"))
-    b = take(kb.has_prop, "entity", "prop").select(F.concat(F.lit("Do all "), plural(F.col("entity")), F.lit(" have "), F.replace("v", F.lit("_"), F.lit(" ")), F.lit("?")).alias("question"), F.lit("categorical").alias("type"))
-    return a.unionByName(b).select("question", F.lit(True).alias("ground_truth"), "type", F.lit("kb_generated").alias("source"))
+    """(question, ground_truth, type, source): true questions from the first parents and properties of each key and its first consequence.
+
+    First by the column pos where there is one, else by name. Keys and parents of one or two letters give no question; no question comes twice.
+    """
+
+    def take(df, k, v, n):
+        first = F.array_sort(F.collect_set(F.struct(*(["pos"] if "pos" in df.columns else []), v)))
+        return df.groupBy(k).agg(F.slice(first, 1, n).alias("v")).select(k, F.explode("v").alias("v")).select(k, F.col("v")[v].alias("v"))
+
+    asked = lambda df, kind, *parts: df.select(_asked(F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])).alias("question"), F.lit(kind).alias("type"))
+    long = lambda c: F.length(c) > 2
+    child, said = F.col("child"), F.replace("v", F.lit("_"), F.lit(" "))
+    a = asked(take(kb.isa, "child", "parent", per_key).where(long("child") & long("v")), "taxonomic", "Are all ", F.when(child.endswith("s"), child).otherwise(F.concat(child, F.lit("s"))), " ", F.col("v"), "s?")
+    b = asked(take(kb.has_prop, "entity", "prop", per_key).where(long("entity")), "categorical", "Do all ", F.col("entity"), "s have ", said, "?")
+    c = asked(take(kb.rule, "condition", "consequence", 1), "hypothetical", "If ", F.col("condition"), ", does ", said, " occur?")
+    return a.unionByName(b).unionByName(c).distinct().select("question", F.lit(True).alias("ground_truth"), "type", F.lit("kb_generated").alias("source"))
 
 
 def not_yet(candidates: DataFrame, existing: DataFrame, least: int = 10) -> DataFrame:
@@ -28,7 +41,21 @@ def not_yet(candidates: DataFrame, existing: DataFrame, least: int = 10) -> Data
     return out.join(existing.select(low.alias("low_")).distinct(), "low_", "left_anti").drop("low_")
 
 
-def mentions(questions: DataFrame, kb: KnowledgeBase) -> DataFrame:
-    """Questions in which a child of the knowledge base occurs as a word; an equi-join on words, not a nested loop."""
-    words = questions.select("question", F.explode(F.array_distinct(F.split(F.lower("question"), r"\W+"))).alias("child"))
-    return words.join(kb.isa.select("child").distinct(), "child", "left_semi").select("question").distinct()
+def mentions(questions: DataFrame, kb: KnowledgeBase, least: int = 10) -> DataFrame:
+    """Distinct questions of `least` characters at least in which a key of isa or of the properties occurs, in any case and place.
+
+    The pieces of a question that are as long as some key meet the keys by an equi-join, not by a nested loop.
+    """
+    keys = kb.isa.select(F.col("child").alias("key")).unionByName(kb.has_prop.select(F.col("entity").alias("key"))).where("key != ''").distinct()
+    sizes = sorted(r.n for r in keys.select(F.length("key").alias("n")).distinct().collect())  # as many as the longest key has letters, at most
+    if not sizes:
+        return questions.select("question").limit(0)
+    asked = questions.select(strip(F.col("question")).alias("question")).where(F.length("question") >= least).distinct()
+    low = F.lower("question")
+
+    def pieces(n: int):
+        starts = F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1)))
+        return F.when(F.length(low) >= n, F.transform(starts, lambda i: F.substr(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    met = asked.select("question", F.explode(F.array_distinct(F.concat(*map(pieces, sizes)))).alias("key"))
+    return met.join(keys, "key", "left_semi").select("question").distinct()

@@ -438,8 +438,11 @@ def p3_o4_blank_and_truncate(spark, d):
     return table(spark, d, "documents").where(T.strip(F.col("text")) != "").select("doc_id", F.substring("text", 1, 50).alias("head"))
 
 
-GEN = f"""WITH {GEO}, t AS (SELECT child, parent, row_number() OVER (PARTITION BY child ORDER BY parent) AS n FROM edges), q AS (SELECT entity, prop, row_number() OVER (PARTITION BY entity ORDER BY prop) AS n FROM prop),
-g AS (SELECT 'Are all ' || CASE WHEN child LIKE '%s' THEN child ELSE child || 's' END || ' ' || CASE WHEN parent LIKE '%s' THEN parent ELSE parent || 's' END || '?' AS question, 'taxonomic' AS type FROM t WHERE n <= 2 UNION ALL SELECT 'Do all ' || CASE WHEN entity LIKE '%s' THEN entity ELSE entity || 's' END || ' have ' || replace(prop, '_', ' ') || '?', 'categorical' FROM q WHERE n <= 2)"""
+GEN = f"""WITH {GEO}, {RULES}, t AS (SELECT child, parent, row_number() OVER (PARTITION BY child ORDER BY parent) AS n FROM edges), q AS (SELECT entity, prop, row_number() OVER (PARTITION BY entity ORDER BY prop) AS n FROM prop),
+w AS (SELECT 'Are all ' || CASE WHEN child LIKE '%s' THEN child ELSE child || 's' END || ' ' || parent || 's?' AS x, 'taxonomic' AS type FROM t WHERE n <= 2 AND length(child) > 2 AND length(parent) > 2
+UNION SELECT 'Do all ' || entity || 's have ' || replace(prop, '_', ' ') || '?', 'categorical' FROM q WHERE n <= 2 AND length(entity) > 2
+UNION SELECT 'If ' || e || ' happens, does level ' || min(k::VARCHAR) || ' occur?', 'hypothetical' FROM rules GROUP BY e),
+y AS (SELECT replace(replace(x, 'ss?', 's?'), 'ys?', 'ies?') AS x, type FROM w), g AS (SELECT DISTINCT upper(x[1:1]) || lower(x[2:]) AS question, type FROM y)"""
 
 
 @register(f"{GEN} SELECT question, true AS ground_truth, type, 'kb_generated' AS source FROM g")
@@ -453,11 +456,13 @@ def d11_not_yet_asked(spark, d):
     return G.not_yet(q, q.where(F.contains("question", F.lit("furniture"))).select(F.upper("question").alias("question"))).select("question", "type")
 
 
-@register(f"WITH {GEO} SELECT 'What of ' || upper(c) || ', then?' AS question FROM cust WHERE c_custkey % 3 = 0")
+@register(f"WITH {GEO}, k AS (SELECT child AS key FROM edges UNION SELECT entity FROM prop), x AS (SELECT CASE c_custkey % 4 WHEN 0 THEN 'What of ' || upper(c) || 'S, then?' WHEN 1 THEN 'In ' || upper(n) || ', who?' WHEN 2 THEN 'What of x' || c_custkey || '?' ELSE 'of ' || r END AS question FROM cust) SELECT DISTINCT question FROM x WHERE length(question) >= 10 AND EXISTS (SELECT 1 FROM k WHERE contains(lower(question), key))")
 def d8_mentions(spark, d):
-    c = table(spark, d, "customer")
-    name = F.when(F.col("c_custkey") % 3 == 0, F.upper(token("c_name"))).otherwise(F.concat(F.lit("x"), token("c_name")))
-    return G.mentions(c.select(F.concat(F.lit("What of "), name, F.lit(", then?")).alias("question")), geography(spark, d))
+    """Keys within words, as of a plural, count; questions without one go, and those of fewer than ten letters."""
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    m = F.col("c_custkey") % 4
+    q = F.when(m == 0, F.concat(F.lit("What of "), F.upper(token("c_name")), F.lit("S, then?"))).when(m == 1, F.concat(F.lit("In "), F.upper("n_name"), F.lit(", who?"))).when(m == 2, F.concat(F.lit("What of x"), F.col("c_custkey").cast("string"), F.lit("?"))).otherwise(F.concat(F.lit("of "), F.lower("r_name")))
+    return G.mentions(c.select(q.alias("question")), geography(spark, d))
 
 
 # ---------------------------------------------------------------- records of models, theories
