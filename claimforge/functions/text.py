@@ -26,6 +26,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, U + r"^\s+|\s+$", "")
 
 
+def head(c: Column, most: int) -> Column:
+    """The first characters, for a report."""
+    return F.substring(c, 1, most)
+
+
 def clean_question(q: Column) -> Column:
     """Lower case, stripped, then without question marks at the end; space before these stays."""
     return F.regexp_replace(strip(F.lower(strip(q))), r"\?+$", "")

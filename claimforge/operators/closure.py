@@ -1,4 +1,4 @@
-"""Transitive closure of IS-A pairs by semi-naive iteration; safe on cycles, whose members become their own ancestors."""
+"""Transitive closure of IS-A pairs by path doubling; safe on cycles, whose members become their own ancestors."""
 
 from __future__ import annotations
 
@@ -16,19 +16,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """All (child, ancestor) pairs of edges (child, parent). Each round joins only the pairs found in the last one.
+    """All (child, ancestor) pairs of edges (child, parent), in as many rounds as the logarithm of the longest shortest path.
 
-    A round's output is checkpointed, which cuts the growing lineage; the number of rounds is the longest path. Parents that are
-    nobody's child end a path, so they need no row of their own.
+    Before round i, known holds the pairs at a distance below 2^i and step those at exactly 2^(i-1) that are in no shorter one:
+    step after step gives the next steps, step after known all between. A round's output is checkpointed, which cuts the lineage.
     """
-    edges = checkpointed(edges.select("child", "parent").where("child is not null and parent is not null").distinct())
-    known = delta = edges.select("child", F.col("parent").alias("ancestor"))
-    step = edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("next"))
-    while not delta.isEmpty():
-        found = delta.join(step, "ancestor").select("child", F.col("next").alias("ancestor")).distinct()
-        delta = checkpointed(found.join(known, ["child", "ancestor"], "left_anti"))
-        known = known.unionByName(delta)  # all parts are checkpointed, none is written again
-    return known
+    step = known = checkpointed(edges.select("child", F.col("parent").alias("ancestor")).where("child is not null and ancestor is not null").distinct())
+    pair = ["child", "ancestor"]
+
+    def after(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.join(b.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("next")), "ancestor").select("child", F.col("next").alias("ancestor")).distinct()
+
+    while True:
+        step = checkpointed(after(step, step).join(known, pair, "left_anti"))
+        if step.isEmpty():
+            return known
+        between = checkpointed(after(step, known).join(known, pair, "left_anti").join(step, pair, "left_anti"))
+        known = known.unionByName(step).unionByName(between)  # all parts are checkpointed, none is written again
 
 
 def reachable(pairs: DataFrame, closed: DataFrame) -> DataFrame:

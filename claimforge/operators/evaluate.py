@@ -10,6 +10,22 @@ from claimforge.functions import text as T
 RECORD = ("idx", "run_key", "question", "type", "source", "ground_truth", "llm_raw", "llm_parsed", "graph_answer", "graph_covered", "final_answer", "is_correct", "method", "caught", "epistemic_state", "proof", "model", "guarded")
 
 
+def base_model(run_key: Column) -> Column:
+    """A run's model: the key without its ending."""
+    return F.regexp_replace(run_key, "_(baseline|guarded)$", "")
+
+
+def select_runs(df: DataFrame, keys, column: str = "run_key") -> DataFrame:
+    """Rows of the named runs or models; None: all."""
+    return df if keys is None else df.where(F.col(column).isin(*keys))
+
+
+def unknown_keys(df: DataFrame, keys, column: str = "run_key") -> DataFrame:
+    """(ord, key) of the asked keys that have no row, in the order asked."""
+    asked = df.sparkSession.createDataFrame(list(enumerate(keys)), "ord int, key string")
+    return asked.join(df.select(F.col(column).alias("key")).distinct(), "key", "left_anti").select("ord", "key")
+
+
 def override(guarded: Column, parsed: Column, answer: Column, covered: Column, truth: Column) -> list[Column]:
     """final_answer, method, caught: a covered verdict replaces a guarded answer; a missing answer counts as different."""
     used = guarded & covered & answer.isNotNull()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,11 @@ def questions_from_kb(kb: KnowledgeBase, per_key: int = 2) -> DataFrame:
     return a.unionByName(b).unionByName(c).distinct().select("question", F.lit(True).alias("ground_truth"), "type", F.lit("kb_generated").alias("source"))
 
 
+def combined(*frames: DataFrame) -> DataFrame:
+    """All questions of several frames, by name; repeats stay."""
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
 def not_yet(candidates: DataFrame, existing: DataFrame, least: int = 10) -> DataFrame:
     """Candidates whose question, in any case, is not among the existing ones; one of each; `least` characters at least."""
     low = F.lower("question")

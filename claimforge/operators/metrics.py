@@ -46,6 +46,11 @@ def caught_and_errors(df: DataFrame) -> DataFrame:
     return df.groupBy("run_key").agg(F.count_if(F.col("guarded") & F.col("caught")).alias("caught"), F.count_if(F.col("guarded") & wrong).alias("llm_errors"))
 
 
+def query_set_stats(questions: DataFrame) -> DataFrame:
+    """(type, source, total, true_n, false_n) of each type (source null) and of each source (type null), in one pass; a missing truth is in neither count."""
+    return questions.groupingSets([["type"], ["source"]], "type", "source").agg(F.count("*").alias("total"), F.count_if("ground_truth").alias("true_n"), F.count_if(~F.col("ground_truth")).alias("false_n"))
+
+
 def last_of_each(df: DataFrame, *keys: str) -> DataFrame:
     """The row of greatest idx for each key."""
     return df.withColumn("rn_", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("idx")))).where("rn_ = 1").drop("rn_")
@@ -73,6 +78,11 @@ def outcome_questions(pairs: DataFrame, outcome: str, most: int) -> DataFrame:
     return pairs.where(F.col("outcome") == outcome).select("idx", "question").orderBy("idx").limit(most)
 
 
+def covered_details(coverage: DataFrame) -> DataFrame:
+    """The covered rows of coverage records."""
+    return coverage.where("covered").select("idx", "epistemic_state", "pattern_type", "question", "category")
+
+
 def coverage_rates(df: DataFrame, *by: str) -> DataFrame:
     """Total, covered, coverage rate and non-interference in percent, two digits; zero rows give zero."""
     n, c = F.count("*"), F.count_if("covered")

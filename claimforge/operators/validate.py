@@ -29,14 +29,24 @@ def _word(flag: Column) -> Column:
 
 
 def rule_verdicts(pairs: DataFrame, rule: DataFrame, loose: bool = False) -> DataFrame:
-    """pairs (idx, condition, consequence) with fired (some spelling of both is a rule) and known (some condition spelling is).
+    """Distinct pairs (lhs, rhs) whose condition heads a rule, with fired (some spelling of both is a rule) and known.
 
-    Any pair of spellings decides, so results don't depend on an order of spellings.
+    Any pair of spellings decides, so results don't depend on an order of spellings. A condition's rules are never one row: its
+    spellings meet the heads first, and only what is left meets the rules, spelling by spelling.
     """
-    rules = rule.groupBy("condition").agg(F.collect_set("consequence").alias("known_"))
-    forms = pairs.select("idx", T.consequence_forms(F.col("consequence"), loose).alias("forms_"), F.explode(T.condition_forms(F.col("condition"), loose)).alias("condition"))
-    met = forms.join(rules, "condition").groupBy("idx").agg(F.bool_or(F.arrays_overlap("forms_", "known_")).alias("fired"), F.lit(True).alias("known"))
-    return met
+    heads = rule.select("condition").where("condition is not null").distinct()
+    forms = pairs.select("lhs", "rhs", F.explode(T.condition_forms(F.col("lhs"), loose)).alias("condition")).join(heads, "condition")
+    spelled = forms.select("lhs", "rhs", "condition", F.explode(T.consequence_forms(F.col("rhs"), loose)).alias("consequence"))
+    facts = rule.select("condition", "consequence").distinct().withColumn("fact", F.lit(True))
+    met = spelled.join(facts, ["condition", "consequence"], "left")
+    return met.groupBy("lhs", "rhs").agg(F.coalesce(F.bool_or("fact"), F.lit(False)).alias("fired"), F.lit(True).alias("known"))
+
+
+def _without_graph(kb: KnowledgeBase) -> tuple[KnowledgeBase, DataFrame]:
+    """kb with no classes and properties and an empty closure: rule questions need neither."""
+    spark = kb.rule.sparkSession
+    none = lambda *names: spark.range(0).select(*[F.lit("").alias(n) for n in names])
+    return KnowledgeBase(none("child", "parent"), none("entity", "prop"), kb.rule), none("child", "ancestor")
 
 
 def validate(questions: DataFrame, kb: KnowledgeBase, closed: DataFrame | None = None, loose: bool = False) -> DataFrame:
@@ -47,7 +57,8 @@ def validate(questions: DataFrame, kb: KnowledgeBase, closed: DataFrame | None =
     synonyms and the label SHAKK. Null questions and unknown types are uncovered. closed: the closure of kb.isa, if at hand.
     """
     if closed is None:
-        closed = closure(kb.isa)
+        graph = questions.where(F.col("type").isin("taxonomic", "categorical"))
+        kb, closed = _without_graph(kb) if graph.isEmpty() else (kb, closure(kb.isa))
     q = parsed(questions, loose)
     kind = F.col("type")
     tax, cat, hyp = kind == "taxonomic", kind == "categorical", kind == "hypothetical"
@@ -67,8 +78,8 @@ def validate(questions: DataFrame, kb: KnowledgeBase, closed: DataFrame | None =
     facts = up.unionByName(spelled).distinct().withColumn("fact", F.lit(True))
     q = q.join(facts, ["subject_", "goal_", "type"], "left")
     q = q.join(have.select(F.col("entity").alias("subject_"), F.col("prop").alias("raw_"), F.lit(True).alias("raw_fact")).distinct(), ["subject_", "raw_"], "left") if loose else q.withColumn("raw_fact", F.lit(None).cast("boolean"))
-    fired = rule_verdicts(q.where(hyp & F.col("lhs").isNotNull()).select("idx", F.col("lhs").alias("condition"), F.col("rhs").alias("consequence")), kb.rule, loose)
-    q = q.join(fired, "idx", "left")
+    fired = rule_verdicts(q.where(hyp & F.col("lhs").isNotNull()).select("lhs", "rhs").distinct(), kb.rule, loose)
+    q = q.join(fired.withColumn("type", F.lit("hypothetical")), ["lhs", "rhs", "type"], "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     ok = F.col("lhs").isNotNull()
     covered = ok & F.when(tax, yes("is_node") | yes("raw_node")).when(cat, yes("is_node") | yes("has_own")).when(hyp, yes("known")).otherwise(False)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimforge.functions import constants as C
+from claimforge.operators import evaluate as E
 from claimforge.operators import metrics as M
 from claimforge.sources.kb import KnowledgeBase, stats
 
@@ -42,14 +43,29 @@ def cross_model_table(records: DataFrame, types) -> DataFrame:
     return whole.join(wide, "run_key").na.fill(0.0)
 
 
+def figures(records: DataFrame, types) -> DataFrame:
+    """One row a run: accuracy of each type and overall, precision, recall, F1, and of a guarded run intercepted errors of all ("0/0 (none)" elsewhere)."""
+    whole = M.rates(M.confusion(records, "run_key")).select("run_key", "precision", "recall", "f1", F.col("accuracy").alias("overall"))
+    wide = M.rates(M.confusion(records, "run_key", "type")).groupBy("run_key").pivot("type", list(types)).agg(F.first("accuracy"))
+    caught = interception_table(records).select(F.concat("base_model", F.lit("_guarded")).alias("run_key"), F.concat_ws("/", "intercepted", "llm_errors").alias("caught"))
+    return whole.join(wide, "run_key").join(caught, "run_key", "left").na.fill(0.0, list(types)).na.fill("0/0 (none)", ["caught"])
+
+
 def interception_table(records: DataFrame) -> DataFrame:
     """Outcomes of each model's guarded run against its baseline; false alarms are not the false positives of a confusion matrix."""
-    model = F.regexp_replace("run_key", "_(baseline|guarded)$", "")
-    df = records.withColumn("base_model", model)
+    df = records.withColumn("base_model", E.base_model(F.col("run_key")))
     pairs = M.paired(df.where("not guarded"), df.where("guarded"), "base_model")
     return M.interception(pairs, "base_model")
 
 
+def interception_by_name(records: DataFrame, order) -> DataFrame:
+    """(ord, label, llm_errors, caught, rate, false_alarms) of models with display labels in a given order; false alarms are the guarded run's false positives, zero without one."""
+    names = records.sparkSession.createDataFrame([(i, k, label) for i, (k, label) in enumerate(order)], "ord int, base_model string, label string")
+    fp = M.confusion(records.where("guarded").withColumn("base_model", E.base_model(F.col("run_key"))), "base_model").select("base_model", F.col("fp").alias("false_alarms"))
+    out = names.join(interception_table(records), "base_model").join(fp, "base_model", "left").na.fill(0, ["false_alarms"])
+    return out.select("ord", "label", "llm_errors", F.col("intercepted").alias("caught"), F.col("interception_rate").alias("rate"), "false_alarms")
+
+
 def kb_table(kb: KnowledgeBase) -> DataFrame:
     return stats(kb)
 
@@ -68,6 +84,24 @@ def coverage_table(records: DataFrame) -> DataFrame:
     return out.select("ord", "pattern_type", "total", "covered", M._share(F.col("total"), whole).alias("share"))
 
 
+def coverage_report(coverage: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(ord, line) of a coverage run: totals, the knowledge base's size, all four patterns, and every covered question.
+
+    nodes: the distinct classes known, one row each. Lines sort by ord; idx has at most 19 digits.
+    """
+    whole = M.coverage_rates(coverage).join(nodes.agg(F.count("*").alias("nodes")), F.lit(True))  # one row each
+    text = lambda label, form, *c: F.format_string(f"%-24s: {form}", F.lit(label), *map(F.col, c))
+    totals = F.array(
+        text("Questions", "%d", "total"), text("Classes known", "%d", "nodes"), text("Covered", "%d (%.1f%%)", "covered", "coverage_rate"),
+        F.format_string("%-24s: %d (%.1f%%)", F.lit("Not covered"), F.col("total") - F.col("covered"), F.col("non_interference")),
+    )
+    a = whole.select(F.posexplode(totals).alias("ord", "line")).select(F.format_string("1 %d", "ord").alias("ord"), "line")
+    by = coverage_table(coverage).withColumn("rate", M._share(F.col("covered"), F.col("total")))
+    b = by.select(F.format_string("2 %d", "ord").alias("ord"), F.format_string("%-16s total=%4d covered=%3d (%.1f%%)", "pattern_type", "total", "covered", "rate").alias("line"))
+    d = M.covered_details(coverage).select(F.format_string("3 %019d", F.col("idx").cast("long")).alias("ord"), F.format_string("[%-6s] [%-12s] %s", "epistemic_state", "pattern_type", "question").alias("line"))
+    return a.unionByName(b).unionByName(d)
+
+
 def metrics_report(records: DataFrame) -> DataFrame:
     """(ord, line) of the whole report: rates, then confusion blocks, then outcomes."""
     a = rates_table(records).select(F.concat(F.lit("1 "), "run_key").alias("ord"), "line")

@@ -4,46 +4,77 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from claimforge.functions import constants as C
 from claimforge.operators import evaluate as E
 from claimforge.operators.closure import closure
 from claimforge.operators.validate import coverage, validate
 from claimforge.plans import reports as R
 from claimforge.sources import ingest as I
 from claimforge.sources import kb as K
+from claimforge.sources import theories as TH
 
 STEPS = ("kb", "validate", "metrics", "coverage", "report")
 
 
-def run(spark: SparkSession, out: str, steps=STEPS, kb: str | None = None, theories: str | None = None, questions: str | None = None, answers: str | None = None, table: str | None = None) -> list[str]:
+def missing(spark: SparkSession, out: str, steps, kb=None, theories=None, questions=None, answers=None) -> list[str]:
+    """What the steps need and is not there: named inputs, and the records if no step makes them. A question table may be missing."""
+    named = [p for p in (kb, theories if "kb" in steps else None, *((questions, answers) if "validate" in steps else ())) if p]
+    gone = [p for p in named if not I.exists(spark, p)]
+    if {"metrics", "report"} & set(steps) and "validate" not in steps and not I.exists(spark, f"{out}/records"):
+        gone.append(f"{out}/records")
+    return gone
+
+
+def run(spark: SparkSession, out: str, steps=STEPS, kb: str | None = None, theories: str | None = None, questions: str | None = None, answers: str | None = None, table: str | None = None, models=None) -> list[str]:
     """Runs the steps in their order and returns those that ran; a step whose input isn't named is left out.
 
-    kb writes {out}/kb, with IS-A pairs of the theories merged in; validate writes {out}/records from questions (JSON) and answers
-    (Parquet: model, question, raw); metrics and report read these; coverage writes {out}/coverage of a CSV of questions.
+    Nothing starts while a named input is missing, and a step that fails ends the run, but for coverage: it is only reported.
+    kb writes {out}/kb, with facts of the theories merged in; validate writes {out}/records from questions (JSON) and answers
+    (Parquet: model, question, raw), and {out}/results, a document of all and one of each model; metrics and report read the records;
+    coverage writes {out}/coverage of a CSV of questions and its report. models: those of the answers to take; unknown ones are reported.
     """
+    if gone := missing(spark, out, steps, kb, theories, questions, answers):
+        raise FileNotFoundError(", ".join(gone))
     done = []
     base = K.read_json(spark, kb) if kb else K.builtin(spark)
     if "kb" in steps:
         if theories:
-            pairs = I.isa_pairs(I.theory_entries(I.theory_documents(spark, theories)))
-            base = K.KnowledgeBase(K.merge_pairs(base.isa, pairs)[0], base.has_prop, base.rule)
+            entries = I.theory_entries(I.theory_documents(spark, theories))
+            facts = TH.sentences(entries).select(TH.property_fact(F.col("sentence")).alias("f")).where("f is not null").select(F.col("f.a").alias("entity"), F.col("f.b").alias("prop"))
+            base = K.extend(base, isa=I.isa_pairs(entries), has_prop=facts)
         K.write_json(base, f"{out}/kb")
         done.append("kb")
     closed = closure(base.isa)
     if "validate" in steps and questions and answers:
-        verdicts = validate(I.read_questions(spark, questions), base, closed)
-        E.records(verdicts, spark.read.parquet(answers)).write.mode("overwrite").parquet(f"{out}/records")
+        given = spark.read.parquet(answers)
+        for r in E.unknown_keys(given, models, "model").orderBy("ord").collect() if models else ():  # as many as were asked for
+            print(f"unknown model: {r.key}")
+        given = E.select_runs(given, models, "model")
+        if given.isEmpty():
+            raise ValueError("no answers of the models asked for")
+        E.records(validate(I.read_questions(spark, questions), base, closed), given).write.mode("overwrite").parquet(f"{out}/records")
+        records = spark.read.parquet(f"{out}/records")
+        I.write_results(records, f"{out}/results/all", {"questions": questions})
+        for r in given.select("model").distinct().collect():  # one document a model
+            I.write_results(records.where(E.base_model(F.col("run_key")) == r.model), f"{out}/results/{r.model}", {"model": r.model})
         done.append("validate")
     if "metrics" in steps and I.exists(spark, f"{out}/records"):
         R.interception_table(spark.read.parquet(f"{out}/records")).write.mode("overwrite").parquet(f"{out}/metrics")
+        I.write_document(R.figures(spark.read.parquet(f"{out}/records"), C.TYPES), f"{out}/metrics_document", "metrics")
         done.append("metrics")
     if "coverage" in steps and table:
-        rows = I.read_question_table(spark, table)
-        numbered = rows.withColumn("idx", F.monotonically_increasing_id())
-        coverage(numbered, base, closed).write.mode("overwrite").parquet(f"{out}/coverage")
-        done.append("coverage")
+        try:
+            numbered = I.read_question_table(spark, table).withColumn("idx", F.monotonically_increasing_id())
+            coverage(numbered, base, closed).write.mode("overwrite").parquet(f"{out}/coverage")
+            rows = spark.read.parquet(f"{out}/coverage")
+            I.write_report(R.coverage_report(rows, closed.select("child").distinct()), f"{out}/coverage_report")
+            done.append("coverage")
+        except PySparkException as e:
+            print(f"coverage left out: {e}")
     if "report" in steps and I.exists(spark, f"{out}/records"):
         I.write_report(R.metrics_report(spark.read.parquet(f"{out}/records")), f"{out}/report")
         done.append("report")
@@ -57,13 +88,14 @@ def main(argv=None) -> None:
     p.add_argument("--start_from", choices=STEPS, default=STEPS[0])
     for name in ("kb", "theories", "questions", "answers", "table"):
         p.add_argument(f"--{name}")
+    p.add_argument("--models", help="comma-separated; all of the answers if left out")
     a = p.parse_args(argv)
     chosen = a.steps.split(",")
     if unknown := [s for s in chosen if s not in STEPS]:
         p.error(f"unknown steps: {', '.join(unknown)}")
     steps = [s for s in STEPS[STEPS.index(a.start_from) :] if s in chosen]
     spark = SparkSession.builder.appName("evaluation").getOrCreate()
-    print("ran:", ", ".join(run(spark, a.out, steps, a.kb, a.theories, a.questions, a.answers, a.table)))
+    print("ran:", ", ".join(run(spark, a.out, steps, a.kb, a.theories, a.questions, a.answers, a.table, a.models.split(",") if a.models else None)))
 
 
 if __name__ == "__main__":

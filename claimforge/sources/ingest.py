@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimforge.functions.text import isa_fact, strip
+from claimforge.operators import metrics as M
 
 QUESTION = T.StructType([T.StructField("question", T.StringType()), T.StructField("ground_truth", T.BooleanType()), T.StructField("type", T.StringType()), T.StructField("source", T.StringType())])
 WRAPPERS = ("train", "dev", "test", "data", "examples")  # fixed values: names of a document's list of entries, in order
@@ -62,8 +63,17 @@ def read_question_table(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
     names = {c.strip().lower(): c for c in raw.columns}
     pick = lambda n: strip(F.col(f"`{names[n]}`")) if n in names else F.lit(None).cast("string")
-    out = raw.select(pick("question").alias("question"), F.coalesce(pick("category"), F.lit("Unknown")).alias("category"))
-    return out.where("question != ''")
+    return question_rows(raw.select(pick("question").alias("question"), pick("category").alias("category")))
+
+
+def question_rows(df: DataFrame) -> DataFrame:
+    """Rows whose question is not blank, null included; a missing category is Unknown."""
+    return df.where(strip(F.col("question")) != "").withColumn("category", F.coalesce("category", F.lit("Unknown")))
+
+
+def numbered(df: DataFrame, group: str, order: str) -> DataFrame:
+    """df with pos, the place in its group from 0; groups are documents, whose entries fit a task."""
+    return df.withColumn("pos", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -85,6 +95,19 @@ def write_document(df: DataFrame, path: str, name: str = "rows") -> None:
     df.agg(F.collect_list(F.struct("*")).alias(name)).coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_results(records: DataFrame, path: str, metadata: dict | None = None) -> None:
+    """The results document that read_results reads: metadata, summaries of each run, and each run's records in the order of idx.
+
+    One document is one row, so it is for results of a report's size; the records table itself stays Parquet.
+    """
+    summaries = M.summary(records, "run_key").select("run_key", F.struct("total", "correct", "accuracy_strict").alias("summary"))
+    rows = [c for c in records.columns if c not in ("run_key", "idx")]
+    runs = records.groupBy("run_key").agg(F.array_sort(F.collect_list(F.struct("idx", *rows))).alias("rows")).join(summaries, "run_key")
+    table = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("run_key", c))))
+    notes = F.create_map(*[F.lit(str(x)) for kv in metadata.items() for x in kv]) if metadata else F.expr("map('', '')")
+    runs.agg(table("summary").alias("summaries"), table("rows").alias("results")).select(notes.alias("metadata"), "summaries", "results").coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_report(lines: DataFrame, path: str) -> None:
     """(ord, line) as text in order."""
     lines.orderBy("ord").select("line").coalesce(1).write.mode("overwrite").text(path)

@@ -27,7 +27,7 @@ def closed(kb):
 
 
 def test_knowledge_base(kb, closed):
-    assert {r.part: (r.n_keys, r.n_pairs) for r in stats(kb).collect()} == {"taxonomies": (115, 116), "properties": (24, 130), "conditionals": (31, 76)}
+    assert {r.part: (r.n_keys, r.n_pairs) for r in stats(kb).collect()} == {"taxonomies": (115, 301), "properties": (24, 130), "conditionals": (31, 76)}
     assert closed.count() == 301
 
 
