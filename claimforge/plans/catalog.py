@@ -7,8 +7,11 @@ tables directly, without parsing any question.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from claimforge.functions import constants as C
 from claimforge.functions import text as T
@@ -20,7 +23,7 @@ from claimforge.operators.closure import closure, inherited, reachable
 from claimforge.plans import reports as R
 from claimforge.sources import ingest as I
 from claimforge.sources import theories as TH
-from claimforge.sources.kb import KnowledgeBase, merge_pairs, stats
+from claimforge.sources.kb import KnowledgeBase, extend, merge_pairs, read_json, stats, write_json
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -53,7 +56,7 @@ def geography(spark, d) -> KnowledgeBase:
     isa = isa.unionByName(nation.join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.lower("n_name").alias("child"), F.lower("r_name").alias("parent")))
     isa = isa.unionByName(t("region").select(F.lower("r_name").alias("child"), F.lit("world").alias("parent")))
     prop = t("customer").where("c_acctbal > 9000").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.lower("n_name").alias("entity"), F.lower("c_mktsegment").alias("prop")).distinct()
-    rule = t("events").where("event_type != 'signup' and event_id % 50 = 0").select(F.concat("event_type", F.lit(" happens")).alias("condition"), F.concat(F.lit("level_"), level()).alias("consequence")).distinct()
+    rule = t("events").where("event_type != 'signup' and cast(get_json_object(props, '$.k') as int) % 20 < 12").select(F.concat("event_type", F.lit(" happens")).alias("condition"), F.concat(F.lit("level_"), level()).alias("consequence")).distinct()
     return KnowledgeBase(isa, prop, rule)
 
 
@@ -130,7 +133,7 @@ def u2_j5_kb_union(spark, d):
     return merge_pairs(p.where("half = 0").select("child", "parent").distinct(), p.where("half = 1"))[0]
 
 
-@register(f"WITH {GEO} SELECT 'taxonomies' AS part, count(DISTINCT child) AS n_keys, count(*) AS n_pairs FROM edges UNION ALL SELECT 'properties', count(DISTINCT entity), count(*) FROM prop UNION ALL SELECT 'conditionals', count(DISTINCT c), count(*) FROM (SELECT DISTINCT event_type AS c, (props->>'$.k')::INT % 20 AS k FROM events WHERE event_type <> 'signup' AND event_id % 50 = 0)")
+@register(f"WITH {GEO} SELECT 'taxonomies' AS part, count(DISTINCT child) AS n_keys, count(*) AS n_pairs FROM edges UNION ALL SELECT 'properties', count(DISTINCT entity), count(*) FROM prop UNION ALL SELECT 'conditionals', count(DISTINCT c), count(*) FROM (SELECT DISTINCT event_type AS c, (props->>'$.k')::INT % 20 AS k FROM events WHERE event_type <> 'signup' AND (props->>'$.k')::INT % 20 < 12)")
 def g5_kb_stats(spark, d):
     return stats(geography(spark, d))
 
@@ -150,7 +153,7 @@ def v5_validate_loose(spark, d):
     return verdict_columns(V.validate(geo_questions(spark, d), geography(spark, d), loose=True))
 
 
-RULES = "rules AS (SELECT DISTINCT event_type AS e, (props->>'$.k')::INT % 20 AS k FROM events WHERE event_type <> 'signup' AND event_id % 50 = 0), ev AS (SELECT event_id, event_type AS e, (props->>'$.k')::INT % 20 AS k FROM events)"
+RULES = "rules AS (SELECT DISTINCT event_type AS e, (props->>'$.k')::INT % 20 AS k FROM events WHERE event_type <> 'signup' AND (props->>'$.k')::INT % 20 < 12), ev AS (SELECT event_id, event_type AS e, (props->>'$.k')::INT % 20 AS k FROM events)"
 
 
 def event_questions(spark, d) -> DataFrame:
@@ -190,11 +193,17 @@ def _pick(key, values):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (key + 1).cast("int"))
 
 
-@register(f"SELECT p_partkey, {_case('p_partkey % 16', SINGULAR)} AS strict, {_case('p_partkey % 16', LOOSE_SINGULAR)} AS loose, CASE WHEN split_part(p_name, ' ', 2) LIKE '%s' THEN regexp_replace(split_part(p_name, ' ', 2), 's$', '') ELSE split_part(p_name, ' ', 2) END AS own FROM part WHERE split_part(p_name, ' ', 2) NOT LIKE '%es' AND split_part(p_name, ' ', 2) NOT LIKE '%ss'")
+ENDINGS = ("", "s", "es", "ies", "ves", "ses", "xes", "ches", "shes", "ss", "us", "is")
+ONE = """CASE WHEN w LIKE '%ies' AND length(w) > 3 THEN left(w, -3) || 'y' WHEN w LIKE '%ves' AND length(w) > 3 THEN left(w, -3) || 'f' WHEN (w LIKE '%ses' OR w LIKE '%xes') AND length(w) > 3 THEN left(w, -2)
+WHEN (w LIKE '%ches' OR w LIKE '%shes') AND length(w) > 4 THEN left(w, -2) WHEN w LIKE '%s' AND w NOT LIKE '%ss' AND w NOT LIKE '%us' AND w NOT LIKE '%is' THEN left(w, -1) ELSE w END"""
+
+
+@register(f"SELECT p_partkey, {_case('p_partkey % 16', SINGULAR)} AS strict, {_case('p_partkey % 16', LOOSE_SINGULAR)} AS loose, {ONE} AS own FROM (SELECT p_partkey, split_part(p_name, ' ', 2) || {_case('p_size % 12', ENDINGS)} AS w FROM part)")
 def f2_f3_singular(spark, d):
-    p = table(spark, d, "part").withColumn("w", F.split_part("p_name", F.lit(" "), F.lit(2))).where("w not like '%es' and w not like '%ss'")
+    """Fixed words, and every part's own word with all endings that the rules tell apart."""
+    own = F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), _pick(F.col("p_size") % 12, ENDINGS))
     word = _pick(F.col("p_partkey") % 16, WORDS)
-    return p.select("p_partkey", T.singular(word).alias("strict"), T.singular(word, True).alias("loose"), T.singular(F.col("w")).alias("own"))
+    return table(spark, d, "part").select("p_partkey", T.singular(word).alias("strict"), T.singular(word, True).alias("loose"), T.singular(own).alias("own"))
 
 
 @register("SELECT o_orderkey, lower(o_orderpriority) || CASE WHEN o_orderkey % 2 = 0 THEN ' ' ELSE '' END AS cleaned FROM orders")
@@ -357,10 +366,10 @@ def o3_first_intercepted(spark, d):
     return M.outcome_questions(M.paired(df.where("not guarded"), df.where("guarded")), "intercepted", 10)
 
 
-@register("SELECT o_orderpriority AS type, o_orderstatus AS source, count(*) AS total, count(*) FILTER (WHERE o_totalprice > 200000) AS true_n FROM orders GROUP BY GROUPING SETS ((o_orderpriority), (o_orderstatus))")
+@register("SELECT o_orderpriority AS type, o_orderstatus AS source, count(*) AS total, count(*) FILTER (WHERE t) AS true_n, count(*) FILTER (WHERE NOT t) AS false_n FROM (SELECT *, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice > 200000 END AS t FROM orders) GROUP BY GROUPING SETS ((o_orderpriority), (o_orderstatus))")
 def a8_query_set_stats(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("type"), F.col("o_orderstatus").alias("source"), (F.col("o_totalprice") > 200000).alias("t"))
-    return o.groupingSets([["type"], ["source"]], "type", "source").agg(F.count("*").alias("total"), F.count_if("t").alias("true_n"))
+    truth = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice") > 200000)
+    return M.query_set_stats(table(spark, d, "orders").select(F.col("o_orderpriority").alias("type"), F.col("o_orderstatus").alias("source"), truth.alias("ground_truth")))
 
 
 @register("SELECT ord, k AS event_type, count(event_id) AS n FROM (VALUES (0, 'view'), (1, 'click'), (2, 'refund'), (3, 'purchase')) o(ord, k) LEFT JOIN events ON event_type = k GROUP BY ord, k")
@@ -415,27 +424,32 @@ def r2_r9_f20_rates_table(spark, d):
 
 @register(f"WITH {REC} SELECT run_key, replace(replace(run_key, '_baseline', ''), '_guarded', '') AS model, contains(run_key, 'guarded') AS is_guarded, count(*) AS n FROM rec WHERE run_key IN ('m0_baseline', 'm1_guarded', 'nope') GROUP BY run_key")
 def p7_p8_f19_run_selection(spark, d):
-    df = records(spark, d).where(F.col("run_key").isin("m0_baseline", "m1_guarded", "nope"))
-    return df.groupBy("run_key").agg(F.regexp_replace(F.first("run_key"), "_baseline|_guarded", "").alias("model"), F.first(F.contains("run_key", F.lit("guarded"))).alias("is_guarded"), F.count("*").alias("n"))
+    df = E.select_runs(records(spark, d), ("m0_baseline", "m1_guarded", "nope"))
+    return df.groupBy("run_key").agg(F.first(E.base_model(F.col("run_key"))).alias("model"), F.first("guarded").alias("is_guarded"), F.count("*").alias("n"))
 
 
-@register("SELECT event_id % 100 AS grp, event_id, row_number() OVER (PARTITION BY event_id % 100 ORDER BY event_id) AS pos FROM events WHERE event_id // 100 < 5")
-def o2_w3_first_per_group(spark, d):
-    from pyspark.sql import Window
+@register("SELECT * FROM (VALUES (1, 'nope'), (2, '')) t(ord, key)")
+def p8_unknown_keys(spark, d):
+    return E.unknown_keys(records(spark, d), ("m0_baseline", "nope", "", "m1_guarded"))
+
 
-    e = table(spark, d, "events").select((F.col("event_id") % 100).alias("grp"), "event_id")
-    return e.withColumn("pos", F.row_number().over(Window.partitionBy("grp").orderBy("event_id"))).where("pos <= 5").withColumn("pos", F.col("pos").cast("long"))
+@register("SELECT l AS path, pos, name FROM (SELECT l_orderkey // 100 AS l, l_linenumber + 10 * l_orderkey AS name, row_number() OVER (PARTITION BY l_orderkey // 100 ORDER BY l_linenumber + 10 * l_orderkey, l_partkey) - 1 AS pos FROM lineitem) WHERE pos < 5 AND l IN (SELECT DISTINCT l_orderkey // 100 AS l FROM lineitem ORDER BY l LIMIT 30)")
+def o1_o2_w3_first_of_files(spark, d):
+    """The first five entries of the first thirty files by path, as the limit of a loader."""
+    x = table(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 100).cast("long").alias("path"), (F.col("l_linenumber") + 10 * F.col("l_orderkey")).cast("long").alias("name"))
+    return I.capped(I.numbered(x, "path", "name"), 30, 5).select("path", F.col("pos").cast("long").alias("pos"), "name")
 
 
 @register(f"WITH {PAIRS} SELECT child AS question FROM p WHERE half = 0 UNION ALL SELECT parent FROM p WHERE half = 1")
 def u1_union_all(spark, d):
     p = part_pairs(spark, d)
-    return p.where("half = 0").select(F.col("child").alias("question")).unionByName(p.where("half = 1").select(F.col("parent").alias("question")))
+    return G.combined(p.where("half = 0").select(F.col("child").alias("question")), p.where("half = 1").select(F.col("parent").alias("question")))
 
 
 @register("SELECT doc_id, substr(text, 1, 50) AS head FROM documents WHERE length(regexp_replace(text, '\\s', '', 'g')) > 0")
 def p3_o4_blank_and_truncate(spark, d):
-    return table(spark, d, "documents").where(T.strip(F.col("text")) != "").select("doc_id", F.substring("text", 1, 50).alias("head"))
+    q = table(spark, d, "documents").select("doc_id", F.col("text").alias("question"), F.col("source").alias("category"))
+    return I.question_rows(q).select("doc_id", T.head(F.col("question"), 50).alias("head"))
 
 
 GEN = f"""WITH {GEO}, {RULES}, t AS (SELECT child, parent, row_number() OVER (PARTITION BY child ORDER BY parent) AS n FROM edges), q AS (SELECT entity, prop, row_number() OVER (PARTITION BY entity ORDER BY prop) AS n FROM prop),
@@ -494,8 +508,7 @@ def s3_s4_theory_pairs(spark, d):
 @register("SELECT doc_id, text AS question, source AS category FROM documents WHERE length(regexp_replace(text, '\\s', '', 'g')) > 0 AND doc_id % 2 = 0 UNION ALL SELECT doc_id, text, 'Unknown' FROM documents WHERE length(regexp_replace(text, '\\s', '', 'g')) > 0 AND doc_id % 2 = 1")
 def s8_p3_question_rows(spark, d):
     """Blank questions go, a missing category is Unknown."""
-    t = table(spark, d, "documents")
-    return t.where(T.strip(F.col("text")) != "").select("doc_id", F.col("text").alias("question"), F.coalesce(F.when(F.col("doc_id") % 2 == 0, F.col("source")), F.lit("Unknown")).alias("category"))
+    return I.question_rows(table(spark, d, "documents").select("doc_id", F.col("text").alias("question"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("category")))
 
 
 def part_theories(spark, d) -> DataFrame:
@@ -529,17 +542,163 @@ def d4_d5_d6_theory_questions(spark, d):
     return TH.questions(part_theories(spark, d))
 
 
+# ---------------------------------------------------------------- readers and writers, through files
+def files(spark) -> str:
+    """A new folder that all executors see: below the checkpoint folder, else below the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/_files/{uuid.uuid4().hex}"
+
+
+def sentence():
+    """'colour is a thing.' of a part's name."""
+    return F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" is a "), F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit("."))
+
+
+@register("SELECT DISTINCT split_part(p_name, ' ', 1) AS child, split_part(p_name, ' ', 2) AS parent FROM part")
+def s2_s3_d10_theory_files(spark, d):
+    """A folder of .jsonl files with one theory a line, and one of documents with a wrapped list of a thousand parts each; read back from the files."""
+    at, p = files(spark), table(spark, d, "part")
+    line = F.to_json(F.struct(F.array(sentence()).alias("triples")))
+    p.where("p_partkey % 2 = 0").select(line.alias("value")).write.option("lineSep", "\n").text(f"{at}/lines")
+    whole = p.where("p_partkey % 2 = 1").groupBy(F.floor(F.col("p_partkey") / 1000).alias("k")).agg(F.array_agg(F.struct(F.array(sentence()).alias("triples"))).alias("train"))
+    whole.write.partitionBy("k").json(f"{at}/whole")
+    lines = spark.read.text(f"{at}/lines").select(F.lit("l").alias("path"), F.col("value").alias("text"))
+    documents = I.theory_documents(spark, f"{at}/whole")
+    return I.isa_pairs(I.theory_entries(lines.unionByName(documents)))
+
+
+@register("SELECT c_custkey AS idx, c_name AS question, c_acctbal > 0 AS ground_truth, c_mktsegment AS type, 'n' || c_nationkey AS source FROM customer")
+def s6_s11_questions_documents(spark, d):
+    """Documents of a thousand questions each, written and read back."""
+    at, source = files(spark), F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
+    I.write_questions(table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("idx"), F.col("c_name").alias("question"), (F.col("c_acctbal") > 0).alias("ground_truth"), F.col("c_mktsegment").alias("type"), source.alias("source")), at, 1000)
+    return I.read_questions(spark, at)
+
+
+@register(f"WITH {REC} SELECT run_key, idx, question, is_correct, method FROM rec")
+def s7_s11_results_document(spark, d):
+    """Results documents of all runs, a thousand questions each, written and read back."""
+    at, x = files(spark), records(spark, d).select("run_key", "idx", "question", "is_correct", "method")
+    I.write_results(x, at, block=1000)
+    return I.read_results(spark, at, StructType([StructField("idx", LongType()), StructField("question", StringType()), StructField("is_correct", BooleanType()), StructField("method", StringType())]))
+
+
+@register("SELECT trim(c_name) AS question, CASE WHEN c_custkey % 3 = 0 THEN 'Unknown' ELSE c_mktsegment || ', \"x\"' END AS category FROM customer WHERE c_custkey % 11 <> 0")
+def s8_question_table(spark, d):
+    """A CSV with blank questions, missing categories, quotes, commas and blanks around; written and read back."""
+    at, k = files(spark), F.col("c_custkey")
+    c = table(spark, d, "customer").select(F.when(k % 11 == 0, "  ").otherwise(F.concat(F.lit(" "), "c_name", F.lit(" "))).alias("Question"), F.when(k % 3 != 0, F.concat("c_mktsegment", F.lit(', "x"'))).alias("Category"))
+    c.write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("nullValue", None).csv(at)
+    return I.read_question_table(spark, at)
+
+
+@register(f"WITH {GEO} SELECT 'isa' AS part, child AS k, parent AS v FROM edges UNION ALL SELECT 'property', entity, prop FROM prop UNION ALL SELECT DISTINCT 'rule', event_type || ' happens', 'level_' || ((props->>'$.k')::INT % 20) FROM events WHERE event_type <> 'signup' AND (props->>'$.k')::INT % 20 < 12")
+def s1_s5_s11_kb_document(spark, d):
+    """The knowledge base as one document, written and read back."""
+    at = files(spark)
+    write_json(geography(spark, d), at)
+    kb = read_json(spark, at)
+    one = lambda df, name, k, v: df.select(F.lit(name).alias("part"), F.col(k).alias("k"), F.col(v).alias("v"))
+    return one(kb.isa, "isa", "child", "parent").unionByName(one(kb.has_prop, "property", "entity", "prop")).unionByName(one(kb.rule, "rule", "condition", "consequence"))
+
+
+LISTS = "p AS (SELECT p_partkey AS pl, lower(p_brand) AS k, lower(p_type) AS v, p_partkey % 2 AS half FROM part), o AS (SELECT k, v, min(pl) AS pl FROM p WHERE half = 0 GROUP BY k, v), n AS (SELECT k, v, min(pl) AS pl FROM p WHERE half = 1 GROUP BY k, v), m AS (SELECT k, v, 0 AS half, pl FROM o UNION ALL SELECT k, v, 1, pl FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.k = n.k AND o.v = n.v))"
+
+
+@register(f"WITH {LISTS} SELECT part, k, v, row_number() OVER (PARTITION BY part, k ORDER BY half, pl) AS place FROM m, (VALUES ('isa'), ('property'), ('rule')) t(part)")
+def d7_extend_all_parts(spark, d):
+    """Lists of all three parts with more items, in upper case, behind them; old and new keep their order."""
+    from pyspark.sql import Window
+
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("int").alias("pos"), F.lower("p_brand").alias("k"), F.lower("p_type").alias("v"))
+    old, new = p.where("pos % 2 = 0"), p.where("pos % 2 = 1").select("pos", F.upper("k").alias("k"), F.upper("v").alias("v"))
+    names = (("isa", "child", "parent"), ("property", "entity", "prop"), ("rule", "condition", "consequence"))
+    as_ = lambda df: [df.select(F.col("k").alias(a), "pos", F.col("v").alias(b)) for _, a, b in names]
+    kb = extend(KnowledgeBase(*(x.groupBy(x.columns[0], x.columns[2]).agg(F.min("pos").alias("pos")) for x in as_(old))), *as_(new))
+    out = [df.select(F.lit(n).alias("part"), F.col(a).alias("k"), F.col(b).alias("v"), "pos") for df, (n, a, b) in zip((kb.isa, kb.has_prop, kb.rule), names)]
+    return G.combined(*out).withColumn("place", F.row_number().over(Window.partitionBy("part", "k").orderBy("pos")).cast("long")).drop("pos")
+
+
+# ---------------------------------------------------------------- loose spellings, proofs, reports
+@register("SELECT c_custkey, unnest(list_distinct(['there is ' || s || ' parts', 'there_is_' || s || '_parts', 'parts', 'there', s || '_parts', 'there is ' || s || ' part', 'there_is_' || s || '_part', 'part', 'theres', s || '_part'])) AS form FROM (SELECT c_custkey, lower(c_mktsegment) AS s FROM customer)")
+def f11_loose_consequence_forms(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.explode(T.consequence_forms(F.concat(F.lit("There is "), "c_mktsegment", F.lit(" parts")), True)).alias("form"))
+
+
+@register("SELECT c_custkey, unnest(list_distinct(['if it is ' || s, 'if_it_is_' || s, 'if   ' || s, 'if ' || s])) AS form FROM (SELECT c_custkey, lower(c_mktsegment) AS s FROM customer)")
+def f13_loose_condition_forms(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.explode(T.condition_forms(F.concat(F.lit("If it is "), "c_mktsegment"), True)).alias("form"))
+
+
+@register(f"""WITH {GEO}, reg AS (SELECT r_regionkey AS k, lower(r_name) AS other FROM region) SELECT c_custkey AS idx, CASE c_custkey % 5 WHEN 0 THEN 'BFS: ' || c || ' → ' || r || ' = True' WHEN 1 THEN 'BFS: ' || c || ' → ' || other || ' = False' WHEN 2 THEN 'BFS: ' || c || ' → ' || n || ' = True'
+WHEN 3 THEN 'Entity not in KB: ghost' || c_custkey ELSE 'Property: ' || c || '.' || seg || ' = ' || CASE WHEN EXISTS (SELECT 1 FROM prop p WHERE p.entity = n AND p.prop = seg) THEN 'True' ELSE 'False' END END AS proof FROM cust JOIN reg ON (n_regionkey + 1) % 5 = k""")
+def f18_proofs(spark, d):
+    return V.validate(geo_questions(spark, d), geography(spark, d)).select("idx", "proof")
+
+
+@register(f"WITH {RULES} SELECT event_id AS idx, CASE WHEN e = 'signup' THEN 'Condition not in KB: signup happens' ELSE 'Modus Ponens: ' || e || ' happens → level ' || k || CASE WHEN event_id % 2 = 1 THEN ' (neg=True) = ' ELSE ' (neg=False) = ' END || CASE WHEN (EXISTS (SELECT 1 FROM rules r WHERE r.e = ev.e AND r.k = ev.k)) <> (event_id % 2 = 1) THEN 'True' ELSE 'False' END END AS proof FROM ev")
+def f18_rule_proofs(spark, d):
+    return V.validate(event_questions(spark, d), geography(spark, d)).select("idx", "proof")
+
+
+def geo_coverage(spark, d) -> DataFrame:
+    return V.coverage(geo_questions(spark, d).withColumn("category", F.lit("geography")).drop("type"), geography(spark, d))
+
+
+@register(f"WITH v AS ({GEO_VERDICT.replace(chr(39) + 'UNKNOWN' + chr(39), chr(39) + 'SHAKK' + chr(39))}) SELECT idx, epistemic_state, CASE WHEN idx % 5 = 4 THEN 'categorical' ELSE 'taxonomic' END AS pattern_type, 'geography' AS category FROM v WHERE covered")
+def p5_covered_details(spark, d):
+    return M.covered_details(geo_coverage(spark, d)).drop("question")
+
+
+@register(f"""WITH {GEO}, v AS ({GEO_VERDICT}), x AS (SELECT idx, covered, epistemic_state AS e, CASE WHEN idx % 5 = 4 THEN 'categorical' ELSE 'taxonomic' END AS p FROM v), t AS (SELECT count(*) AS n, count(*) FILTER (WHERE covered) AS c FROM x),
+o AS (SELECT ord, o.p, count(x.p) AS n, count(*) FILTER (WHERE covered) AS c FROM (VALUES (0, 'taxonomic'), (1, 'categorical'), (2, 'hypothetical'), (3, 'other')) o(ord, p) LEFT JOIN x ON x.p = o.p GROUP BY ord, o.p)
+SELECT '1 0' AS ord, printf('%-24s: %d', 'Questions', n) AS line FROM t UNION ALL SELECT '1 1', printf('%-24s: %d', 'Classes known', (SELECT count(DISTINCT child) FROM edges)) UNION ALL SELECT '1 2', printf('%-24s: %d (%.1f%%)', 'Covered', c, round(100.0 * c / n, 2)) FROM t
+UNION ALL SELECT '1 3', printf('%-24s: %d (%.1f%%)', 'Not covered', n - c, round(100.0 * (n - c) / n, 2)) FROM t UNION ALL SELECT '2 ' || ord, printf('%-16s total=%4d covered=%3d (%.1f%%)', p, n, c, round(coalesce(100.0 * c / nullif(n, 0), 0), 1)) FROM o
+UNION ALL SELECT printf('3 %019d', x.idx), NULL FROM x WHERE covered""")
+def r16_coverage_report(spark, d):
+    """The report's lines; of the covered questions, which the SQL doesn't write, the places only."""
+    kb = geography(spark, d)
+    lines = R.coverage_report(geo_coverage(spark, d), closure(kb.isa).select("child").distinct())
+    return lines.withColumn("line", F.when(~F.col("ord").startswith("3 "), F.col("line")))
+
+
+@register(f"""WITH {OUT}, cm AS (SELECT run_key, {CM} FROM rec GROUP BY run_key), r AS (SELECT *, {RATES} FROM cm), ct AS (SELECT run_key, type, round(100.0 * (tp + tn) / total, 1) AS a FROM (SELECT run_key, type, {CM} FROM rec GROUP BY ALL)),
+w AS (SELECT run_key, {_wide('a', '0.0')} FROM ct GROUP BY run_key), c AS (SELECT base_model || '_guarded' AS run_key, count(*) FILTER (WHERE outcome = 'intercepted') || '/' || count(*) FILTER (WHERE outcome IN ('intercepted', 'both_wrong')) AS caught FROM pairs GROUP BY 1)
+SELECT r.run_key, "precision", recall, f1, accuracy AS overall, en, de, fr, xx, coalesce(caught, '0/0 (none)') AS caught FROM r JOIN w ON r.run_key = w.run_key LEFT JOIN c ON c.run_key = r.run_key""")
+def r5_figures(spark, d):
+    return R.figures(records(spark, d), ("en", "de", "fr", "xx"))
+
+
+@register(f"""WITH {OUT}, n AS (SELECT base_model, count(*) FILTER (WHERE outcome = 'intercepted') AS i, count(*) FILTER (WHERE outcome = 'both_wrong') AS b FROM pairs GROUP BY 1), f AS (SELECT m, count(*) FILTER (WHERE coalesce(final_answer, false) AND NOT ground_truth) AS fp FROM rec WHERE guarded GROUP BY m)
+SELECT ord, label, i + b AS llm_errors, i AS caught, CASE WHEN i + b > 0 THEN round(100.0 * i / (i + b), 1) ELSE 100.0 END AS rate, fp AS false_alarms FROM (VALUES (0, 'm1', 'Second'), (1, 'm0', 'First'), (2, 'm9', 'None')) o(ord, k, label) JOIN n ON base_model = k JOIN f ON m = k""")
+def r11_interception_by_name(spark, d):
+    return R.interception_by_name(records(spark, d), (("m1", "Second"), ("m0", "First"), ("m9", "None")))
+
+
+@register(f"""WITH {GEO} SELECT 'taxonomies' AS part, count(DISTINCT child) AS n_keys, count(*) AS n_pairs FROM edges UNION ALL SELECT 'properties', count(DISTINCT entity), count(*) FROM prop UNION ALL SELECT 'conditionals', count(DISTINCT c), count(*) FROM (SELECT DISTINCT event_type AS c, (props->>'$.k')::INT % 20 AS k FROM events WHERE event_type <> 'signup' AND (props->>'$.k')::INT % 20 < 12)""")
+def r7_kb_table(spark, d):
+    return R.kb_table(geography(spark, d))
+
+
+@register(f"""WITH {OUT}, cm AS (SELECT run_key, {CM} FROM rec GROUP BY run_key), r AS (SELECT *, {RATES} FROM cm), n AS (SELECT base_model, count(*) FILTER (WHERE outcome = 'intercepted') AS i, count(*) FILTER (WHERE outcome = 'false_alarm') AS f, count(*) FILTER (WHERE outcome = 'both_wrong') AS b FROM pairs GROUP BY 1)
+SELECT '1 ' || run_key AS ord, rpad(run_key, 20, ' ') || printf(' %5.1f%% %5.1f%% %5.1f%% %5.1f%% %5.1f%%', "precision", recall, f1, accuracy, specificity) AS line FROM r
+UNION ALL SELECT '2 ' || run_key || ' 0', printf('%-10s %6d  %-10s %6d', 'TP', tp, 'FN', fn) FROM cm UNION ALL SELECT '2 ' || run_key || ' 1', printf('%-10s %6d  %-10s %6d', 'FP', fp, 'TN', tn) FROM cm
+UNION ALL SELECT '3 ' || base_model, printf('%-20s %d intercepted, %d false alarms, %5.1f%%', base_model, i, f, CASE WHEN i + b > 0 THEN round(100.0 * i / (i + b), 1) ELSE 100.0 END) FROM n""")
+def r15_metrics_report(spark, d):
+    return R.metrics_report(records(spark, d))
+
+
 # ---------------------------------------------------------------- registry by inventory
 #: Which queries stand for which rows of the inventory; rows not named here are readers, writers or command lines, tested in tests/.
 INVENTORY = {
     "G": ("g1_transitive_closure", "g2_reachability", "g3_property_inheritance", "g4_merge_new_pairs", "g5_kb_stats"),
     "V": ("v1_v2_v4_validate_geography", "v3_v8_validate_rules", "v5_validate_loose", "v6_v7_e1_e2_override", "v9_a11_coverage_by_pattern"),
-    "F": ("f1_clean_question", "f2_f3_singular", "f4_predicate", "f5_taxonomic", "f6_categorical", "f7_f8_hypothetical", "f10_consequence_forms", "f12_condition_forms", "f14_f15_replies", "f16_question_type", "f17_isa_fact", "p7_p8_f19_run_selection", "r2_r9_f20_rates_table"),
+    "F": ("f1_clean_question", "f2_f3_singular", "f4_predicate", "f5_taxonomic", "f6_categorical", "f7_f8_hypothetical", "f10_consequence_forms", "f12_condition_forms", "f14_f15_replies", "f11_loose_consequence_forms", "f13_loose_condition_forms", "f16_question_type", "f17_isa_fact", "f18_proofs", "f18_rule_proofs", "p7_p8_f19_run_selection", "r2_r9_f20_rates_table"),
     "A": ("a1_confusion", "a2_rates", "a3_a4_per_type", "a5_a16_summary", "a6_caught_and_errors", "a7_a15_r4_interception", "a8_query_set_stats", "a9_type_counts", "a10_coverage_totals", "a12_r12_coverage_table", "a13_w2_running_coverage", "a14_j6_r13_deltas"),
     "J": ("u2_j5_kb_union", "j2_w1_last_wins_pairs", "r8_j4_o5_accuracy_table", "a14_j6_r13_deltas"),
-    "W, O": ("j2_w1_last_wins_pairs", "a13_w2_running_coverage", "o2_w3_first_per_group", "o3_first_intercepted", "p3_o4_blank_and_truncate"),
+    "W, O": ("j2_w1_last_wins_pairs", "a13_w2_running_coverage", "o1_o2_w3_first_of_files", "o3_first_intercepted", "p3_o4_blank_and_truncate"),
     "U": ("u1_union_all", "u2_j5_kb_union"),
-    "R": ("r1_r10_confusion_block", "r2_r9_f20_rates_table", "r3_per_type_table", "r6_cross_model_table", "r8_j4_o5_accuracy_table"),
-    "S, P": ("s3_s4_theory_pairs", "s8_p3_question_rows", "e1_e2_s10_p1_evaluation", "p7_p8_f19_run_selection"),
-    "D": ("d1_d2_d3_theory_facts", "d4_d5_d6_theory_questions", "d8_mentions", "d9_generate_questions", "d11_not_yet_asked"),
+    "R": ("r1_r10_confusion_block", "r2_r9_f20_rates_table", "r3_per_type_table", "r6_cross_model_table", "r8_j4_o5_accuracy_table", "r5_figures", "r7_kb_table", "r11_interception_by_name", "r15_metrics_report", "r16_coverage_report"),
+    "S, P": ("s1_s5_s11_kb_document", "s2_s3_d10_theory_files", "s6_s11_questions_documents", "s7_s11_results_document", "s8_question_table", "p5_covered_details", "p8_unknown_keys", "s3_s4_theory_pairs", "s8_p3_question_rows", "e1_e2_s10_p1_evaluation", "p7_p8_f19_run_selection"),
+    "D": ("d1_d2_d3_theory_facts", "d4_d5_d6_theory_questions", "d7_extend_all_parts", "d8_mentions", "d9_generate_questions", "d11_not_yet_asked"),
 }

@@ -47,15 +47,19 @@ def capped(entries: DataFrame, files: int, per_file: int) -> DataFrame:
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType([T.StructField("queries", T.ArrayType(QUESTION))])
-    return spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("queries").alias("idx", "q")).select("idx", "q.*")
+    """(idx, question, ground_truth, type, source) of documents with a list of queries; idx is a question's own or its place in the list."""
+    schema = T.StructType([T.StructField("queries", T.ArrayType(T.StructType([T.StructField("idx", T.LongType()), *QUESTION.fields])))])
+    placed = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("queries").alias("place", "q"))
+    return placed.select(F.coalesce("q.idx", F.col("place").cast("long")).alias("idx"), *[f"q.{n}" for n in QUESTION.names])
 
 
 def read_results(spark: SparkSession, path: str, record: T.StructType) -> DataFrame:
-    """(run_key, idx, record...) of a document whose results map runs to lists of records; no run, no rows."""
+    """(run_key, idx, record...) of a document whose results map runs to lists of records; idx is the record's own or its place in the list. No run, no rows."""
     schema = T.StructType([T.StructField("results", T.MapType(T.StringType(), T.ArrayType(record)))])
     runs = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("results").alias("run_key", "records"))
-    return runs.select("run_key", F.posexplode("records").alias("idx", "r")).select("run_key", "idx", "r.*")
+    placed = runs.select("run_key", F.posexplode("records").alias("place", "r"))
+    own = F.coalesce("r.idx", "place") if "idx" in record.names else F.col("place")
+    return placed.select("run_key", own.cast("long").alias("idx"), *[f"r.{n}" for n in record.names if n != "idx"])
 
 
 def read_question_table(spark: SparkSession, path: str) -> DataFrame:
@@ -95,17 +99,25 @@ def write_document(df: DataFrame, path: str, name: str = "rows") -> None:
     df.agg(F.collect_list(F.struct("*")).alias(name)).coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_results(records: DataFrame, path: str, metadata: dict | None = None) -> None:
-    """The results document that read_results reads: metadata, summaries of each run, and each run's records in the order of idx.
+def write_questions(questions: DataFrame, path: str, block: int = 100_000) -> None:
+    """Documents that read_questions reads, one for each `block` of idx (not null), so that no row holds a large table."""
+    rows = F.struct("idx", *QUESTION.names)
+    documents = questions.groupBy(F.floor(F.col("idx") / block).alias("block")).agg(F.array_sort(F.collect_list(rows)).alias("queries"))
+    documents.write.partitionBy("block").mode("overwrite").json(path)
 
-    One document is one row, so it is for results of a report's size; the records table itself stays Parquet.
+
+def write_results(records: DataFrame, path: str, metadata: dict | None = None, block: int = 100_000) -> None:
+    """Documents that read_results reads: metadata, summaries of each run, and each run's records in the order of idx.
+
+    There is one document for each `block` of idx (not null), so that no row holds a large table; all have the whole runs' summaries.
     """
     summaries = M.summary(records, "run_key").select("run_key", F.struct("total", "correct", "accuracy_strict").alias("summary"))
     rows = [c for c in records.columns if c not in ("run_key", "idx")]
-    runs = records.groupBy("run_key").agg(F.array_sort(F.collect_list(F.struct("idx", *rows))).alias("rows")).join(summaries, "run_key")
+    runs = records.groupBy(F.floor(F.col("idx") / block).alias("block"), "run_key").agg(F.array_sort(F.collect_list(F.struct("idx", *rows))).alias("rows")).join(summaries, "run_key")
     table = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("run_key", c))))
-    notes = F.create_map(*[F.lit(str(x)) for kv in metadata.items() for x in kv]) if metadata else F.expr("map('', '')")
-    runs.agg(table("summary").alias("summaries"), table("rows").alias("results")).select(notes.alias("metadata"), "summaries", "results").coalesce(1).write.mode("overwrite").json(path)
+    notes = F.create_map(*[F.lit(str(x)) for kv in metadata.items() for x in kv]) if metadata else F.lit(None).cast("map<string,string>")
+    documents = runs.groupBy("block").agg(table("summary").alias("summaries"), table("rows").alias("results")).withColumn("metadata", notes)
+    documents.write.partitionBy("block").mode("overwrite").json(path)
 
 
 def write_report(lines: DataFrame, path: str) -> None:

@@ -7,7 +7,7 @@ import pytest
 from claimforge.plans.catalog import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders events documents labels".split()
+TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
 
 
 @pytest.fixture(scope="module")

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from claimforge.operators.closure import closure
@@ -22,7 +24,8 @@ def test_theories(spark, tmp_path):
     (tmp_path / "l.jsonl").write_text('{"triples": ["Cat is a cat."]}\nnot this\n{broken\n')
     entries = I.theory_entries(I.theory_documents(spark, str(tmp_path)))
     assert {tuple(r) for r in I.isa_pairs(entries).collect()} == {("rex", "dog"), ("tom", "cat"), ("q", "z"), ("ada", "owl"), ("cat", "cat")}
-    assert I.capped(entries, 2, 1).count() <= 2
+    first = sorted({r.path for r in entries.collect()})[:2]
+    assert [(r.path, r.pos) for r in I.capped(entries, 2, 1).orderBy("path").collect()] == [(p, 0) for p in first]
 
 
 def test_tables_and_documents(spark, tmp_path):
@@ -78,4 +81,43 @@ def test_run(spark, tmp_path):
     assert K.read_json(spark, f"{out}/kb").isa.where("child = 'rex'").count() == 1
     m = spark.read.parquet(f"{out}/metrics").first()
     assert (m.intercepted + m.both_wrong, m.false_alarm) == (65, 4)
+    assert I.read_results(spark, f"{out}/results/m", I.QUESTION).groupBy("run_key").count().orderBy("run_key").collect()[0][:] == ("m_baseline", 175)
+    lines = [r.value for r in spark.read.text(f"{out}/coverage_report").collect()]
+    assert lines[0].endswith(": 2") and lines[2].endswith(": 1 (50.0%)") and lines[-1].endswith("Are all dogs mammals?")
     assert spark.read.parquet(f"{out}/coverage").where("covered").count() == 1
+
+
+def test_run_rules(spark, tmp_path, capsys):
+    from claimforge.plans.run import run
+
+    out, q = str(tmp_path / "out"), tmp_path / "q.json"
+    with pytest.raises(FileNotFoundError):
+        run(spark, out, ["validate"], questions=str(tmp_path / "none.json"), answers=str(tmp_path / "none"))
+    with pytest.raises(FileNotFoundError):
+        run(spark, out, ["metrics"])
+    assert not I.exists(spark, out)
+    q.write_text(json.dumps({"queries": [{"question": "Are all dogs mammals?", "ground_truth": True, "type": "taxonomic", "source": "s"}]}))
+    spark.createDataFrame([("a", "Are all dogs mammals?", "no"), ("b", "Are all dogs mammals?", "yes")], "model string, question string, raw string").write.parquet(str(tmp_path / "answers"))
+    files = {"questions": str(q), "answers": str(tmp_path / "answers"), "table": str(tmp_path / "none.csv")}
+    assert run(spark, out, ["validate", "coverage"], models=["a", "x"], **files) == ["validate"]  # a missing table is only reported
+    said = capsys.readouterr().out
+    assert "unknown model: x" in said and "coverage left out" in said
+    assert {r.run_key for r in spark.read.parquet(f"{out}/records").collect()} == {"a_baseline", "a_guarded"}
+    with pytest.raises(ValueError):
+        run(spark, out, ["validate"], models=["x"], **files)
+
+
+def test_extend_keeps_order(spark):
+    kb = K.builtin(spark)
+    more = K.extend(kb, isa=spark.createDataFrame([("DOG", "Pet"), ("dog", "mammal"), ("dog", "dog"), ("", "x"), ("rex", "dog")], "child string, parent string"))
+    of = lambda c: [r.parent for r in more.isa.where(F.col("child") == c).orderBy("pos").collect()]
+    assert (of("dog"), of("rex"), of("")) == (["canine", "mammal", "animal", "living_thing", "pet"], ["dog"], [])
+    assert more.rule is kb.rule
+
+
+def test_closure_of_long_paths_and_cycles(spark):
+    n = 300
+    pairs = closure(spark.range(n).selectExpr("cast(id as string) as child", "cast(id + 1 as string) as parent"))
+    assert pairs.count() == pairs.distinct().count() == n * (n + 1) // 2
+    ring = closure(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), (None, "a"), ("x", "x")], "child string, parent string"))
+    assert {tuple(r) for r in ring.collect()} == {(x, y) for x in "abc" for y in "abcd"} | {("x", "x")} and ring.count() == 13
