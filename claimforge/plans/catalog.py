@@ -620,7 +620,7 @@ def d7_extend_all_parts(spark, d):
 
 
 # ---------------------------------------------------------------- loose spellings, proofs, reports
-@register("SELECT c_custkey, unnest(list_distinct(['there is ' || s || ' parts', 'there_is_' || 'there_' || s || '_parts', 'parts', 'there', 'there_' || s || '_parts', 'there is ' || s || ' part', 'there_is_' || 'there_' || s || '_part', 'part', 'theres', 'there_' || s || '_part'])) AS form FROM (SELECT c_custkey, lower(c_mktsegment) AS s FROM customer)")
+@register("SELECT c_custkey, unnest(list_distinct(['there is ' || s || ' parts', 'there_is_' || s || '_parts', 'parts', 'there', 'there_' || s || '_parts', 'there is ' || s || ' part', 'there_is_' || s || '_part', 'part', 'theres', 'there_' || s || '_part'])) AS form FROM (SELECT c_custkey, lower(c_mktsegment) AS s FROM customer)")
 def f11_loose_consequence_forms(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.explode(T.consequence_forms(F.concat(F.lit("There is "), "c_mktsegment", F.lit(" parts")), True)).alias("form"))
 
