@@ -1,9 +1,9 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling, in DataFrame expressions only.
 
-Every document gets the key -ln(u) / weight, with u in (0, 1) from a hash of its id. A source whose target is e times its size
+Every document gets the key -ln(u) / weight, with u in (0, 1) from a hash of its id, source and text. A source whose target is e times its size
 and a rest is taken e times whole, and the rest is filled with its documents in the order of their keys. The place where
 the budget ends is found without sorting a source in one task: sizes are summed by (source, bucket of the key), the bucket in
-which the budget ends is cut into finer buckets, and only the last bucket's documents are put in order.
+which the budget ends is cut into finer buckets, and only the last bucket's documents are put in order, repeated rows as one.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from claimforge.llm.common import cut, read_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 4096
+PLACE = ["key_", "doc_id", "size_"]
 
 
 def targets(sizes: dict, weights=(5.0, 2.0, 1.0), most: float = 3.0) -> dict:
@@ -40,8 +41,8 @@ def targets(sizes: dict, weights=(5.0, 2.0, 1.0), most: float = 3.0) -> dict:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """docs with size_, the number of words in the text."""
-    return docs.withColumn("size_", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"))
+    """docs with size_, the number of words in the text, and content_, a hash of the text."""
+    return docs.withColumn("size_", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")).withColumn("content_", F.xxhash64("text"))
 
 
 def placed(rows: DataFrame, quality: DataFrame | None, seed: int) -> DataFrame:
@@ -51,10 +52,10 @@ def placed(rows: DataFrame, quality: DataFrame | None, seed: int) -> DataFrame:
     else:
         q = quality.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("weight").cast("double").alias("w_")).where("doc_id is not null")
         rows = rows.join(q.groupBy("doc_id").agg(F.avg("w_").alias("weight_")), "doc_id", "left")
-    u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), "source", "content_", F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     key = -F.log(u) / F.greatest(F.coalesce(F.col("weight_"), F.lit(1.0)), F.lit(1e-9))
     fine = F.least(F.floor((1 - F.exp(-F.col("key_"))) * (BUCKETS * BUCKETS)), F.lit(BUCKETS * BUCKETS - 1)).cast("long")
-    return rows.withColumn("key_", key).withColumn("fine_", fine).withColumn("coarse_", F.floor(F.col("fine_") / BUCKETS).cast("long")).drop("weight_")
+    return rows.withColumn("key_", key).withColumn("fine_", fine).withColumn("coarse_", F.floor(F.col("fine_") / BUCKETS).cast("long")).drop("weight_", "content_")
 
 
 def _end_in(rows: DataFrame, plan: DataFrame, bucket: str, begun: str) -> DataFrame:
@@ -67,6 +68,17 @@ def _end_in(rows: DataFrame, plan: DataFrame, bucket: str, begun: str) -> DataFr
     return plan.join(found, plan.source_.eqNullSafe(found.source__), "left").drop("source__")
 
 
+def _edge(joined: DataFrame) -> DataFrame:
+    """The rows of the buckets in which budgets end, equal ones as one: n_ of them, of which the budget takes the first m_."""
+    inside = (F.col("coarse_") == F.col("endcoarse_")) & (F.col("fine_") == F.col("endfine_"))
+    alike = joined.where(inside).groupBy("source", *PLACE, "source_size", "target", "epochs", "rest", "beforecoarse_", "beforefine_").agg(F.count("*").alias("n_"))
+    w = Window.partitionBy("source").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, 0)  # a BUCKETS * BUCKETS-th of a source
+    words = F.col("size_") * F.col("n_")
+    left = F.col("rest") - F.col("beforecoarse_") - F.col("beforefine_") - F.col("to_") + words
+    fit = F.when(F.col("size_") > 0, F.floor(left / F.col("size_") + 0.5)).when(left >= 0, F.col("n_")).otherwise(F.lit(0))
+    return alike.withColumn("to_", F.sum(words).over(w)).withColumn("m_", F.greatest(F.least(fit, F.col("n_")), F.lit(0)).cast("long"))
+
+
 def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: float = 3.0, seed: int = 42, quality: DataFrame | None = None) -> DataFrame:
     """Per row of docs: doc_id, size, source_size, target and taken, the words that the mix takes of it, repeats counted.
 
@@ -74,16 +86,15 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: float = 3.0, seed: int =
     all do without it. Weights should be around 1, as the buckets of keys are cut for that. Size is the number of
     words in the text, 0 for null. A null source is a source of its own, last in order. A document is taken if more than half
     of it fits its source's budget, so each source misses its target by half a document at most. Rows of equal key are put in
-    order of doc_id, repeated rows one after the other. Extra columns are ignored, an empty table gives an empty result.
+    order of doc_id. Rows of one doc_id, source and text are alike: as many of them are taken as fit. Extra columns are ignored, an empty table gives an empty result.
     """
     rows, plan = _plan(docs, weights, most, seed, quality)
     joined = rows.join(plan, rows.source.eqNullSafe(plan.source_), "inner")
     inside = (F.col("coarse_") == F.col("endcoarse_")) & (F.col("fine_") == F.col("endfine_"))
     before = F.coalesce((F.col("coarse_") < F.col("endcoarse_")) | ((F.col("coarse_") == F.col("endcoarse_")) & (F.col("fine_") < F.col("endfine_"))), F.lit(False))
-    edge = joined.where(inside)  # a BUCKETS * BUCKETS-th of a source
-    w = Window.partitionBy("source").orderBy("key_", "doc_id", "size_").rowsBetween(Window.unboundedPreceding, 0)
-    part = edge.withColumn("more", F.col("beforecoarse_") + F.col("beforefine_") + F.sum("size_").over(w) - F.col("size_") / 2 <= F.col("rest"))
-    rest = joined.where(~F.coalesce(inside, F.lit(False))).withColumn("more", before)
+    own = ["doc_id", "size_", "source_size", "target", "epochs", "more"]
+    rest = joined.where(~F.coalesce(inside, F.lit(False))).withColumn("more", before).select(*own)
+    part = _edge(joined).withColumn("i_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_")))).withColumn("more", F.col("i_") <= F.col("m_")).select(*own)
     out = rest.unionByName(part)
     taken = F.col("size_") * (F.col("epochs") + F.col("more").cast("long"))
     return out.select("doc_id", F.col("size_").alias("size"), "source_size", "target", taken.alias("taken"))
@@ -109,22 +120,28 @@ def _plan(docs: DataFrame, weights, most: float, seed: int, quality: DataFrame |
 def repeats(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: float = 3.0, seed: int = 42, quality: DataFrame | None = None) -> DataFrame:
     """docs with its own columns, each row as often as the mix takes it (not at all, once, ...). Takes what `mix` takes.
 
-    Rows are decided where they are, against one row for each source: the last (key, doc_id, size) that the budget takes.
+    Rows are decided where they are, against one row for each source: the last (key, doc_id, size) that the budget takes. Only
+    if it takes a part of the rows that share this place, those are counted out, in order of a hash of all their columns.
     """
     rows, plan = _plan(docs, weights, most, seed, quality)
-    joined = rows.join(plan, rows.source.eqNullSafe(plan.source_)).where((F.col("coarse_") == F.col("endcoarse_")) & (F.col("fine_") == F.col("endfine_")))
-    w = Window.partitionBy("source").orderBy("key_", "doc_id", "size_").rowsBetween(Window.unboundedPreceding, 0)
-    place = F.struct("key_", "doc_id", "size_")
-    last = joined.withColumn("more", F.col("beforecoarse_") + F.col("beforefine_") + F.sum("size_").over(w) - F.col("size_") / 2 <= F.col("rest")).where("more").groupBy("source").agg(F.max(place).alias("last_"))
-    last = last.select(F.col("source").alias("s__"), "last_")
-    plan = cut(plan.join(last, F.col("source_").eqNullSafe(F.col("s__")), "left").select("source_", "epochs", "endcoarse_", "endfine_", "last_"))
+    place = F.struct(*PLACE)
+    last = _edge(rows.join(plan, rows.source.eqNullSafe(plan.source_))).where("m_ > 0").groupBy("source").agg(F.max(F.struct(place.alias("place"), "m_", "n_")).alias("x"))
+    last = last.select(F.col("source").alias("s__"), F.col("x.place").alias("last_"), "x.m_", "x.n_")
+    plan = cut(plan.join(last, F.col("source_").eqNullSafe(F.col("s__")), "left").select("source_", "epochs", "endcoarse_", "endfine_", "last_", "m_", "n_"))
     names = docs.columns
     own = docs.select(F.struct(*names).alias("row_"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
     all_rows = placed(sized(own).drop("text"), quality, seed)
     x = all_rows.join(plan, all_rows.source.eqNullSafe(plan.source_))
     fine = (F.col("coarse_") < F.col("endcoarse_")) | ((F.col("coarse_") == F.col("endcoarse_")) & ((F.col("fine_") < F.col("endfine_")) | ((F.col("fine_") == F.col("endfine_")) & (place <= F.col("last_")))))
+    times = lambda df, n: df.withColumn("times_", n).where("times_ > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times_")))).select("row_.*")
     n = F.col("epochs") + F.coalesce(fine, F.lit(False)).cast("long")
-    return x.withColumn("n_", n).where("n_ > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_")))).select("row_.*")
+    if plan.where("m_ < n_").isEmpty():
+        return times(x, n)
+    split = F.coalesce((place == F.col("last_")) & (F.col("m_") < F.col("n_")), F.lit(False))
+    alike = x.where(split).withColumn("hash_", F.xxhash64(F.to_json("row_"))).groupBy("source", "hash_").agg(F.first("row_").alias("row_"), F.count("*").alias("c_"), F.first("epochs").alias("epochs"), F.first("m_").alias("m_"))
+    w = Window.partitionBy("source").orderBy("hash_").rowsBetween(Window.unboundedPreceding, 0)
+    taken = F.greatest(F.least(F.col("m_") - F.col("to_") + F.col("c_"), F.col("c_")), F.lit(0))
+    return times(x.where(~split), n).unionByName(times(alike.withColumn("to_", F.sum("c_").over(w)), F.col("epochs") * F.col("c_") + taken))
 
 
 def label_weights(labels: DataFrame) -> DataFrame:

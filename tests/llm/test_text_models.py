@@ -120,6 +120,24 @@ def test_mixing(spark):
     assert M.repeats(df).columns == df.columns
 
 
+def test_mixing_repeated_rows(spark):
+    """Many equal rows, rows that share an id, and null ids: as many are taken as fit, by both forms."""
+    rows = [(7, "a b c", "x", "p")] * 300 + [(None, f"n{i} " * 3, "x", "q") for i in range(300)] + [(8, f"m{i} " * 3, "y", "r") for i in range(300)] + [(9, "d e", "z", str(i % 3)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size_ string")
+    for kind in (df, df.where("source = 'x' and doc_id = 7 or source = 'z'")):
+        out = M.mix(kind, weights=(1.0, 2.0, 3.5)).collect()
+        assert len(out) == kind.count()
+        taken = {}
+        for r in out:
+            taken.setdefault((r.source_size, r.target), []).append(r.taken)
+        assert all(abs(sum(t) - goal) <= 1.5 for (_, goal), t in taken.items())
+        got = M.repeats(kind, weights=(1.0, 2.0, 3.5))
+        assert got.columns == kind.columns
+        count = lambda pairs: sorted(pairs, key=str)
+        by_source = {r.source: r.n for r in got.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+        assert count(by_source.values()) == count(sum(t) for t in taken.values() if sum(t))
+
+
 def test_weights_pull(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") < 2000, "x").otherwise("y").alias("source"), F.when(F.col("id") % 2 == 0, 8.0).otherwise(1.0).alias("q"))
     more = M.mix(df, weights=(1.0, 9.0), quality=df.select("doc_id", F.col("q").alias("weight"))).where("doc_id < 2000 and taken > 0")
