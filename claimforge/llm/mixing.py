@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling, in DataFrame expressions only.
 
-Every document gets the key -ln(u) / weight, with u in (0, 1) from a hash of its id, source and text. A source whose target is e times its size
+Every document gets the key -ln(u) / weight, with u in (0, 1) from a hash of its id (null: of its text). A source whose target is e times its size
 and a rest is taken e times whole, and the rest is filled with its documents in the order of their keys. The place where
 the budget ends is found without sorting a source in one task: sizes are summed by (source, bucket of the key), the bucket in
 which the budget ends is cut into finer buckets, and only the last bucket's documents are put in order, repeated rows as one.
@@ -52,7 +52,7 @@ def placed(rows: DataFrame, quality: DataFrame | None, seed: int) -> DataFrame:
     else:
         q = quality.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("weight").cast("double").alias("w_")).where("doc_id is not null")
         rows = rows.join(q.groupBy("doc_id").agg(F.avg("w_").alias("weight_")), "doc_id", "left")
-    u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), "source", "content_", F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    u = (F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("content_").cast("string")), F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     key = -F.log(u) / F.greatest(F.coalesce(F.col("weight_"), F.lit(1.0)), F.lit(1e-9))
     fine = F.least(F.floor((1 - F.exp(-F.col("key_"))) * (BUCKETS * BUCKETS)), F.lit(BUCKETS * BUCKETS - 1)).cast("long")
     return rows.withColumn("key_", key).withColumn("fine_", fine).withColumn("coarse_", F.floor(F.col("fine_") / BUCKETS).cast("long")).drop("weight_", "content_")
@@ -86,7 +86,7 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: float = 3.0, seed: int =
     all do without it. Weights should be around 1, as the buckets of keys are cut for that. Size is the number of
     words in the text, 0 for null. A null source is a source of its own, last in order. A document is taken if more than half
     of it fits its source's budget, so each source misses its target by half a document at most. Rows of equal key are put in
-    order of doc_id. Rows of one doc_id, source and text are alike: as many of them are taken as fit. Extra columns are ignored, an empty table gives an empty result.
+    order of doc_id and size. Rows of one source, key, doc_id and size are alike: as many of them are taken as fit. Extra columns are ignored, an empty table gives an empty result.
     """
     rows, plan = _plan(docs, weights, most, seed, quality)
     joined = rows.join(plan, rows.source.eqNullSafe(plan.source_), "inner")
