@@ -124,10 +124,10 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words of all texts, and the number of the first word of each text."""
+def words(raw: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words of all texts, and the number of the first word of each text; space: the bytes that words don't have."""
     a, b = int(off[0]), int(off[-1])
-    solid = ~SPACE[raw[a:b]]
+    solid = ~space[raw[a:b]]
     start, end = solid.copy(), solid.copy()
     start[1:] &= ~solid[:-1]
     end[:-1] &= ~solid[1:]

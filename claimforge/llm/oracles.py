@@ -23,3 +23,13 @@ span AS (SELECT doc_id, g, min(i) AS a, max(i) + 100 AS b FROM grp GROUP BY doc_
 edge AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before, g FROM span),
 piece AS (SELECT e.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS t, max(b) AS last, count(*) AS n_spans, sum(b - a) AS n_removed FROM edge e JOIN d ON d.doc_id = e.doc_id GROUP BY e.doc_id)
 SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE t || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN piece ON d.doc_id = piece.doc_id"""
+
+OP13 = r"""WITH w AS (SELECT item_id, CAST(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS VARCHAR[]) AS w FROM benchmark WHERE text IS NOT NULL),
+z AS (SELECT item_id, w, least(len(w), 10) AS m FROM w WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS s FROM (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM z)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+spot AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS s FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM z) WHERE len(w) >= m)),
+hit AS (SELECT doc_id, item_id, win.m, i FROM spot JOIN win ON spot.m = win.m AND spot.s = win.s),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT doc_id, i, m FROM hit)) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS t FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(t, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN ids ON d.doc_id = ids.doc_id"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from claimforge.llm import oracles
+from claimforge.llm.decontaminate import op13_benchmark_decontamination
 from claimforge.llm.html_extract import op4_html_consensus
 from claimforge.llm.mixing import op8_source_mixing
 from claimforge.llm.prefix_bpe import op9_prefix_bpe
@@ -24,6 +25,7 @@ QUERIES = (
     op8_source_mixing,
     op9_prefix_bpe,
     op10_ordinal_quality,
+    op13_benchmark_decontamination,
 )
 
 
@@ -32,4 +34,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_rlz_substring_dedup": oracles.OP1, "op2_kdtree_top_k": oracles.OP2, "op7_suffix_array_dedup": oracles.OP7}
+    return {"op1_rlz_substring_dedup": oracles.OP1, "op2_kdtree_top_k": oracles.OP2, "op7_suffix_array_dedup": oracles.OP7, "op13_benchmark_decontamination": oracles.OP13}
