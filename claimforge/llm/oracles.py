@@ -33,3 +33,34 @@ hit AS (SELECT doc_id, item_id, win.m, i FROM spot JOIN win ON spot.m = win.m AN
 n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT doc_id, i, m FROM hit)) GROUP BY doc_id),
 ids AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS t FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(t, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN ids ON d.doc_id = ids.doc_id"""
+
+# --- fixed values: CRC-32 of half a byte, by its value
+NIBBLES = (
+    0x00000000, 0x1DB71064, 0x3B6E20C8, 0x26D930AC, 0x76DC4190, 0x6B6B51F4, 0x4DB26158, 0x5005713C,
+    0xEDB88320, 0xF00F9344, 0xD6D6A3E8, 0xCB61B38C, 0x9B64C2B0, 0x86D3D2D4, 0xA00AE278, 0xBDBDF21C,
+)
+
+
+def _half(x: str) -> str:
+    return f"xor([{', '.join(map(str, NIBBLES))}][({x} & 15) + 1], {x} >> 4)"
+
+
+def _crc32(x: str) -> str:
+    """Unsigned CRC-32 of a string of ASCII characters, as BIGINT."""
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ascii(ch) AS BIGINT) FOR ch IN string_split({x}, '')]), lambda c, b : {_half(_half('xor(c, b)'))}), 4294967295)"
+
+
+OP12 = rf"""WITH d AS (SELECT doc_id, CAST(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS VARCHAR[]) AS w, coalesce({_crc32("CAST(doc_id AS VARCHAR)")}, 1) AS h FROM documents),
+a AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+p AS (SELECT doc_id, w, n, a, h % 10 = 0 AND n > 0 AS changed, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+e AS (SELECT doc_id, n, i, w[1 + CASE WHEN changed AND i >= a THEN a + (i - a) % p ELSE i END] AS x FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+eq AS (SELECT l.doc_id, r.i - l.i AS q, l.i FROM e l JOIN e r ON l.doc_id = r.doc_id AND l.x = r.x AND l.i < r.i WHERE 4 * (r.i - l.i) <= l.n),
+isl AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM eq),
+s AS (SELECT doc_id, q, min(i) AS s, min(i) + count(*) + q AS e FROM isl GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.doc_id = s.doc_id AND o.q < s.q AND o.s <= s.s AND o.e >= s.e)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, e)) AS i FROM run),
+kept AS (SELECT e.doc_id, string_agg(x, ' ' ORDER BY e.i) AS t FROM e LEFT JOIN gone ON e.doc_id = gone.doc_id AND e.i = gone.i WHERE gone.i IS NULL GROUP BY e.doc_id),
+agg AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(s, ',', e - s, ',', q, chr(10)), '' ORDER BY s, q) AS t FROM run GROUP BY doc_id),
+best AS (SELECT doc_id, s, e - s AS length, q FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY e - s DESC, s, q) = 1)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.length, best.q AS period, 1000 * best.length // best.q AS exponent_milli, sha256(coalesce(agg.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN agg ON d.doc_id = agg.doc_id LEFT JOIN best ON d.doc_id = best.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id"""

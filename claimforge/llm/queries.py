@@ -6,6 +6,7 @@ from claimforge.llm import oracles
 from claimforge.llm.decontaminate import op13_benchmark_decontamination
 from claimforge.llm.html_extract import op4_html_consensus
 from claimforge.llm.mixing import op8_source_mixing
+from claimforge.llm.periodic import op12_periodic_runs
 from claimforge.llm.prefix_bpe import op9_prefix_bpe
 from claimforge.llm.quality import op10_ordinal_quality
 from claimforge.llm.rlz_dedup import op1_rlz_substring_dedup
@@ -25,6 +26,7 @@ QUERIES = (
     op8_source_mixing,
     op9_prefix_bpe,
     op10_ordinal_quality,
+    op12_periodic_runs,
     op13_benchmark_decontamination,
 )
 
@@ -34,4 +36,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_rlz_substring_dedup": oracles.OP1, "op2_kdtree_top_k": oracles.OP2, "op7_suffix_array_dedup": oracles.OP7, "op13_benchmark_decontamination": oracles.OP13}
+    return {"op1_rlz_substring_dedup": oracles.OP1, "op2_kdtree_top_k": oracles.OP2, "op7_suffix_array_dedup": oracles.OP7, "op12_periodic_runs": oracles.OP12, "op13_benchmark_decontamination": oracles.OP13}
