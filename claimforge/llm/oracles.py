@@ -64,3 +64,18 @@ agg AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(s, ',', e - s, ',',
 best AS (SELECT doc_id, s, e - s AS length, q FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY e - s DESC, s, q) = 1)
 SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.length, best.q AS period, 1000 * best.length // best.q AS exponent_milli, sha256(coalesce(agg.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
 FROM d LEFT JOIN agg ON d.doc_id = agg.doc_id LEFT JOIN best ON d.doc_id = best.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id"""
+
+OP11 = rf"""WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, {_crc32("CAST(c AS VARCHAR)")} % 6 AS h, c - c % 100 AS base FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT h.c, t.pos + 1 AS d, role, text FROM h JOIN t ON t.c = h.base AND t.pos < h.h
+UNION ALL SELECT h.c, least(h.h, (SELECT count(*) FROM t b WHERE b.c = h.base)) + t.pos - h.h + 1, role, text FROM h JOIN t ON t.c = h.c AND t.pos >= h.h),
+own AS (SELECT c, list(concat(length(role), ':', role, length(text), ':', text) ORDER BY d) AS keys, list(length(text) ORDER BY d) AS sizes FROM r GROUP BY c),
+x AS (SELECT h.c, coalesce(keys, []) AS keys, sizes, len(coalesce(keys, [])) AS len FROM h LEFT JOIN own ON own.c = h.c),
+path AS (SELECT c, len, unnest(range(len + 1)) AS d, keys, sizes FROM x),
+pre AS (SELECT c, len, d, sha256(array_to_string(keys[:d], chr(1))) AS k, CASE WHEN d > 0 THEN sha256(array_to_string(keys[:d - 1], chr(1))) END AS up, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS n FROM path),
+node AS (SELECT d, k, min(c) AS c, any_value(up) AS up, count(*) AS n_convs, any_value(n) AS n, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE d = len) AS ends FROM pre GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, up AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY d, up),
+full_ AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids ON kids.d = node.d AND kids.k = node.k),
+below AS (SELECT a.d, a.k, sum(CASE WHEN b.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((b.n_convs - 1) * b.n) AS saved FROM pre a JOIN pre v ON v.c = a.c AND v.d >= a.d JOIN full_ b ON b.d = v.d AND b.k = v.k AND b.c = v.c GROUP BY a.d, a.k)
+SELECT f.c AS conv_id, f.d AS depth, p.c AS parent_conv_id, f.n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM full_ f JOIN below ON below.d = f.d AND below.k = f.k LEFT JOIN node p ON p.d = f.d - 1 AND p.k = f.up"""

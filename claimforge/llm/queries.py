@@ -12,6 +12,7 @@ from claimforge.llm.quality import op10_ordinal_quality
 from claimforge.llm.rlz_dedup import op1_rlz_substring_dedup
 from claimforge.llm.simhash_golay import op5_simhash_near_dedup
 from claimforge.llm.suffix_dedup import op7_suffix_array_dedup
+from claimforge.llm.trie import op11_conversation_trie
 from claimforge.llm.url_filter import op3_url_filter
 from claimforge.llm.vectors import op2_kdtree_top_k, op6_vptree_ann
 
@@ -26,6 +27,7 @@ QUERIES = (
     op8_source_mixing,
     op9_prefix_bpe,
     op10_ordinal_quality,
+    op11_conversation_trie,
     op12_periodic_runs,
     op13_benchmark_decontamination,
 )
@@ -36,4 +38,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_rlz_substring_dedup": oracles.OP1, "op2_kdtree_top_k": oracles.OP2, "op7_suffix_array_dedup": oracles.OP7, "op12_periodic_runs": oracles.OP12, "op13_benchmark_decontamination": oracles.OP13}
+    return {"op1_rlz_substring_dedup": oracles.OP1, "op2_kdtree_top_k": oracles.OP2, "op7_suffix_array_dedup": oracles.OP7, "op11_conversation_trie": oracles.OP11, "op12_periodic_runs": oracles.OP12, "op13_benchmark_decontamination": oracles.OP13}
