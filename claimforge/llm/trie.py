@@ -70,6 +70,12 @@ def _running(rows: DataFrame, sums: dict[str, Column]) -> DataFrame:
     return local.select("conv_id", "depth", "a", "b", "n", *[total(n).alias(n) for n in sums])
 
 
+def owned_nodes(path: DataFrame) -> DataFrame:
+    """One row of each node, its member of smallest conv_id. Before the exchange each task keeps one row of a node, so no node is hot behind it."""
+    first = F.row_number().over(Window.partitionBy(*NODE).orderBy("conv_id"))
+    return path.withColumn("rank", first).where("rank = 1").drop("rank")
+
+
 def _hashed(batches):
     """sha256 of the comma-joined lists of each node; lists come in order, those of a node one behind the other."""
     now, state = None, None
@@ -112,8 +118,7 @@ def prefix_trie(turns: DataFrame, convs: DataFrame | None = None) -> DataFrame:
     path = cut(steps.unionByName(roots))
 
     # windows mark the owned nodes; a child counts for its parent, whose key is its own without its last turn
-    first = F.row_number().over(Window.partitionBy(*NODE).orderBy("conv_id"))
-    owned = cut(path.withColumn("rank", first).where("rank = 1").select("conv_id", *NODE, "a", "b", "n", "upto"))
+    owned = cut(owned_nodes(path))
     child = owned.where("depth > 0").select((F.col("depth") - 1).alias("depth"), F.col("p").bitwiseXOR(F.col("a")).alias("p"), F.col("q").bitwiseXOR(F.col("b")).alias("q"))
     counts = owned.select(*NODE, "conv_id", "n", "upto", zero.alias("child")).unionByName(child.select("*", F.lit(None).cast("long").alias("conv_id"), zero.alias("n"), zero.alias("upto"), F.lit(1).cast("long").alias("child")))
     nodes = cut(counts.groupBy(*NODE).agg(F.max("conv_id").alias("conv_id"), F.sum("child").alias("n_children"), F.max("n").alias("n"), F.max("upto").alias("upto")))
