@@ -1,38 +1,43 @@
-"""Transitive closure of IS-A pairs by path doubling; safe on cycles, whose members become their own ancestors."""
+"""Transitive closure of IS-A pairs; safe on cycles, whose members become their own ancestors."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimforge.operators.tables import stored
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the session's shared folder; where none is set, in the warehouse, which a cluster shares as well."""
-    spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
-    return df.checkpoint(eager=True)
+PAIR = ["child", "ancestor"]
+PLAIN = 3  # rounds of single steps before paths are doubled
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """All (child, ancestor) pairs of edges (child, parent), in as many rounds as the logarithm of the longest shortest path.
+def _after(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.join(b.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("next")), "ancestor").select("child", F.col("next").alias("ancestor")).distinct()
 
-    Before round i, known holds the pairs at a distance below 2^i and step those at exactly 2^(i-1) that are in no shorter one:
-    step after step gives the next steps, step after known all between. A round's output is checkpointed, which cuts the lineage.
-    """
-    step = known = checkpointed(edges.select("child", F.col("parent").alias("ancestor")).where("child is not null and ancestor is not null").distinct())
-    pair = ["child", "ancestor"]
 
-    def after(a: DataFrame, b: DataFrame) -> DataFrame:
-        return a.join(b.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("next")), "ancestor").select("child", F.col("next").alias("ancestor")).distinct()
+def closure(edges: DataFrame) -> DataFrame:
+    """All (child, ancestor) pairs of edges (child, parent): a few rounds of single steps, then as many as the logarithm of the longest shortest path.
 
-    while True:
-        step = checkpointed(after(step, step).join(known, pair, "left_anti"))
+    Before each round, known holds the pairs at a distance of at most m and step those at exactly m. Single steps extend step by an edge, which is all that
+    shallow hierarchies need; then step after step gives the next steps, step after known all between. Each round's pairs are written once.
+    """
+    step = edge = stored(edges.select("child", F.col("parent").alias("ancestor")).where("child is not null and ancestor is not null").distinct())
+    parts = [edge]
+    for _ in range(PLAIN):
+        step = stored(reduce(lambda x, known: x.join(known, PAIR, "left_anti"), parts, _after(step, edge)))
         if step.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        parts.append(step)
+    while True:
+        known = reduce(DataFrame.unionByName, parts)
+        ahead = stored(_after(step, step).join(known, PAIR, "left_anti"))
+        if ahead.isEmpty():
             return known
-        between = checkpointed(after(step, known).join(known, pair, "left_anti").join(step, pair, "left_anti"))
-        known = known.unionByName(step).unionByName(between)  # all parts are checkpointed, none is written again
+        between = stored(_after(step, known).join(known, PAIR, "left_anti").join(ahead, PAIR, "left_anti"))
+        parts += [ahead, between]
+        step = ahead
 
 
 def reachable(pairs: DataFrame, closed: DataFrame) -> DataFrame:
