@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from claimforge.llm.common import keyed, read_table
+from claimforge.llm.common import keyed, read_table, release
 
 NEVER = 1 << 60
 
@@ -65,7 +65,7 @@ class PrefixBPE:
         return self.whole[token]
 
     def keeps(self, left: int, right: int) -> bool:
-        """Whether merging the bytes of both tokens gives these two tokens again.
+        """Whether merging the bytes of both tokens gives these two tokens again; after the check of token pairs in the `bpe` crate of GitHub's rust-gems.
 
         Goes back in time: of the two tokens at the boundary the one that was made later is undone. If at some time the
         two that then met make a token that would have been merged before either was used up, the boundary is lost.
@@ -142,6 +142,10 @@ class PrefixBPE:
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
+    def forget(self) -> None:
+        """Drops what was kept of pieces and pairs, as an idle worker would hold it while other stages need the memory."""
+        self.pairs, self.young, self.old = {}, {}, {}
+
 
 class EditableText:
     """A text with its pieces and their tables of last tokens that follows appends and edits by encoding only near them.
@@ -232,6 +236,8 @@ def bpe_round_trip(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
                 ids.append(out)
                 decoded.append(bpe.decode(np.frombuffer(out, "<u4").tolist()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
+        bpe.forget()
+        release()
 
     return keyed(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
