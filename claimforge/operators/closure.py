@@ -13,31 +13,35 @@ PAIR = ["child", "ancestor"]
 PLAIN = 3  # rounds of single steps before paths are doubled
 
 
-def _after(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.join(b.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("next")), "ancestor").select("child", F.col("next").alias("ancestor")).distinct()
+def _beyond(known: DataFrame, step: DataFrame, onward: DataFrame) -> DataFrame:
+    """A table (child, ancestor, far) of pairs that step and onward (child, ancestor, far) make together and that aren't known; far if some far one does."""
+    on = onward.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("next"), "far")
+    pairs = step.select(*PAIR).join(on, "ancestor").groupBy("child", F.col("next").alias("ancestor")).agg(F.bool_or("far").alias("far"))
+    return stored(pairs.join(known, PAIR, "left_anti"))
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """All (child, ancestor) pairs of edges (child, parent): a few rounds of single steps, then as many as the logarithm of the longest shortest path.
 
-    Before each round, known holds the pairs at a distance of at most m and step those at exactly m. Single steps extend step by an edge, which is all that
-    shallow hierarchies need; then step after step gives the next steps, step after known all between. Each round's pairs are written once.
+    Before each round, known holds the pairs at a distance of at most m, and step has those at exactly m among its pairs. Single steps extend step by an edge,
+    which is all that shallow hierarchies need. Then one join of step with all that is known gives all distances up to 2 m; the pairs
+    that two of step make are the next step. Each round's pairs are written once.
     """
-    step = edge = stored(edges.select("child", F.col("parent").alias("ancestor")).where("child is not null and ancestor is not null").distinct())
+    step = edge = stored(edges.select("child", F.col("parent").alias("ancestor"), F.lit(True).alias("far")).where("child is not null and ancestor is not null").distinct())
     parts = [edge]
+    known = lambda: reduce(DataFrame.unionByName, [x.select(*PAIR) for x in parts])
     for _ in range(PLAIN):
-        step = stored(reduce(lambda x, known: x.join(known, PAIR, "left_anti"), parts, _after(step, edge)))
+        step = _beyond(known(), step, edge)
         if step.isEmpty():
-            return reduce(DataFrame.unionByName, parts)
+            return known()
         parts.append(step)
     while True:
-        known = reduce(DataFrame.unionByName, parts)
-        ahead = stored(_after(step, step).join(known, PAIR, "left_anti"))
-        if ahead.isEmpty():
-            return known
-        between = stored(_after(step, known).join(known, PAIR, "left_anti").join(ahead, PAIR, "left_anti"))
-        parts += [ahead, between]
-        step = ahead
+        near = [x.select(*PAIR, F.lit(False).alias("far")) for x in parts[:-1]]
+        more = _beyond(known(), step, reduce(DataFrame.unionByName, near, parts[-1]))
+        if more.isEmpty():
+            return known()
+        parts.append(more)
+        step = more.where("far")
 
 
 def reachable(pairs: DataFrame, closed: DataFrame) -> DataFrame:

@@ -41,28 +41,57 @@ def combined(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def not_yet(candidates: DataFrame, existing: DataFrame, least: int = 10) -> DataFrame:
-    """Candidates whose question, in any case, is not among the existing ones; one of each; `least` characters at least."""
+def not_yet(candidates: DataFrame, existing: DataFrame, least: int = 10, most: int | None = None, order: str = "question") -> DataFrame:
+    """Candidates whose question, in any case, is not among the existing ones; one of each; `least` characters at least.
+
+    most: only so many, the first in the order of a column (200 taken over and 100 generated ones are usual caps); None: all. Of questions that
+    differ in case only the first by `order` is taken.
+    """
     low = F.lower("question")
-    out = candidates.where(F.length("question") >= least).withColumn("low_", low).dropDuplicates(["low_"])
-    return out.join(existing.select(low.alias("low_")).distinct(), "low_", "left_anti").drop("low_")
+    out = candidates.where(F.length("question") >= least).groupBy(low.alias("low_")).agg(F.min_by(F.struct(*candidates.columns), F.struct(order, "question")).alias("x_"))
+    out = out.join(existing.select(low.alias("low_")).distinct(), "low_", "left_anti").select("x_.*")
+    return out if most is None else out.orderBy(order, "question").limit(most)
 
 
-def mentions(questions: DataFrame, kb: KnowledgeBase, least: int = 10) -> DataFrame:
-    """Distinct questions of `least` characters at least in which a key of isa or of the properties occurs, in any case and place.
+GRAM = 3
+
+
+def _grams(text, n: int):
+    """Distinct n-grams of a text, as an array; none if it is shorter."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def gram_index(keys: DataFrame) -> DataFrame:
+    """(gram, key): each distinct key, not empty, under that of its three-letter pieces that fewest keys have (ties: the first by name); a shorter key under itself."""
+    short = keys.where(F.length("key").between(1, GRAM - 1)).select(F.col("key").alias("gram"), "key").distinct()
+    pieces = keys.where(F.length("key") >= GRAM).select("key").distinct().select("key", F.explode(_grams(F.col("key"), GRAM)).alias("gram"))
+    counts = pieces.groupBy("gram").count()
+    rare = pieces.join(counts, "gram").groupBy("key").agg(F.min(F.struct("count", "gram")).alias("x")).select("x.gram", "key")
+    return rare.unionByName(short)
 
-    The pieces of a question that are as long as some key meet the keys by an equi-join, not by a nested loop.
+
+def text_pieces(whole: DataFrame, sizes) -> DataFrame:
+    """(id, gram): the distinct pieces of each size of texts (text, id) in lower case."""
+    return whole.select("id", F.explode(F.concat(F.array().cast("array<string>"), *[_grams(F.lower("text"), n) for n in sizes])).alias("gram"))
+
+
+def containing(texts: DataFrame, keys: DataFrame, text: str = "text") -> DataFrame:
+    """Distinct (text, key): texts, in lower case, that hold a key as it stands.
+
+    A substring join by an index: a text gives its distinct pieces of three letters (of one or two too, if there are such keys), as many as it has
+    letters, whatever lengths keys have. Only pieces that keys are listed under meet them, and the whole key is compared with
+    the whole text, which is fetched by its hash, so texts don't travel with their pieces.
     """
-    keys = kb.isa.select(F.col("child").alias("key")).unionByName(kb.has_prop.select(F.col("entity").alias("key"))).where("key != ''").distinct()
-    sizes = sorted(r.n for r in keys.select(F.length("key").alias("n")).distinct().collect())  # as many as the longest key has letters, at most
-    if not sizes:
-        return questions.select("question").limit(0)
-    asked = questions.select(strip(F.col("question")).alias("question")).where(F.length("question") >= least).distinct()
-    low = F.lower("question")
+    index = gram_index(keys)
+    sizes = sorted(r.n for r in index.select(F.length("gram").alias("n")).distinct().collect())  # of 1, 2 and 3
+    whole = texts.select(F.col(text).alias("text")).where("text is not null").distinct().select("text", F.sha2("text", 256).alias("id"))
+    met = text_pieces(whole, sizes).join(index, "gram").select("id", "key").distinct()
+    return whole.join(met, "id").where(F.contains(F.lower("text"), F.col("key"))).select("text", "key")
 
-    def pieces(n: int):
-        starts = F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1)))
-        return F.when(F.length(low) >= n, F.transform(starts, lambda i: F.substr(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
-    met = asked.select("question", F.explode(F.array_distinct(F.concat(*map(pieces, sizes)))).alias("key"))
-    return met.join(keys, "key", "left_semi").select("question").distinct()
+def mentions(questions: DataFrame, kb: KnowledgeBase, least: int = 10) -> DataFrame:
+    """Distinct questions of `least` characters at least in which a key of isa or of the properties occurs, in any case and place."""
+    keys = kb.isa.select(F.col("child").alias("key")).unionByName(kb.has_prop.select(F.col("entity").alias("key")))
+    asked = questions.select(strip(F.col("question")).alias("question")).where(F.length("question") >= least)
+    return containing(asked, keys, "question").select(F.col("text").alias("question")).distinct()

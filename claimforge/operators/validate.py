@@ -28,18 +28,21 @@ def _word(flag: Column) -> Column:
     return F.when(flag, "True").otherwise("False")
 
 
-def rule_verdicts(pairs: DataFrame, rule: DataFrame, loose: bool = False) -> DataFrame:
+def rule_verdicts(pairs: DataFrame, rule: DataFrame, loose: bool = False, first: bool = False) -> DataFrame:
     """Distinct pairs (lhs, rhs) whose condition heads a rule, with fired (some spelling of both is a rule) and known.
 
-    Any pair of spellings decides, so results don't depend on an order of spellings. A condition's rules are never one row: its
+    Any pair of spellings decides, so results don't depend on an order of spellings; with first, the first spelling of the condition (in the order of
+    `condition_forms`) that heads a rule decides alone, and what later ones say doesn't count. A condition's rules are never one row: its
     spellings meet the heads first, and only what is left meets the rules, spelling by spelling.
     """
     heads = rule.select("condition").where("condition is not null").distinct()
-    forms = pairs.select("lhs", "rhs", F.explode(T.condition_forms(F.col("lhs"), loose)).alias("condition")).join(heads, "condition")
-    spelled = forms.select("lhs", "rhs", "condition", F.explode(T.consequence_forms(F.col("rhs"), loose)).alias("consequence"))
+    forms = pairs.select("lhs", "rhs", F.posexplode(T.condition_forms(F.col("lhs"), loose)).alias("rank", "condition")).join(heads, "condition")
+    spelled = forms.select("lhs", "rhs", "rank", "condition", F.explode(T.consequence_forms(F.col("rhs"), loose)).alias("consequence"))
     facts = rule.select("condition", "consequence").distinct().withColumn("fact", F.lit(True))
     met = spelled.join(facts, ["condition", "consequence"], "left")
-    return met.groupBy("lhs", "rhs").agg(F.coalesce(F.bool_or("fact"), F.lit(False)).alias("fired"), F.lit(True).alias("known"))
+    hit = F.coalesce("fact", F.lit(False))
+    fired = F.max(F.struct(-F.col("rank"), hit.alias("fired")))["fired"] if first else F.bool_or(hit)  # false sorts before true
+    return met.groupBy("lhs", "rhs").agg(fired.alias("fired"), F.lit(True).alias("known"))
 
 
 def _without_graph(kb: KnowledgeBase) -> tuple[KnowledgeBase, DataFrame]:
@@ -49,12 +52,12 @@ def _without_graph(kb: KnowledgeBase) -> tuple[KnowledgeBase, DataFrame]:
     return KnowledgeBase(none("child", "parent"), none("entity", "prop"), kb.rule), none("child", "ancestor")
 
 
-def validate(questions: DataFrame, kb: KnowledgeBase, closed: DataFrame | None = None, loose: bool = False) -> DataFrame:
+def validate(questions: DataFrame, kb: KnowledgeBase, closed: DataFrame | None = None, loose: bool = False, first: bool = False) -> DataFrame:
     """questions (idx unique, question, type, ...) with graph_answer, epistemic_state, proof and covered.
 
     A question is covered if the knowledge base can say yes or no to it: its subject is a child of isa (taxonomic), or has
     properties itself (categorical), or its condition heads a rule (hypothetical). loose gives the variant with fewer spellings, property
-    synonyms and the label SHAKK. Null questions and unknown types are uncovered. closed: the closure of kb.isa, if at hand.
+    synonyms and the label SHAKK. first: see `rule_verdicts`. Null questions and unknown types are uncovered. closed: the closure of kb.isa, if at hand.
     """
     if closed is None:
         graph = questions.where(F.col("type").isin("taxonomic", "categorical"))
@@ -78,7 +81,7 @@ def validate(questions: DataFrame, kb: KnowledgeBase, closed: DataFrame | None =
     facts = up.unionByName(spelled).distinct().withColumn("fact", F.lit(True))
     q = q.join(facts, ["subject_", "goal_", "type"], "left")
     q = q.join(have.select(F.col("entity").alias("subject_"), F.col("prop").alias("raw_"), F.lit(True).alias("raw_fact")).distinct(), ["subject_", "raw_"], "left") if loose else q.withColumn("raw_fact", F.lit(None).cast("boolean"))
-    fired = rule_verdicts(q.where(hyp & F.col("lhs").isNotNull()).select("lhs", "rhs").distinct(), kb.rule, loose)
+    fired = rule_verdicts(q.where(hyp & F.col("lhs").isNotNull()).select("lhs", "rhs").distinct(), kb.rule, loose, first)
     q = q.join(fired.withColumn("type", F.lit("hypothetical")), ["lhs", "rhs", "type"], "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     ok = F.col("lhs").isNotNull()

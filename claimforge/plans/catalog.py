@@ -7,8 +7,6 @@ tables directly, without parsing any question.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
@@ -19,7 +17,10 @@ from claimforge.operators import evaluate as E
 from claimforge.operators import generate as G
 from claimforge.operators import metrics as M
 from claimforge.operators import validate as V
+from claimforge.operators.changes import changed, reduced
 from claimforge.operators.closure import closure, inherited, reachable
+from claimforge.operators.labels import labelled, reachable_by
+from claimforge.operators.tables import new_folder as files
 from claimforge.plans import reports as R
 from claimforge.sources import ingest as I
 from claimforge.sources import theories as TH
@@ -87,6 +88,11 @@ def geo_questions(spark, d) -> DataFrame:
     return c.select(F.col("c_custkey").alias("idx"), q.alias("question"), F.when(m == 4, "categorical").otherwise("taxonomic").alias("type"))
 
 
+GEO_ASKED = """SELECT c_custkey AS idx, CASE c_custkey % 5 WHEN 0 THEN 'Are all ' || c || ' a ' || r || '?' WHEN 1 THEN 'are all ' || c || ' ' || other || '??' WHEN 2 THEN ' Is ' || c || ' a ' || n || '? '
+WHEN 3 THEN 'Are all ghost' || c_custkey || ' ' || r || '?' ELSE 'Do all ' || c || ' have the ' || seg || '?' END AS question
+FROM (SELECT c_custkey, lower(replace(c_name, '#', '')) AS c, lower(n_name) AS n, lower(o.r_name) AS r, lower(x.r_name) AS other, lower(c_mktsegment) AS seg FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region o ON o.r_regionkey = n_regionkey JOIN region x ON x.r_regionkey = (n_regionkey + 1) % 5)"""
+
+
 GEO_VERDICT = f"""WITH {GEO}, v AS (SELECT c_custkey AS idx, c_custkey % 5 <> 3 AS covered,
 CASE c_custkey % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 4 THEN EXISTS (SELECT 1 FROM prop p WHERE p.entity = cust.n AND p.prop = cust.seg) END AS graph_answer FROM cust)
 SELECT idx, covered, graph_answer, CASE WHEN graph_answer THEN 'YAQEEN' WHEN NOT graph_answer THEN 'WAHM' ELSE 'UNKNOWN' END AS epistemic_state FROM v"""
@@ -138,6 +144,62 @@ def g5_kb_stats(spark, d):
     return stats(geography(spark, d))
 
 
+#: pairs that come and go: the first region is above the world then, which makes a cycle; some nations change their region
+MOVES = """gone AS (SELECT n AS child, r AS parent FROM nat WHERE n_nationkey % 3 = 0 UNION SELECT c, n FROM cust WHERE c_custkey % 7 = 0),
+new AS (SELECT 'world' AS child, min(lower(r_name)) AS parent FROM region UNION SELECT n, lower(o.r_name) FROM nat JOIN region o ON o.r_regionkey = (nat.n_regionkey + 1) % 5 WHERE n_nationkey % 4 = 0 UNION SELECT s, 'trader' FROM sup),
+after AS (SELECT child, parent FROM edges WHERE (child, parent) NOT IN (SELECT (child, parent) FROM gone) UNION SELECT child, parent FROM new)"""
+UP = "{0}(child, ancestor) AS (SELECT child, parent FROM {1} UNION SELECT u.child, e.parent FROM {0} u JOIN {1} e ON u.ancestor = e.child)"
+
+
+def moves(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(added, removed) pairs of the geography."""
+    t = lambda n: table(spark, d, n)
+    nation, k = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")), F.col("n_nationkey")
+    gone = nation.where(k % 3 == 0).select(F.lower("n_name").alias("child"), F.lower("r_name").alias("parent"))
+    gone = gone.unionByName(t("customer").where("c_custkey % 7 = 0").join(nation, F.col("c_nationkey") == k).select(token("c_name").alias("child"), F.lower("n_name").alias("parent")))
+    new = t("region").agg(F.lit("world").alias("child"), F.min(F.lower("r_name")).alias("parent"))
+    other = t("region").select(F.col("r_regionkey").alias("k"), F.lower("r_name").alias("parent"))
+    new = new.unionByName(nation.where(k % 4 == 0).join(other, (F.col("n_regionkey") + 1) % 5 == F.col("k")).select(F.lower("n_name").alias("child"), "parent"))
+    return new.unionByName(t("supplier").select(token("s_name").alias("child"), F.lit("trader").alias("parent"))), gone
+
+
+def moved(spark, d):
+    edges = geography(spark, d).isa
+    return changed(edges, closure(edges), *moves(spark, d))
+
+
+@register(f"WITH RECURSIVE {GEO}, {MOVES}, {UP.format('up', 'after')} SELECT child, ancestor FROM up")
+def g1_g4_closure_under_change(spark, d):
+    """The closure of the geography after pairs have gone and come, kept up to date and not built again."""
+    return moved(spark, d).closed
+
+
+@register(f"WITH RECURSIVE {GEO}, {MOVES}, {UP.format('was', 'edges')}, {UP.format('up', 'after')} SELECT 'lost' AS change, * FROM (SELECT * FROM was EXCEPT SELECT * FROM up) UNION ALL SELECT 'gained', * FROM (SELECT * FROM up EXCEPT SELECT * FROM was)")
+def g1_g4_what_a_change_does(spark, d):
+    """The closed pairs that the change took and gave."""
+    x = moved(spark, d)
+    say = lambda df, what: df.select(F.lit(what).alias("change"), "child", "ancestor")
+    return say(x.lost, "lost").unionByName(say(x.gained, "gained"))
+
+
+@register(f"WITH {GEO} SELECT child, parent FROM edges")
+def g1_reduction(spark, d):
+    """The geography's pairs again, from its closure alone."""
+    return reduced(closure(geography(spark, d).isa).select("child", F.col("ancestor").alias("parent")))
+
+
+@register("SELECT event_id AS idx, 'e' || event_id AS child, 'e' || b AS ancestor, b >= event_id AND b // 2000 = event_id // 2000 AND b <= (SELECT max(event_id) + 1 FROM events) AS reached FROM (SELECT event_id, (event_id * 7919 + 13) % 10000 AS b FROM events WHERE event_id < 10000) UNION ALL SELECT event_id, 'e' || event_id, 'e' || (event_id + 40), event_id // 2000 = (event_id + 40) // 2000 AND event_id + 39 <= (SELECT max(event_id) FROM events) FROM events")
+def g2_reachability_by_labels(spark, d):
+    """Chains of two thousand events each, whose closure would be quadratic: who comes after whom, by two-hop labels."""
+    e = table(spark, d, "events").select("event_id")
+    name = lambda c: F.concat(F.lit("e"), c.cast("string"))
+    k = F.col("event_id")
+    edges = e.where(k % 2000 != 1999).select(name(k).alias("child"), name(k + 1).alias("parent"))
+    far = e.where("event_id < 10000").select(k.alias("idx"), name(k).alias("child"), name((k * 7919 + 13) % 10000).alias("ancestor"))
+    near = e.select(k.alias("idx"), name(k).alias("child"), name(k + 40).alias("ancestor"))
+    return reachable_by(far.unionByName(near), labelled(edges))
+
+
 # ---------------------------------------------------------------- validation
 def verdict_columns(df: DataFrame) -> DataFrame:
     return df.select("idx", "covered", "graph_answer", "epistemic_state")
@@ -167,6 +229,25 @@ def v3_v8_validate_rules(spark, d):
     return verdict_columns(V.validate(event_questions(spark, d), geography(spark, d)))
 
 
+FIRST = """rules AS (SELECT DISTINCT CASE WHEN (props->>'$.k')::INT % 20 < 6 THEN 'it is ' || event_type ELSE event_type END AS c, (props->>'$.k')::INT % 20 AS k FROM events WHERE event_type <> 'signup' AND (props->>'$.k')::INT % 20 < 12 AND NOT (event_type = 'click' AND (props->>'$.k')::INT % 20 < 6)),
+ev AS (SELECT event_id, event_type AS e, (props->>'$.k')::INT % 20 AS k FROM events), h AS (SELECT ev.*, coalesce((SELECT min(c) FROM rules WHERE c = 'it is ' || e), (SELECT min(c) FROM rules WHERE c = e)) AS head FROM ev)"""
+
+
+def spelled_rules(spark, d) -> DataFrame:
+    """Rules under two spellings of a condition with different consequences; clicks have one spelling, signups none."""
+    k = F.get_json_object("props", "$.k").cast("int") % 20
+    x = table(spark, d, "events").where((F.col("event_type") != "signup") & (k < 12) & ~((F.col("event_type") == "click") & (k < 6)))
+    return x.select(F.when(k < 6, F.concat(F.lit("it is "), "event_type")).otherwise(F.col("event_type")).alias("condition"), F.concat(F.lit("level_"), level()).alias("consequence")).distinct()
+
+
+@register(f"WITH {FIRST}, v AS (SELECT event_id AS idx, head IS NOT NULL AS covered, CASE WHEN head IS NOT NULL THEN EXISTS (SELECT 1 FROM rules r WHERE r.c = head AND r.k = h.k) END AS graph_answer FROM h) SELECT *, CASE WHEN NOT covered THEN 'UNKNOWN' WHEN graph_answer THEN 'YAQEEN' ELSE 'WAHM' END AS epistemic_state FROM v")
+def v8_first_spelling_decides(spark, d):
+    """The condition's first spelling that heads a rule decides, where others would say something else."""
+    q = table(spark, d, "events").select(F.col("event_id").alias("idx"), F.concat(F.lit("If it is "), F.col("event_type"), F.lit(", is it level "), level(), F.lit("?")).alias("question"), F.lit("hypothetical").alias("type"))
+    none = geography(spark, d)
+    return verdict_columns(V.validate(q, KnowledgeBase(none.isa, none.has_prop, spelled_rules(spark, d)), first=True))
+
+
 @register(f"WITH {GEO}, v AS ({GEO_VERDICT}) SELECT CASE WHEN idx % 5 = 4 THEN 'categorical' ELSE 'taxonomic' END AS pattern_type, count(*) AS total, count(*) FILTER (WHERE covered) AS covered, round(100.0 * count(*) FILTER (WHERE covered) / count(*), 2) AS coverage_rate, round(100.0 * count(*) FILTER (WHERE NOT covered) / count(*), 2) AS non_interference FROM v GROUP BY 1")
 def v9_a11_coverage_by_pattern(spark, d):
     q = geo_questions(spark, d).withColumn("category", F.lit("geography"))
@@ -543,12 +624,6 @@ def d4_d5_d6_theory_questions(spark, d):
 
 
 # ---------------------------------------------------------------- readers and writers, through files
-def files(spark) -> str:
-    """A new folder that all executors see: below the checkpoint folder, else below the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/_files/{uuid.uuid4().hex}"
-
-
 def sentence():
     """'colour is a thing.' of a part's name."""
     return F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" is a "), F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit("."))
@@ -645,21 +720,20 @@ def geo_coverage(spark, d) -> DataFrame:
     return V.coverage(geo_questions(spark, d).withColumn("category", F.lit("geography")).drop("type"), geography(spark, d))
 
 
-@register(f"WITH v AS ({GEO_VERDICT.replace(chr(39) + 'UNKNOWN' + chr(39), chr(39) + 'SHAKK' + chr(39))}) SELECT idx, epistemic_state, CASE WHEN idx % 5 = 4 THEN 'categorical' ELSE 'taxonomic' END AS pattern_type, 'geography' AS category FROM v WHERE covered")
+@register(f"WITH v AS ({GEO_VERDICT.replace(chr(39) + 'UNKNOWN' + chr(39), chr(39) + 'SHAKK' + chr(39))}) SELECT v.idx, epistemic_state, CASE WHEN v.idx % 5 = 4 THEN 'categorical' ELSE 'taxonomic' END AS pattern_type, question, 'geography' AS category FROM v JOIN ({GEO_ASKED}) q ON v.idx = q.idx WHERE covered")
 def p5_covered_details(spark, d):
-    return M.covered_details(geo_coverage(spark, d)).drop("question")
+    return M.covered_details(geo_coverage(spark, d))
 
 
 @register(f"""WITH {GEO}, v AS ({GEO_VERDICT}), x AS (SELECT idx, covered, epistemic_state AS e, CASE WHEN idx % 5 = 4 THEN 'categorical' ELSE 'taxonomic' END AS p FROM v), t AS (SELECT count(*) AS n, count(*) FILTER (WHERE covered) AS c FROM x),
 o AS (SELECT ord, o.p, count(x.p) AS n, count(*) FILTER (WHERE covered) AS c FROM (VALUES (0, 'taxonomic'), (1, 'categorical'), (2, 'hypothetical'), (3, 'other')) o(ord, p) LEFT JOIN x ON x.p = o.p GROUP BY ord, o.p)
 SELECT '1 0' AS ord, printf('%-24s: %d', 'Questions', n) AS line FROM t UNION ALL SELECT '1 1', printf('%-24s: %d', 'Classes known', (SELECT count(DISTINCT child) FROM edges)) UNION ALL SELECT '1 2', printf('%-24s: %d (%.1f%%)', 'Covered', c, round(100.0 * c / n, 2)) FROM t
 UNION ALL SELECT '1 3', printf('%-24s: %d (%.1f%%)', 'Not covered', n - c, round(100.0 * (n - c) / n, 2)) FROM t UNION ALL SELECT '2 ' || ord, printf('%-16s total=%4d covered=%3d (%.1f%%)', p, n, c, round(coalesce(100.0 * c / nullif(n, 0), 0), 1)) FROM o
-UNION ALL SELECT printf('3 %019d', x.idx), NULL FROM x WHERE covered""")
+UNION ALL SELECT printf('3 %019d', x.idx), printf('[%-6s] [%-12s] %s', replace(e, 'UNKNOWN', 'SHAKK'), p, question) FROM x JOIN ({GEO_ASKED}) q ON x.idx = q.idx WHERE covered""")
 def r16_coverage_report(spark, d):
-    """The report's lines; of the covered questions, which the SQL doesn't write, the places only."""
+    """All lines of the report."""
     kb = geography(spark, d)
-    lines = R.coverage_report(geo_coverage(spark, d), closure(kb.isa).select("child").distinct())
-    return lines.withColumn("line", F.when(~F.col("ord").startswith("3 "), F.col("line")))
+    return R.coverage_report(geo_coverage(spark, d), closure(kb.isa).select("child").distinct())
 
 
 @register(f"""WITH {OUT}, cm AS (SELECT run_key, {CM} FROM rec GROUP BY run_key), r AS (SELECT *, {RATES} FROM cm), ct AS (SELECT run_key, type, round(100.0 * (tp + tn) / total, 1) AS a FROM (SELECT run_key, type, {CM} FROM rec GROUP BY ALL)),

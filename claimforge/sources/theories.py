@@ -9,6 +9,13 @@ from claimforge.functions.text import U, let, strip
 
 CONTEXT = ("theory", "triples", "context")  # fixed values: names of an entry's theory, in order
 
+# --- fixed values: patterns of sentences and questions, in the order in which they are tried
+CLASS_PATTERNS = (r"^all\s+(\w+)\s+are\s+(\w+)", r"^(\w+)s?\s+are\s+(\w+)", r"^(\w+)\s+is\s+a\s+(\w+)", r"^(\w+)\s+is\s+an\s+(\w+)")
+PROPERTY_PATTERNS = (r"^(\w+)\s+(?:are|is)\s+(cold[_-]blooded|warm[_-]blooded|nocturnal|diurnal)", r"^(\w+)\s+(?:have|has)\s+(\w[\w\s]+)", r"^(\w+)\s+can\s+(\w[\w\s]+)")
+KIND_PATTERNS = (
+    ("taxonomic", r"^are all"), ("taxonomic", r"^is\s+\w+\s+an?\s+"), ("categorical", r"^do all\s+\w+\s+have"), ("categorical", r"^can all\s+"), ("hypothetical", r"^if\s+"),
+)
+
 
 def sentences(entries: DataFrame) -> DataFrame:
     """(path, pos, sentence): a text's sentences, a list's texts (plain or under 'text'), or those of a 'triples' object; over 3 characters."""
@@ -40,19 +47,21 @@ def _fact(sentence: Column, patterns, tidy) -> Column:
 
 def class_fact(sentence: Column) -> Column:
     """struct(a, b) of 'all X are Y', 'X are Y' or 'X is a Y'; null if none fits."""
-    return _fact(sentence, [U + p for p in (r"^all\s+(\w+)\s+are\s+(\w+)", r"^(\w+)s?\s+are\s+(\w+)", r"^(\w+)\s+is\s+a\s+(\w+)", r"^(\w+)\s+is\s+an\s+(\w+)")], lambda b: b)
+    return _fact(sentence, [U + p for p in CLASS_PATTERNS], lambda b: b)
 
 
 def property_fact(sentence: Column) -> Column:
     """struct(a, b) of 'X is cold-blooded' and the like, 'X has Y' or 'X can Y', the property joined by underscores; null if none fits."""
-    patterns = (r"^(\w+)\s+(?:are|is)\s+(cold[_-]blooded|warm[_-]blooded|nocturnal|diurnal)", r"^(\w+)\s+(?:have|has)\s+(\w[\w\s]+)", r"^(\w+)\s+can\s+(\w[\w\s]+)")
-    return _fact(sentence, [U + p for p in patterns], lambda b: F.translate(b, " -", "__"))
+    return _fact(sentence, [U + p for p in PROPERTY_PATTERNS], lambda b: F.translate(b, " -", "__"))
 
 
 def question_kind(q: Column) -> Column:
     """taxonomic, categorical or hypothetical by a question's opening, else null."""
     t = strip(F.lower(q))
-    return F.when(t.rlike(r"^are all") | t.rlike(U + r"^is\s+\w+\s+an?\s+"), "taxonomic").when(t.rlike(U + r"^do all\s+\w+\s+have") | t.rlike(r"^can all\s+"), "categorical").when(t.rlike(r"^if\s+"), "hypothetical")
+    out = F.lit(None).cast("string")
+    for kind, p in reversed(KIND_PATTERNS):
+        out = F.when(t.rlike(U + p), kind).otherwise(out)
+    return out
 
 
 def questions(entries: DataFrame, context: int = 500) -> DataFrame:

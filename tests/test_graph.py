@@ -124,3 +124,43 @@ def test_labels_of_a_chain(spark):
     assert wrong.isEmpty()
     assert labels.size() < 40 * n
     assert reachable(asked.limit(5), closure(spark.createDataFrame([("0", "1")], "child string, parent string"))).count() == 5
+
+
+def test_substring_index(spark):
+    """All pairs of texts and keys, with keys of one and two letters, of other scripts, empty and null ones."""
+    from claimforge.operators.generate import containing, gram_index
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdé中X ") for _ in range(rng.randint(0, 40))) for _ in range(120)] + [None, "", "abc", "ABC"]
+    keys = ["".join(rng.choice("abcdé中 ") for _ in range(rng.randint(1, 6))) for _ in range(80)] + ["", None, "a", "bc", "abc", "abc"]
+    want = {(t, k) for t in texts for k in keys if t is not None and k and k in t.lower()}
+    t, k = spark.createDataFrame([(x, 1) for x in texts], "text string, id int"), spark.createDataFrame([(x, 2) for x in keys], "key string, id int")
+    assert pairs(containing(t, k)) == want
+    index = gram_index(k).collect()
+    assert len(index) == len({x for x in keys if x}) and all(r.gram in r.key and len(r.gram) == min(3, len(r.key)) for r in index)
+    assert containing(t, k.limit(0)).isEmpty() and containing(t.limit(0), k).isEmpty()
+
+
+def test_pieces_follow_the_text_not_the_keys(spark):
+    """A text of n letters gives at most n pieces, whatever keys there are."""
+    from claimforge.operators.generate import gram_index, text_pieces
+
+    texts = spark.createDataFrame([(str(j), "".join(chr(97 + (i * i + j) % 26) for i in range(500))) for j in range(3)], "id string, text string")
+    keys = spark.createDataFrame([("q" * n,) for n in range(3, 103)], "key string")
+    sizes = [r.n for r in gram_index(keys).select(F.length("gram").alias("n")).distinct().collect()]
+    assert sizes == [3] and max(r["count"] for r in text_pieces(texts, sizes).groupBy("id").count().collect()) <= 500
+
+
+def test_first_spelling(spark):
+    from claimforge.operators.validate import rule_verdicts, validate
+    from claimforge.plans.golden import questions
+
+    rule = spark.createDataFrame([("it is wet", "slip"), ("wet", "cold"), ("dry", "dust")], "condition string, consequence string")
+    asked = spark.createDataFrame([("it is wet", "cold"), ("it is wet", "slip"), ("wet", "cold"), ("wet", "slip"), ("it is dry", "dust"), ("x", "y")], "lhs string, rhs string")
+    of = lambda first: {(r.lhs, r.rhs): r.fired for r in rule_verdicts(asked, rule, first=first).collect()}
+    any_, one = of(False), of(True)
+    assert any_ == {("it is wet", "cold"): True, ("it is wet", "slip"): True, ("wet", "cold"): True, ("wet", "slip"): False, ("it is dry", "dust"): True}
+    assert one == any_ | {("it is wet", "cold"): False}
+    kb, q = builtin(spark), spark.createDataFrame(questions(), "idx int, question string, ground_truth boolean, type string, source string")
+    verdict = lambda first: {r.idx: (r.covered, r.graph_answer, r.proof) for r in validate(q, kb, first=first).collect()}
+    assert verdict(True) == verdict(False)  # spellings that meet the built-in rules together carry equal lists
