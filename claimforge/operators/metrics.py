@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimforge.operators.running import FAN, before, running
+
 
 def _share(a: Column, b: Column, digits: int = 1) -> Column:
     return F.round(F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0)) * 100, digits)
@@ -90,19 +92,21 @@ def coverage_rates(df: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("coverage_rate", _share(F.col("covered"), F.col("total"), 2)).withColumn("non_interference", _share(F.col("total") - F.col("covered"), F.col("total"), 2))
 
 
-def running_coverage(df: DataFrame, buckets: int = 1024, every: int = 100) -> DataFrame:
+def running_coverage(df: DataFrame, every: int = 100, fan: int = FAN) -> DataFrame:
     """Covered so far and its rate at each `every`-th row in the order of idx (unique, from 1).
 
-    Counts per block of rows come first, so that no task holds the table: blocks are summed up by a window over blocks only.
+    Rows are counted by blocks first; what comes before a block is summed up over blocks of blocks, at as many levels as it takes.
     """
-    span = F.floor((F.col("idx") - 1) / every)
-    blocks = df.groupBy(span.alias("block")).agg(F.count_if("covered").alias("c"), F.max("idx").alias("seen"), F.count("*").alias("n"))
-    group = blocks.withColumn("part", F.floor(F.col("block") / buckets))
-    parts = group.groupBy("part").agg(F.sum("c").alias("pc"), F.sum("n").alias("pn"))
-    before = parts.select("part", *[F.coalesce(F.sum(x).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"b{x}") for x in ("pc", "pn")])
-    w = Window.partitionBy("part").orderBy("block")
-    out = group.join(before, "part").select((F.col("block") * every + every).cast("long").alias("idx"), "n", (F.sum("c").over(w) + F.col("bpc")).alias("covered"), (F.sum("n").over(w) + F.col("bpn")).alias("seen"))
-    return out.where(F.col("n") == every).select("idx", "covered", _share(F.col("covered"), F.col("seen"), 2).alias("rate"))
+    blocks = df.groupBy(F.floor((F.col("idx") - 1) / every).alias("block")).agg(F.count_if("covered").alias("c"), F.count("*").alias("n"))
+    out = before(blocks, "block", ("c", "n"), fan=fan).where(F.col("n") == every)
+    covered, seen = F.col("c_before") + F.col("c"), F.col("n_before") + F.col("n")
+    return out.select((F.col("block") * every + every).cast("long").alias("idx"), covered.alias("covered"), _share(covered, seen, 2).alias("rate"))
+
+
+def running_accuracy(records: DataFrame, *by: str) -> DataFrame:
+    """(by, idx, seen, correct, accuracy_strict): of each row in the order of idx, how many rows and right answers its run has so far."""
+    out = running(records.select(*by, "idx", F.col("is_correct").cast("long").alias("one")), ["idx"], {"seen": F.lit(1), "correct": F.col("one")}, by)
+    return out.select(*by, "idx", "seen", "correct", _share(F.col("correct"), F.col("seen")).alias("accuracy_strict"))
 
 
 def fixed_rows(counts: DataFrame, key: str, order, values: tuple) -> DataFrame:
