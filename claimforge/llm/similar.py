@@ -4,7 +4,8 @@ Candidates come from SimHash fingerprints with Golay keys and, as fingerprints o
 keys reach, from prefixes: two sets of that similarity share one of the least n - ceil(0.8 n) + 1 shingles of each, in any
 order that is the same for all; shingles of many texts come last in it. Every candidate is verified on the sets, unless sketches show
 a difference that is too large: bits of parity, which differ in no more places than the sets have different shingles. First each text meets one
-of its bucket, then only pairs of a bucket that are not yet connected meet, so groups of near copies do not make all their pairs.
+of its bucket, then only those of a bucket that are not yet connected are compared, by their sketches within the bucket, so neither groups of near
+copies nor texts that share some passage make all their pairs.
 """
 
 from __future__ import annotations
@@ -121,11 +122,16 @@ def prefix_keys(sets: DataFrame, hot: int = HOT) -> DataFrame:
     return sets.mapInArrow(_prefixes(spark.sparkContext.broadcast(late)), "key long, node long, n long")
 
 
+def _bits(column: pa.Array) -> np.ndarray:
+    """Sketches as a matrix of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), BITS // 64)
+
+
 def _groups(batches, columns):
     """Runs of whole buckets of rows sorted by key, as arrays of the columns (key first)."""
     held = None
     for batch in batches:
-        got = [batch.column(c).to_numpy() for c in columns]
+        got = [_bits(batch.column(c)) if c == "sketch" else batch.column(c).to_numpy() for c in columns]
         held = got if held is None else [np.concatenate(x) for x in zip(held, got, strict=True)]
         at = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
         if at > 20_000:
@@ -148,19 +154,31 @@ def _meet(batches):
         yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(n[keep]), pa.array(node[keep]), pa.array(node[to][keep], mask=own)], names=["key", "n", "u", "v"])
 
 
-def _apart(batches):
-    """Pairs of a bucket of different roots whose sizes allow the similarity; rows come sorted by key and n."""
+def _several(batches):
+    """The rows of buckets with more than one root."""
     for key, n, node, root in _groups(batches, ("key", "n", "node", "root")):
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(start, len(key)))
+        keep = np.repeat(np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start), size)
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, n, node, root)], names=["key", "n", "node", "root"])
+
+
+def _apart(batches):
+    """Pairs of a bucket of different roots whose sizes and sketches allow the similarity; rows come sorted by key and n."""
+    for key, n, node, root, sketch in _groups(batches, ("key", "n", "node", "root", "sketch")):
         at, step = np.arange(len(key)), 1
         while True:
             at = at[at + step < len(key)]
             at = at[(key[at] == key[at + step]) & (n[at] >= least_overlap(n[at + step]))]
             if not len(at):
                 break
-            two = at[root[at] != root[at + step]]
-            if len(two):
-                a, b = node[two], node[two + step]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
+            for i in range(0, len(at), 1 << 16):
+                two = at[i : i + (1 << 16)]
+                two = two[root[two] != root[two + step]]
+                two = two[9 * np.bitwise_count(sketch[two] ^ sketch[two + step]).sum(1, dtype=np.int64) <= n[two] + n[two + step]]
+                if len(two):
+                    a, b = node[two], node[two + step]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
             step += 1
 
 
@@ -196,20 +214,20 @@ def _settle(batches):
 def _near(batches):
     """Pairs whose sketches leave room for the similarity."""
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, BITS // 64) for c in ("su", "sv"))
+        a, b = (_bits(batch.column(c)) for c in ("su", "sv"))
         apart = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
         yield batch.select(["u", "v"]).filter(pa.array(9 * apart <= batch.column("nu").to_numpy() + batch.column("nv").to_numpy()))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets have a Jaccard similarity of at least 0.8, as a table."""
+def verified(pairs: DataFrame, sets: DataFrame, sketched: bool = False) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets have a Jaccard similarity of at least 0.8, as a table. sketched: sketches have ruled out what they can."""
 
     def ends(df, **columns):
         for c in "uv":
             df = df.join(sets.select(F.col("node").alias(c), *[F.col(k).alias(v + c) for k, v in columns.items()]), c)
         return df
 
-    near = cut(ends(pairs, n="n", sketch="s").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(_near, "u long, v long"))
+    near = pairs if sketched else cut(ends(pairs, n="n", sketch="s").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(_near, "u long, v long"))
     tables = []
     for i in range(TURNS):  # the sets of some pairs at a time, which bounds the shuffles
         some = near.where(F.pmod(F.xxhash64("u", "v"), F.lit(TURNS)) == i)
@@ -217,7 +235,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     like = reduce(DataFrame.unionByName, tables)
     open_ = ends(like.where("not sure").select("u", "v"), hi="h", lo="l").select("u", "v", "hu", "lu", "hv", "lv").mapInArrow(_settle, "u long, v long")
     found = cut(like.where("sure").select("u", "v").unionByName(open_))
-    discard(near, *tables)
+    discard(*tables, *([] if sketched else [near]))
     return found
 
 
@@ -258,10 +276,11 @@ def similar_components(docs: DataFrame, seed: int = 42, hot: int = HOT) -> DataF
     found = verified(tried, sets)
     roots = components(found)
     labelled = met.select("key", "n", F.col("u").alias("node")).join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root"))
-    rest = labelled.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_apart, "u long, v long").distinct()
-    rest = cut(rest.join(tried, ["u", "v"], "left_anti"))
-    discard(met, tried, first, roots)
-    more = verified(rest, sets)
+    several = cut(labelled.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_several, "key long, n long, node long, root long"))
+    open_ = several.join(sets.select("node", "sketch"), "node").repartition("key").sortWithinPartitions("key", "n", "node")
+    rest = cut(open_.mapInArrow(_apart, "u long, v long").distinct().join(tried, ["u", "v"], "left_anti"))
+    discard(met, tried, first, roots, several)
+    more = verified(rest, sets, sketched=True)
     discard(sets, rest)
     roots = components(found.unionByName(more))
     discard(found, more)
