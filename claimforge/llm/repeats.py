@@ -95,9 +95,9 @@ def shared_occurrences(docs: DataFrame, unit: str, window: int, k: int) -> DataF
 
 
 def wanted_bytes(docs: DataFrame, copies: DataFrame, reach: int, window: int) -> DataFrame:
-    """Spans (doc_id, row, a, b, shift, want) of copies of blocks of other rows, each with the bytes of the source.
+    """(doc_id, row, spans) of copies of blocks of other rows, each with the bytes of the source; see `listed`.
 
-    Blocks that overlap at the same distance from one source become one span first, so a copied text is fetched once.
+    Blocks that overlap at the same distance from one source become one span first, and a source is fetched once for all spans that a row has of it.
     """
     ends = (F.col("o.ba"), F.col("o.bb")) if "ba" in copies.schema["o"].dataType.names else (F.greatest(F.col("o.pos") - reach, F.lit(0)), F.col("o.pos") + window)
     one = copies.select(*KEY, (F.col("pos") - reach).alias("a"), F.col("o.doc_id").alias("s_doc"), F.col("o.row").alias("s_row"), (F.col("o.pos") - F.col("pos")).alias("away"), ends[0].alias("ba"), ends[1].alias("bb"))
@@ -106,10 +106,16 @@ def wanted_bytes(docs: DataFrame, copies: DataFrame, reach: int, window: int) ->
     head = F.coalesce(F.col("a") - F.lag("a").over(w) > reach + window, F.lit(True)).cast("int")
     runs = one.withColumn("head", head).withColumn("run", F.sum("head").over(w)).groupBy(*line, "run")
     runs = runs.agg(F.min("a").alias("a"), (F.max("a") + reach + window).alias("b"), F.min("ba").alias("ba"), F.max("bb").alias("bb"))
-    runs = cut(runs.select(*KEY, "a", "b", "s_doc", "s_row", "ba", "bb"))
+    runs = cut(runs.groupBy(*KEY, "s_doc", "s_row").agg(F.collect_list(F.struct("a", "b", "ba", "bb")).alias("runs")))
     source = once(docs).select(F.col("doc_id").alias("s_doc"), F.col("row").alias("s_row"), F.col("text").cast("binary").alias("bytes"))
     found = runs.join(source, ["s_doc", "s_row"])
-    return found.select(*KEY, "a", "b", F.lit(None).cast("int").alias("shift"), F.expr("substring(bytes, ba + 1, bb - ba)").alias("want"))
+    return found.select(*KEY, F.expr("transform(runs, s -> struct(s.a as a, s.b as b, cast(null as int) as shift, substring(bytes, s.ba + 1, s.bb - s.ba) as want))").alias("spans"))
+
+
+def listed(spans: DataFrame) -> DataFrame:
+    """(doc_id, row, spans) of spans (doc_id, row, a, b) that hold, or with shift: if the text is the same so many units on; spans is a list of a, b, shift and want."""
+    shift = F.col("shift") if "shift" in spans.columns else F.lit(None).cast("int")
+    return spans.select(*KEY, F.array(F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), shift.cast("int").alias("shift"), F.lit(None).cast("binary").alias("want"))).alias("spans"))
 
 
 def blocks_of(docs: DataFrame, wanted: DataFrame, unit: str, window: int, k: int) -> DataFrame:
@@ -199,7 +205,7 @@ def solved(blocks: DataFrame, unit: str, window: int, k: int, solver, schema: st
 
 def with_spans(docs: DataFrame, spans: DataFrame, worker, schema: str, more: tuple = ()) -> DataFrame:
     """Applies a worker to (doc_id, text, spans_, further columns), spans gathered per row; rows without spans too."""
-    per_row = spans.groupBy(*KEY).agg(F.collect_list(F.struct("a", "b", "shift", "want")).alias("spans_"))
+    per_row = spans.groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans_"))
     own = [f"more_{i}" for i in range(len(more))]
     text = texts(docs.select("doc_id", "text", *[F.col(c).alias(n) for c, n in zip(more, own, strict=True)]), *own)
     types = "".join(f", {c} {text.schema[c].dataType.simpleString()}" for c in own)

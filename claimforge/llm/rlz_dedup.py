@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimforge.llm.common import cut, discard, parts, read_table, utf8
-from claimforge.llm.repeats import KEY, SPLIT, blocks_of, buckets, holding, shared_occurrences, solved, wanted_bytes, with_spans
+from claimforge.llm.repeats import KEY, SPLIT, blocks_of, buckets, holding, listed, shared_occurrences, solved, wanted_bytes, with_spans
 
 LOCAL = "anchor long, doc_id long, row long, pos int, a int, b int"
 
@@ -86,7 +86,7 @@ def _parse(window: int):
 
 
 def duplicate_factors(docs: DataFrame, window: int = 50, k: int = 20, split: int = SPLIT) -> DataFrame:
-    """Spans (doc_id, row, a, b, shift, want) of words whose union is all that a window of an earlier document covers."""
+    """(doc_id, row, spans) of words; the union of the spans that hold is all that a window of an earlier document covers."""
     reach = window - k
     occ = shared_occurrences(docs, "word", window, k)
     copies = wanted_bytes(docs, occ.where("doc_id > o.doc_id"), reach, window)
@@ -94,10 +94,9 @@ def duplicate_factors(docs: DataFrame, window: int = 50, k: int = 20, split: int
     # a document may have its block more than once: it is parsed at its first place, the others follow
     blocks = cut(blocks_of(docs, own.where("pos = first"), "word", window, k))
     parsed = cut(solved(blocks, "word", window, k, _parse(window), LOCAL, split))
-    none, bytes_ = F.lit(None).cast("int"), F.lit(None).cast("binary")
-    moved = lambda df, shift: df.select(*KEY, (F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("b")).alias("b"), shift.alias("shift"), bytes_.alias("want"))
+    moved = lambda df, shift: listed(df.select(*KEY, (F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("b")).alias("b"), shift.alias("shift")))
     again = own.where("pos != first").select("anchor", *KEY, "pos", "first").join(parsed.withColumnRenamed("pos", "first"), ["anchor", *KEY, "first"])
-    spans = cut(copies.unionByName(moved(parsed, none)).unionByName(moved(again, F.col("first") - F.col("pos"))))
+    spans = cut(copies.unionByName(moved(parsed, F.lit(None))).unionByName(moved(again, F.col("first") - F.col("pos"))))
     discard(occ, blocks, parsed)
     return spans
 

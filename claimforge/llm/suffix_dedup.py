@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimforge.llm.common import cut, discard, parts, read_table, utf8
-from claimforge.llm.repeats import KEY, SPLIT, blocks_of, buckets, holding, shared_occurrences, solved, wanted_bytes, with_spans
+from claimforge.llm.repeats import KEY, SPLIT, blocks_of, buckets, holding, listed, shared_occurrences, solved, wanted_bytes, with_spans
 
 SHALLOW = 12
 
@@ -147,15 +147,14 @@ def _sorted_spans(window: int, k: int):
 
 
 def duplicate_spans(docs: DataFrame, window: int = 100, k: int = 20, split: int = SPLIT) -> DataFrame:
-    """Spans (doc_id, row, a, b, shift, want) of bytes whose union is all that an earlier string of `window` bytes covers."""
+    """(doc_id, row, spans) of bytes; the union of the spans that hold is all that an earlier string of `window` bytes covers."""
     reach = window - k
     occ = shared_occurrences(docs, "byte", window, k)
     copies = wanted_bytes(docs, occ.where("doc_id > o.doc_id"), reach, window)
     same = occ.where("doc_id = o.doc_id and pos > first").select(*KEY, (F.col("pos") - reach).alias("a"), (F.col("pos") + window).alias("b"), (F.col("first") - F.col("pos")).alias("shift"))
     blocks = cut(blocks_of(docs, occ.where("contested and doc_id = o.doc_id and pos = first"), "byte", window, k))
     by_sort = solved(blocks, "byte", window, k, _sorted_spans(window, k), "doc_id long, row long, a int, b int", split)
-    none, bytes_ = F.lit(None).cast("int").alias("shift"), F.lit(None).cast("binary").alias("want")
-    spans = cut(copies.unionByName(same.select("*", bytes_)).unionByName(by_sort.select("*", none, bytes_)))
+    spans = cut(copies.unionByName(listed(same)).unionByName(listed(by_sort)))
     discard(occ, blocks)
     return spans
 
