@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from claimforge.functions.text import isa_fact, strip
 from claimforge.operators import metrics as M
+from claimforge.operators.running import numbered_rows
+from claimforge.sources.sharded import numbered_lines, write_lines
 
 QUESTION = T.StructType([T.StructField("question", T.StringType()), T.StructField("ground_truth", T.BooleanType()), T.StructField("type", T.StringType()), T.StructField("source", T.StringType())])
 WRAPPERS = ("train", "dev", "test", "data", "examples")  # fixed values: names of a document's list of entries, in order
@@ -21,6 +23,23 @@ def theory_documents(spark: SparkSession, path: str) -> DataFrame:
     return whole.unionByName(lines)
 
 
+def theory_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, idx, kind, text) of every line of the .jsonl files below a folder, idx from 0 in each file; nothing is dropped silently.
+
+    kind: entry (a JSON object), rejected (begins like one and doesn't parse), or skipped (anything else, blank lines too).
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
+    text = strip(F.col("value"))
+    kind = F.when(~text.startswith("{"), "skipped").when(F.try_parse_json(text).isNull(), "rejected").otherwise("entry")
+    return numbered_lines(lines, ("path",)).select("path", "idx", kind.alias("kind"), text.alias("text"))
+
+
+def line_counts(lines: DataFrame) -> DataFrame:
+    """(path, n_entries, n_rejected, n_skipped, first_rejected) of theory_lines: counts of each file and the place of its first rejected line."""
+    n = lambda k: F.count_if(F.col("kind") == k)
+    return lines.groupBy("path").agg(n("entry").alias("n_entries"), n("rejected").alias("n_rejected"), n("skipped").alias("n_skipped"), F.min(F.when(F.col("kind") == "rejected", F.col("idx"))).alias("first_rejected"))
+
+
 def theory_entries(documents: DataFrame) -> DataFrame:
     """(path, pos, entry): entries as variants. A list gives its items, a document with triples or questions itself, another the first
     of its lists under a known name; what doesn't parse gives nothing."""
@@ -65,9 +84,20 @@ def read_results(spark: SparkSession, path: str, record: T.StructType) -> DataFr
 def read_question_table(spark: SparkSession, path: str) -> DataFrame:
     """(question, category) of a CSV with a header in either capitalisation; no blank questions; category Unknown if missing."""
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    names = {c.strip().lower(): c for c in raw.columns}
+    return question_rows(_question_columns(raw, raw.columns))
+
+
+def _question_columns(raw: DataFrame, columns, *more: str) -> DataFrame:
+    names = {c.strip().lower(): c for c in columns}
     pick = lambda n: strip(F.col(f"`{names[n]}`")) if n in names else F.lit(None).cast("string")
-    return question_rows(raw.select(pick("question").alias("question"), pick("category").alias("category")))
+    return raw.select(pick("question").alias("question"), pick("category").alias("category"), *more)
+
+
+def numbered_question_table(spark: SparkSession, path: str) -> DataFrame:
+    """read_question_table with idx, a row's place by name of file and place in it, from 0: the same whatever tasks read the files."""
+    raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    rows = _question_columns(raw.withColumns({"path": F.col("_metadata.file_path"), "id_": F.monotonically_increasing_id()}), raw.columns, "path", "id_")
+    return numbered_rows(question_rows(rows), ["path", "id_"]).drop("path", "id_")
 
 
 def question_rows(df: DataFrame) -> DataFrame:
@@ -121,5 +151,5 @@ def write_results(records: DataFrame, path: str, metadata: dict | None = None, b
 
 
 def write_report(lines: DataFrame, path: str) -> None:
-    """(ord, line) as text in order."""
-    lines.orderBy("ord").select("line").coalesce(1).write.mode("overwrite").text(path)
+    """(ord, line) as text in order, in parts with a manifest; `sharded.read_lines` reads them."""
+    write_lines(lines, path, ["ord"])
