@@ -20,11 +20,16 @@ from claimforge.operators import validate as V
 from claimforge.operators.changes import changed, reduced
 from claimforge.operators.closure import closure, inherited, reachable
 from claimforge.operators.labels import labelled, reachable_by
+from claimforge.operators.running import numbered_rows
 from claimforge.operators.tables import new_folder as files
 from claimforge.plans import reports as R
+from claimforge.plans.golden import QUESTIONS
 from claimforge.sources import ingest as I
 from claimforge.sources import theories as TH
-from claimforge.sources.kb import KnowledgeBase, extend, merge_pairs, read_json, stats, write_json
+from claimforge.sources.answers import LOG, replayed
+from claimforge.sources.large_json import list_entries
+from claimforge.sources.sharded import read_lines
+from claimforge.sources.kb import KnowledgeBase, builtin, extend, merge_pairs, read_json, stats, write_json
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -624,6 +629,18 @@ def d4_d5_d6_theory_questions(spark, d):
 
 
 # ---------------------------------------------------------------- readers and writers, through files
+def write_jsonl(lines: DataFrame, path: str) -> None:
+    """Lines as text files whose names end in .jsonl."""
+    lines.write.text(path)
+    sc = lines.sparkSession.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(sc._jsc.hadoopConfiguration())
+    for status in fs.listStatus(where):
+        name = status.getPath().toString()
+        if name.endswith(".txt"):
+            fs.rename(status.getPath(), sc._jvm.org.apache.hadoop.fs.Path(f"{name[:-4]}.jsonl"))
+
+
 def sentence():
     """'colour is a thing.' of a part's name."""
     return F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" is a "), F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit("."))
@@ -634,12 +651,93 @@ def s2_s3_d10_theory_files(spark, d):
     """A folder of .jsonl files with one theory a line, and one of documents with a wrapped list of a thousand parts each; read back from the files."""
     at, p = files(spark), table(spark, d, "part")
     line = F.to_json(F.struct(F.array(sentence()).alias("triples")))
-    p.where("p_partkey % 2 = 0").select(line.alias("value")).write.option("lineSep", "\n").text(f"{at}/lines")
+    write_jsonl(p.where("p_partkey % 2 = 0").select(line.alias("value")), f"{at}/lines")
     whole = p.where("p_partkey % 2 = 1").groupBy(F.floor(F.col("p_partkey") / 1000).alias("k")).agg(F.array_agg(F.struct(F.array(sentence()).alias("triples"))).alias("train"))
     whole.write.partitionBy("k").json(f"{at}/whole")
-    lines = spark.read.text(f"{at}/lines").select(F.lit("l").alias("path"), F.col("value").alias("text"))
-    documents = I.theory_documents(spark, f"{at}/whole")
-    return I.isa_pairs(I.theory_entries(lines.unionByName(documents)))
+    return I.isa_pairs(I.theory_entries(I.theory_documents(spark, at)))
+
+
+BAD = "p_partkey % 7 = 0"
+
+
+@register(f"SELECT p_partkey % 3 AS part, count(*) FILTER (WHERE NOT {BAD} AND p_partkey % 5 <> 0) AS n_entries, count(*) FILTER (WHERE {BAD} AND p_partkey % 5 <> 0) AS n_rejected, count(*) FILTER (WHERE p_partkey % 5 = 0) AS n_skipped FROM part GROUP BY 1")
+def s3_rejected_lines(spark, d):
+    """Lines of .jsonl files by folder: entries, lines that begin like one and don't parse, and all others."""
+    at = files(spark)
+    line = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("# "), sentence())).when(F.expr(BAD), F.concat(F.lit('{"triples": ["'), sentence())).otherwise(F.to_json(F.struct(F.array(sentence()).alias("triples"))))
+    for part in range(3):
+        write_jsonl(table(spark, d, "part").where(F.col("p_partkey") % 3 == part).select(line.alias("value")), f"{at}/part={part}")
+    counts = I.line_counts(I.theory_lines(spark, at)).withColumn("part", F.regexp_extract("path", r"/part=(\d)/", 1).cast("long"))
+    return counts.groupBy("part").agg(*[F.sum(c).alias(c) for c in ("n_entries", "n_rejected", "n_skipped")])
+
+
+@register("SELECT p_partkey // 500 AS k, row_number() OVER (PARTITION BY p_partkey // 500 ORDER BY p_partkey) - 1 AS pos, split_part(p_name, ' ', 1) || ' \"is\" a {' || split_part(p_name, ' ', 2) || '}.' AS said FROM part")
+def s4_large_lists(spark, d):
+    """Documents that are one list of five hundred entries each, cut at braces and put together again; entries hold braces and quotes."""
+    at = files(spark)
+    said = F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(' "is" a {'), F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit("}."))
+    entries = F.array_sort(F.array_agg(F.struct("p_partkey", F.array(said).alias("triples"))))
+    table(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 500).alias("k")).agg(F.to_json(entries).alias("value")).write.partitionBy("k").text(at)
+    x = list_entries(spark, at, glob="*.txt")
+    return x.select(F.regexp_extract("path", r"/k=(\d+)/", 1).cast("long").alias("k"), F.col("pos").cast("long").alias("pos"), F.try_variant_get("entry", "$.triples[0]", "string").alias("said"))
+
+
+@register("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS idx FROM lineitem")
+def w3_row_numbers(spark, d):
+    """The place of each row among all rows."""
+    rows = numbered_rows(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate"])
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "idx")
+
+
+@register(f"WITH {REC} SELECT run_key, idx, count(*) OVER w AS seen, CAST(sum(is_correct::INT) OVER w AS BIGINT) AS correct, round(100.0 * sum(is_correct::INT) OVER w / count(*) OVER w, 1) AS accuracy_strict FROM rec WINDOW w AS (PARTITION BY run_key ORDER BY idx ROWS UNBOUNDED PRECEDING)")
+def a16_running_accuracy(spark, d):
+    """Right answers and accuracy so far at every row of each run."""
+    return M.running_accuracy(records(spark, d), "run_key")
+
+
+UNSAID = ("Are all horses mammals?", "Are all vehicles cars?", "Are all vehicles aircraft?", "Are all shapes polygons?", "Do all birds lay eggs?", "Do all fish live in water?", "Do all living things need water?", "Do all mammals give milk?",
+          "Do all living things grow?", "Do all reptiles lay eggs?", "Do all fish give milk?", "Do all birds live in water?", "Do all mammals lay eggs?", "Do all living things need food?", "Do all living things die?", "If it is daytime, is it night?")
+WRONG = ("Do all circles have a curved edge?", "If it is raining, do we need an umbrella?", "Do all mammals have warm blood?", "Do all reptiles have cold blood?")
+_rows = ", ".join(f"({i}, '{q}', {str(truth).lower()}, {str(q not in UNSAID).lower()}, {'NULL' if q in UNSAID else str(truth and q not in WRONG).lower()})" for i, (q, truth, *_) in enumerate(QUESTIONS))
+
+
+@register(f"SELECT c_custkey AS idx, question, covered, CAST(answer AS BOOLEAN) AS graph_answer, CASE WHEN NOT covered THEN 'UNKNOWN' WHEN answer THEN 'YAQEEN' ELSE 'WAHM' END AS epistemic_state FROM customer JOIN (VALUES {_rows}) g(k, question, truth, covered, answer) ON k = c_custkey % 175")
+def s1_v4_built_in_questions(spark, d):
+    """Each customer asks one of the 175 labelled questions; the built-in knowledge base covers all but 16 and is wrong about 4."""
+    asked = spark.createDataFrame([(i, q, kind) for i, (q, _, kind, _) in enumerate(QUESTIONS)], "k int, question string, type string")
+    q = table(spark, d, "customer").select(F.col("c_custkey").alias("idx"), (F.col("c_custkey") % len(QUESTIONS)).alias("k")).join(asked, "k").drop("k")
+    return V.validate(q, builtin(spark)).select("idx", "question", "covered", "graph_answer", "epistemic_state")
+
+
+@register("SELECT c_custkey AS idx, c_custkey % 4 <> 3 AS covered, CASE WHEN c_custkey % 4 = 3 THEN NULL WHEN c_custkey % 4 = 0 THEN lower(c_mktsegment) = 'building' WHEN c_custkey % 4 = 1 THEN lower(c_mktsegment) <> 'furniture' ELSE false END AS graph_answer FROM customer")
+def f9_loose_properties(spark, d):
+    """Questions about synonyms of properties in the loose form: warm blood is had by one segment, a heart by all but one, a wing by none."""
+    m, seg = F.col("c_custkey") % 4, F.lower("c_mktsegment")
+    q = F.concat(F.lit("Do all "), F.when(m == 3, "ghosts").otherwise(seg), F.lit(" have "), F.when(m == 0, "warm blood?").when(m == 1, "a heart?").when(m == 2, "a wing?").otherwise("a heart?"))
+    segments = table(spark, d, "customer").select(seg.alias("entity")).distinct()
+    prop = segments.where("entity = 'building'").select("entity", F.lit("warm_blooded").alias("prop")).unionByName(segments.where("entity != 'furniture'").select("entity", F.lit("heart").alias("prop"))).unionByName(segments.select("entity", F.lit("other").alias("prop")))
+    kb = KnowledgeBase(segments.select(F.col("entity").alias("child"), F.lit("segment").alias("parent")), prop, spelled_rules(spark, d))
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("idx"), q.alias("question"), F.lit("categorical").alias("type"))
+    return V.validate(asked, kb, loose=True).select("idx", "covered", "graph_answer")
+
+
+@register(f"{GEN} SELECT question, type FROM g WHERE type <> 'hypothetical' ORDER BY question LIMIT 100")
+def d11_capped(spark, d):
+    """The first hundred new questions by their text."""
+    q = G.questions_from_kb(geography(spark, d))
+    return G.not_yet(q, q.where("type = 'hypothetical'"), least=0, most=100).select("question", "type")
+
+
+@register("SELECT 'm' || (o_custkey % 3) AS model, 'q' || o_orderkey AS question, CASE o_orderkey % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'late' WHEN 2 THEN '[llm_error]' WHEN 3 THEN '[llm_error]' ELSE 'second' END AS raw FROM orders")
+def s10_replayed_answers(spark, d):
+    """Answers from a log: at once, rewritten by a task that ran again, never, too late, or at the second attempt."""
+    o, m = table(spark, d, "orders"), F.col("o_orderkey") % 5
+    entry = lambda attempt, second, raw: F.struct(F.lit(attempt).alias("attempt"), (F.col("o_orderdate") + F.expr(f"interval {second} seconds")).alias("at"), F.lit(raw).alias("raw"))
+    log = F.when(m == 0, F.array(entry(1, 0, "yes"), entry(2, 1, "no"))).when(m == 1, F.array(entry(1, 9, "late"), entry(1, 3, "early"))).when(m == 2, F.array(entry(1, 0, None), entry(2, 1, C.ERROR_REPLY))).when(m == 3, F.array(entry(4, 0, "yes"))).otherwise(F.array(entry(1, 0, None), entry(2, 1, "second")))
+    key = [F.concat(F.lit("m"), (F.col("o_custkey") % 3).cast("string")).alias("model"), F.concat(F.lit("q"), F.col("o_orderkey").cast("string")).alias("question")]
+    at = files(spark)
+    o.select(*key, F.explode(log).alias("x")).select("model", "question", "x.*").write.json(at)
+    return replayed(spark.read.schema(LOG).json(at), o.select(*key))
 
 
 @register("SELECT c_custkey AS idx, c_name AS question, c_acctbal > 0 AS ground_truth, c_mktsegment AS type, 'n' || c_nationkey AS source FROM customer")
@@ -762,17 +860,44 @@ def r15_metrics_report(spark, d):
     return R.metrics_report(records(spark, d))
 
 
+@register(f"SELECT row_number() OVER (ORDER BY ord) - 1 AS idx, line FROM ({SQL['r15_metrics_report']})")
+def s12_report_lines(spark, d):
+    """The report written in order with its manifest, and read back."""
+    at = files(spark)
+    I.write_report(R.metrics_report(records(spark, d)), at)
+    return read_lines(spark, at)
+
+
+@register(f"SELECT idx, run_key, final_answer, method, is_correct FROM ({SQL['e1_e2_s10_p1_evaluation']})")
+def x1_run_from_files(spark, d):
+    """All steps by the runner, from a knowledge base, questions and answers in files; the second call has nothing left to do."""
+    from claimforge.plans.run import run
+
+    at = files(spark)
+    q = geo_questions(spark, d).withColumn("ground_truth", F.col("idx") % 3 != 0).withColumn("source", F.lit("geography"))
+    raw = F.element_at(F.array(*[F.lit(v) for v in REPLIES]), (F.col("idx") % 14 + 1).cast("int"))
+    write_json(geography(spark, d), f"{at}/kb")
+    I.write_questions(q, f"{at}/questions", 1000)
+    q.withColumn("model", F.explode(F.array(F.lit("m0"), F.lit("m1")))).select("model", "question", F.when(F.col("model") == "m0", raw).alias("raw")).write.parquet(f"{at}/answers")
+    inputs = {"kb": f"{at}/kb", "questions": f"{at}/questions", "answers": f"{at}/answers"}
+    run(spark, f"{at}/out", ["validate", "metrics", "report"], **inputs)
+    if again := run(spark, f"{at}/out", ["validate", "metrics", "report"], resume=True, **inputs):
+        raise RuntimeError(f"done twice: {again}")
+    return spark.read.parquet(f"{at}/out/records").select("idx", "run_key", "final_answer", "method", "is_correct")
+
+
 # ---------------------------------------------------------------- registry by inventory
 #: Which queries stand for which rows of the inventory; rows not named here are readers, writers or command lines, tested in tests/.
 INVENTORY = {
-    "G": ("g1_transitive_closure", "g2_reachability", "g3_property_inheritance", "g4_merge_new_pairs", "g5_kb_stats"),
-    "V": ("v1_v2_v4_validate_geography", "v3_v8_validate_rules", "v5_validate_loose", "v6_v7_e1_e2_override", "v9_a11_coverage_by_pattern"),
-    "F": ("f1_clean_question", "f2_f3_singular", "f4_predicate", "f5_taxonomic", "f6_categorical", "f7_f8_hypothetical", "f10_consequence_forms", "f12_condition_forms", "f14_f15_replies", "f11_loose_consequence_forms", "f13_loose_condition_forms", "f16_question_type", "f17_isa_fact", "f18_proofs", "f18_rule_proofs", "p7_p8_f19_run_selection", "r2_r9_f20_rates_table"),
-    "A": ("a1_confusion", "a2_rates", "a3_a4_per_type", "a5_a16_summary", "a6_caught_and_errors", "a7_a15_r4_interception", "a8_query_set_stats", "a9_type_counts", "a10_coverage_totals", "a12_r12_coverage_table", "a13_w2_running_coverage", "a14_j6_r13_deltas"),
+    "G": ("g1_g4_closure_under_change", "g1_g4_what_a_change_does", "g1_reduction", "g2_reachability_by_labels", "g1_transitive_closure", "g2_reachability", "g3_property_inheritance", "g4_merge_new_pairs", "g5_kb_stats"),
+    "X": ("x1_run_from_files",),
+    "V": ("v8_first_spelling_decides", "s1_v4_built_in_questions", "v1_v2_v4_validate_geography", "v3_v8_validate_rules", "v5_validate_loose", "v6_v7_e1_e2_override", "v9_a11_coverage_by_pattern"),
+    "F": ("f9_loose_properties", "f1_clean_question", "f2_f3_singular", "f4_predicate", "f5_taxonomic", "f6_categorical", "f7_f8_hypothetical", "f10_consequence_forms", "f12_condition_forms", "f14_f15_replies", "f11_loose_consequence_forms", "f13_loose_condition_forms", "f16_question_type", "f17_isa_fact", "f18_proofs", "f18_rule_proofs", "p7_p8_f19_run_selection", "r2_r9_f20_rates_table"),
+    "A": ("a16_running_accuracy", "a1_confusion", "a2_rates", "a3_a4_per_type", "a5_a16_summary", "a6_caught_and_errors", "a7_a15_r4_interception", "a8_query_set_stats", "a9_type_counts", "a10_coverage_totals", "a12_r12_coverage_table", "a13_w2_running_coverage", "a14_j6_r13_deltas"),
     "J": ("u2_j5_kb_union", "j2_w1_last_wins_pairs", "r8_j4_o5_accuracy_table", "a14_j6_r13_deltas"),
-    "W, O": ("j2_w1_last_wins_pairs", "a13_w2_running_coverage", "o1_o2_w3_first_of_files", "o3_first_intercepted", "p3_o4_blank_and_truncate"),
+    "W, O": ("w3_row_numbers", "j2_w1_last_wins_pairs", "a13_w2_running_coverage", "o1_o2_w3_first_of_files", "o3_first_intercepted", "p3_o4_blank_and_truncate"),
     "U": ("u1_union_all", "u2_j5_kb_union"),
     "R": ("r1_r10_confusion_block", "r2_r9_f20_rates_table", "r3_per_type_table", "r6_cross_model_table", "r8_j4_o5_accuracy_table", "r5_figures", "r7_kb_table", "r11_interception_by_name", "r15_metrics_report", "r16_coverage_report"),
-    "S, P": ("s1_s5_s11_kb_document", "s2_s3_d10_theory_files", "s6_s11_questions_documents", "s7_s11_results_document", "s8_question_table", "p5_covered_details", "p8_unknown_keys", "s3_s4_theory_pairs", "s8_p3_question_rows", "e1_e2_s10_p1_evaluation", "p7_p8_f19_run_selection"),
-    "D": ("d1_d2_d3_theory_facts", "d4_d5_d6_theory_questions", "d7_extend_all_parts", "d8_mentions", "d9_generate_questions", "d11_not_yet_asked"),
+    "S, P": ("s1_v4_built_in_questions", "s3_rejected_lines", "s4_large_lists", "s10_replayed_answers", "s12_report_lines", "s1_s5_s11_kb_document", "s2_s3_d10_theory_files", "s6_s11_questions_documents", "s7_s11_results_document", "s8_question_table", "p5_covered_details", "p8_unknown_keys", "s3_s4_theory_pairs", "s8_p3_question_rows", "e1_e2_s10_p1_evaluation", "p7_p8_f19_run_selection"),
+    "D": ("d11_capped", "d1_d2_d3_theory_facts", "d4_d5_d6_theory_questions", "d7_extend_all_parts", "d8_mentions", "d9_generate_questions", "d11_not_yet_asked"),
 }

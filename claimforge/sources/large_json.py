@@ -19,13 +19,13 @@ def _brackets(c, opening: str, closing: str):
     return F.regexp_count(c, F.lit(opening)) - F.regexp_count(c, F.lit(closing))
 
 
-def list_entries(spark: SparkSession, path: str, fan: int = FAN) -> DataFrame:
+def list_entries(spark: SparkSession, path: str, fan: int = FAN, glob: str = "*.json") -> DataFrame:
     """(path, pos, entry) of the objects of JSON documents that are lists of objects, as `ingest.theory_entries` gives them, a document read by many tasks.
 
-    path: a file or a folder of .json files. Only objects of the outermost list are entries; documents that are no list give nothing here. An
+    path: a file or a folder, of which files with names like glob are read. Only objects of the outermost list are entries; documents that are no list give nothing here. An
     entry that doesn't parse is left out, and a document with unbalanced brackets may lose all that follows.
     """
-    raw = spark.read.option("lineSep", "}").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+    raw = spark.read.option("lineSep", "}").option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
     pieces = stored(numbered_lines(raw, ("path",)).select("path", F.col("idx").alias("n"), F.col("value").alias("piece")))
     plain = F.regexp_replace("piece", r"(?s)\\.", "")  # escapes stand in strings only
     parts = F.split(plain, '"', -1)
