@@ -45,11 +45,27 @@ def rule_verdicts(pairs: DataFrame, rule: DataFrame, loose: bool = False, first:
     return met.groupBy("lhs", "rhs").agg(fired.alias("fired"), F.lit(True).alias("known"))
 
 
-def _without_graph(kb: KnowledgeBase) -> tuple[KnowledgeBase, DataFrame]:
-    """kb with no classes and properties and an empty closure: rule questions need neither."""
-    spark = kb.rule.sparkSession
-    none = lambda *names: spark.range(0).select(*[F.lit("").alias(n) for n in names])
-    return KnowledgeBase(none("child", "parent"), none("entity", "prop"), kb.rule), none("child", "ancestor")
+def _kinds(questions: DataFrame) -> tuple[bool, bool]:
+    """Whether there are questions about the graph, and about rules: one pass over the types."""
+    some = lambda *kinds: F.coalesce(F.bool_or(F.col("type").isin(*kinds)), F.lit(False))
+    return tuple(questions.agg(some("taxonomic", "categorical"), some("hypothetical")).first())
+
+
+def _with_graph(q: DataFrame, kb: KnowledgeBase, closed: DataFrame, loose: bool) -> DataFrame:
+    """q with is_node, has_own (of the subject), raw_node (the subject as it stands is a node), fact and raw_fact: what the graph says."""
+    nodes = closed.select(F.col("child").alias("node")).distinct()
+    entities = kb.has_prop.select(F.col("entity").alias("node")).distinct()
+    subjects = nodes.withColumn("is_node", F.lit(True)).join(entities.withColumn("has_own", F.lit(True)), "node", "full")
+    q = q.join(subjects.withColumnRenamed("node", "subject_"), "subject_", "left")
+    q = q.join(nodes.select(F.col("node").alias("lhs"), F.lit(True).alias("raw_node")), "lhs", "left")
+    up = closed.select(F.col("child").alias("subject_"), F.col("ancestor").alias("goal_"), F.lit("taxonomic").alias("type"))
+    have = inherited(kb.has_prop, closed)
+    spelled = have.where(~(F.contains("prop", F.lit(" ")) & F.contains("prop", F.lit("_")))).select(F.col("entity").alias("subject_"), F.replace("prop", F.lit(" "), F.lit("_")).alias("goal_"), F.lit("categorical").alias("type"))
+    facts = up.unionByName(spelled).distinct().withColumn("fact", F.lit(True))
+    q = q.join(facts, ["subject_", "goal_", "type"], "left")
+    if not loose:
+        return q.withColumn("raw_fact", F.lit(None).cast("boolean"))
+    return q.join(have.select(F.col("entity").alias("subject_"), F.col("prop").alias("raw_"), F.lit(True).alias("raw_fact")).distinct(), ["subject_", "raw_"], "left")
 
 
 def validate(questions: DataFrame, kb: KnowledgeBase, closed: DataFrame | None = None, loose: bool = False, first: bool = False) -> DataFrame:
@@ -59,30 +75,23 @@ def validate(questions: DataFrame, kb: KnowledgeBase, closed: DataFrame | None =
     properties itself (categorical), or its condition heads a rule (hypothetical). loose gives the variant with fewer spellings, property
     synonyms and the label SHAKK. first: see `rule_verdicts`. Null questions and unknown types are uncovered. closed: the closure of kb.isa, if at hand.
     """
-    if closed is None:
-        graph = questions.where(F.col("type").isin("taxonomic", "categorical"))
-        kb, closed = _without_graph(kb) if graph.isEmpty() else (kb, closure(kb.isa))
+    graph, rules = _kinds(questions)
     q = parsed(questions, loose)
-    kind = F.col("type")
+    kind, no = F.col("type"), F.lit(None).cast("boolean")
     tax, cat, hyp = kind == "taxonomic", kind == "categorical", kind == "hypothetical"
     raw = T.strip(F.lower(F.col("rhs")))
     plain = F.replace(raw, F.lit(" "), F.lit("_"))
     prop = T._lookup(raw, C.PROPERTY_SYNONYMS, plain) if loose else plain
-    q = q.withColumn("subject_", T.singular(F.col("lhs"), loose)).withColumn("goal_", F.when(tax, T.singular(F.col("rhs"), loose)).when(cat, prop))
-    q = q.withColumn("raw_", F.when(cat, raw))
-    nodes = closed.select(F.col("child").alias("node")).distinct()
-    entities = kb.has_prop.select(F.col("entity").alias("node")).distinct()
-    subjects = nodes.withColumn("is_node", F.lit(True)).join(entities.withColumn("has_own", F.lit(True)), "node", "full")
-    q = q.join(subjects.withColumnRenamed("node", "subject_"), "subject_", "left")
-    q = q.join(nodes.select(F.col("node").alias("lhs"), F.lit(True).alias("raw_node")), "lhs", "left")
-    up = closed.select(F.col("child").alias("subject_"), F.col("ancestor").alias("goal_"), F.lit("taxonomic").alias("type"))
-    have = inherited(kb.has_prop, closed)
-    spelled = have.where(~(F.contains("prop", F.lit(" ")) & F.contains("prop", F.lit("_")))).select(F.col("entity").alias("subject_"), F.replace("prop", F.lit(" "), F.lit("_")).alias("goal_"), F.lit("categorical").alias("type"))
-    facts = up.unionByName(spelled).distinct().withColumn("fact", F.lit(True))
-    q = q.join(facts, ["subject_", "goal_", "type"], "left")
-    q = q.join(have.select(F.col("entity").alias("subject_"), F.col("prop").alias("raw_"), F.lit(True).alias("raw_fact")).distinct(), ["subject_", "raw_"], "left") if loose else q.withColumn("raw_fact", F.lit(None).cast("boolean"))
-    fired = rule_verdicts(q.where(hyp & F.col("lhs").isNotNull()).select("lhs", "rhs").distinct(), kb.rule, loose, first)
-    q = q.join(fired.withColumn("type", F.lit("hypothetical")), ["lhs", "rhs", "type"], "left")
+    q = q.withColumn("subject_", T.singular(F.col("lhs"), loose)).withColumn("goal_", F.when(tax, T.singular(F.col("rhs"), loose)).when(cat, prop)).withColumn("raw_", F.when(cat, raw))
+    if graph:
+        q = _with_graph(q, kb, closure(kb.isa) if closed is None else closed, loose)
+    else:
+        q = q.withColumns(dict.fromkeys(("is_node", "has_own", "raw_node", "fact", "raw_fact"), no))
+    if rules:
+        fired = rule_verdicts(q.where(hyp & F.col("lhs").isNotNull()).select("lhs", "rhs").distinct(), kb.rule, loose, first)
+        q = q.join(fired.withColumn("type", F.lit("hypothetical")), ["lhs", "rhs", "type"], "left")
+    else:
+        q = q.withColumns({"fired": no, "known": no})
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     ok = F.col("lhs").isNotNull()
     covered = ok & F.when(tax, yes("is_node") | yes("raw_node")).when(cat, yes("is_node") | yes("has_own")).when(hyp, yes("known")).otherwise(False)
