@@ -19,25 +19,69 @@ from pyspark.sql import functions as F
 from claimforge.llm.common import cut, parts, read_table, ship
 from claimforge.llm.url_filter import url_parts
 
-TAG = re.compile(r"<(?:!--(?:.*?-->|.*\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|)|[\"'])*+)(?:>|\Z)|[!?/][^>]*+(?:>|\Z))", re.S)
+TAG = re.compile(r"<(?:!--(?:-?>|.*?--!?>|.*\Z)|!\[CDATA\[(?:.*?\]\]>|.*\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|)|[\"'])*+)(?:>|\Z)|[!?/][^>]*+(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=\"'/>]+)\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+)""")
 RAW = {t: re.compile(rf"</{t}\b[^>]*>|\Z", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp")}
 BLOCK = set("html body head main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address hr center details summary fieldset nav aside header footer form menu dialog".split())
 CONTAINER = set("body main article section div td blockquote center details".split())
-AWAY = set("head nav aside footer menu dialog button select option svg canvas object audio video map label".split())
+AWAY = set("head nav aside footer menu dialog button select option svg math canvas object audio video map label".split())
 #: away unless the page's article is in them
 WRAPPERS = set("div section ul ol dl table span form header center details fieldset figure".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-NAMES = r"ads?|advert\w*|banners?|promo\w*|sponsor\w*|cookies?|consent|notices?|popup|modal|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|shar(?:e|ing)|social|related|recommended|widgets?|newsletter|subscribe|search|login|complementary|contentinfo"
-COMMENTS = r"comments?|disqus|repl(?:y|ies)|responses?|respond"
-BEFORE, AFTER = "post|entry|article|page|site|main|top|bottom|left|right|in|inline|user|reader|global|cookie|ad", "list|area|section|box|bar|block|buttons?|links?|slot|unit|wrap|wrapper|container|widget|form|thread|posts?|articles?|stories|inner|body|content|text|item|top|bottom|left|right|notice|banner"
-AWAY_NAME, COMMENT_NAME = (re.compile(rf"(?:(?:{BEFORE})[-_])?(?:{names})(?:[-_](?:{AFTER}))*(?:[-_]?\d+)?", re.I) for names in (NAMES, COMMENTS))
+#: away unless nothing is left of the page without them (an element that is never closed holds all that follows)
+ASIDE = set("nav aside footer menu dialog".split())
+INLINE = ("span", "ins")
+#: words of names: a name is boilerplate or comments if one of its words says so and all others may stand beside it
+SIDE_WORDS = set("""ad ads adbox adslot adunit adsbygoogle advert adverts advertisement advertising adv banner banners promo promos promotion promotions sponsor sponsored sponsors sponsorship cookie cookies consent gdpr notice notices alert alerts popup
+modal sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead share sharing social related recommended widget widgets newsletter subscribe search login complementary contentinfo""".split())
+COMMENT_WORDS = set("comment comments commentlist commentary disqus reply replies response responses respond".split())
+BESIDE_WORDS = set("""post entry article page site main top bottom left right in inline user reader global list area section box bar block button buttons link links slot unit wrap wrapper container form thread posts articles stories inner body content
+text item google dfp gpt fb facebook taboola outbrain info warning success danger dismissible message x px""".split())
+WORDS = re.compile(r"[^\W\d_]+")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+BARE_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s/]|$)")
+
+
+def named(name: str) -> str:
+    """comments, side or nothing: what the words of a class, id or role say, in lower case."""
+    words = WORDS.findall(name)
+    for kind, core in (("comments", COMMENT_WORDS), ("side", SIDE_WORDS)):
+        if any(w in core for w in words) and all(w in core or w in BESIDE_WORDS or w in SIDE_WORDS for w in words):
+            return kind
+    return ""
+
+
+def attributes(rest: str) -> tuple[dict, list[str], bool]:
+    """Attributes of a tag, the names in class, id and role, and whether it is hidden."""
+    found = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(rest)} if "=" in rest else {}
+    said = [*found.get("class", "").split(), *found.get("id", "").split(), *found.get("role", "").split()]
+    hidden = "hidden" in found or "style" in found and bool(HIDDEN.search(found["style"])) or "hidden" in rest.lower() and bool(BARE_HIDDEN.search(ATTRIBUTE.sub(" ", rest.lower())))
+    return found, said, hidden
+
+
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 VOTE = pa.schema([("host", pa.string()), ("path", pa.string()), ("key", pa.int64()), ("worth", pa.float64()), ("beside", pa.list_(pa.int64()))])
+INLINE_TAG = re.compile(r"<(/?)(span|ins)\b((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.I)
+NOSCRIPT = re.compile(r"</?noscript\b[^>]*>", re.I)
 ENDS_P = BLOCK - {"html", "body", "head"}
 STRONG = {"p", "pre", "blockquote", "h1", "h2", "h3"}
 
 
+def inline_ends(page: str) -> dict[int, int]:
+    """Where each inline element ends that is named like an advert or a notice, or hidden, by the place of its tag; those never closed are left out."""
+    out, open_ = {}, {t: [] for t in INLINE}
+    if not any(f"<{t}" in page or f"<{t.upper()}" in page for t in INLINE):
+        return out
+    for m in INLINE_TAG.finditer(page):
+        tag = m[2].lower()
+        if not m[1]:
+            _, said, hidden = attributes(m[3])
+            open_[tag].append(m.start() if hidden or any(map(named, said)) else -1)
+        elif open_[tag] and (at := open_[tag].pop()) >= 0:
+            out[at] = m.end()
+    return out
+
+
 class Page:
     """Text blocks outside boilerplate in page order, and the tree of the paths around them; everything in linear time.
 
@@ -46,11 +90,20 @@ class Page:
     """
 
     def __init__(self, page: str):
+        self._begin()
+        self._read(page)
+        self.blocks = self._outside_boilerplate(ASIDE)
+        if not self.blocks and self._found:
+            self.blocks = self._outside_boilerplate(set())
+        if not self.blocks and "<noscript" in page.lower():
+            self._begin()
+            self._read(NOSCRIPT.sub(" ", page))
+            self.blocks = self._outside_boilerplate(ASIDE)
+
+    def _begin(self) -> None:
         self.parent, self.step, self.tag, self.key, self._number = [-1], [""], [""], [0], {}
         self._nodes: list[list] = [[0, -1, "", False, False, 0, 0, 0]]  # path, parent, kind of boilerplate, hard, article, first block, end block, last node
         self._found: list[tuple[str, int, int, str]] = []
-        self._read(page)
-        self.blocks = self._outside_boilerplate()
 
     def _path(self, above: int, tag: str, step: str) -> int:
         number = self._number.setdefault((above, step), len(self.parent))
@@ -62,22 +115,23 @@ class Page:
         return number
 
     def _open(self, tag: str, rest: str, above: int) -> None:
-        names = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(rest)} if "=" in rest else {}
+        names, said, hidden = attributes(rest)
         classes = names.get("class", "").split()
-        said = [*classes, *names.get("id", "").split(), *names.get("role", "").split()]
+        kinds = {named(n) for n in said} if tag in WRAPPERS or tag == "article" else set()
         kind = ""
-        if tag in WRAPPERS | {"article"} and any(COMMENT_NAME.fullmatch(n) for n in said):
+        if "comments" in kinds:
             kind = "comments"
-        elif tag in ("form", "header") or tag in WRAPPERS and any(AWAY_NAME.fullmatch(n) for n in said):
+        elif tag in ("form", "header") or tag in WRAPPERS and "side" in kinds:
             kind = "side"
         article = not kind and (tag in ("article", "main") or "main" in said)
         step = tag + "".join("." + re.sub(r"[\d/]+", "", c) for c in sorted(set(classes)))
         path = self._path(self._nodes[above][0], tag, step)
-        self._nodes.append([path, above, kind, tag in AWAY, article, len(self._found), 0, 0])
+        self._nodes.append([path, above, kind, tag if tag in AWAY else "hidden" if hidden else "", article, len(self._found), 0, 0])
 
     def _read(self, page: str) -> None:
         stack, tags, open_ = [0], [""], Counter()
         piece, linked, links, pos = [], 0, 0, 0
+        ends = inline_ends(page)
 
         def flush():
             nonlocal piece, linked
@@ -116,8 +170,13 @@ class Page:
                 pos = RAW[tag].search(page, pos).end()
             elif tag == "a":
                 links += 1
+            elif m.start() in ends:  # an inline advert or hidden text
+                pos = ends[m.start()]
             elif tag in BLOCK or tag in AWAY:
                 flush()
+                if tag in BLOCK and (open_["svg"] or open_["math"]):  # a block ends a drawing that isn't closed
+                    while open_["svg"] or open_["math"]:
+                        close()
                 if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK:
                     continue
                 closes = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
@@ -132,9 +191,9 @@ class Page:
         while stack:
             close()
 
-    def _outside_boilerplate(self) -> list[tuple[str, int, int, str]]:
-        """A wrapper named like boilerplate is none if it holds the page's article or, comments apart, four fifths of the page."""
-        nodes, found = self._nodes, self._found
+    def _outside_boilerplate(self, aside: set) -> list[tuple[str, int, int, str]]:
+        """The blocks outside what is hidden or away by its tag (of ASIDE only those in aside). A wrapper named like boilerplate is none if it holds the page's article or, comments apart, four fifths of the page."""
+        nodes, found = [[*n[:3], bool(n[3]) and (n[3] not in ASIDE or n[3] in aside), *n[4:]] for n in self._nodes], self._found
         away = [False] * len(nodes)
         for i, (_, above, kind, hard, *_) in enumerate(nodes):
             away[i] = hard or kind == "comments" or above >= 0 and away[above]
@@ -270,7 +329,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     page with prose beside it that is not of the host's layout keeps its own best container).
 
     Blocks are joined by one line feed, with white space inside a block as one space. Menus, headers, footers, sidebars, notices,
-    adverts, forms, scripts, styles and reader comments are left out. A null html is empty; a null url counts as the empty
+    adverts, forms, scripts, styles, hidden elements and reader comments are left out; so is a heading that stands in a header element, in an article too. An
+    article in a navigation that is never closed, or in a noscript, is taken if nothing else is there. A null html is empty; a null url counts as the empty
     host. Ids may be null or repeated, rows come back as often. Other columns are ignored.
     """
     winners = cut(consensus(pages, url_col, html_col))

@@ -112,3 +112,33 @@ def test_pages_of_the_tables_by_a_plain_extractor():
         seen += 1
         assert H.main_text(html, None) == "\n".join(p.out)
     assert seen > 50
+
+
+def test_pages_with_broken_markup_and_hidden_parts():
+    """Comments that end early, drawings and navigations that are never closed, inline and hidden adverts, alerts beside the article."""
+    story = "the story goes on " * 20
+    want = f"Head\n{story.strip()}\nlast words"
+    page = lambda inner, before="", after="": f"<body><nav><a href=/>menu</a></nav>{before}<article><h1>Head</h1><p>{story}</p>{inner}<p>last words</p></article>{after}<footer>end</footer></body>"
+    for inner in (
+        "<!-->", "<!--->", "<!-- a --!>", "<!-- <p>no</p> -->", "<![CDATA[ x > y ]]>", "<svg><path d=M0>", "<svg><text>no</text></svg>", "<p><span class=advert>buy</span></p>", "<ins class=adsbygoogle>buy</ins>",
+        "<div class=google-ad><p>buy</p></div>", "<div class=ad-300x250>buy</div>", "<div id=adbox>buy</div>", "<div class='dfp-ad-unit'>buy</div>", "<ol class=commentlist><li>me too</li></ol>", "<div class=fb-comments>me too</div>",
+        "<div hidden><p>secret</p></div>", "<p hidden>secret</p>", "<div style='color:red; display: none'>secret</div>", "<p><span style=display:none>secret</span></p>", "<div hidden=''>secret</div>", "<span><span class=ad>buy</span></span>",
+    ):
+        assert H.main_text(page(inner), None) == want, inner
+    for before in ("<div class=alert>cookies here</div>", "<div class='alert alert-info'>mind</div>"):
+        assert H.main_text(page("", before), None) == want, before
+        assert H.main_text(f"<body>{before}<div class=post><h1>Head</h1><p>{story}</p><p>last words</p></div></body>", None) == want, before
+    assert H.main_text(f"<body><nav><article><h1>Head</h1><p>{story}</p><p>last words</p></article></body>", None).endswith(want)
+    assert H.main_text(f"<body><noscript><article><h1>Head</h1><p>{story}</p><p>last words</p></article></noscript></body>", None) == want
+    assert H.main_text(page("<p><span class=name>of</span> <span>x</span> <ins>new</ins></p>"), None) == f"Head\n{story.strip()}\nof x new\nlast words"
+    assert H.main_text(page("<p>a < b <span class=ad>never closed</p>"), None) == f"Head\n{story.strip()}\na < b never closed\nlast words"
+    assert H.main_text(page("<div class='response-time main-content'><p>kept</p></div><p data-hidden=1 title='hidden x'>seen</p>"), None) == f"Head\n{story.strip()}\nkept\nseen\nlast words"
+
+
+def test_names():
+    for name in ("ad", "ads", "google-ad", "ad-300x250", "ad_slot_2", "adsbygoogle", "cookie-notice", "share-buttons", "post-sidebar", "alert-info", "newsletter-form", "related-posts"):
+        assert H.named(name) == "side", name
+    for name in ("comments", "comment-list", "commentlist", "user-comments", "fb-comments", "disqus-thread"):
+        assert H.named(name) == "comments", name
+    for name in ("", "post", "content", "no-sidebar", "with-sidebar", "layout", "header-image-credits", "advice", "shared-memory", "research", "address", "socialism"):
+        assert H.named(name) == "", name
