@@ -4,8 +4,8 @@ Candidates come from SimHash fingerprints with Golay keys and, as fingerprints o
 keys reach, from prefixes: two sets of that similarity share one of the least n - ceil(0.8 n) + 1 shingles of each, in any
 order that is the same for all; shingles of many texts come last in it. Every candidate is verified on the sets, unless sketches show
 a difference that is too large: bits of parity, which differ in no more places than the sets have different shingles. First each text meets one
-of its bucket, then only those of a bucket that are not yet connected are compared, by their sketches within the bucket, so neither groups of near
-copies nor texts that share some passage make all their pairs.
+of its bucket. Then those of a bucket that are not yet connected are compared, by their sketches within the bucket, and the nearest pair of each two
+groups is verified; at last all pairs of groups that are still apart. So neither groups of near copies nor texts that share some passage make all their pairs.
 """
 
 from __future__ import annotations
@@ -163,23 +163,50 @@ def _several(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, n, node, root)], names=["key", "n", "node", "root"])
 
 
-def _apart(batches):
-    """Pairs of a bucket of different roots whose sizes and sketches allow the similarity; rows come sorted by key and n."""
-    for key, n, node, root, sketch in _groups(batches, ("key", "n", "node", "root", "sketch")):
-        at, step = np.arange(len(key)), 1
-        while True:
-            at = at[at + step < len(key)]
-            at = at[(key[at] == key[at + step]) & (n[at] >= least_overlap(n[at + step]))]
-            if not len(at):
-                break
-            for i in range(0, len(at), 1 << 16):
-                two = at[i : i + (1 << 16)]
-                two = two[root[two] != root[two + step]]
-                two = two[9 * np.bitwise_count(sketch[two] ^ sketch[two + step]).sum(1, dtype=np.int64) <= n[two] + n[two + step]]
-                if len(two):
-                    a, b = node[two], node[two + step]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
-            step += 1
+def _nearest(bucket, apart, u, v, ru, rv) -> list[np.ndarray]:
+    """Of pairs, the nearest of each two roots of a bucket (ties: the least nodes)."""
+    a, b = np.minimum(ru, rv), np.maximum(ru, rv)
+    order = np.lexsort((v, u, apart, b, a, bucket))
+    a, b, k = a[order], b[order], bucket[order]
+    first = order[np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (k[1:] != k[:-1]))[: len(order)]]
+    return [x[first] for x in (bucket, apart, u, v, ru, rv)]
+
+
+def _apart(nearest: bool):
+    """Pairs of a bucket of different roots whose sizes and sketches allow the similarity, of each two roots the nearest one only or all; rows come sorted by key and n."""
+
+    def batch(u, v):
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+    def run(batches):
+        for key, n, node, root, sketch in _groups(batches, ("key", "n", "node", "root", "sketch")):
+            bucket = np.cumsum(np.append(True, key[1:] != key[:-1]))
+            at, step, held = np.arange(len(key)), 1, None
+            while True:
+                at = at[at + step < len(key)]
+                at = at[(key[at] == key[at + step]) & (n[at] >= least_overlap(n[at + step]))]
+                if not len(at):
+                    break
+                for i in range(0, len(at), 1 << 16):
+                    one = at[i : i + (1 << 16)]
+                    one = one[root[one] != root[one + step]]
+                    apart = 9 * np.bitwise_count(sketch[one] ^ sketch[one + step]).sum(1, dtype=np.int64)
+                    ok = apart <= n[one] + n[one + step]
+                    one, apart = one[ok], apart[ok]
+                    if not nearest:
+                        if len(one):
+                            yield batch(node[one], node[one + step])
+                        continue
+                    new = [bucket[one], apart, node[one], node[one + step], root[one], root[one + step]]
+                    held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+                    if len(held[0]) > 1 << 18:
+                        held = _nearest(*held)
+                step += 1
+            if held is not None and len(held[0]):
+                _, _, u, v, _, _ = _nearest(*held)
+                yield batch(u, v)
+
+    return run
 
 
 def _common(p: np.ndarray, q: np.ndarray) -> int:
@@ -275,13 +302,21 @@ def similar_components(docs: DataFrame, seed: int = 42, hot: int = HOT) -> DataF
     tried = cut(_pairs(same.unionByName(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))).unionByName(most)))
     found = verified(tried, sets)
     roots = components(found)
-    labelled = met.select("key", "n", F.col("u").alias("node")).join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root"))
-    several = cut(labelled.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_several, "key long, n long, node long, root long"))
-    open_ = several.join(sets.select("node", "sketch"), "node").repartition("key").sortWithinPartitions("key", "n", "node")
-    rest = cut(open_.mapInArrow(_apart, "u long, v long").distinct().join(tried, ["u", "v"], "left_anti"))
-    discard(met, tried, first, roots, several)
-    more = verified(rest, sets, sketched=True)
-    discard(sets, rest)
-    roots = components(found.unionByName(more))
-    discard(found, more)
+    of = lambda df, roots: df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    dealt = lambda df: df.repartition("key").sortWithinPartitions("key", "n", "node")
+    several = lambda df, roots: dealt(of(df, roots).select("key", "n", "node", "root")).mapInArrow(_several, "key long, n long, node long, root long")
+    left = cut(several(met.select("key", "n", F.col("u").alias("node")), roots))
+    discard(met, first)
+    made = [tried, found]
+    # of roots that meet in a bucket first the nearest pair, which mostly joins them; then all pairs of those that are still apart
+    for nearest in (True, False):
+        rows_ = left if nearest else several(left.drop("root"), roots)
+        pairs = dealt(rows_.join(sets.select("node", "sketch"), "node")).mapInArrow(_apart(nearest), "u long, v long").distinct()
+        rest = cut(pairs.join(tried, ["u", "v"], "left_anti"))
+        more = verified(rest, sets, sketched=True)
+        made += [rest, more]
+        found, tried = found.unionByName(more), tried.unionByName(rest)
+        discard(roots)
+        roots = components(found)
+    discard(sets, left, *made)
     return rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))

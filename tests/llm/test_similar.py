@@ -65,3 +65,20 @@ def test_one_row_of_repeated_rows(spark):
     got = [(r.doc_id, r.text) for r in P.near_dedup(spark, docs, SF).collect()]
     assert len(got) == 4 and {d for d, _ in got} == {2, 7, None, 8}
     assert sorted(P.near_dedup(spark, docs.orderBy("text"), SF).collect(), key=str) == sorted(P.near_dedup(spark, docs, SF).collect(), key=str)
+
+
+def test_nearest_of_two_roots():
+    """Of each two roots of a bucket the nearest pair, whatever order pairs come in."""
+    import numpy as np
+
+    from claimforge.llm.similar import _nearest
+
+    rng = np.random.default_rng(2)
+    bucket, apart, u, v = (rng.integers(0, n, 400) for n in (3, 50, 40, 40))
+    ru, rv = u % 5, v % 5
+    want = {}
+    for x in zip(bucket, apart, u, v, ru, rv, strict=True):
+        key = (x[0], min(x[4:]), max(x[4:]))
+        want[key] = min(want.get(key, (99,)), tuple(x[1:4]))
+    got = {(k, min(p, q), max(p, q)): (d, a, b) for k, d, a, b, p, q in zip(*_nearest(bucket, apart, u, v, ru, rv), strict=True)}
+    assert got == want
