@@ -9,15 +9,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimforge.llm import grams
-from claimforge.llm.common import keyed, read_table, release, ship, utf8
+from claimforge.llm.common import cut, keyed, read_table, release, ship, utf8
 
 BITS = 22
 SAMPLE = 20_000
+#: features of the sample that come to the driver at most (128 MB), and of one text
+FEATURES, LONGEST = 1 << 25, 1 << 17
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +74,29 @@ def _slices(raw: np.ndarray, off: np.ndarray, size: int = 1 << 20):
         i = j
 
 
+def loss(w, first, gap, row, code, grades, ridge: float = 0.0) -> tuple[float, list[np.ndarray]]:
+    """Mean negative log-likelihood of the grades with half of ridge * |w|^2, and its gradients by w, first and gap.
+
+    Text row[i] has feature code[i]; the thresholds are first, then each exp(gap) above the one before.
+    """
+    n, n_grades = len(grades), len(gap) + 1
+    t = first[0] + np.append(0, np.cumsum(np.exp(gap)))
+    eta = np.bincount(row, w[code], n)
+    p = 1 / (1 + np.exp(-np.clip(eta[:, None] - t[None], -30, 30)))
+    # likelihood of the observed grade: P(> g - 1) - P(> g)
+    edge = np.concatenate([np.ones((n, 1)), p, np.zeros((n, 1))], 1)
+    at = np.arange(n)
+    hi, lo = edge[at, grades], edge[at, grades + 1]
+    like = np.maximum(hi - lo, 1e-9)
+    d_hi, d_lo = hi * (1 - hi) / like, lo * (1 - lo) / like
+    d_eta = (d_lo - d_hi) / n
+    d_t = np.zeros(n_grades)
+    np.add.at(d_t, np.maximum(grades - 1, 0), np.where(grades > 0, d_hi, 0) / n)
+    np.add.at(d_t, np.minimum(grades, n_grades - 1), np.where(grades < n_grades, -d_lo, 0) / n)
+    grad = [np.bincount(code, d_eta[row], len(w)) + ridge * w, np.array([d_t.sum()]), np.exp(gap) * d_t[1:][::-1].cumsum()[::-1]]
+    return float(-np.log(like).mean() + ridge / 2 * (w @ w)), grad
+
+
 class OrdinalModel:
     """Weights and thresholds of a cumulative-link model with grades 0 .. n."""
 
@@ -113,20 +138,7 @@ class OrdinalModel:
         params = [w, first, gap]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         for step in range(1, steps + 1):
-            t = first[0] + np.append(0, np.cumsum(np.exp(gap)))
-            eta = np.bincount(row, w[code], n)
-            p = 1 / (1 + np.exp(-np.clip(eta[:, None] - t[None], -30, 30)))
-            # likelihood of the observed grade: P(> g - 1) - P(> g)
-            edge = np.concatenate([np.ones((n, 1)), p, np.zeros((n, 1))], 1)
-            at = np.arange(n)
-            hi, lo = edge[at, grades], edge[at, grades + 1]
-            like = np.maximum(hi - lo, 1e-9)
-            d_hi, d_lo = hi * (1 - hi) / like, lo * (1 - lo) / like
-            d_eta = (d_lo - d_hi) / n
-            d_t = np.zeros(n_grades)
-            np.add.at(d_t, np.maximum(grades - 1, 0), np.where(grades > 0, d_hi, 0) / n)
-            np.add.at(d_t, np.minimum(grades, n_grades - 1), np.where(grades < n_grades, -d_lo, 0) / n)
-            grad = [np.bincount(code, d_eta[row], len(w)) + ridge * w, np.array([d_t.sum()]), np.exp(gap) * d_t[1:][::-1].cumsum()[::-1]]
+            _, grad = loss(w, first, gap, row, code, grades, ridge)
             for i, (x, g) in enumerate(zip(params, grad, strict=True)):
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
@@ -147,10 +159,11 @@ class OrdinalModel:
 
 
 
-def train(rated: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
-    """Fits on documents with a grade; rated has doc_id and grade (0, 1, ...; null: not rated).
+def sample_features(rated: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, grade, f): a row for each rated id of the sample that has a document, with the sorted features of its text, LONGEST at most.
 
-    Of more than `sample` ratings those with the least hash of their id are used, so reruns agree.
+    Of several ratings of an id the lowest counts, of several documents the one whose text has the least hash (null last). Of more than
+    `sample` ratings those with the least hash of their id are used, and of their documents as many in this order as FEATURES allows, so reruns agree.
     """
     few = rated.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade")).where("doc_id is not null and grade >= 0")
     few = few.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -161,10 +174,20 @@ def train(rated: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> OrdinalMod
             for i, j, part in _slices(raw, off):
                 row, f = features(raw, part)
                 ends = np.searchsorted(row, np.arange(j - i + 1))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("grade").slice(i, j - i), pa.array([f[a:b].astype(np.int32) for a, b in zip(ends, ends[1:], strict=False)], pa.list_(pa.int32()))], names=["doc_id", "grade", "f"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("grade").slice(i, j - i), pa.array([f[a:b].astype(np.int32)[:LONGEST] for a, b in zip(ends, ends[1:], strict=False)], pa.list_(pa.int32()))], names=["doc_id", "grade", "f"])
 
     joined = keyed(docs, "doc_id", "text").join(F.broadcast(few), "doc_id")  # `sample` rows at most
-    table = joined.mapInArrow(run, "doc_id long, grade int, f array<int>").toArrow().sort_by("doc_id")
+    rank = F.struct(F.isnull("text"), F.xxhash64("text"))
+    one = joined.groupBy("doc_id").agg(F.first("grade").alias("grade"), F.min_by("text", rank).alias("text"))
+    table = cut(one.select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, f array<int>"))
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # `sample` small rows
+    fit = table.select("doc_id", F.size("f").cast("long").alias("n")).withColumn("upto", upto).where(F.col("upto") <= FEATURES).select("doc_id")
+    return table.join(fit, "doc_id", "left_semi")
+
+
+def train(rated: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
+    """Fits on documents with a grade; rated has doc_id and grade (0, 1, ...; null: not rated). See `sample_features` for what is used."""
+    table = sample_features(rated, docs, sample).toArrow().sort_by("doc_id")
     f = table.column("f").combine_chunks()
     f = f.chunk(0) if isinstance(f, pa.ChunkedArray) else f
     at = np.append(0, np.cumsum(f.value_lengths().to_numpy(zero_copy_only=False)))
