@@ -22,7 +22,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_registry():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
+    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 14)) and set(oracle_sql()) <= set(queries())
 
 
 def test_urls(spark):
