@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from claimforge.llm.common import cut, read_table, ship
 
 SHARD_ROWS, BLOCK_ROWS, LEAF = 8192, 512, 64
-FACTOR = 0.18
+#: factors that a vantage-point tree may take, the recall that it must show on as many of its own vectors
+FACTORS, RECALL, TRIALS = (0.1, 0.14, 0.18, 0.22, 0.27, 0.33, 0.4, 0.5, 0.7, 1.0), 0.96, 64
 BLOCKS = 64  # query blocks that one tree serves
 
 
@@ -151,6 +152,29 @@ class VPTree:
             todo += [(a + mid, b, (here, 3)), (a, a + mid, (here, 2))]
         self.ids, self.vectors, self.norm, self.nodes = ids[order], vectors[order], self.norm[order], nodes
         self.points = np.stack(points)
+        self.chosen: dict[tuple[int, float], float] = {}
+
+    def tuned(self, k: int, recall: float = RECALL) -> float:
+        """The least of FACTORS that finds `recall` of the k nearest of TRIALS of the tree's own vectors, all of which are compared with all."""
+        if (k, recall) not in self.chosen:
+            trial = np.unique(np.linspace(0, len(self.ids) - 1, TRIALS).astype(np.int64))
+            bound, want = self.bounds(self.vectors[trial]).tolist(), []
+            for i in trial:
+                other = self.ids != self.ids[i]
+                score = (self.vectors @ self.vectors[i]) / (self.norm * self.norm[i])
+                want.append(np.sort(score[other])[::-1][:k])
+            total = sum(map(len, want))
+            for factor in FACTORS:
+                found = 0
+                for x, i in enumerate(trial):
+                    best = Best(k)
+                    self.search(self.vectors[i], bound[x], int(self.ids[i]), best, factor)
+                    if best.score is not None and len(want[x]):
+                        found += int((best.score >= want[x][-1] - 1e-12).sum())
+                if found >= recall * total:
+                    break
+            self.chosen[k, recall] = factor
+        return self.chosen[k, recall]
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """Distance of each query to each vantage point."""
@@ -291,17 +315,18 @@ def top_k_inner(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 102
     return _search(usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col), k, build, lambda t, q, b, own, best: t.search(q, b, own, best), whole, "long")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, factor: float = FACTOR, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, factor: float | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Nearest found by cosine: query_id, rank, vec_id and score, the cosine of the original vectors in double precision.
 
-    factor relaxes the triangle-inequality pruning: one is exact, less leaves out more. Candidates are all rows of vectors but
+    factor relaxes the triangle-inequality pruning: one is exact, less leaves out more; None: each shard's tree takes the least that shows a recall of RECALL
+    on vectors of its own (see `VPTree.tuned`). Candidates are all rows of vectors but
     those with the query's id; ties go to the smaller vec_id. Rows with a null id, a null or zero vector, or a null or non-finite
     component take no part; a shorter vector counts as filled up with zeros; repeated rows are candidates as often, repeated
     queries are answered once. Extra columns are ignored, empty inputs give an empty result.
     """
     some = F.exists("v", lambda x: x != 0)
     rows, asked = usable(vectors, id_col, vec_col).where(some), usable(queries, id_col, vec_col).where(some)
-    return _search(rows, asked, k, VPTree, lambda t, q, b, own, best: t.search(q, b, own, best, factor), balanced, "double")
+    return _search(rows, asked, k, VPTree, lambda t, q, b, own, best: t.search(q, b, own, best, factor or t.tuned(k)), balanced, "double")
 
 
 def op2_kdtree_top_k(spark, sf_dir: str) -> DataFrame:
