@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from claimforge.functions import constants as C
 from claimforge.functions import text as T
@@ -748,6 +748,16 @@ def s6_s11_questions_documents(spark, d):
     return I.read_questions(spark, at)
 
 
+@register("SELECT 'there' AS document, count(*) AS n, sum(length(c_name)) AS letters FROM customer UNION ALL SELECT 'missing', 0, NULL")
+def s9_optional_documents(spark, d):
+    """A document that is there and one that isn't, neither required."""
+    at = files(spark)
+    I.write_questions(table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("idx"), F.col("c_name").alias("question"), F.lit(True).alias("ground_truth"), F.lit("t").alias("type"), F.lit("s").alias("source")), f"{at}/there", 1000)
+    schema = StructType([StructField("queries", ArrayType(StructType([StructField("question", StringType())])))])
+    one = lambda name: I.optional_json(spark, f"{at}/{name}", schema, required=False).select(F.explode("queries").alias("q")).agg(F.lit(name).alias("document"), F.count("*").alias("n"), F.sum(F.length("q.question")).alias("letters"))
+    return one("there").unionByName(one("missing"))
+
+
 @register(f"WITH {REC} SELECT run_key, idx, question, is_correct, method FROM rec")
 def s7_s11_results_document(spark, d):
     """Results documents of all runs, a thousand questions each, written and read back."""
@@ -898,6 +908,6 @@ INVENTORY = {
     "W, O": ("w3_row_numbers", "j2_w1_last_wins_pairs", "a13_w2_running_coverage", "o1_o2_w3_first_of_files", "o3_first_intercepted", "p3_o4_blank_and_truncate"),
     "U": ("u1_union_all", "u2_j5_kb_union"),
     "R": ("r1_r10_confusion_block", "r2_r9_f20_rates_table", "r3_per_type_table", "r6_cross_model_table", "r8_j4_o5_accuracy_table", "r5_figures", "r7_kb_table", "r11_interception_by_name", "r15_metrics_report", "r16_coverage_report"),
-    "S, P": ("s1_v4_built_in_questions", "s3_rejected_lines", "s4_large_lists", "s10_replayed_answers", "s12_report_lines", "s1_s5_s11_kb_document", "s2_s3_d10_theory_files", "s6_s11_questions_documents", "s7_s11_results_document", "s8_question_table", "p5_covered_details", "p8_unknown_keys", "s3_s4_theory_pairs", "s8_p3_question_rows", "e1_e2_s10_p1_evaluation", "p7_p8_f19_run_selection"),
+    "S, P": ("s1_v4_built_in_questions", "s3_rejected_lines", "s4_large_lists", "s9_optional_documents", "s10_replayed_answers", "s12_report_lines", "s1_s5_s11_kb_document", "s2_s3_d10_theory_files", "s6_s11_questions_documents", "s7_s11_results_document", "s8_question_table", "p5_covered_details", "p8_unknown_keys", "s3_s4_theory_pairs", "s8_p3_question_rows", "e1_e2_s10_p1_evaluation", "p7_p8_f19_run_selection"),
     "D": ("d11_capped", "d1_d2_d3_theory_facts", "d4_d5_d6_theory_questions", "d7_extend_all_parts", "d8_mentions", "d9_generate_questions", "d11_not_yet_asked"),
 }
