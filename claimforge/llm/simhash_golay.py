@@ -200,11 +200,20 @@ def _deal(level: int):
     return run
 
 
+def _tiles(rows: DataFrame, split: int) -> DataFrame:
+    """(key, fp) of buckets of more than `split` rows, with a key for each two of their tiles of about so many rows, so that any two rows share one."""
+    sizes = rows.groupBy("key").count().where(F.col("count") > split).select("key", F.ceil(F.col("count") / split).alias("tiles"))
+    own = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(5)), F.col("tiles")))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    return met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
+
+
 def links(fps: DataFrame, radius: int = RADIUS, split: int = 1 << 14) -> DataFrame:
     """Edges (u, v) of spanning forests that connect distinct fingerprints (column fp) at most `radius` bits apart.
 
     A bucket of more than `split` fingerprints is dealt out by four sets of sixteen further bits, of which one is equal, by the
-    pigeonhole principle again, and its parts likewise up to three times; then 37 bits are equal.
+    pigeonhole principle again, and its parts likewise up to three times; then 37 bits are equal. A part that is still larger is cut into tiles by a hash,
+    and each two tiles meet in a bucket of their own.
     """
     if not 0 <= radius <= RADIUS:
         raise ValueError("the keys hold for 0 to 3 differing bits")
@@ -214,11 +223,15 @@ def links(fps: DataFrame, radius: int = RADIUS, split: int = 1 << 14) -> DataFra
     out = []
     for level in range(4):
         large = cut(todo.groupBy("key").count().where(F.col("count") > split).select("key"))
-        if level == 3 or large.isEmpty():
+        if large.isEmpty():
             out.append(solve(todo))
-            discard(todo)
+            discard(todo, large)
             break
         out.append(solve(todo.join(large, "key", "left_anti")))
+        if level == 3:
+            out.append(solve(_tiles(todo, split)))
+            discard(todo, large)
+            break
         dealt = cut(todo.join(large, "key", "left_semi").mapInArrow(_deal(level), "key long, fp long"))
         discard(todo, large)
         todo = dealt

@@ -8,7 +8,7 @@ import pytest
 from brute import fingerprint, linked, sha, substrings, word_windows
 from pyspark.sql import functions as F
 
-from claimforge.llm import grams
+from claimforge.llm import grams, simhash_golay
 from claimforge.llm.repeats import holding
 from claimforge.llm.rlz_dedup import ReferenceIndex, rlz_dedup
 from claimforge.llm.simhash_golay import _golay, components, fuzzy_keys, links, near_duplicates
@@ -179,3 +179,22 @@ def test_runs_of_rows(odd, monkeypatch):
     whole = [pa.Table.from_batches(list(w([batch]))).to_pylist() for w in workers]
     monkeypatch.setattr(common.parts, "__defaults__", ("text", 3000))
     assert [pa.Table.from_batches(list(w([batch]))).to_pylist() for w in workers] == whole
+
+
+def test_buckets_larger_than_the_last_level(spark, monkeypatch):
+    """Fingerprints that differ in a few bits only stay together at every level; their last buckets are cut into tiles."""
+    rng = random.Random(9)
+    spread = [43, 44, 46, 47, 48, 50, 51, 56, 58, 59, 60, 62, 63]  # one segment, no digit 1 in base four
+    fps = sorted({sum((x >> i & 1) << b for i, b in enumerate(spread)) for x in rng.sample(range(1 << 13), 300)} | {0, (1 << 64) - 1})
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    want, cut = linked(range(len(fps)), fps), []
+    monkeypatch.setattr(simhash_golay, "_tiles", lambda *a, plain=simhash_golay._tiles: cut.append(1) or plain(*a))
+    for split in (40, 1 << 14):
+        found = components(links(df, split=split))
+        assert len(cut) == 1
+        root = {r.node: r.root for r in found.collect()}
+        signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+        groups = {}
+        for i, x in enumerate(signed):
+            groups.setdefault(root.get(x, x), []).append(i)
+        assert sorted(map(tuple, groups.values())) == sorted(tuple(sorted(i for i in want if want[i] == r)) for r in set(want.values()))
