@@ -748,7 +748,7 @@ def s6_s11_questions_documents(spark, d):
     return I.read_questions(spark, at)
 
 
-@register("SELECT 'there' AS document, count(*) AS n, sum(length(c_name)) AS letters FROM customer UNION ALL SELECT 'missing', 0, NULL")
+@register("SELECT 'there' AS document, count(*) AS n, CAST(sum(length(c_name)) AS BIGINT) AS letters FROM customer UNION ALL SELECT 'missing', 0, NULL")
 def s9_optional_documents(spark, d):
     """A document that is there and one that isn't, neither required."""
     at = files(spark)
