@@ -9,7 +9,7 @@ from claimforge.operators.running import FAN, before, running
 
 
 def _share(a: Column, b: Column, digits: int = 1) -> Column:
-    return F.round(F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0)) * 100, digits)
+    return F.round(F.coalesce(F.try_divide(a.cast("double") * 100, b), F.lit(0.0)), digits)  # a share on a half rounds up, as 5100 / 80 is exact
 
 
 def cells(prediction: str = "final_answer", truth: str = "ground_truth") -> list[Column]:
