@@ -11,7 +11,7 @@ from claimforge.plans import reports as R
 from claimforge.plans.catalog import records
 from claimforge.sources import ingest as I
 from claimforge.sources import kb as K
-from claimforge.sources.answers import read_answer_log, replayed
+from claimforge.sources.answers import attempts, read_answer_log, replayed
 from claimforge.sources.sharded import read_lines
 from claimforge.streaming.totals import totals, totals_stream
 from claimforge.streaming.validation import validate_stream
@@ -196,3 +196,20 @@ def test_run_again(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError):
         X.run(spark, out, ["metrics", "report"], **files)
     assert X.run(spark, out, resume=True, **files) == ["validate", "metrics", "report"]
+
+
+def test_asking_models(spark, tmp_path):
+    """A model that fails at first, one that fails always and one that says nothing; the log is written once and replayed."""
+    asked = spark.createDataFrame([(m, f"q{i}") for m in ("slow", "broken", "mute", "fine") for i in range(5)], "model string, question string").repartition(3)
+
+    def call(model, question, seen={}):  # noqa: B006  what a worker remembers
+        if model == "broken" or model == "slow" and seen.setdefault((model, question), 0) < 1:
+            seen[model, question] = 1
+            raise TimeoutError(question)
+        return "" if model == "mute" else f"Yes, {question}"
+
+    attempts(asked, call).write.json(str(tmp_path / "log"))
+    log = read_answer_log(spark, str(tmp_path / "log"))
+    assert {r.model: r["count"] for r in log.groupBy("model").count().collect()} == {"slow": 10, "broken": 15, "mute": 15, "fine": 5}
+    got = {(r.model, r.question): r.raw for r in replayed(log, asked).collect()}
+    assert got == {(m, f"q{i}"): f"Yes, q{i}" if m in ("slow", "fine") else "[llm_error]" for m in ("slow", "broken", "mute", "fine") for i in range(5)}
