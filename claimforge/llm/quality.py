@@ -117,10 +117,16 @@ class OrdinalModel:
             at = 0.0 if not n else float(grades[0])
             return cls(np.zeros(0, np.int64), np.zeros(0), np.where(np.arange(n_grades) < (at if n else n_grades), -20.0, 20.0), bits)
         flat = np.concatenate(rows)
-        index, code = np.unique(flat, return_inverse=True)
-        row = np.repeat(np.arange(n), [len(r) for r in rows])
+        row = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+        index = np.unique(flat)
+        code = np.searchsorted(index, flat).astype(np.int32)
+        del flat
         k = n_grades + 1
-        seen = np.bincount(code * k + grades[row], minlength=len(index) * k).reshape(-1, k).astype(float)
+        cell = code.astype(np.int64)
+        cell *= k
+        cell += grades[row]
+        seen = np.bincount(cell, minlength=len(index) * k).reshape(-1, k).astype(float)
+        del cell
         total = np.bincount(grades, minlength=k).astype(float)
         with np.errstate(divide="ignore", invalid="ignore"):
             part = lambda o, e: np.where(o > 0, o * np.log(o / e), 0.0).sum(1)
@@ -191,8 +197,9 @@ def train(rated: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> OrdinalMod
     f = table.column("f").combine_chunks()
     f = f.chunk(0) if isinstance(f, pa.ChunkedArray) else f
     at = np.append(0, np.cumsum(f.value_lengths().to_numpy(zero_copy_only=False)))
-    flat = f.flatten().to_numpy()
-    return OrdinalModel.fit([flat[a:b] for a, b in zip(at, at[1:], strict=False)], table.column("grade").to_numpy().astype(np.int64))
+    flat, grades = f.flatten().to_numpy(), table.column("grade").to_numpy().astype(np.int64)
+    del table, f
+    return OrdinalModel.fit([flat[a:b] for a, b in zip(at, at[1:], strict=False)], grades)
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
