@@ -878,29 +878,47 @@ def s12_report_lines(spark, d):
     return read_lines(spark, at)
 
 
+def run_inputs(spark, d, at: str) -> dict[str, str]:
+    """A knowledge base, questions and answers of two models in files."""
+    q = geo_questions(spark, d).withColumn("ground_truth", F.col("idx") % 3 != 0).withColumn("source", F.lit("geography"))
+    raw = F.element_at(F.array(*[F.lit(v) for v in REPLIES]), (F.col("idx") % 14 + 1).cast("int"))
+    write_json(geography(spark, d), f"{at}/kb")
+    I.write_questions(q, f"{at}/questions", 1000)
+    q.withColumn("model", F.explode(F.array(F.lit("m0"), F.lit("m1")))).select("model", "question", F.when(F.col("model") == "m0", raw).alias("raw")).write.parquet(f"{at}/answers")
+    return {"kb": f"{at}/kb", "questions": f"{at}/questions", "answers": f"{at}/answers"}
+
+
 @register(f"SELECT idx, run_key, final_answer, method, is_correct FROM ({SQL['e1_e2_s10_p1_evaluation']})")
 def x1_run_from_files(spark, d):
     """All steps by the runner, from a knowledge base, questions and answers in files; the second call has nothing left to do."""
     from claimforge.plans.run import run
 
     at = files(spark)
-    q = geo_questions(spark, d).withColumn("ground_truth", F.col("idx") % 3 != 0).withColumn("source", F.lit("geography"))
-    raw = F.element_at(F.array(*[F.lit(v) for v in REPLIES]), (F.col("idx") % 14 + 1).cast("int"))
-    write_json(geography(spark, d), f"{at}/kb")
-    I.write_questions(q, f"{at}/questions", 1000)
-    q.withColumn("model", F.explode(F.array(F.lit("m0"), F.lit("m1")))).select("model", "question", F.when(F.col("model") == "m0", raw).alias("raw")).write.parquet(f"{at}/answers")
-    inputs = {"kb": f"{at}/kb", "questions": f"{at}/questions", "answers": f"{at}/answers"}
+    inputs = run_inputs(spark, d, at)
     run(spark, f"{at}/out", ["validate", "metrics", "report"], **inputs)
     if again := run(spark, f"{at}/out", ["validate", "metrics", "report"], resume=True, **inputs):
         raise RuntimeError(f"done twice: {again}")
     return spark.read.parquet(f"{at}/out/records").select("idx", "run_key", "final_answer", "method", "is_correct")
 
 
+@register(f"""WITH e AS ({SQL['e1_e2_s10_p1_evaluation']}), p AS (SELECT split_part(g.run_key, '_', 1) AS base_model, b.is_correct AS b, g.is_correct AS g FROM e b JOIN e g ON b.idx = g.idx AND b.run_key = replace(g.run_key, 'guarded', 'baseline') WHERE g.run_key LIKE '%guarded' AND g.run_key LIKE 'm0%')
+SELECT base_model, count(*) FILTER (WHERE NOT b AND g) AS intercepted, count(*) FILTER (WHERE b AND NOT g) AS false_alarm, count(*) FILTER (WHERE b AND g) AS both_correct, count(*) FILTER (WHERE NOT b AND NOT g) AS both_wrong FROM p GROUP BY 1""")
+def x2_command_line(spark, d):
+    """The same by the command line, step by step, for one of the models."""
+    from claimforge.plans.run import main
+
+    at = files(spark)
+    named = [x for k, v in run_inputs(spark, d, at).items() for x in (f"--{k}", v)]
+    for step in ("validate", "metrics"):
+        main(["--out", f"{at}/out", "--steps", step, "--models", "m0", *named])
+    return spark.read.parquet(f"{at}/out/metrics").select("base_model", "intercepted", "false_alarm", "both_correct", "both_wrong")
+
+
 # ---------------------------------------------------------------- registry by inventory
 #: Which queries stand for which rows of the inventory; rows not named here are readers, writers or command lines, tested in tests/.
 INVENTORY = {
     "G": ("g1_g4_closure_under_change", "g1_g4_what_a_change_does", "g1_reduction", "g2_reachability_by_labels", "g1_transitive_closure", "g2_reachability", "g3_property_inheritance", "g4_merge_new_pairs", "g5_kb_stats"),
-    "X": ("x1_run_from_files",),
+    "X": ("x1_run_from_files", "x2_command_line"),
     "V": ("v8_first_spelling_decides", "s1_v4_built_in_questions", "v1_v2_v4_validate_geography", "v3_v8_validate_rules", "v5_validate_loose", "v6_v7_e1_e2_override", "v9_a11_coverage_by_pattern"),
     "F": ("f9_loose_properties", "f1_clean_question", "f2_f3_singular", "f4_predicate", "f5_taxonomic", "f6_categorical", "f7_f8_hypothetical", "f10_consequence_forms", "f12_condition_forms", "f14_f15_replies", "f11_loose_consequence_forms", "f13_loose_condition_forms", "f16_question_type", "f17_isa_fact", "f18_proofs", "f18_rule_proofs", "p7_p8_f19_run_selection", "r2_r9_f20_rates_table"),
     "A": ("a16_running_accuracy", "a1_confusion", "a2_rates", "a3_a4_per_type", "a5_a16_summary", "a6_caught_and_errors", "a7_a15_r4_interception", "a8_query_set_stats", "a9_type_counts", "a10_coverage_totals", "a12_r12_coverage_table", "a13_w2_running_coverage", "a14_j6_r13_deltas"),
