@@ -33,7 +33,8 @@ def ordered(turns: DataFrame) -> DataFrame:
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), empty("role"), empty("text")).where("conv_id is not null")
     order = ["conv_id", "turn", "role", "text"]
-    ranged = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", F.monotonically_increasing_id().alias("place"), F.spark_partition_id().alias("part"), "role", "text"))
+    ranges = ["conv_id", "turn", *[F.substring(c, 1, 64) for c in ("role", "text")]]  # bounds of ranges come to the driver: beginnings of texts tell rows apart as well
+    ranged = cut(rows.repartitionByRange(*ranges).sortWithinPartitions(*order).select("conv_id", F.monotonically_increasing_id().alias("place"), F.spark_partition_id().alias("part"), "role", "text"))
     sizes = ranged.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
     first = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     numbered = ranged.select("conv_id", "part", "place", F.row_number().over(Window.partitionBy("conv_id", "part").orderBy("place")).alias("i"))
