@@ -54,14 +54,16 @@ def labelled(edges: DataFrame) -> Labels:
         up = tagged.where("child_out").select(F.col("child").alias("node"), F.col("parent").alias("hub"))
         down = tagged.where("parent_out").select(F.col("parent").alias("node"), F.col("child").alias("hub"))
         mate = stored(up.join(down, ["node", "hub"]).groupBy("node").agg(F.min("hub").alias("mate")))
-        alone = lambda df: df.join(mate, "node", "left_anti")
-        merged = mate.select("node", F.col("mate").alias("hub"))
-        ups.append(alone(up).unionByName(merged))
-        downs.append(alone(down).unionByName(merged))
-        over = alone(down).withColumnRenamed("hub", "child").join(alone(up).withColumnRenamed("hub", "parent"), "node").select("child", "parent")
-        moved = down.join(mate, "node").select(F.col("hub").alias("child"), F.col("mate").alias("parent")).unionByName(up.join(mate, "node").select(F.col("mate").alias("child"), F.col("hub").alias("parent")))
+        moved = None
+        if not mate.isEmpty():  # only graphs with cycles have mates
+            moved = down.join(mate, "node").select(F.col("hub").alias("child"), F.col("mate").alias("parent")).unionByName(up.join(mate, "node").select(F.col("mate").alias("child"), F.col("hub").alias("parent")))
+            merged = mate.select("node", F.col("mate").alias("hub"))
+            up, down = (df.join(mate, "node", "left_anti") for df in (up, down))
+        over = down.withColumnRenamed("hub", "child").join(up.withColumnRenamed("hub", "parent"), "node").select("child", "parent")
+        ups.append(up.unionByName(merged) if moved is not None else up)
+        downs.append(down.unionByName(merged) if moved is not None else down)
         stay = tagged.where("child_out is null and parent_out is null").select("child", "parent")
-        after = stored(stay.unionByName(over).unionByName(moved).where("child != parent").distinct())
+        after = stored((stay.unionByName(over) if moved is None else stay.unionByName(over).unionByName(moved)).where("child != parent").distinct())
         if left is not given:
             dropped(left)
         left = after
