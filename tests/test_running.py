@@ -86,3 +86,22 @@ def test_large_lists(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     whole = shape(I.theory_entries(I.theory_documents(spark, str(tmp_path))).where("path not like '%wrapped%' and path not like '%scalars%'"))
     assert cut == whole and len(cut) == 340 and tasks > 3
+
+
+def test_shared_folder(spark, tmp_path):
+    """The checkpoint folder, else the warehouse; a local warehouse is refused where executors run elsewhere. Tables go when they are dropped."""
+    from types import SimpleNamespace
+
+    from claimforge.operators import tables
+
+    assert tables.shared_folder(spark) == spark.sparkContext.getCheckpointDir()
+    table = tables.stored(spark.range(3))
+    assert table.count() == 3 and I.exists(spark, table.stored_at)
+    tables.dropped(table)
+    assert not I.exists(spark, table.stored_at)
+    sc = spark.sparkContext
+    on = lambda master, **conf: SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master=master, _jvm=sc._jvm, _jsc=sc._jsc), conf={"spark.sql.warehouse.dir": str(tmp_path), **conf})
+    assert tables.shared_folder(on("local[2]")) == f"{tmp_path}/_shared"
+    assert tables.shared_folder(on("yarn", **{"spark.checkpoint.dir": "hdfs://x/y/"})) == "hdfs://x/y"
+    with pytest.raises(ValueError):
+        tables.shared_folder(on("yarn"))
