@@ -748,13 +748,13 @@ def s6_s11_questions_documents(spark, d):
     return I.read_questions(spark, at)
 
 
-@register("SELECT 'there' AS document, count(*) AS n, CAST(sum(length(c_name)) AS BIGINT) AS letters FROM customer UNION ALL SELECT 'missing', 0, NULL")
+@register("SELECT 'there' AS document, count(*) AS n, CAST(sum(length(c_name)) AS BIGINT) AS letters FROM customer UNION ALL SELECT 'missing', 0, 0")
 def s9_optional_documents(spark, d):
     """A document that is there and one that isn't, neither required."""
     at = files(spark)
     I.write_questions(table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("idx"), F.col("c_name").alias("question"), F.lit(True).alias("ground_truth"), F.lit("t").alias("type"), F.lit("s").alias("source")), f"{at}/there", 1000)
     schema = StructType([StructField("queries", ArrayType(StructType([StructField("question", StringType())])))])
-    one = lambda name: I.optional_json(spark, f"{at}/{name}", schema, required=False).select(F.explode("queries").alias("q")).agg(F.lit(name).alias("document"), F.count("*").alias("n"), F.sum(F.length("q.question")).alias("letters"))
+    one = lambda name: I.optional_json(spark, f"{at}/{name}", schema, required=False).select(F.explode("queries").alias("q")).agg(F.lit(name).alias("document"), F.count("*").alias("n"), F.coalesce(F.sum(F.length("q.question")), F.lit(0)).alias("letters"))
     return one("there").unionByName(one("missing"))
 
 
