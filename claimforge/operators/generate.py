@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimforge.functions.text import strip
+from claimforge.operators.tables import stored
 from claimforge.sources.kb import KnowledgeBase
 
 
@@ -72,21 +73,38 @@ def gram_index(keys: DataFrame) -> DataFrame:
 
 
 def text_pieces(whole: DataFrame, sizes) -> DataFrame:
-    """(id, gram): the distinct pieces of each size of texts (text, id) in lower case."""
-    return whole.select("id", F.explode(F.concat(F.array().cast("array<string>"), *[_grams(F.lower("text"), n) for n in sizes])).alias("gram"))
+    """(id, gram, at): the pieces of each size of texts (text, id) in lower case, at the places where they begin, from 1."""
+    low = F.lower("text")
+    pieces = lambda n: whole.where(F.length(low) >= n).select("id", F.posexplode(F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substr(low, i, F.lit(n)))).alias("at", "gram")).select("id", "gram", (F.col("at") + 1).alias("at"))
+    return reduce(DataFrame.unionByName, map(pieces, sizes))
+
+
+def gram_shapes(index: DataFrame) -> DataFrame:
+    """(gram, ahead, size): how many letters of a key come before its piece and how many the key has, once for all keys of a piece that are alike in both."""
+    return index.select("gram", (F.position("gram", "key") - 1).alias("ahead"), F.length("key").alias("size")).distinct()
+
+
+def stretches(whole: DataFrame, index: DataFrame) -> DataFrame:
+    """Distinct (id, key): the stretches of texts (text, id) in lower case that stand around a piece as some key does, whatever else they hold."""
+    sizes = sorted(r.n for r in index.select(F.length("gram").alias("n")).distinct().collect())  # of 1, 2 and 3
+    if not sizes:
+        return whole.select("id", F.col("text").alias("key")).limit(0)
+    met = text_pieces(whole, sizes).join(gram_shapes(index), "gram").select("id", (F.col("at") - F.col("ahead")).alias("start"), "size").where("start > 0").distinct()
+    low = F.lower("text")
+    return whole.join(met, "id").where(F.col("start") + F.col("size") - 1 <= F.length(low)).select("id", F.substr(low, F.col("start"), F.col("size")).alias("key")).distinct()
 
 
 def containing(texts: DataFrame, keys: DataFrame, text: str = "text") -> DataFrame:
     """Distinct (text, key): texts, in lower case, that hold a key as it stands.
 
-    A substring join by an index: a text gives its distinct pieces of three letters (of one or two too, if there are such keys), as many as it has
-    letters, whatever lengths keys have. Only pieces that keys are listed under meet them, and the whole key is compared with
-    the whole text, which is fetched by its hash, so texts don't travel with their pieces.
+    A substring join by an index: a text gives its pieces of three letters (of one or two too, if there are such keys), as many as it has
+    letters, whatever lengths keys have. A piece that keys are listed under gives a stretch of the text for each place in a key and length of key that
+    are listed, not for each key, and stretches meet keys as wholes. So rows follow the texts, not how many keys share a piece. Texts are known by
+    a hash and don't travel with their pieces; each is compared with its keys in the end.
     """
-    index = gram_index(keys)
-    sizes = sorted(r.n for r in index.select(F.length("gram").alias("n")).distinct().collect())  # of 1, 2 and 3
-    whole = texts.select(F.col(text).alias("text")).where("text is not null").distinct().select("text", F.sha2("text", 256).alias("id"))
-    met = text_pieces(whole, sizes).join(index, "gram").select("id", "key").distinct()
+    index = stored(gram_index(keys))
+    whole = texts.select(F.col(text).alias("text")).where("text is not null").distinct().select("text", F.xxhash64("text").alias("id"))
+    met = stretches(whole, index).join(index.select("key"), "key", "left_semi")
     return whole.join(met, "id").where(F.contains(F.lower("text"), F.col("key"))).select("text", "key")
 
 

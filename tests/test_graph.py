@@ -151,6 +151,19 @@ def test_pieces_follow_the_text_not_the_keys(spark):
     assert sizes == [3] and max(r["count"] for r in text_pieces(texts, sizes).groupBy("id").count().collect()) <= 500
 
 
+def test_stretches_follow_the_text_not_keys_of_a_piece(spark):
+    """Of 1,024 keys with eight pieces between them, a text meets as many stretches as it has, not as many as there are keys."""
+    from claimforge.operators.generate import containing, gram_index, stretches
+
+    rng = random.Random(3)
+    keys = spark.range(1024).select(F.translate(F.lpad(F.bin("id"), 10, "0"), "01", "ab").alias("key"))
+    texts = ["".join(rng.choice("ab") for _ in range(60)) for _ in range(20)]
+    whole = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "text string, id int")
+    met = stretches(whole, gram_index(keys))
+    assert met.count() <= 20 * 51
+    assert pairs(containing(whole, keys)) == {(t, t[i : i + 10]) for t in texts for i in range(51)}
+
+
 def test_first_spelling(spark):
     from claimforge.operators.validate import rule_verdicts, validate
     from claimforge.plans.golden import questions
