@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimforge.functions import constants as C
 from claimforge.operators import evaluate as E
 from claimforge.operators import metrics as M
+from claimforge.operators.tables import stored
 from claimforge.sources.kb import KnowledgeBase, stats
 
 
@@ -87,8 +88,9 @@ def coverage_table(records: DataFrame) -> DataFrame:
 def coverage_report(coverage: DataFrame, nodes: DataFrame) -> DataFrame:
     """(ord, line) of a coverage run: totals, the knowledge base's size, all four patterns, and every covered question.
 
-    nodes: the distinct classes known, one row each. Lines sort by ord; idx has at most 19 digits.
+    nodes: the distinct classes known, one row each. Lines sort by ord; idx has at most 19 digits. The records are written once, as three parts read them.
     """
+    coverage = stored(coverage.select("idx", "question", "category", "pattern_type", "covered", "epistemic_state"))
     whole = M.coverage_rates(coverage).join(nodes.agg(F.count("*").alias("nodes")), F.lit(True))  # one row each
     text = lambda label, form, *c: F.format_string(f"%-24s: {form}", F.lit(label), *map(F.col, c))
     totals = F.array(

@@ -105,3 +105,14 @@ def test_shared_folder(spark, tmp_path):
     assert tables.shared_folder(on("yarn", **{"spark.checkpoint.dir": "hdfs://x/y/"})) == "hdfs://x/y"
     with pytest.raises(ValueError):
         tables.shared_folder(on("yarn"))
+
+
+def test_report_counts_what_it_lists(spark):
+    """The records of a coverage report are made once: totals, patterns and lines agree even where a record comes out otherwise each time."""
+    from claimforge.plans.reports import coverage_report
+
+    coin = F.udf(lambda: random.random() < 0.5, "boolean").asNondeterministic()
+    rows = spark.range(2000).select(F.col("id").alias("idx"), F.lit("q?").alias("question"), F.lit("c").alias("category"), F.lit("taxonomic").alias("pattern_type"), coin().alias("covered"), F.lit("YAQEEN").alias("epistemic_state"))
+    lines = {r.ord: r.line for r in coverage_report(rows, spark.createDataFrame([("n",)], "child string")).collect()}
+    said, listed = int(lines["1 2"].split(":")[1].split("(")[0]), sum(o.startswith("3 ") for o in lines)
+    assert said == listed and f"covered={listed:3d} " in lines["2 0"]
