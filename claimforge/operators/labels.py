@@ -4,7 +4,8 @@ A node that is taken out leaves its pairs behind as its links to nodes that stay
 left reaches what it did. Of two neighbours the one with fewer such joins goes first, ties by hash, so leaves and links of chains go by thirds at least and
 the rounds follow the logarithm of a chain's length. A node with a neighbour that it is on a two-cycle with is merged into it instead, its pairs
 move there, so cycles shrink without filling up. What a node reaches by links upwards, and what reaches it by links downwards, are its
-labels; x reaches y if some hub is in both. Links make a graph as shallow as there were rounds, and the labels are its closure.
+labels; x reaches y if some hub is in both. Links lead to nodes that were taken out later, so labels are made from the last round back to the first:
+a node has its links and the labels of what they lead to. Each label is made once for each link that brings it, and what a round reads shrinks with the graph.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimforge.operators.closure import closure
 from claimforge.operators.tables import dropped, stored
 
 
@@ -45,7 +45,7 @@ def _taken(left: DataFrame, number: int) -> DataFrame:
 def labelled(edges: DataFrame) -> Labels:
     """Labels of edges (child, parent). Nulls and pairs of one node with itself are left out; cycles are allowed."""
     given = stored(edges.select("child", "parent").where("child is not null and parent is not null and child != parent").distinct())
-    left, ups, downs, number = given, [], [], 0
+    left, rounds, number = given, [], 0
     while not left.isEmpty():
         number += 1
         taken = _taken(left, number)
@@ -60,8 +60,8 @@ def labelled(edges: DataFrame) -> Labels:
             merged = mate.select("node", F.col("mate").alias("hub"))
             up, down = (df.join(mate, "node", "left_anti") for df in (up, down))
         over = down.withColumnRenamed("hub", "child").join(up.withColumnRenamed("hub", "parent"), "node").select("child", "parent")
-        ups.append(up.unionByName(merged) if moved is not None else up)
-        downs.append(down.unionByName(merged) if moved is not None else down)
+        both = [(up, True), (down, False)] if moved is None else [(up, True), (down, False), (merged, True), (merged, False)]
+        rounds.append(reduce(DataFrame.unionByName, [df.select("node", "hub", F.lit(way).alias("up")) for df, way in both]))
         stay = tagged.where("child_out is null and parent_out is null").select("child", "parent")
         after = stored((stay.unionByName(over) if moved is None else stay.unionByName(over).unionByName(moved)).where("child != parent").distinct())
         if left is not given:
@@ -70,13 +70,20 @@ def labelled(edges: DataFrame) -> Labels:
     nodes = given.select(F.col("child").alias("node")).unionByName(given.select(F.col("parent").alias("node"))).distinct()
     own = nodes.select("node", F.col("node").alias("hub"))
 
-    def whole(links) -> DataFrame:
-        if not links:
-            return own
-        all_ = closure(reduce(DataFrame.unionByName, links).withColumnsRenamed({"node": "child", "hub": "parent"}))
-        return stored(all_.withColumnsRenamed({"child": "node", "ancestor": "hub"}).unionByName(own))
+    found = labels_of(rounds)
+    return Labels(*(own if found is None else found.where(F.col("up") == way).select("node", "hub").unionByName(own) for way in (True, False)))
 
-    return Labels(whole(ups), whole(downs))
+
+def labels_of(rounds: list[DataFrame]) -> DataFrame | None:
+    """Distinct (node, hub, up) by links (node, hub, up) of each round, whose hubs were taken out in later rounds or never; None without rounds."""
+    known = None
+    for links in reversed(rounds):
+        if known is not None:
+            on = known.select(F.col("node").alias("hub"), F.col("hub").alias("next"), "up")
+            links = links.unionByName(links.join(on, ["hub", "up"]).select("node", F.col("next").alias("hub"), "up")).distinct()
+        new = stored(links)
+        known = new if known is None else known.unionByName(new)
+    return known
 
 
 def reachable_by(pairs: DataFrame, labels: Labels) -> DataFrame:

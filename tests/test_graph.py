@@ -115,6 +115,17 @@ def test_labels_of_cliques_and_stars(spark):
     assert reachable_by(asked, labelled(frame(spark, []))).where("reached").isEmpty()
 
 
+def test_labels_come_from_the_last_round_back(spark):
+    """Links of three rounds, both ways and with two ways round: each label once, and as many tables as there are rounds."""
+    from claimforge.operators import labels
+
+    rounds = [{("a", "b", True), ("a", "c", True), ("z", "a2", False)}, {("b", "d", True), ("c", "d", True), ("a2", "d", False)}, {("d", "top", True)}]
+    frames = [spark.createDataFrame(sorted(r), "node string, hub string, up boolean") for r in rounds]
+    want = {(a, b, up) for up in (True, False) for a, b in closed_set({(x, y) for r in rounds for x, y, u in r if u == up})}
+    assert pairs(labels.labels_of(frames)) == want and labels.labels_of([]) is None
+    assert not hasattr(labels, "closure")
+
+
 def test_labels_of_a_chain(spark):
     """A chain of 1,000 pairs has half a million pairs in its closure; its labels hold some tens for each node."""
     n = 1000
