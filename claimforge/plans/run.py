@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from claimforge.functions import constants as C
 from claimforge.operators import evaluate as E
 from claimforge.operators.closure import closure
+from claimforge.operators.tables import stored
 from claimforge.operators.validate import coverage, validate
 from claimforge.plans import reports as R
 from claimforge.sources import ingest as I
@@ -95,9 +96,13 @@ def run(spark: SparkSession, out: str, steps=STEPS, kb: str | None = None, theor
         done.append(step)
 
     known: list = []
+    bases: list = []
 
     def base() -> K.KnowledgeBase:
-        return K.read_json(spark, made_kb) if theories and I.exists(spark, made_kb) else K.read_json(spark, kb) if kb else K.builtin(spark)
+        """The knowledge base of the steps after kb, read once."""
+        if not bases:
+            bases.append(K.read_json(spark, made_kb) if theories and I.exists(spark, made_kb) else K.read_json(spark, kb) if kb else K.builtin(spark))
+        return bases[0]
 
     def closed():
         """The closure, for steps that need it."""
@@ -122,11 +127,12 @@ def run(spark: SparkSession, out: str, steps=STEPS, kb: str | None = None, theor
         given = E.select_runs(given, models, "model")
         if given.isEmpty():
             raise ValueError("no answers of the models asked for")
-        E.records(validate(I.read_questions(spark, questions), base(), closed()), given).write.mode("overwrite").parquet(records_at)
+        E.records(validate(stored(I.read_questions(spark, questions)), base(), closed()), given).write.mode("overwrite").parquet(records_at)
         records = spark.read.parquet(records_at)
-        I.write_results(records, f"{out}/results/all", {"questions": questions})
+        summaries = stored(I.run_summaries(records))
+        I.write_results(records, f"{out}/results/all", {"questions": questions}, summaries=summaries)
         for r in given.select("model").distinct().collect():  # one document a model
-            I.write_results(records.where(E.base_model(F.col("run_key")) == r.model), f"{out}/results/{r.model}", {"model": r.model})
+            I.write_results(records.where(E.base_model(F.col("run_key")) == r.model), f"{out}/results/{r.model}", {"model": r.model}, summaries=summaries)
         finished("validate")
     if due("metrics") and I.exists(spark, records_at):
         ledger.begin("metrics")

@@ -136,12 +136,18 @@ def write_questions(questions: DataFrame, path: str, block: int = 100_000) -> No
     documents.write.partitionBy("block").mode("overwrite").json(path)
 
 
-def write_results(records: DataFrame, path: str, metadata: dict | None = None, block: int = 100_000) -> None:
+def run_summaries(records: DataFrame) -> DataFrame:
+    """(run_key, summary) of each run."""
+    return M.summary(records, "run_key").select("run_key", F.struct("total", "correct", "accuracy_strict").alias("summary"))
+
+
+def write_results(records: DataFrame, path: str, metadata: dict | None = None, block: int = 100_000, summaries: DataFrame | None = None) -> None:
     """Documents that read_results reads: metadata, summaries of each run, and each run's records in the order of idx.
 
-    There is one document for each `block` of idx (not null), so that no row holds a large table; all have the whole runs' summaries.
+    There is one document for each `block` of idx (not null), so that no row holds a large table; all have the whole runs' summaries
+    (run_summaries, if they are at hand: of these runs at least).
     """
-    summaries = M.summary(records, "run_key").select("run_key", F.struct("total", "correct", "accuracy_strict").alias("summary"))
+    summaries = run_summaries(records) if summaries is None else summaries
     rows = [c for c in records.columns if c not in ("run_key", "idx")]
     runs = records.groupBy(F.floor(F.col("idx") / block).alias("block"), "run_key").agg(F.array_sort(F.collect_list(F.struct("idx", *rows))).alias("rows")).join(summaries, "run_key")
     table = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("run_key", c))))

@@ -213,3 +213,14 @@ def test_asking_models(spark, tmp_path):
     assert {r.model: r["count"] for r in log.groupBy("model").count().collect()} == {"slow": 10, "broken": 15, "mute": 15, "fine": 5}
     got = {(r.model, r.question): r.raw for r in replayed(log, asked).collect()}
     assert got == {(m, f"q{i}"): f"Yes, q{i}" if m in ("slow", "fine") else "[llm_error]" for m in ("slow", "broken", "mute", "fine") for i in range(5)}
+
+
+def test_a_knowledge_base_is_parsed_once(spark, tmp_path):
+    """What is read stays as it was read, though the document goes: parts that are read later don't parse it again."""
+    from claimforge.sources.kb import read_json
+
+    at = tmp_path / "kb.json"
+    at.write_text('{"taxonomies": {"a": ["b", "c", "b"]}, "properties": {"a": ["p"]}, "conditionals": null}')
+    kb = read_json(spark, str(at))
+    at.unlink()
+    assert {tuple(r) for r in kb.isa.collect()} == {("a", 0, "b"), ("a", 1, "c")} and {tuple(r) for r in kb.has_prop.collect()} == {("a", 0, "p")} and kb.rule.isEmpty()
