@@ -22,9 +22,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+SPLIT, SPLIT_BYTES = "spark.sql.files.maxPartitionBytes", 24 << 20
+
+
 def tune(spark: SparkSession) -> None:
-    """Arrow batches of bounded bytes, which bounds what workers and the JVM hold of long texts."""
+    """Arrow batches of bounded bytes, which bounds what workers and the JVM hold of long texts; and no large parts of files in a task.
+
+    Tables between stages are compressed, and their rows take long: with parts of 128 MB, some gigabytes make hardly more tasks than there are cores, and
+    a second round of few tasks doubles a stage's time.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(SPLIT)) > SPLIT_BYTES:
+        spark.conf.set(SPLIT, str(SPLIT_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:

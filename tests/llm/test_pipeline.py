@@ -94,3 +94,17 @@ def test_run(spark):
     out = P.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.where(F.col("n_tokens") > 0).count() > 50
     assert P.ORACLE_SQL is None
+
+
+def test_files_are_read_in_small_parts(spark):
+    """Compressed tables between stages come in parts of 24 MB at most, so that stages have many tasks for each core; smaller parts that were asked for stay."""
+    from claimforge.llm.common import SPLIT, tune
+
+    before = spark.conf.get(SPLIT)
+    try:
+        for given, want in (("128MB", str(24 << 20)), ("1m", "1m")):
+            spark.conf.set(SPLIT, given)
+            tune(spark)
+            assert spark.conf.get(SPLIT) == want
+    finally:
+        spark.conf.set(SPLIT, before)
